@@ -166,3 +166,29 @@ def score_text(gf="goals_for", ga="goals_against") -> Column:
 def r6(c) -> Column:
     """Round a double to 6 places (compare-stable rates)."""
     return F.round(col(c).cast("double"), 6)
+
+
+def half_even_div(num, den) -> Column:
+    """Exact ``num / den`` rounded half-even to an integer, for non-negative
+    integer columns (no floating-point tie ambiguity)."""
+    num, den = col(num).cast("bigint"), F.nullif(col(den).cast("bigint"), F.lit(0))
+    r = F.pmod(num, den)
+    q = ((num - r) / den).cast("bigint")
+    return (F.when(r * 2 > den, q + 1)
+            .when(r * 2 == den, q + F.pmod(q, F.lit(2)))
+            .otherwise(q))
+
+
+def scaled_units(c, places: int) -> Column:
+    """A fixed-point value (``places`` decimals) as an integer count of units."""
+    return F.round(col(c).cast("double") * F.lit(10 ** places)).cast("bigint")
+
+
+def mean_half_even(c, places: int, value_places: int | None = None) -> Column:
+    """Aggregate: mean of a fixed-point column rounded half-even to
+    ``places`` decimals, computed exactly from integer sums.  The column must
+    hold at most ``value_places`` (default ``places``) decimals."""
+    vp = places if value_places is None else value_places
+    units = scaled_units(c, vp)
+    q = half_even_div(F.sum(units) * F.lit(10 ** places), F.count(units) * F.lit(10 ** vp))
+    return q.cast("double") / F.lit(10 ** places)

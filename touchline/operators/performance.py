@@ -86,7 +86,7 @@ def recent_matches(matches: DataFrame, teams: DataFrame, *, n: int = 10, team_id
         F.col("opponent_short_name").alias("opponent"),
         X.score_text().alias("score"),
         F.date_format("match_date", "dd/MM/yyyy").alias("match_day"),
-        "recency", "position",
+        "recency", "form_position",
     )
 
 

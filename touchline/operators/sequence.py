@@ -115,12 +115,12 @@ def lookback_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
 def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, chunk: Column,
            n: int) -> DataFrame:
     """The newest ``n`` rows of each key (W4), with ``recency`` 1 = newest and
-    ``position`` 1 = oldest of the kept rows (W5)."""
+    ``form_position`` 1 = oldest of the kept rows (W5)."""
     p = ordered_prefix(df, keys, order, chunk=chunk)
     kept = p.filter(F.col("seq") > F.col("n_key") - F.lit(n))
     return kept.withColumns({
         "recency": F.col("n_key") - F.col("seq") + F.lit(1),
-        "position": F.col("seq") - F.greatest(F.col("n_key") - F.lit(n), F.lit(0)),
+        "form_position": F.col("seq") - F.greatest(F.col("n_key") - F.lit(n), F.lit(0)),
     }).drop("seq", "n_key")
 
 

@@ -119,7 +119,7 @@ SELECT r.season_id, r.team_id, r.match_id, r.match_date,
   r.goals_for, r.goals_against, o.short_name AS opponent,
   CAST(r.goals_for AS VARCHAR) || '-' || CAST(r.goals_against AS VARCHAR) AS score,
   strftime(r.match_date, '%d/%m/%Y') AS match_day,
-  r.recency, LEAST(r.n_key, 10) - r.recency + 1 AS position
+  r.recency, LEAST(r.n_key, 10) - r.recency + 1 AS form_position
 FROM r JOIN teams t ON t.id = r.team_id JOIN teams o ON o.id = r.opponent_id
 WHERE r.recency <= 10""")
 def a5_recent_matches(spark, sf_dir):
