@@ -60,3 +60,4 @@ def with_views(*views: str, extra: str = "") -> str:
 # Register the analysis modules (import for side effects).
 from touchline.plans import queries_core  # noqa: E402,F401
 from touchline.plans import queries_players  # noqa: E402,F401
+from touchline.plans import queries_features  # noqa: E402,F401
