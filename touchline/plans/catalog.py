@@ -62,3 +62,4 @@ from touchline.plans import queries_core  # noqa: E402,F401
 from touchline.plans import queries_players  # noqa: E402,F401
 from touchline.plans import queries_features  # noqa: E402,F401
 from touchline.plans import queries_quality  # noqa: E402,F401
+from touchline.plans import queries_sources  # noqa: E402,F401

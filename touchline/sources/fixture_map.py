@@ -120,6 +120,34 @@ FROM {teams} t CROSS JOIN {seasons} s WHERE t.id % 6 <> 5""",
 FROM {events}""",
         ("events",),
     ),
+    # Landed source documents, flattened (the input of the S9-S11 loaders).
+    "src_teams": (
+        """SELECT CAST(n_nationkey + 100 AS BIGINT) AS id, n_name AS name,
+  'N' || CAST(n_nationkey AS STRING) AS short_name
+FROM {nation}
+UNION ALL
+SELECT CAST(r_regionkey + 200 AS BIGINT), r_name, 'R' || CAST(r_regionkey AS STRING)
+FROM {region}""",
+        ("nation", "region"),
+    ),
+    "src_elements": (
+        """SELECT s_suppkey AS id, 'Player' AS first_name,
+  CAST(s_nationkey * 16 + s_suppkey % 20 AS STRING) AS second_name,
+  CAST(s_nationkey + 100 AS BIGINT) AS team, s_suppkey % 5 AS element_type,
+  CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_suppkey * 37 END AS code,
+  CASE WHEN s_suppkey % 4 = 0 THEN 'u' ELSE 'a' END AS status
+FROM {supplier}""",
+        ("supplier",),
+    ),
+    "src_fixtures": (
+        """SELECT id, gameweek AS event,
+  CASE WHEN id % 3 = 0 THEN match_date + INTERVAL 1 DAY ELSE match_date END AS kickoff_time,
+  home_team_id + 100 AS team_h, away_team_id + 100 AS team_a,
+  home_score AS team_h_score, away_score AS team_a_score,
+  status <> 'scheduled' AS started, status = 'finished' AS finished
+FROM {matches}""",
+        ("matches",),
+    ),
 }
 
 
