@@ -63,3 +63,5 @@ from touchline.plans import queries_players  # noqa: E402,F401
 from touchline.plans import queries_features  # noqa: E402,F401
 from touchline.plans import queries_quality  # noqa: E402,F401
 from touchline.plans import queries_sources  # noqa: E402,F401
+from touchline.plans import queries_models  # noqa: E402,F401
+from touchline.plans import queries_streaming  # noqa: E402,F401
