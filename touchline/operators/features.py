@@ -173,10 +173,12 @@ def player_features(stats: DataFrame, matches: DataFrame, categories: DataFrame,
         .withColumn("opposition_strength", X.strength_ordinal("final_position"))
     rows = rows.select("player_id", "match_id", "season_id", "match_date", "team_id", "opponent_id",
                        "goals", "assists", "rating", "opposition_strength", "is_home", "minutes_played")
+    # Ratings carry one decimal: summed as integer tenths, so prefix-sum
+    # differences stay exact however long a player's history is.
     out = lookback_mean(
         rows, ["player_id"], ["match_date", "match_id"], chunk=day_chunk(),
         values={"recent_avg_goals": F.col("goals"), "recent_avg_assists": F.col("assists"),
-                "recent_avg_rating": F.col("rating")},
+                "recent_avg_rating": X.scaled_units("rating", 1)},
         n=n,
-    )
+    ).withColumn("recent_avg_rating", F.col("recent_avg_rating") / 10)
     return out.fillna(fill, subset=["recent_avg_goals", "recent_avg_assists", "recent_avg_rating"])

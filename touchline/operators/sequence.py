@@ -90,6 +90,13 @@ def lookback_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     current row are not "previous": every peer gets the mean over the ``n``
     rows before the first peer (strictly earlier rows only).
 
+    The window sum is a difference of prefix sums: the prefix at the current
+    position (known per row) minus the prefix at ``n`` positions earlier.
+    The latter is delivered without a self-join: every row is emitted twice,
+    once as itself (at its position) and once as a provider of its prefix
+    for position ``seq + n``; a window over ``(key, position)`` pairs them.
+    The prefix pipeline therefore runs once and is shuffled once more.
+
     Output: the input columns plus one column per entry of ``values``.
     """
     sums: dict[str, Column] = {}
@@ -99,15 +106,29 @@ def lookback_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     p = ordered_prefix(df, keys, order, chunk=chunk, sums=sums, tie=strict_tie)
     suffix = "_before_tie" if strict_tie else "_before"
     here = F.col("seq_first") if strict_tie else F.col("seq")
-    lo_tab = p.select(*keys, F.col("seq").alias("_lo"),
-                      *[F.col(f"{s}_before").alias(f"_lo_{s}") for s in sums])
-    j = p.withColumn("_lo", F.greatest(here - F.lit(n), F.lit(1))).join(lo_tab, [*keys, "_lo"])
+    payload = [c for c in df.columns if c not in values and c not in keys]
+    rec = F.explode(F.array(
+        F.struct(F.lit(0).alias("_kind"), here.cast("long").alias("_pos"),
+                 *[F.lit(None).cast("double").alias(f"_p_{s}") for s in sums]),
+        F.struct(F.lit(1).alias("_kind"), (F.col("seq") + F.lit(n)).cast("long").alias("_pos"),
+                 *[F.col(f"{s}_before").cast("double").alias(f"_p_{s}") for s in sums]),
+    )).alias("_r")
+    e = p.select(*keys, *payload, *[F.col(f"{s}{suffix}").alias(f"_h_{s}") for s in sums], rec)
+    # Provider records carry only keys, position and prefix sums into the shuffle.
+    own = F.col("_r._kind") == 0
+    e = e.select(*keys, *[F.when(own, F.col(c)).alias(c) for c in payload],
+                 *[F.when(own, F.col(f"_h_{s}")).alias(f"_h_{s}") for s in sums],
+                 F.col("_r._kind").alias("_kind"), F.col("_r._pos").alias("_pos"),
+                 *[F.col(f"_r._p_{s}").alias(f"_p_{s}") for s in sums])
+    w = Window.partitionBy(*keys, "_pos")
+    e = e.withColumns({f"_lo_{s}": F.coalesce(F.max(f"_p_{s}").over(w), F.lit(0.0)) for s in sums})
+    e = e.filter(F.col("_kind") == 0)
     res = {}
     for name in values:
-        cnt = F.col(f"_n_{name}{suffix}") - F.col(f"_lo__n_{name}")
-        tot = F.col(f"{name}{suffix}") - F.col(f"_lo_{name}")
-        res[name] = F.when(cnt > 0, tot.cast("double") / cnt)
-    out = j.withColumns(res)
+        cnt = F.col(f"_h__n_{name}") - F.col(f"_lo__n_{name}")
+        tot = F.col(f"_h_{name}").cast("double") - F.col(f"_lo_{name}")
+        res[name] = F.when(cnt > 0, tot / cnt)
+    out = e.withColumns(res)
     keep = [c for c in df.columns if c not in values] + list(values)
     return out.select(*keep)
 
