@@ -169,14 +169,17 @@ def r6(c) -> Column:
 
 
 def half_even_div(num, den) -> Column:
-    """Exact ``num / den`` rounded half-even to an integer, for non-negative
-    integer columns (no floating-point tie ambiguity)."""
+    """Exact ``num / den`` rounded half-even to an integer, for integer
+    columns (``den`` > 0; NULL when ``den`` is 0).  No floating point is
+    involved, so the result cannot depend on summation order."""
     num, den = col(num).cast("bigint"), F.nullif(col(den).cast("bigint"), F.lit(0))
-    r = F.pmod(num, den)
-    q = ((num - r) / den).cast("bigint")
-    return (F.when(r * 2 > den, q + 1)
-            .when(r * 2 == den, q + F.pmod(q, F.lit(2)))
-            .otherwise(q))
+    a = F.abs(num)
+    r = F.pmod(a, den)
+    q = ((a - r) / den).cast("bigint")
+    q = (F.when(r * 2 > den, q + 1)
+         .when(r * 2 == den, q + F.pmod(q, F.lit(2)))
+         .otherwise(q))
+    return F.when(num < 0, -q).otherwise(q)
 
 
 def scaled_units(c, places: int) -> Column:
@@ -184,11 +187,31 @@ def scaled_units(c, places: int) -> Column:
     return F.round(col(c).cast("double") * F.lit(10 ** places)).cast("bigint")
 
 
-def mean_half_even(c, places: int, value_places: int | None = None) -> Column:
-    """Aggregate: mean of a fixed-point column rounded half-even to
-    ``places`` decimals, computed exactly from integer sums.  The column must
-    hold at most ``value_places`` (default ``places``) decimals."""
-    vp = places if value_places is None else value_places
-    units = scaled_units(c, vp)
-    q = half_even_div(F.sum(units) * F.lit(10 ** places), F.count(units) * F.lit(10 ** vp))
+def exact_ratio(num, den, scale: int = 1, places: int = 6) -> Column:
+    """``num / den * scale`` for integer num/den, rounded half-even to
+    ``places`` decimals exactly (NULL when den is 0)."""
+    q = half_even_div(col(num).cast("bigint") * F.lit(scale * 10 ** places), den)
+    return q.cast("double") / F.lit(10 ** places)
+
+
+def guarded_ratio(num, den, scale: int = 1, places: int = 6) -> Column:
+    """Exact ratio when ``den > 0``, else 0."""
+    return F.when(col(den) > 0, exact_ratio(num, den, scale, places)).otherwise(F.lit(0.0))
+
+
+def mean_half_even(c, places: int = 6, value_places: int = 0) -> Column:
+    """Aggregate: mean of a fixed-point column (``value_places`` decimals),
+    NULLs skipped, rounded half-even to ``places`` decimals, computed from
+    integer sums."""
+    units = scaled_units(c, value_places)
+    q = half_even_div(F.sum(units) * F.lit(10 ** places), F.count(units) * F.lit(10 ** value_places))
+    return q.cast("double") / F.lit(10 ** places)
+
+
+def mean_diff_half_even(a, b, places: int = 6, value_places: int = 0) -> Column:
+    """Aggregate: ``avg(a) - avg(b)`` exactly, rounded half-even."""
+    ua, ub = scaled_units(a, value_places), scaled_units(b, value_places)
+    na, nb = F.count(ua), F.count(ub)
+    num = (F.sum(ua) * nb - F.sum(ub) * na) * F.lit(10 ** places)
+    q = half_even_div(num, na * nb * F.lit(10 ** value_places))
     return q.cast("double") / F.lit(10 ** places)

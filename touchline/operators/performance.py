@@ -39,9 +39,9 @@ def home_away_record(matches: DataFrame, *, team_id=None, season_id=None) -> Dat
         F.sum("goals_against").alias("goals_against"),
     ).withColumnRenamed("venue", "venue_type")
     return agg.withColumns({
-        "win_rate": X.r6(F.col("wins") / F.col("matches_played") * 100),
+        "win_rate": X.exact_ratio("wins", "matches_played", 100),
         "points": X.points(F.col("wins"), F.col("draws")),
-        "points_per_game": X.r6((F.col("wins") * 3 + F.col("draws")) / F.col("matches_played")),
+        "points_per_game": X.exact_ratio(F.col("wins") * 3 + F.col("draws"), "matches_played"),
         "goal_difference": F.col("goals_for") - F.col("goals_against"),
     })
 
@@ -56,14 +56,12 @@ def record_by_opposition(matches: DataFrame, teams: DataFrame, categories: DataF
     j = j.withColumn("opposition_strength", X.opposition_bucket("opponent_name", "final_position", top6))
     agg = j.groupBy("season_id", "team_id", "opposition_strength").agg(
         *_record_aggs(with_losses=False),
-        F.avg("goals_for").alias("avg_goals_for"),
-        F.avg("goals_against").alias("avg_goals_against"),
+        X.mean_half_even("goals_for").alias("avg_goals_for"),
+        X.mean_half_even("goals_against").alias("avg_goals_against"),
     )
     return agg.withColumns({
-        "avg_goals_for": X.r6("avg_goals_for"),
-        "avg_goals_against": X.r6("avg_goals_against"),
-        "win_rate": X.r6(F.col("wins") / F.col("matches_played") * 100),
-        "points_per_game": X.r6((F.col("wins") * 3 + F.col("draws")) / F.col("matches_played")),
+        "win_rate": X.exact_ratio("wins", "matches_played", 100),
+        "points_per_game": X.exact_ratio(F.col("wins") * 3 + F.col("draws"), "matches_played"),
     })
 
 
@@ -107,9 +105,9 @@ def form_summary(matches: DataFrame, *, n: int = 10, team_id=None, season_id=Non
         F.sum("goals_against").alias("goals_against"),
     )
     return agg.withColumns({
-        "win_rate": X.r6(F.col("wins") / F.col("matches_played") * 100),
+        "win_rate": X.exact_ratio("wins", "matches_played", 100),
         "points": X.points(F.col("wins"), F.col("draws")),
-        "points_per_game": X.r6((F.col("wins") * 3 + F.col("draws")) / F.col("matches_played")),
+        "points_per_game": X.exact_ratio(F.col("wins") * 3 + F.col("draws"), "matches_played"),
         "goal_difference": F.col("goals_for") - F.col("goals_against"),
         "goal_difference_text": X.signed_text(F.col("goals_for") - F.col("goals_against")),
     })
@@ -123,7 +121,7 @@ def season_kpis(matches: DataFrame, *, team_id=None, season_id=None) -> DataFram
         X.count_when(F.col("goals_for") > F.col("goals_against")).alias("total_wins"),
         F.sum("goals_for").alias("total_goals"),
     )
-    return agg.withColumn("win_rate", X.r6(F.col("total_wins") / F.col("total_matches") * 100))
+    return agg.withColumn("win_rate", X.exact_ratio("total_wins", "total_matches", 100))
 
 
 def _as_of_col(as_of) -> F.Column:

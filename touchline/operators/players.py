@@ -50,7 +50,7 @@ def top_performers(players: DataFrame, stats: DataFrame, matches: DataFrame, *,
     agg = rows.groupBy(*_player_keys(), "squad_number").agg(
         F.count("match_id").alias("appearances"),
         mins.alias("total_minutes"),
-        F.avg("minutes_played").alias("avg_minutes_per_game"),
+        X.mean_half_even("minutes_played").alias("avg_minutes_per_game"),
         F.sum("goals").alias("goals"),
         F.sum("assists").alias("assists"),
         F.sum(F.col("goals") + F.col("assists")).alias("goal_contributions"),
@@ -62,17 +62,14 @@ def top_performers(players: DataFrame, stats: DataFrame, matches: DataFrame, *,
         F.sum("tackles").alias("tackles"),
         F.sum("interceptions").alias("interceptions"),
         F.sum("clearances").alias("clearances"),
-        F.avg("rating").alias("avg_rating"),
+        X.mean_half_even("rating", value_places=1).alias("avg_rating"),
     ).filter(F.col("total_minutes") >= min_minutes)
-    m = F.col("total_minutes")
     return agg.withColumns({
-        "avg_minutes_per_game": X.r6("avg_minutes_per_game"),
-        "avg_rating": X.r6("avg_rating"),
-        "shot_accuracy": X.r6(X.ratio(F.col("shots_on_target"), F.col("shots"), 100)),
-        "pass_accuracy": X.r6(X.ratio(F.col("accurate_passes"), F.col("total_passes"), 100)),
-        "goals_per_90": X.r6(X.ratio(F.col("goals"), m, 90)),
-        "assists_per_90": X.r6(X.ratio(F.col("assists"), m, 90)),
-        "key_passes_per_90": X.r6(X.ratio(F.col("key_passes"), m, 90)),
+        "shot_accuracy": X.guarded_ratio("shots_on_target", "shots", 100),
+        "pass_accuracy": X.guarded_ratio("accurate_passes", "total_passes", 100),
+        "goals_per_90": X.guarded_ratio("goals", "total_minutes", 90),
+        "assists_per_90": X.guarded_ratio("assists", "total_minutes", 90),
+        "key_passes_per_90": X.guarded_ratio("key_passes", "total_minutes", 90),
     })
 
 
@@ -92,15 +89,13 @@ def unsung_heroes(players: DataFrame, stats: DataFrame, matches: DataFrame, *,
         F.sum("interceptions").alias("interceptions"),
         F.sum("clearances").alias("clearances"),
         F.sum(F.col("tackles") + F.col("interceptions")).alias("defensive_actions"),
-        F.avg("rating").alias("avg_rating"),
-        F.avg(F.when(clean, F.lit(1)).otherwise(F.lit(0))).alias("_clean"),
+        X.mean_half_even("rating", value_places=1).alias("avg_rating"),
+        X.mean_half_even(F.when(clean, F.lit(100)).otherwise(F.lit(0))).alias("_clean"),
     ).filter(F.col("total_minutes") >= min_minutes)
     return agg.withColumns({
-        "avg_rating": X.r6("avg_rating"),
-        "defensive_actions_per_90": X.r6(X.ratio(F.col("tackles") + F.col("interceptions"),
-                                                 F.col("total_minutes"), 90)),
-        "clean_sheet_percentage": X.r6(F.when(F.col("position").isin("DEF", "GK"),
-                                              F.col("_clean") * 100)),
+        "defensive_actions_per_90": X.guarded_ratio(F.col("tackles") + F.col("interceptions"),
+                                                    "total_minutes", 90),
+        "clean_sheet_percentage": F.when(F.col("position").isin("DEF", "GK"), F.col("_clean")),
     }).drop("_clean")
 
 
@@ -116,17 +111,15 @@ def player_form(players: DataFrame, stats: DataFrame, matches: DataFrame, *, n:
                   chunk=day_chunk(), n=n)
     agg = kept.groupBy(*_player_keys()).agg(
         F.count(F.lit(1)).alias("matches"),
-        F.avg("rating").alias("avg_rating"),
+        X.mean_half_even("rating", value_places=1).alias("avg_rating"),
         F.sum("goals").alias("total_goals"),
         F.sum("assists").alias("total_assists"),
-        F.avg("passes_total").alias("avg_passes_per_game"),
+        X.mean_half_even("passes_total").alias("avg_passes_per_game"),
         F.sum("passes_accurate").alias("_acc"),
         F.sum("passes_total").alias("_tot"),
     )
     return agg.withColumns({
-        "avg_rating": X.r6("avg_rating"),
-        "avg_passes_per_game": X.r6("avg_passes_per_game"),
-        "avg_pass_accuracy": X.r6(X.ratio(F.col("_acc"), F.col("_tot"), 100)),
+        "avg_pass_accuracy": X.guarded_ratio("_acc", "_tot", 100),
     }).drop("_acc", "_tot")
 
 
@@ -142,9 +135,9 @@ def top_performers_view(players: DataFrame, stats: DataFrame, matches: DataFrame
         F.sum("key_passes").alias("key_passes"),
         F.sum("tackles").alias("tackles"),
         F.sum("interceptions").alias("interceptions"),
-        F.avg("rating").alias("avg_rating"),
+        X.mean_half_even("rating", value_places=1).alias("avg_rating"),
     )
-    return agg.withColumn("avg_rating", X.r6("avg_rating"))
+    return agg
 
 
 def key_players(players: DataFrame, stats: DataFrame, *, team_id=None, min_appearances: int = 5,

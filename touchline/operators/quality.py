@@ -126,11 +126,11 @@ def freshness(log: DataFrame, *, as_of, max_age_hours: float = 24.0 * 7) -> Data
     at ``as_of``; a source with no success at all is stale."""
     last = log.groupBy("source").agg(
         F.max(F.when(F.col("success"), F.col("collected_at"))).alias("last_success"))
-    age = (F.unix_micros(_ts(as_of).cast("timestamp")) -
-           F.unix_micros(F.col("last_success").cast("timestamp"))) / F.lit(3.6e9)
+    micros = (F.unix_micros(_ts(as_of).cast("timestamp")) -
+              F.unix_micros(F.col("last_success").cast("timestamp")))
     return last.withColumns({
-        "age_hours": X.r6(age),
-        "is_stale": F.coalesce(age > F.lit(max_age_hours), F.lit(True)),
+        "age_hours": X.exact_ratio(micros, F.lit(3_600_000_000)),
+        "is_stale": F.coalesce(micros > F.lit(int(max_age_hours * 3_600_000_000)), F.lit(True)),
     })
 
 
@@ -146,7 +146,7 @@ def collection_stats(log: DataFrame) -> DataFrame:
         F.max("collected_at").alias("last_run"),
     )
     return agg.withColumns({
-        "success_rate": X.r6(F.col("successes") / F.col("runs") * 100),
+        "success_rate": X.exact_ratio("successes", "runs", 100),
         "mean_seconds": X.r6("mean_seconds"),
     })
 

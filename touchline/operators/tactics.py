@@ -37,21 +37,18 @@ def formation_effectiveness(match_stats: DataFrame, matches: DataFrame, *, min_m
         F.count(F.lit(1)).alias("matches_played"),
         X.count_when(F.col("goals_for") > F.col("goals_against")).alias("wins"),
         X.count_when(F.col("goals_for") == F.col("goals_against")).alias("draws"),
-        F.avg("possession_percent").alias("avg_possession"),
-        F.avg("shots_total").alias("avg_shots"),
-        F.avg("shots_on_target").alias("avg_shots_on_target"),
-        F.avg("pass_accuracy_percent").alias("avg_pass_accuracy"),
-        F.avg("goals_for").alias("avg_goals_for"),
-        F.avg("goals_against").alias("avg_goals_against"),
+        X.mean_half_even("possession_percent", value_places=2).alias("avg_possession"),
+        X.mean_half_even("shots_total").alias("avg_shots"),
+        X.mean_half_even("shots_on_target").alias("avg_shots_on_target"),
+        X.mean_half_even("pass_accuracy_percent", value_places=2).alias("avg_pass_accuracy"),
+        X.mean_half_even("goals_for").alias("avg_goals_for"),
+        X.mean_half_even("goals_against").alias("avg_goals_against"),
+        X.mean_diff_half_even("goals_for", "goals_against").alias("goal_difference_per_game"),
     ).filter(F.col("matches_played") >= min_matches)
-    out = agg.withColumns({
-        "win_rate": X.r6(F.col("wins") / F.col("matches_played") * 100),
-        "points_per_game": X.r6((F.col("wins") * 3 + F.col("draws")) / F.col("matches_played")),
-        "goal_difference_per_game": X.r6(F.col("avg_goals_for") - F.col("avg_goals_against")),
+    return agg.withColumns({
+        "win_rate": X.exact_ratio("wins", "matches_played", 100),
+        "points_per_game": X.exact_ratio(F.col("wins") * 3 + F.col("draws"), "matches_played"),
     })
-    return out.withColumns({c: X.r6(c) for c in (
-        "avg_possession", "avg_shots", "avg_shots_on_target", "avg_pass_accuracy",
-        "avg_goals_for", "avg_goals_against")})
 
 
 def possession_frame(match_stats: DataFrame, matches: DataFrame, *, team_id=None,
@@ -78,10 +75,10 @@ def possession_by_result(possession: DataFrame) -> DataFrame:
     # Means are rounded exactly from integer sums (percentages carry two
     # decimals), so halfway cases do not depend on summation order.
     means = possession.groupBy(*keys).agg(
-        X.mean_half_even("possession_percent", 2).alias("possession_mean"),
+        X.mean_half_even("possession_percent", 2, 2).alias("possession_mean"),
         X.mean_half_even("goals_for", 2, 0).alias("goals_for_mean"),
         X.mean_half_even("shots_total", 2, 0).alias("shots_total_mean"),
-        X.mean_half_even("pass_accuracy_percent", 2).alias("pass_accuracy_mean"),
+        X.mean_half_even("pass_accuracy_percent", 2, 2).alias("pass_accuracy_mean"),
     )
     med = exact_median(possession.withColumn("_p", X.scaled_units("possession_percent", 2)),
                        keys, "_p", "_med2")
@@ -117,9 +114,9 @@ def shot_totals(shot_rows: DataFrame) -> DataFrame:
     return shot_rows.groupBy("season_id", "team_id").agg(
         F.count(F.lit(1)).alias("total_shots"),
         F.sum(g).cast("bigint").alias("goals_scored"),
-        X.r6(F.avg(t) * 100).alias("shot_accuracy"),
-        X.r6(F.avg(g) * 100).alias("conversion_rate"),
-        X.r6(F.avg("xg_value")).alias("avg_xg_per_shot"),
+        X.mean_half_even(t * 100).alias("shot_accuracy"),
+        X.mean_half_even(g * 100).alias("conversion_rate"),
+        X.mean_half_even("xg_value", value_places=3).alias("avg_xg_per_shot"),
     )
 
 
@@ -132,5 +129,5 @@ def shot_zones(shot_rows: DataFrame) -> DataFrame:
         F.sum(g).cast("bigint").alias("goals"),
         X.mean_half_even(g, 3, 0).alias("conversion_rate"),
         X.mean_half_even(F.col("is_on_target").cast("int"), 3, 0).alias("on_target_rate"),
-        X.mean_half_even("xg_value", 3).alias("avg_xg"),
+        X.mean_half_even("xg_value", 3, 3).alias("avg_xg"),
     )

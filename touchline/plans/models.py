@@ -48,6 +48,15 @@ def stratified_split(df: DataFrame, label: str, id_cols, *, test_size: float = 0
     return out.drop("_h", "seq", "n_key")
 
 
+def deterministic_order(df: DataFrame, keys) -> DataFrame:
+    """Fix partition contents and row order (hash partitioning + sort within
+    partitions): tree learners sample per partition, and shuffle fetch order
+    is not stable, so without this a fixed seed would not give a fixed
+    model."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
 def match_pipeline(features=MATCH_FEATURES, *, seed: int = 42) -> Pipeline:
     """M3 + M4: label index, assembler, scaler, random forest, label decode."""
     idx = StringIndexer(inputCol="outcome", outputCol="label", stringOrderType="alphabetAsc",
@@ -73,8 +82,9 @@ def train_match_model(features: DataFrame, *, test_size: float = 0.2, seed: int
     """M2-M7: stratified hold-out, fit, accuracy, per-class report, k-fold
     CV mean/std on the training part and feature importances."""
     spark = features.sparkSession
-    split = stratified_split(features, "outcome", ["match_id"], test_size=test_size, seed=seed,
-                             folds=folds).cache()
+    split = deterministic_order(
+        stratified_split(features, "outcome", ["match_id"], test_size=test_size, seed=seed,
+                         folds=folds), ["match_id"]).cache()
     n = split.count()
     if n < MIN_MATCH_ROWS:
         raise ValueError(f"insufficient training data: {n} rows (< {MIN_MATCH_ROWS})")
@@ -182,7 +192,8 @@ def train_player_model(features: DataFrame, metric: str = "rating", *, seed: int
     actual vs predicted values."""
     spark = features.sparkSession
     rows = features.filter(F.col(metric).isNotNull()).withColumn(metric, F.col(metric).cast("double"))
-    rows = hash_split(rows, ["player_id", "match_id"], test_size=test_size, seed=seed).cache()
+    rows = deterministic_order(hash_split(rows, ["player_id", "match_id"], test_size=test_size,
+                                          seed=seed), ["player_id", "match_id"]).cache()
     n = rows.count()
     if n < MIN_PLAYER_ROWS:
         raise ValueError(f"insufficient data for player model: {n} rows")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from touchline.functions import expressions as X
 from touchline.operators import performance as perf
 from touchline.operators.longform import current_season_id, focal_team_id, team_matches
+from touchline.plans import sqlx
 from touchline.plans.catalog import AS_OF, FOCAL_SHORT_NAME, LF_SQL, register, tables, with_views
 
 RESULT_SQL = ("CASE WHEN goals_for > goals_against THEN 'W' "
@@ -20,8 +21,8 @@ def _cnt(cond: str) -> str:
 
 # ---------------------------------------------------------------- A1 + A2
 @register("a1_home_away", with_views("matches", extra=LF_SQL) + f"""
-SELECT *, ROUND(wins / matches_played * 100, 6) AS win_rate, wins * 3 + draws AS points,
-       ROUND((wins * 3 + draws) / matches_played, 6) AS points_per_game,
+SELECT *, {sqlx.ratio('wins', 'matches_played', 100)} AS win_rate, wins * 3 + draws AS points,
+       {sqlx.ratio('wins * 3 + draws', 'matches_played')} AS points_per_game,
        goals_for - goals_against AS goal_difference
 FROM (SELECT season_id, team_id, CASE WHEN is_home THEN 'Home' ELSE 'Away' END AS venue_type,
         COUNT(*) AS matches_played, {_cnt('goals_for > goals_against')} AS wins,
@@ -68,8 +69,8 @@ def s13_united_home_away_view(spark, sf_dir):
 # -------------------------------------------------------------------- A3
 @register("a3_opposition_strength", with_views("teams", "seasons", "matches", "opposition_categories",
                                                extra=LF_SQL) + f"""
-SELECT *, ROUND(wins / matches_played * 100, 6) AS win_rate,
-       ROUND((wins * 3 + draws) / matches_played, 6) AS points_per_game
+SELECT *, {sqlx.ratio('wins', 'matches_played', 100)} AS win_rate,
+       {sqlx.ratio('wins * 3 + draws', 'matches_played')} AS points_per_game
 FROM (SELECT lf.season_id, lf.team_id,
         CASE WHEN o.name IN ({TOP6_SQL}) THEN 'Top 6'
              WHEN c.final_position BETWEEN 1 AND 6 THEN 'Top 6'
@@ -77,7 +78,7 @@ FROM (SELECT lf.season_id, lf.team_id,
              ELSE 'Bottom 6' END AS opposition_strength,
         COUNT(*) AS matches_played, {_cnt('goals_for > goals_against')} AS wins,
         {_cnt('goals_for = goals_against')} AS draws,
-        ROUND(AVG(goals_for), 6) AS avg_goals_for, ROUND(AVG(goals_against), 6) AS avg_goals_against
+        {sqlx.mean('goals_for')} AS avg_goals_for, {sqlx.mean('goals_against')} AS avg_goals_against
       FROM lf JOIN teams o ON o.id = lf.opponent_id JOIN teams t ON t.id = lf.team_id
       LEFT JOIN opposition_categories c ON c.team_id = lf.opponent_id AND c.season_id = lf.season_id
       GROUP BY 1, 2, 3) a""")
@@ -95,8 +96,8 @@ r AS (SELECT *, {RESULT_SQL} AS result,
 
 
 @register("a4_form_summary", with_views("matches", extra=_RECENT) + f"""
-SELECT *, ROUND(wins / matches_played * 100, 6) AS win_rate, wins * 3 + draws AS points,
-       ROUND((wins * 3 + draws) / matches_played, 6) AS points_per_game,
+SELECT *, {sqlx.ratio('wins', 'matches_played', 100)} AS win_rate, wins * 3 + draws AS points,
+       {sqlx.ratio('wins * 3 + draws', 'matches_played')} AS points_per_game,
        goals_for - goals_against AS goal_difference,
        CASE WHEN goals_for - goals_against >= 0 THEN '+' ELSE '' END
          || CAST(goals_for - goals_against AS VARCHAR) AS goal_difference_text
@@ -129,7 +130,7 @@ def a5_recent_matches(spark, sf_dir):
 
 # ------------------------------------------------------------------- A20
 @register("a20_season_kpis", with_views("matches", extra=LF_SQL) + f"""
-SELECT *, ROUND(total_wins / total_matches * 100, 6) AS win_rate
+SELECT *, {sqlx.ratio('total_wins', 'total_matches', 100)} AS win_rate
 FROM (SELECT season_id, team_id, COUNT(*) AS total_matches,
         {_cnt('goals_for > goals_against')} AS total_wins, CAST(SUM(goals_for) AS BIGINT) AS total_goals
       FROM lf GROUP BY 1, 2) a""")

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from touchline.operators import players as pl
 from touchline.operators import tactics as tc
+from touchline.plans import sqlx
 from touchline.plans.catalog import register, tables, with_views
 
 
@@ -14,22 +15,7 @@ def _s(c: str) -> str:
 
 
 def _ratio(num: str, den: str, scale: int) -> str:
-    return f"ROUND(CASE WHEN {den} > 0 THEN CAST({num} AS DOUBLE) / {den} * {scale} ELSE 0 END, 6)"
-
-
-def _he(num: str, den: str) -> str:
-    """SQL twin of ``expressions.half_even_div``."""
-    return (f"(CASE WHEN ({num}) % ({den}) * 2 > ({den}) THEN ({num}) // ({den}) + 1 "
-            f"WHEN ({num}) % ({den}) * 2 = ({den}) THEN ({num}) // ({den}) + (({num}) // ({den})) % 2 "
-            f"ELSE ({num}) // ({den}) END)")
-
-
-def _mean_he(c: str, places: int, vp: int | None = None) -> str:
-    """SQL twin of ``expressions.mean_half_even``."""
-    vp = places if vp is None else vp
-    units = f"CAST(ROUND(CAST({c} AS DOUBLE) * {10 ** vp}) AS BIGINT)"
-    q = _he(f"CAST(SUM({units}) AS BIGINT) * {10 ** places}", f"NULLIF(COUNT({units}), 0) * {10 ** vp}")
-    return f"CAST({q} AS DOUBLE) / {10 ** places}"
+    return sqlx.guarded(num, den, scale)
 
 
 PR_SQL = """pr AS (
@@ -53,13 +39,13 @@ SELECT season_id, team_id, player_id, name, position, squad_number, appearances,
   {_ratio('key_passes', 'total_minutes', 90)} AS key_passes_per_90
 FROM (SELECT season_id, player_team_id AS team_id, player_id, name, position, squad_number,
         COUNT(match_id) AS appearances, {_s('minutes_played')} AS total_minutes,
-        ROUND(AVG(minutes_played), 6) AS avg_minutes_per_game, {_s('goals')} AS goals,
+        {sqlx.mean('minutes_played')} AS avg_minutes_per_game, {_s('goals')} AS goals,
         {_s('assists')} AS assists, {_s('goals + assists')} AS goal_contributions,
         {_s('key_passes')} AS key_passes, {_s('shots_total')} AS shots,
         {_s('shots_on_target')} AS shots_on_target, {_s('passes_total')} AS total_passes,
         {_s('passes_accurate')} AS accurate_passes, {_s('tackles')} AS tackles,
         {_s('interceptions')} AS interceptions, {_s('clearances')} AS clearances,
-        ROUND(AVG(rating), 6) AS avg_rating
+        {sqlx.mean('rating', 6, 1)} AS avg_rating
       FROM pr WHERE TRUE {pos}
       GROUP BY 1, 2, 3, 4, 5, 6 HAVING SUM(minutes_played) >= 180) a"""
 
@@ -83,10 +69,9 @@ FROM (SELECT season_id, player_team_id AS team_id, player_id, name, position,
         COUNT(match_id) AS appearances, {_s('minutes_played')} AS total_minutes,
         {_s('tackles')} AS tackles, {_s('interceptions')} AS interceptions,
         {_s('clearances')} AS clearances, {_s('tackles + interceptions')} AS defensive_actions,
-        ROUND(AVG(rating), 6) AS avg_rating,
-        ROUND(CASE WHEN position IN ('DEF', 'GK') THEN
-          AVG(CASE WHEN (home_team_id = player_team_id AND away_score = 0)
-                     OR (away_team_id = player_team_id AND home_score = 0) THEN 1 ELSE 0 END) * 100 END, 6)
+        {sqlx.mean('rating', 6, 1)} AS avg_rating,
+        CASE WHEN position IN ('DEF', 'GK') THEN
+          {sqlx.mean("CASE WHEN (home_team_id = player_team_id AND away_score = 0) OR (away_team_id = player_team_id AND home_score = 0) THEN 100 ELSE 0 END")} END
           AS clean_sheet_percentage
       FROM pr WHERE position IN ('DEF', 'MID', 'GK')
       GROUP BY 1, 2, 3, 4, 5 HAVING SUM(minutes_played) >= 450) a""")
@@ -99,8 +84,8 @@ def a9_unsung_heroes(spark, sf_dir):
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY season_id, player_id
                                    ORDER BY match_date DESC, match_id DESC) AS rn FROM pr)""") + f"""
 SELECT season_id, player_team_id AS team_id, player_id, name, position, COUNT(*) AS matches,
-  ROUND(AVG(rating), 6) AS avg_rating, {_s('goals')} AS total_goals, {_s('assists')} AS total_assists,
-  ROUND(AVG(passes_total), 6) AS avg_passes_per_game,
+  {sqlx.mean('rating', 6, 1)} AS avg_rating, {_s('goals')} AS total_goals, {_s('assists')} AS total_assists,
+  {sqlx.mean('passes_total')} AS avg_passes_per_game,
   {_ratio('SUM(passes_accurate)', 'SUM(passes_total)', 100)} AS avg_pass_accuracy
 FROM r WHERE rn <= 5 GROUP BY 1, 2, 3, 4, 5""")
 def a11_player_form(spark, sf_dir):
@@ -112,7 +97,7 @@ def a11_player_form(spark, sf_dir):
 SELECT season_id, player_team_id AS team_id, player_id, name, position,
   COUNT(match_id) AS matches_played, {_s('minutes_played')} AS total_minutes, {_s('goals')} AS goals,
   {_s('assists')} AS assists, {_s('key_passes')} AS key_passes, {_s('tackles')} AS tackles,
-  {_s('interceptions')} AS interceptions, ROUND(AVG(rating), 6) AS avg_rating
+  {_s('interceptions')} AS interceptions, {sqlx.mean('rating', 6, 1)} AS avg_rating
 FROM pr GROUP BY 1, 2, 3, 4, 5""")
 def a13_top_performers_view(spark, sf_dir):
     t = tables(spark, sf_dir)
@@ -147,20 +132,19 @@ tp AS (
 TACTIC_VIEWS = ("matches", "match_stats")
 
 
-@register("a12_formations", with_views(*TACTIC_VIEWS, extra=TR_SQL) + """
+@register("a12_formations", with_views(*TACTIC_VIEWS, extra=TR_SQL) + f"""
 SELECT season_id, team_id, formation, matches_played, wins, draws,
-  ROUND(avg_possession, 6) AS avg_possession, ROUND(avg_shots, 6) AS avg_shots,
-  ROUND(avg_shots_on_target, 6) AS avg_shots_on_target, ROUND(avg_pass_accuracy, 6) AS avg_pass_accuracy,
-  ROUND(avg_goals_for, 6) AS avg_goals_for, ROUND(avg_goals_against, 6) AS avg_goals_against,
-  ROUND(wins / matches_played * 100, 6) AS win_rate,
-  ROUND((wins * 3 + draws) / matches_played, 6) AS points_per_game,
-  ROUND(avg_goals_for - avg_goals_against, 6) AS goal_difference_per_game
+  avg_possession, avg_shots, avg_shots_on_target, avg_pass_accuracy, avg_goals_for, avg_goals_against,
+  {sqlx.ratio('wins', 'matches_played', 100)} AS win_rate,
+  {sqlx.ratio('wins * 3 + draws', 'matches_played')} AS points_per_game, goal_difference_per_game
 FROM (SELECT season_id, team_id, formation, COUNT(*) AS matches_played,
         CAST(SUM(CASE WHEN goals_for > goals_against THEN 1 ELSE 0 END) AS BIGINT) AS wins,
         CAST(SUM(CASE WHEN goals_for = goals_against THEN 1 ELSE 0 END) AS BIGINT) AS draws,
-        AVG(possession_percent) AS avg_possession, AVG(shots_total) AS avg_shots,
-        AVG(shots_on_target) AS avg_shots_on_target, AVG(pass_accuracy_percent) AS avg_pass_accuracy,
-        AVG(goals_for) AS avg_goals_for, AVG(goals_against) AS avg_goals_against
+        {sqlx.mean('possession_percent', 6, 2)} AS avg_possession, {sqlx.mean('shots_total')} AS avg_shots,
+        {sqlx.mean('shots_on_target')} AS avg_shots_on_target,
+        {sqlx.mean('pass_accuracy_percent', 6, 2)} AS avg_pass_accuracy,
+        {sqlx.mean('goals_for')} AS avg_goals_for, {sqlx.mean('goals_against')} AS avg_goals_against,
+        {sqlx.mean_diff('goals_for', 'goals_against')} AS goal_difference_per_game
       FROM tr WHERE formation IS NOT NULL GROUP BY 1, 2, 3 HAVING COUNT(*) >= 3) a""")
 def a12_formations(spark, sf_dir):
     t = tables(spark, sf_dir)
@@ -191,12 +175,12 @@ def a15_possession_correlation(spark, sf_dir):
 
 @register("a16_possession_by_result", with_views(*TACTIC_VIEWS, extra=TR_SQL) + f"""
 SELECT season_id, team_id, result,
-  {_mean_he('possession_percent', 2)} AS possession_mean,
-  CAST({_he("CAST(MEDIAN(CAST(ROUND(possession_percent * 100) AS BIGINT)) * 2 AS BIGINT)", "2")} AS DOUBLE) / 100
+  {sqlx.mean('possession_percent', 2, 2)} AS possession_mean,
+  CAST({sqlx.he("CAST(MEDIAN(CAST(ROUND(possession_percent * 100) AS BIGINT)) * 2 AS BIGINT)", "2")} AS DOUBLE) / 100
     AS possession_median,
-  {_mean_he('goals_for', 2, 0)} AS goals_for_mean,
-  {_mean_he('shots_total', 2, 0)} AS shots_total_mean,
-  {_mean_he('pass_accuracy_percent', 2)} AS pass_accuracy_mean
+  {sqlx.mean('goals_for', 2, 0)} AS goals_for_mean,
+  {sqlx.mean('shots_total', 2, 0)} AS shots_total_mean,
+  {sqlx.mean('pass_accuracy_percent', 2, 2)} AS pass_accuracy_mean
 FROM tp GROUP BY 1, 2, 3""")
 def a16_possession_by_result(spark, sf_dir):
     t = tables(spark, sf_dir)
@@ -229,12 +213,12 @@ def a17_shots(spark, sf_dir):
     return _shot_rows(spark, sf_dir)
 
 
-@register("a18_shot_totals", with_views(*SHOT_VIEWS, extra=SHOT_SQL) + """
+@register("a18_shot_totals", with_views(*SHOT_VIEWS, extra=SHOT_SQL) + f"""
 SELECT season_id, team_id, COUNT(*) AS total_shots,
   CAST(SUM(CAST(is_goal AS INTEGER)) AS BIGINT) AS goals_scored,
-  ROUND(AVG(CAST(is_on_target AS INTEGER)) * 100, 6) AS shot_accuracy,
-  ROUND(AVG(CAST(is_goal AS INTEGER)) * 100, 6) AS conversion_rate,
-  ROUND(AVG(xg_value), 6) AS avg_xg_per_shot
+  {sqlx.mean('CAST(is_on_target AS INTEGER) * 100')} AS shot_accuracy,
+  {sqlx.mean('CAST(is_goal AS INTEGER) * 100')} AS conversion_rate,
+  {sqlx.mean('xg_value', 6, 3)} AS avg_xg_per_shot
 FROM sr GROUP BY 1, 2""")
 def a18_shot_totals(spark, sf_dir):
     return tc.shot_totals(_shot_rows(spark, sf_dir))
@@ -243,9 +227,9 @@ def a18_shot_totals(spark, sf_dir):
 @register("a19_shot_zones", with_views(*SHOT_VIEWS, extra=SHOT_SQL) + f"""
 SELECT season_id, team_id, shot_zone, COUNT(is_goal) AS shots,
   CAST(SUM(CAST(is_goal AS INTEGER)) AS BIGINT) AS goals,
-  {_mean_he('CAST(is_goal AS INTEGER)', 3, 0)} AS conversion_rate,
-  {_mean_he('CAST(is_on_target AS INTEGER)', 3, 0)} AS on_target_rate,
-  {_mean_he('xg_value', 3)} AS avg_xg
+  {sqlx.mean('CAST(is_goal AS INTEGER)', 3, 0)} AS conversion_rate,
+  {sqlx.mean('CAST(is_on_target AS INTEGER)', 3, 0)} AS on_target_rate,
+  {sqlx.mean('xg_value', 3, 3)} AS avg_xg
 FROM sr GROUP BY 1, 2, 3""")
 def a19_shot_zones(spark, sf_dir):
     return tc.shot_zones(_shot_rows(spark, sf_dir))

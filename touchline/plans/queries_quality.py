@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from touchline.operators import quality as qc
+from touchline.plans import sqlx
 from touchline.plans.catalog import register, tables, with_views
 
 LOG_AS_OF = "2024-02-01 00:00:00"
@@ -52,13 +53,14 @@ def _q3_sql() -> str:
 
 
 Q4_SQL = f"""SELECT source, last_success,
-  ROUND((epoch_us(TIMESTAMP '{LOG_AS_OF}') - epoch_us(last_success)) / 3.6e9, 6) AS age_hours,
-  COALESCE((epoch_us(TIMESTAMP '{LOG_AS_OF}') - epoch_us(last_success)) / 3.6e9 > {24.0 * 7}, TRUE) AS is_stale
+  {sqlx.ratio(f"epoch_us(TIMESTAMP '{LOG_AS_OF}') - epoch_us(last_success)", "3600000000")} AS age_hours,
+  COALESCE(epoch_us(TIMESTAMP '{LOG_AS_OF}') - epoch_us(last_success) > {int(24 * 7 * 3_600_000_000)}, TRUE)
+    AS is_stale
 FROM (SELECT source, MAX(CASE WHEN success THEN collected_at END) AS last_success
       FROM data_collection_log GROUP BY source) s"""
 
-Q5_SQL = """SELECT source, runs, successes, records_collected, ROUND(mean_seconds, 6) AS mean_seconds, last_run,
-  ROUND(successes / runs * 100, 6) AS success_rate
+Q5_SQL = f"""SELECT source, runs, successes, records_collected, ROUND(mean_seconds, 6) AS mean_seconds, last_run,
+  {sqlx.ratio('successes', 'runs', 100)} AS success_rate
 FROM (SELECT source, COUNT(*) AS runs, COUNT(*) FILTER (WHERE success) AS successes,
         CAST(SUM(CASE WHEN success THEN records_collected END) AS BIGINT) AS records_collected,
         AVG(CAST(execution_time_seconds AS DOUBLE)) AS mean_seconds, MAX(collected_at) AS last_run

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from touchline.operators.longform import current_season_id, focal_team_id
+from touchline.plans import sqlx
 from touchline.plans.catalog import AS_OF, FOCAL_SHORT_NAME, LF_SQL, register, tables, with_views
 from touchline.plans.report import weekly_report
 from touchline.session import scratch_dir
@@ -50,9 +51,9 @@ def t1_incremental_match_ingest(spark, sf_dir):
     return md.current_matches(spark, f"{base}/versions")
 
 
-@register("t2_log_health_windows", with_views("data_collection_log") + """
+@register("t2_log_health_windows", with_views("data_collection_log") + f"""
 SELECT window_start, source, runs, successes, records_collected,
-  ROUND(successes / runs * 100, 6) AS success_rate, ROUND(total_seconds / runs, 6) AS mean_seconds
+  {sqlx.ratio('successes', 'runs', 100)} AS success_rate, ROUND(total_seconds / runs, 6) AS mean_seconds
 FROM (SELECT date_trunc('day', collected_at) AS window_start, source, COUNT(*) AS runs,
         COUNT(*) FILTER (WHERE success) AS successes,
         CAST(SUM(CASE WHEN success THEN records_collected END) AS BIGINT) AS records_collected,

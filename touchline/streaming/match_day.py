@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.functions import expressions as X
+
 MATCH_UPDATE = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("season_id", T.LongType()),
     T.StructField("gameweek", T.LongType()), T.StructField("match_date", T.TimestampNTZType()),
@@ -110,6 +112,6 @@ def final_windows(spark: SparkSession, out_path: str) -> DataFrame:
     vals = [c for c in v.columns if c not in keys + ["_batch_id"]]
     best = v.groupBy(*keys).agg(F.max_by(F.struct(*vals), "_batch_id").alias("v")).select(*keys, "v.*")
     return best.withColumns({
-        "success_rate": F.round(F.col("successes") / F.col("runs") * 100, 6),
+        "success_rate": X.exact_ratio("successes", "runs", 100),
         "mean_seconds": F.round(F.col("total_seconds") / F.col("runs"), 6),
     }).drop("total_seconds")
