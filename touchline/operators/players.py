@@ -157,3 +157,19 @@ def key_players(players: DataFrame, stats: DataFrame, *, team_id=None, min_appea
     w = Window.partitionBy("team_id").orderBy(F.desc("total_minutes"), "player_id")
     return agg.withColumn("minutes_rank", F.row_number().over(w).cast("bigint")).filter(
         F.col("minutes_rank") <= k)
+
+
+def rank_top_performers(performers: DataFrame, *, k: int | None = 10) -> DataFrame:
+    """O1 + O3: rank players within (season, team) by goal contributions,
+    then average rating with NULLs first (PostgreSQL's DESC order), then id;
+    keep the top ``k``.  The window runs over aggregated player rows, whose
+    number per team is bounded by squad size."""
+    w = Window.partitionBy("season_id", "team_id").orderBy(
+        F.desc("goal_contributions"), F.desc_nulls_first("avg_rating"), "player_id")
+    out = performers.withColumn("performer_rank", F.row_number().over(w).cast("bigint"))
+    return out if k is None else out.filter(F.col("performer_rank") <= k)
+
+
+def select_existing(df: DataFrame, wanted) -> DataFrame:
+    """Keep the wanted columns that exist, in the wanted order."""
+    return df.select(*[c for c in wanted if c in df.columns])

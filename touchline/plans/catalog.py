@@ -65,3 +65,4 @@ from touchline.plans import queries_quality  # noqa: E402,F401
 from touchline.plans import queries_sources  # noqa: E402,F401
 from touchline.plans import queries_models  # noqa: E402,F401
 from touchline.plans import queries_streaming  # noqa: E402,F401
+from touchline.plans import queries_extra  # noqa: E402,F401
