@@ -162,7 +162,8 @@ def player_features(stats: DataFrame, matches: DataFrame, categories: DataFrame,
     strength ordinal in the same season (J4 + P12), venue and minutes."""
     m = matches.filter(F.col("status") == "finished").select(
         F.col("id").alias("match_id"), "season_id", "match_date", "home_team_id", "away_team_id")
-    rows = stats.filter(F.col("minutes_played") > 0).join(m, "match_id")
+    s = stats.drop(*[c for c in ("season_id", "match_date") if c in stats.columns])
+    rows = s.filter(F.col("minutes_played") > 0).join(m, "match_id")
     rows = rows.withColumns({
         "is_home": (F.col("home_team_id") == F.col("team_id")).cast("int"),
         "opponent_id": F.when(F.col("home_team_id") == F.col("team_id"), F.col("away_team_id"))

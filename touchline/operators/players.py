@@ -17,22 +17,35 @@ from touchline.functions import expressions as X
 from touchline.operators.sequence import day_chunk, last_n
 
 
+MATCH_SIDE_COLUMNS = ("home_team_id", "away_team_id", "home_score", "away_score")
+
+
 def player_rows(players: DataFrame, stats: DataFrame, matches: DataFrame, *, team_id=None,
-                season_id=None, positions=None, played_only: bool = True) -> DataFrame:
+                season_id=None, positions=None, played_only: bool = True,
+                need_sides: bool = False) -> DataFrame:
     """Players -> player_match_stats -> matches with the common filters
     (P18-P20).  Columns: all stats plus player name/position/squad number,
-    the player's team, season, match date and both sides of the match."""
+    the player's team, season and match date (and both sides of the match
+    when ``need_sides``).
+
+    When the stats carry ``season_id`` and ``match_date`` (the stored layout
+    denormalizes them at ingest) and the sides are not needed, the join with
+    ``matches`` -- the largest join of the player analyses -- is skipped."""
     p = players.select(F.col("id").alias("player_id"), "name", "position", "squad_number",
                        F.col("team_id").alias("player_team_id"), "is_active")
     if team_id is not None:
         p = p.filter(F.col("player_team_id") == team_id)
     if positions:
         p = p.filter(F.col("position").isin(*positions))
-    m = matches.select(F.col("id").alias("match_id"), "season_id", "match_date",
-                       "home_team_id", "away_team_id", "home_score", "away_score")
+    s = stats.filter(F.col("minutes_played") > 0) if played_only else stats
+    if not need_sides and {"season_id", "match_date"} <= set(stats.columns):
+        if season_id is not None:
+            s = s.filter(F.col("season_id") == season_id)
+        return s.join(p, "player_id")
+    s = s.drop(*[c for c in ("season_id", "match_date") if c in stats.columns])
+    m = matches.select(F.col("id").alias("match_id"), "season_id", "match_date", *MATCH_SIDE_COLUMNS)
     if season_id is not None:
         m = m.filter(F.col("season_id") == season_id)
-    s = stats.filter(F.col("minutes_played") > 0) if played_only else stats
     return s.join(p, "player_id").join(m, "match_id")
 
 
@@ -78,7 +91,7 @@ def unsung_heroes(players: DataFrame, stats: DataFrame, matches: DataFrame, *,
     """A9 + A10: defensive output of DEF/MID/GK players with at least
     ``min_minutes``; clean-sheet share of appearances for DEF and GK."""
     rows = player_rows(players, stats, matches, team_id=team_id, season_id=season_id,
-                       positions=["DEF", "MID", "GK"])
+                       positions=["DEF", "MID", "GK"], need_sides=True)
     team = F.col("player_team_id")
     clean = ((F.col("home_team_id") == team) & (F.col("away_score") == 0)) | (
         (F.col("away_team_id") == team) & (F.col("home_score") == 0))

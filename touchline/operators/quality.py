@@ -93,9 +93,12 @@ def orphan_checks(tables: dict[str, DataFrame]) -> DataFrame:
     for t, c, ref in FOREIGN_KEYS:
         if t not in tables or ref not in tables:
             continue
-        child = tables[t].select(F.col(c).alias("_k")).filter(F.col("_k").isNotNull())
+        # Child keys are counted first (combined map-side), so the anti-join
+        # shuffles one row per distinct key, not one per child row.
+        child = tables[t].filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("_k")).agg(
+            F.count(F.lit(1)).alias("_n"))
         parent = tables[ref].select(F.col("id").alias("_k"))
-        n = child.join(parent, "_k", "left_anti").agg(F.count(F.lit(1)).alias("v"))
+        n = child.join(parent, "_k", "left_anti").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("v"))
         frames.append(n.select(*_row(t, f"fk_{ref}", c, F.col("v"))))
     return _union(frames)
 

@@ -93,6 +93,7 @@ def shot_frame(shots: DataFrame, players: DataFrame, matches: DataFrame, teams:
                team_id=None, season_id=None) -> DataFrame:
     """A17 (J6): shots with player, match and both team names, plus zone."""
     s = shots if team_id is None else shots.filter(F.col("team_id") == team_id)
+    s = s.drop(*[c for c in ("season_id", "match_date") if c in shots.columns])
     m = matches.select(F.col("id").alias("match_id"), "season_id", "match_date",
                        "home_team_id", "away_team_id")
     if season_id is not None:

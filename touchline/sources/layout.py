@@ -15,6 +15,7 @@ import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from touchline.sources.fixture_map import VIEWS, SportTables
 
@@ -23,8 +24,9 @@ MARKER = "_touchline_layout.json"
 LAYOUT = {
     "matches": {"partition_by": ["season_id"], "cluster_by": ["match_date", "id"]},
     "match_stats": {"cluster_by": ["match_id"]},
-    "player_match_stats": {"cluster_by": ["player_id", "match_id"]},
-    "shots": {"cluster_by": ["match_id"]},
+    "player_match_stats": {"partition_by": ["season_id"], "cluster_by": ["player_id", "match_id"],
+                           "denormalize": True},
+    "shots": {"partition_by": ["season_id"], "cluster_by": ["match_id"], "denormalize": True},
     "data_collection_log": {"cluster_by": ["source", "collected_at"]},
 }
 SPORT_TABLES = ("teams", "seasons", "matches", "match_stats", "players", "player_match_stats", "shots",
@@ -39,6 +41,12 @@ def materialize(tables: SportTables, path: str, names=SPORT_TABLES) -> str:
     for name in names:
         df: DataFrame = getattr(tables, name)
         spec = LAYOUT.get(name, {})
+        if spec.get("denormalize"):
+            # season and date of the match copied into the fact rows once, at
+            # ingest, so season filters prune files and player analyses need
+            # no join with matches.
+            m = tables.matches.select(F.col("id").alias("match_id"), "season_id", "match_date")
+            df = df.join(m, "match_id")
         part = spec.get("partition_by", [])
         clus = spec.get("cluster_by", [])
         if clus:
