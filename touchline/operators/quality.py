@@ -88,33 +88,55 @@ def null_and_key_checks(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def orphan_checks(tables: dict[str, DataFrame]) -> DataFrame:
-    """Q2: rows whose (non-NULL) foreign key has no parent row."""
-    frames = []
+    """Q2: rows whose (non-NULL) foreign key has no parent row.
+
+    One scan per child table: all its foreign keys are exploded into
+    (column, parent, key) rows and counted per distinct key (combined
+    map-side); one anti-join against the tagged parent keys then answers
+    every foreign key at once."""
+    by_child: dict[str, list] = {}
     for t, c, ref in FOREIGN_KEYS:
-        if t not in tables or ref not in tables:
-            continue
-        # Child keys are counted first (combined map-side), so the anti-join
-        # shuffles one row per distinct key, not one per child row.
-        child = tables[t].filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("_k")).agg(
-            F.count(F.lit(1)).alias("_n"))
-        parent = tables[ref].select(F.col("id").alias("_k"))
-        n = child.join(parent, "_k", "left_anti").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("v"))
-        frames.append(n.select(*_row(t, f"fk_{ref}", c, F.col("v"))))
-    return _union(frames)
+        if t in tables and ref in tables:
+            by_child.setdefault(t, []).append((c, ref))
+    if not by_child:
+        raise ValueError("no foreign keys to check")
+    child_keys = []
+    for t, fks in by_child.items():
+        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(ref).alias("ref"),
+                                   F.col(c).cast("bigint").alias("_k")) for c, ref in fks])
+        child_keys.append(tables[t].select(F.lit(t).alias("table_name"), F.inline(pairs)))
+    counts = _union(child_keys).filter(F.col("_k").isNotNull()) \
+        .groupBy("table_name", "column_name", "ref", "_k").agg(F.count(F.lit(1)).alias("_n"))
+    refs = sorted({ref for fks in by_child.values() for _, ref in fks})
+    parents = _union([tables[r].select(F.lit(r).alias("ref"), F.col("id").cast("bigint").alias("_k"))
+                      for r in refs])
+    missing = counts.join(parents, ["ref", "_k"], "left_anti") \
+        .groupBy("table_name", "column_name", "ref").agg(F.sum("_n").alias("_v"))
+    # Every declared key gets a row, zero when nothing is missing.
+    declared = tables[next(iter(by_child))].sparkSession.createDataFrame(
+        [(t, c, ref) for t, fks in by_child.items() for c, ref in fks],
+        "table_name string, column_name string, ref string")
+    out = declared.join(missing, ["table_name", "column_name", "ref"], "left")
+    return out.select("table_name", F.concat(F.lit("fk_"), F.col("ref")).alias("check_name"),
+                      "column_name", F.coalesce(F.col("_v"), F.lit(0)).cast("bigint").alias("violations"))
 
 
 def domain_checks(tables: dict[str, DataFrame]) -> DataFrame:
     """Q3: values outside a closed set, and percentages / coordinates
-    outside 0-100 (NULL is not a violation)."""
-    frames = []
+    outside 0-100 (NULL is not a violation); one aggregate per table."""
+    per_table: dict[str, list] = {}
     for t, c, allowed in DOMAINS:
         if t in tables:
-            v = tables[t].agg(F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*allowed)).alias("v"))
-            frames.append(v.select(*_row(t, "domain", c, F.col("v"))))
+            per_table.setdefault(t, []).append(
+                ("domain", c, F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*allowed))))
     for t, c, lo, hi in RANGES:
         if t in tables:
-            v = tables[t].agg(F.count_if(~F.col(c).between(lo, hi)).alias("v"))
-            frames.append(v.select(*_row(t, "range", c, F.col("v"))))
+            per_table.setdefault(t, []).append(("range", c, F.count_if(~F.col(c).between(lo, hi))))
+    frames = []
+    for t, checks in per_table.items():
+        agg = tables[t].agg(*[e.alias(f"_{i}") for i, (_, _, e) in enumerate(checks)])
+        frames.append(agg.select(F.inline(F.array(*[
+            F.struct(*_row(t, kind, c, F.col(f"_{i}"))) for i, (kind, c, _) in enumerate(checks)]))))
     return _union(frames)
 
 

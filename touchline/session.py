@@ -18,6 +18,21 @@ DEFAULT_CONF = {
 }
 
 
+# Starting points for a large cluster (100 TB class).  Shuffle partitions are
+# set high and AQE coalesces them to ~advisory size at run time; skewed
+# sort-merge joins are split by AQE; broadcasts stay behind Spark's size check.
+CLUSTER_CONF = {
+    **{k: v for k, v in DEFAULT_CONF.items() if k != "spark.ui.enabled"},
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "touchline",
                   extra: dict | None = None) -> SparkSession:
     """A local session for tests and the bench (never used on a cluster,
