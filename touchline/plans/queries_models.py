@@ -80,3 +80,17 @@ def m14_player_next_match(spark, sf_dir):
     preds = [ml.predict_players(m, rows, opposition_strength=1, is_home=1) for m in models.values()]
     return reduce(lambda a, b: a.unionByName(b), preds).withColumn(
         "predicted_value", F.round("predicted_value", 6))
+
+
+@register("m15_train_all_summary")
+def m15_train_all_summary(spark, sf_dir):
+    """One row per trained model (match outcome + one pooled model per
+    player metric over the key players) with its headline metric."""
+    mm = _match_model(spark, sf_dir).metrics.select(
+        F.lit("match_prediction").alias("model"), F.lit("accuracy").alias("metric"),
+        F.col("accuracy").alias("value"), F.col("training_samples"))
+    _, models = _player_models(spark, sf_dir)
+    pm = [m.metrics.select(F.concat(F.lit("player_"), F.col("metric")).alias("model"),
+                           F.lit("rmse").alias("metric"), F.col("rmse").alias("value"),
+                           "training_samples") for m in models.values()]
+    return reduce(lambda a, b: a.unionByName(b), [mm, *pm])

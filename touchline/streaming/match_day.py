@@ -9,7 +9,9 @@ T1  incremental match ingest: match documents land as files during match
 T2  collection-log health per source in tumbling event-time windows with a
     watermark, emitted in update mode; every emitted window row is written
     to its batch partition and the final value per window is the one from
-    the latest batch.
+    the latest batch.  The watermark bounds the state kept (windows older
+    than it are evicted); Spark keeps every on-time row but gives no
+    guarantee that rows behind the watermark are dropped.
 
 Checkpoints and outputs live under the session's ``spark.checkpoint.dir``
 (a shared folder on a cluster), so a restarted driver resumes from the last
