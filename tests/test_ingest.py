@@ -102,3 +102,11 @@ def test_html_elements_whole_pages(spark, small):
     li = html_elements(pages, "li")
     assert li.count() == 281     # every <li> of every page
     assert li.filter(F.col("text").contains("<")).count() == 0
+
+
+def test_export_records(spark, small, tmp_dir):
+    from touchline.operators.performance import home_away_record
+    df = home_away_record(small.matches)
+    ingest.export_records(df, f"{tmp_dir}/export", partition_by=["season_id"])
+    back = spark.read.json(f"{tmp_dir}/export")
+    assert back.count() == df.count()

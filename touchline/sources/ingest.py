@@ -179,3 +179,14 @@ def load_fixtures(fixtures: DataFrame, source_teams: DataFrame, teams: DataFrame
                          F.to_date("match_date"))
     return rows.select("id", "season_id", "gameweek", "match_date", "home_team_id", "away_team_id",
                        "home_score", "away_score", "status")
+
+
+# ------------------------------------------------------------- S15 export
+def export_records(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite",
+                   partition_by: list[str] | None = None) -> None:
+    """Write an analysis result at the edge (JSON records by default),
+    in parallel from the executors; nothing is collected to the driver."""
+    w = df.write.mode(mode).format(fmt)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.save(path)
