@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import expressions as X
 from touchline.operators.longform import team_matches
-from touchline.operators.sequence import day_chunk, last_n, lookback_mean
+from touchline.operators.sequence import time_chunk, last_n, lookback_mean
 
 MATCH_FEATURES = (
     "home_form", "away_form", "home_avg_goals_for", "away_avg_goals_for",
@@ -58,7 +58,7 @@ def team_form(matches: DataFrame, *, n: int = 5) -> DataFrame:
     lf = team_matches(matches).select(
         "match_id", "season_id", "match_date", "team_id", "is_home", "goals_for", "goals_against")
     return lookback_mean(
-        lf, ["team_id"], ["match_date", "match_id"], chunk=day_chunk(),
+        lf, ["team_id"], ["match_date", "match_id"], chunk=time_chunk(),
         values={"form": _win(), "avg_goals_for": F.col("goals_for")},
         n=n, strict_tie="match_date",
     ).drop("goals_for", "goals_against")
@@ -72,7 +72,7 @@ def head_to_head(matches: DataFrame, *, n: int = 10) -> DataFrame:
         F.col("id").alias("match_id"), "season_id", "match_date", "home_team_id", "away_team_id",
         "pair_lo", "pair_hi", "home_score", "away_score")
     out = lookback_mean(
-        m, ["pair_lo", "pair_hi"], ["match_date", "match_id"], chunk=day_chunk(),
+        m, ["pair_lo", "pair_hi"], ["match_date", "match_id"], chunk=time_chunk(),
         values={"h2h_home_advantage": _h2h_value()}, n=n, strict_tie="match_date",
     )
     return out.drop("pair_lo", "pair_hi")
@@ -118,14 +118,14 @@ def fixture_features(matches: DataFrame, fixtures: DataFrame | None = None, *, f
     team's newest ``n`` finished matches and the pair's newest ``h2h_n``
     finished meetings, with the reference's falsy defaults (P23)."""
     lf = team_matches(matches)
-    recent = last_n(lf, ["team_id"], ["match_date", "match_id"], chunk=day_chunk(), n=n)
+    recent = last_n(lf, ["team_id"], ["match_date", "match_id"], chunk=time_chunk(), n=n)
     team_now = recent.groupBy("team_id").agg(
         F.avg(_win()).alias("form"), F.avg("goals_for").alias("avg_goals_for"))
     meetings = _pair_keys(matches.filter(F.col("status") == "finished"))
     meetings = meetings.select(F.col("id").alias("match_id"), "match_date", "pair_lo", "pair_hi",
                                "home_score", "away_score")
     pair_now = last_n(meetings, ["pair_lo", "pair_hi"], ["match_date", "match_id"],
-                      chunk=day_chunk(), n=h2h_n).groupBy("pair_lo", "pair_hi").agg(
+                      chunk=time_chunk(), n=h2h_n).groupBy("pair_lo", "pair_hi").agg(
         F.avg(_h2h_value()).alias("h2h"))
     if fixtures is None:
         fixtures = matches.filter(F.col("status") == "scheduled")
@@ -177,7 +177,7 @@ def player_features(stats: DataFrame, matches: DataFrame, categories: DataFrame,
     # Ratings carry one decimal: summed as integer tenths, so prefix-sum
     # differences stay exact however long a player's history is.
     out = lookback_mean(
-        rows, ["player_id"], ["match_date", "match_id"], chunk=day_chunk(),
+        rows, ["player_id"], ["match_date", "match_id"], chunk=time_chunk(),
         values={"recent_avg_goals": F.col("goals"), "recent_avg_assists": F.col("assists"),
                 "recent_avg_rating": X.scaled_units("rating", 1)},
         n=n,

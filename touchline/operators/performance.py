@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import expressions as X
 from touchline.operators.longform import team_matches, with_opponent_names
-from touchline.operators.sequence import day_chunk, last_n
+from touchline.operators.sequence import time_chunk, last_n
 
 
 def _record_aggs(with_losses: bool = True):
@@ -71,7 +71,7 @@ def recent_matches(matches: DataFrame, teams: DataFrame, *, n: int = 10, team_id
     (season, team), with opponent, score text and display date."""
     lf = team_matches(matches, team_id=team_id, season_id=season_id)
     kept = last_n(lf, ["season_id", "team_id"], ["match_date", "match_id"],
-                  chunk=day_chunk(), n=n)
+                  chunk=time_chunk(), n=n)
     named = with_opponent_names(kept, teams)
     return named.select(
         "season_id", "team_id", "match_id", "match_date",
@@ -93,7 +93,7 @@ def form_summary(matches: DataFrame, *, n: int = 10, team_id=None, season_id=Non
     the newest ``n`` finished matches of each (season, team)."""
     lf = team_matches(matches, team_id=team_id, season_id=season_id)
     kept = last_n(lf, ["season_id", "team_id"], ["match_date", "match_id"],
-                  chunk=day_chunk(), n=n)
+                  chunk=time_chunk(), n=n)
     # At most n rows per group reach this aggregate.
     agg = kept.groupBy("season_id", "team_id").agg(
         F.expr("listagg(result, '') WITHIN GROUP (ORDER BY recency)").alias("form_string"),

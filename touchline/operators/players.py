@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expressions as X
-from touchline.operators.sequence import day_chunk, last_n
+from touchline.operators.sequence import time_chunk, last_n
 
 
 MATCH_SIDE_COLUMNS = ("home_team_id", "away_team_id", "home_score", "away_score")
@@ -121,7 +121,7 @@ def player_form(players: DataFrame, stats: DataFrame, matches: DataFrame, *, n:
     if player_id is not None:
         rows = rows.filter(F.col("player_id") == player_id)
     kept = last_n(rows, ["season_id", "player_id"], ["match_date", "match_id"],
-                  chunk=day_chunk(), n=n)
+                  chunk=time_chunk(), n=n)
     agg = kept.groupBy(*_player_keys()).agg(
         F.count(F.lit(1)).alias("matches"),
         X.mean_half_even("rating", value_places=1).alias("avg_rating"),

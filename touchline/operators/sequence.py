@@ -90,47 +90,87 @@ def lookback_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     current row are not "previous": every peer gets the mean over the ``n``
     rows before the first peer (strictly earlier rows only).
 
-    The window sum is a difference of prefix sums: the prefix at the current
-    position (known per row) minus the prefix at ``n`` positions earlier.
-    The latter is delivered without a self-join: every row is emitted twice,
-    once as itself (at its position) and once as a provider of its prefix
-    for position ``seq + n``; a window over ``(key, position)`` pairs them.
-    The prefix pipeline therefore runs once and is shuffled once more.
+    Plan: one shuffle by ``(key, chunk)``.  A row whose ``n``-row frame lies
+    inside its chunk is answered there by a ``rowsBetween(-n, -1)`` frame --
+    with large chunks, almost every row.  Only the first ``n`` rows of a chunk
+    (consumers) and the last ``n`` (providers of their prefix sum to position
+    ``seq + n``) take the cross-chunk path: global prefixes from the per-chunk
+    offsets, then a window over ``(key, position)`` pairs each consumer with
+    its provider -- at most ``2n`` rows per chunk, no self-join.
 
     Output: the input columns plus one column per entry of ``values``.
     """
+    keys = list(keys)
+    pk = [*keys, "_chunk"]
     sums: dict[str, Column] = {}
     for name, v in values.items():
         sums[name] = v
         sums[f"_n_{name}"] = F.when(v.isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    p = ordered_prefix(df, keys, order, chunk=chunk, sums=sums, tie=strict_tie)
-    suffix = "_before_tie" if strict_tie else "_before"
-    here = F.col("seq_first") if strict_tie else F.col("seq")
-    payload = [c for c in df.columns if c not in values and c not in keys]
+    d = df.withColumn("_chunk", chunk).withColumns({f"_v_{s}": e for s, e in sums.items()})
+    w = Window.partitionBy(*pk).orderBy(*order)
+    cols = {"_rn": F.row_number().over(w), "_c": F.count(F.lit(1)).over(Window.partitionBy(*pk))}
+    for s in sums:
+        cols[f"_ex_{s}"] = F.coalesce(F.sum(f"_v_{s}").over(w.rowsBetween(_UNB, -1)), F.lit(0))
+        cols[f"_fr_{s}"] = F.coalesce(F.sum(f"_v_{s}").over(w.rowsBetween(-n, -1)), F.lit(0))
+    if strict_tie is not None:
+        cols["_rk"] = F.rank().over(Window.partitionBy(*pk).orderBy(strict_tie))
+    d = d.withColumns(cols)
+    if strict_tie is not None:
+        # "here" is the first peer of the (key, tie) group: its prefix and frame.
+        wp = Window.partitionBy(*pk, strict_tie).orderBy(*order)
+        d = d.withColumns({**{f"_hx_{s}": F.first(f"_ex_{s}").over(wp) for s in sums},
+                           **{f"_hf_{s}": F.first(f"_fr_{s}").over(wp) for s in sums},
+                           "_hin": F.col("_rk")})
+    else:
+        d = d.withColumns({**{f"_hx_{s}": F.col(f"_ex_{s}") for s in sums},
+                           **{f"_hf_{s}": F.col(f"_fr_{s}") for s in sums},
+                           "_hin": F.col("_rn")})
+    keep = [c for c in df.columns if c not in values]
+
+    def means(num_prefix: str, lo_prefix: str | None = None):
+        out = {}
+        for name in values:
+            if lo_prefix is None:
+                tot, cnt = F.col(f"{num_prefix}{name}"), F.col(f"{num_prefix}_n_{name}")
+            else:
+                tot = F.col(f"{num_prefix}{name}") - F.col(f"{lo_prefix}{name}")
+                cnt = F.col(f"{num_prefix}_n_{name}") - F.col(f"{lo_prefix}_n_{name}")
+            out[name] = F.when(cnt > 0, tot.cast("double") / cnt)
+        return out
+
+    # 1) Frames inside the chunk: answered locally.
+    local = d.filter(F.col("_hin") - F.lit(n) >= 1).withColumns(means("_hf_")).select(*keep, *values)
+
+    # 2) Cross-chunk path for chunk heads (consumers) and tails (providers).
+    tot = d.groupBy(*pk).agg(*[F.sum(f"_v_{s}").alias(f"_s_{s}") for s in sums],
+                             F.count(F.lit(1)).alias("_cc"))
+    wk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(_UNB, -1)
+    off = tot.select(*pk, F.coalesce(F.sum("_cc").over(wk), F.lit(0)).alias("_off"),
+                     *[F.coalesce(F.sum(f"_s_{s}").over(wk), F.lit(0)).alias(f"_o_{s}") for s in sums])
+    consumer = F.col("_hin") - F.lit(n) < 1
+    provider = F.col("_rn") + F.lit(n) > F.col("_c")
+    edge = d.filter(consumer | provider).join(off, pk)
+    payload = [c for c in keep if c not in keys]
     rec = F.explode(F.array(
-        F.struct(F.lit(0).alias("_kind"), here.cast("long").alias("_pos"),
+        F.struct(consumer.alias("_use"), F.lit(0).alias("_kind"),
+                 (F.col("_off") + F.col("_hin")).cast("long").alias("_pos"),
                  *[F.lit(None).cast("double").alias(f"_p_{s}") for s in sums]),
-        F.struct(F.lit(1).alias("_kind"), (F.col("seq") + F.lit(n)).cast("long").alias("_pos"),
-                 *[F.col(f"{s}_before").cast("double").alias(f"_p_{s}") for s in sums]),
+        F.struct(provider.alias("_use"), F.lit(1).alias("_kind"),
+                 (F.col("_off") + F.col("_rn") + F.lit(n)).cast("long").alias("_pos"),
+                 *[(F.col(f"_o_{s}") + F.col(f"_ex_{s}")).cast("double").alias(f"_p_{s}") for s in sums]),
     )).alias("_r")
-    e = p.select(*keys, *payload, *[F.col(f"{s}{suffix}").alias(f"_h_{s}") for s in sums], rec)
-    # Provider records carry only keys, position and prefix sums into the shuffle.
+    e = edge.select(*keys, *payload,
+                    *[(F.col(f"_o_{s}") + F.col(f"_hx_{s}")).cast("double").alias(f"_g_{s}") for s in sums],
+                    rec).filter(F.col("_r._use"))
     own = F.col("_r._kind") == 0
     e = e.select(*keys, *[F.when(own, F.col(c)).alias(c) for c in payload],
-                 *[F.when(own, F.col(f"_h_{s}")).alias(f"_h_{s}") for s in sums],
+                 *[F.when(own, F.col(f"_g_{s}")).alias(f"_g_{s}") for s in sums],
                  F.col("_r._kind").alias("_kind"), F.col("_r._pos").alias("_pos"),
                  *[F.col(f"_r._p_{s}").alias(f"_p_{s}") for s in sums])
-    w = Window.partitionBy(*keys, "_pos")
-    e = e.withColumns({f"_lo_{s}": F.coalesce(F.max(f"_p_{s}").over(w), F.lit(0.0)) for s in sums})
-    e = e.filter(F.col("_kind") == 0)
-    res = {}
-    for name in values:
-        cnt = F.col(f"_h__n_{name}") - F.col(f"_lo__n_{name}")
-        tot = F.col(f"_h_{name}").cast("double") - F.col(f"_lo_{name}")
-        res[name] = F.when(cnt > 0, tot / cnt)
-    out = e.withColumns(res)
-    keep = [c for c in df.columns if c not in values] + list(values)
-    return out.select(*keep)
+    wpos = Window.partitionBy(*keys, "_pos")
+    e = e.withColumns({f"_lo_{s}": F.coalesce(F.max(f"_p_{s}").over(wpos), F.lit(0.0)) for s in sums})
+    edge_out = e.filter(F.col("_kind") == 0).withColumns(means("_g_", "_lo_")).select(*keep, *values)
+    return local.unionByName(edge_out)
 
 
 def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, chunk: Column,
@@ -145,6 +185,21 @@ def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, chunk: C
     }).drop("seq", "n_key")
 
 
-def day_chunk(ts: str = "match_date") -> Column:
-    """Default chunk for match-ordered data: the calendar day."""
-    return F.to_date(F.col(ts))
+CHUNK_CONF = "spark.touchline.chunkUnit"
+
+
+def time_chunk(ts: str = "match_date", unit: str | None = None) -> Column:
+    """Chunk for match-ordered data: ``date_trunc(unit, ts)``.
+
+    The unit should make a chunk hold roughly 1e5-1e6 rows: large enough
+    that most lookback frames stay inside their chunk, small enough to sort
+    in one task.  It is read from the session conf ``spark.touchline.chunkUnit``
+    (default ``month`` -- right for test scale; ``day`` for 100 TB class data,
+    see ``session.CLUSTER_CONF``).  Rows with equal timestamps always share a
+    chunk, as the strict lookbacks require."""
+    if unit is None:
+        from pyspark.sql import SparkSession
+        active = SparkSession.getActiveSession()
+        unit = active.conf.get(CHUNK_CONF, "month") if active is not None else "month"
+    return F.date_trunc(unit, F.col(ts))
+

@@ -30,6 +30,8 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    # chunk unit of the skew-safe sequence operators (see operators/sequence.py)
+    "spark.touchline.chunkUnit": "day",
 }
 
 
