@@ -151,8 +151,9 @@ def freshness(log: DataFrame, *, as_of, max_age_hours: float = 24.0 * 7) -> Data
     at ``as_of``; a source with no success at all is stale."""
     last = log.groupBy("source").agg(
         F.max(F.when(F.col("success"), F.col("collected_at"))).alias("last_success"))
-    micros = (F.unix_micros(_ts(as_of).cast("timestamp")) -
-              F.unix_micros(F.col("last_success").cast("timestamp")))
+    # Wall-clock difference of two timestamp_ntz values: no time-zone
+    # conversion, so the session zone and DST changes cannot shift it.
+    micros = F.timestamp_diff("MICROSECOND", F.col("last_success"), _ts(as_of))
     return last.withColumns({
         "age_hours": X.exact_ratio(micros, F.lit(3_600_000_000)),
         "is_stale": F.coalesce(micros > F.lit(int(max_age_hours * 3_600_000_000)), F.lit(True)),

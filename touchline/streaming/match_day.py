@@ -81,7 +81,11 @@ def current_matches(spark: SparkSession, versions_path: str) -> DataFrame:
 def log_health_windows(stream: DataFrame, *, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """Per (tumbling window, source) runs, successes, records and mean
     seconds, with a watermark bounding late rows and the state kept."""
-    s = stream.withColumn("event_time", F.col("collected_at").cast("timestamp"))
+    # Watermarks need a TIMESTAMP; the log holds wall-clock timestamp_ntz.
+    # The instant is the wall clock read as UTC (independent of the session
+    # zone), so windows align to wall-clock midnight; starts map back alike.
+    tz = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    s = stream.withColumn("event_time", F.from_utc_timestamp(F.col("collected_at").cast("timestamp"), tz))
     agg = s.withWatermark("event_time", watermark).groupBy(
         F.window("event_time", window), "source").agg(
         F.count(F.lit(1)).alias("runs"),
@@ -89,7 +93,8 @@ def log_health_windows(stream: DataFrame, *, window: str = "1 day", watermark: s
         F.sum(F.when(F.col("success"), F.col("records_collected"))).alias("records_collected"),
         F.sum("execution_time_seconds").alias("total_seconds"),
     )
-    return agg.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "source",
+    start = F.to_utc_timestamp(F.col("window.start"), tz).cast("timestamp_ntz")
+    return agg.select(start.alias("window_start"), "source",
                       "runs", "successes", "records_collected", "total_seconds")
 
 
