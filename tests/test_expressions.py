@@ -31,8 +31,8 @@ def test_shot_zone_boundaries(spark):
 
 
 def test_ratio_guard_zero_denominator(spark):
-    out = _one(spark, X.ratio(F.col("a"), F.col("b"), 100), [(1, 0), (1, 4)], "a long, b long")
-    assert out == [0.0, 25.0]
+    out = _one(spark, X.guarded_ratio("a", "b", 100), [(1, 0), (1, 4), (2, 3)], "a long, b long")
+    assert out == [0.0, 25.0, 66.666667]
 
 
 def test_position_codes_and_availability(spark):

@@ -70,17 +70,6 @@ def count_when(cond: Column) -> Column:
     return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
 
 
-def ratio(num: Column, den: Column, scale: float = 1.0, default=0.0) -> Column:
-    """Guarded ratio: ``num / den * scale`` when ``den > 0`` else ``default``."""
-    value = num.cast("double") / den * F.lit(scale) if scale != 1.0 else num.cast("double") / den
-    return F.when(den > 0, value).otherwise(F.lit(default).cast("double"))
-
-
-def rate(num: Column, den: Column, scale: float = 1.0) -> Column:
-    """``num / den * scale`` that is NULL (not an error) when den is 0 or NULL."""
-    return num.cast("double") / F.nullif(den, F.lit(0)).cast("double") * F.lit(scale)
-
-
 def points(wins: Column, draws: Column) -> Column:
     return wins * 3 + draws
 
