@@ -176,13 +176,26 @@ def lookback_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
 def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, chunk: Column,
            n: int) -> DataFrame:
     """The newest ``n`` rows of each key (W4), with ``recency`` 1 = newest and
-    ``form_position`` 1 = oldest of the kept rows (W5)."""
-    p = ordered_prefix(df, keys, order, chunk=chunk)
-    kept = p.filter(F.col("seq") > F.col("n_key") - F.lit(n))
-    return kept.withColumns({
-        "recency": F.col("n_key") - F.col("seq") + F.lit(1),
-        "form_position": F.col("seq") - F.greatest(F.col("n_key") - F.lit(n), F.lit(0)),
-    }).drop("seq", "n_key")
+    ``form_position`` 1 = oldest of the kept rows (W5).
+
+    Only the tail of each key is ever sorted: per-chunk row counts (a
+    map-side combined aggregate) tell which newest chunks can hold the last
+    ``n`` rows; rows of other chunks are dropped by a join with that small
+    table before any window runs."""
+    keys = list(keys)
+    pk = [*keys, "_chunk"]
+    d = df.withColumn("_chunk", chunk)
+    cnt = d.groupBy(*pk).agg(F.count(F.lit(1)).alias("_c"))
+    newer = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(_UNB, -1)
+    tail = cnt.select(*pk, F.coalesce(F.sum("_c").over(newer), F.lit(0)).alias("_after"),
+                      F.sum("_c").over(Window.partitionBy(*keys)).alias("_nk")) \
+        .filter(F.col("_after") < n)
+    rows = d.join(tail, pk)
+    wd = Window.partitionBy(*pk).orderBy(*[F.desc(c) for c in order])
+    rows = rows.withColumn("recency", F.col("_after") + F.row_number().over(wd)) \
+        .filter(F.col("recency") <= n)
+    return rows.withColumn("form_position", F.least(F.col("_nk"), F.lit(n)) - F.col("recency") + 1) \
+        .drop("_chunk", "_after", "_nk")
 
 
 CHUNK_CONF = "spark.touchline.chunkUnit"
