@@ -32,3 +32,14 @@ def test_season_filter_prunes_partitions(spark, layout_dir):
     df = t.player_match_stats.filter(F.col("season_id") == 1997)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(season_id" in plan and "1997" in plan
+
+
+def test_team_filters_reach_the_scan(spark, layout_dir):
+    """Season and team filters of an analysis are applied before the long-form
+    explode: season prunes partitions, teams are pushed to the parquet scan."""
+    from touchline.operators.performance import home_away_record
+    t = StoredTables(spark, layout_dir)
+    plan = home_away_record(t.matches, team_id=9, season_id=1997)._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(season_id" in plan
+    assert "PushedFilters:" in plan and "home_team_id" in plan and "EqualTo(status,finished)" in plan
