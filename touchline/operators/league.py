@@ -19,17 +19,20 @@ from touchline.operators.sequence import ordered_prefix
 FORM_LENGTH = 5
 
 
-def _form_by_position(lf: DataFrame, k: int = FORM_LENGTH) -> DataFrame:
+def _form_by_position(lf: DataFrame, positions: DataFrame, k: int = FORM_LENGTH) -> DataFrame:
     """Form string (newest first) of the last ``k`` results up to each
-    position of a team's season timeline.  Each result is copied to the
-    ``k`` positions it belongs to and grouped there, so every group has at
-    most ``k`` rows whatever the size of a team's season."""
+    wanted position (``positions``: season_id, team_id, at_seq) of a team's
+    season timeline.  Each result is copied to the ``k`` positions it
+    belongs to, copies for positions nobody reads are dropped by a semi-join
+    with the small ``positions`` table before the shuffle, and the rest are
+    grouped, so every group has at most ``k`` rows."""
     p = ordered_prefix(lf.select("season_id", "team_id", "gameweek", "match_date", "match_id", "result"),
                        ["season_id", "team_id"], ["gameweek", "match_date", "match_id"],
                        chunk=F.col("gameweek"))
     spread = p.select("season_id", "team_id", "seq", "result", "n_key",
                       F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_d"))
     spread = spread.withColumn("at_seq", F.col("seq") + F.col("_d")).filter(F.col("at_seq") <= F.col("n_key"))
+    spread = spread.join(positions, ["season_id", "team_id", "at_seq"], "left_semi")
     return spread.groupBy("season_id", "team_id", "at_seq").agg(
         F.expr("listagg(result, '') WITHIN GROUP (ORDER BY seq DESC)").alias("form"))
 
@@ -68,7 +71,8 @@ def league_table(matches: DataFrame, *, season_id=None) -> DataFrame:
     rank_w = Window.partitionBy("season_id", "gameweek").orderBy(
         F.desc("points"), F.desc("goal_difference"), F.desc("goals_for"))
     t = t.withColumn("position", F.rank().over(rank_w).cast("bigint"))
-    form = _form_by_position(lf).withColumnRenamed("at_seq", "matches_played")
+    wanted = t.select("season_id", "team_id", F.col("matches_played").alias("at_seq")).distinct()
+    form = _form_by_position(lf, wanted).withColumnRenamed("at_seq", "matches_played")
     return t.join(form, ["season_id", "team_id", "matches_played"], "left")
 
 
