@@ -16,8 +16,13 @@ from touchline.plans.catalog import FOCAL_SHORT_NAME, register, tables
 _TRAINED: dict = {}
 
 
+def _app(spark) -> str:
+    """Identity of the running application (models are reused within it)."""
+    return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def _match_model(spark, sf_dir):
-    key = ("match", spark.sparkContext.applicationId, sf_dir)
+    key = ("match", _app(spark), sf_dir)
     if key not in _TRAINED:
         t = tables(spark, sf_dir)
         season = current_season_id(t.seasons).scalar()
@@ -28,7 +33,7 @@ def _match_model(spark, sf_dir):
 
 
 def _player_models(spark, sf_dir):
-    key = ("players", spark.sparkContext.applicationId, sf_dir)
+    key = ("players", _app(spark), sf_dir)
     if key not in _TRAINED:
         t = tables(spark, sf_dir)
         feats = ft.player_features(t.player_match_stats, t.matches, t.opposition_categories, n=10)

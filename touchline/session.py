@@ -62,7 +62,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="touchline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        spark.sparkContext.setCheckpointDir(d)   # for DataFrame.checkpoint()
+    except Exception:                            # sessions without a SparkContext
+        pass
     return d
 
 
