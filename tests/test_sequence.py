@@ -82,3 +82,30 @@ def test_no_window_partition_on_key_alone(df):
     out = lookback_mean(df, ["k"], ["ts", "id"], chunk=F.to_date("ts"), values={"m": F.col("v")}, n=3)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "_chunk" in plan
+
+
+@pytest.mark.parametrize("unit,n,strict", [("day", 1, True), ("month", 3, False), ("month", 10, True),
+                                           ("year", 4, False)])
+def test_lookback_any_chunk_unit(df, rows, unit, n, strict):
+    """Exact whatever the chunk size: chunks smaller or larger than n rows."""
+    out = lookback_mean(df, ["k"], ["ts", "id"], chunk=F.date_trunc(unit, "ts"), values={"m": F.col("v")},
+                        n=n, strict_tie="ts" if strict else None)
+    got = {r["id"]: r["m"] for r in out.select("id", "m").collect()}
+    want = _brute(rows, n, strict)
+    assert len(got) == len(rows)
+    for i, w in want.items():
+        g = got[i]
+        assert (g is None and w is None) or abs(g - w) < 1e-9, (i, g, w)
+
+
+@pytest.mark.parametrize("unit,n", [("day", 1), ("month", 25), ("year", 3)])
+def test_last_n_any_chunk_unit(df, rows, unit, n):
+    kept = last_n(df, ["k"], ["ts", "id"], chunk=F.date_trunc(unit, "ts"), n=n)
+    got = {(r["k"], r["recency"]): (r["id"], r["form_position"]) for r in kept.collect()}
+    pdf = pd.DataFrame(rows, columns=["k", "day", "id", "v"]).sort_values(["k", "day", "id"], ascending=False)
+    want = {}
+    for k, g in pdf.groupby("k"):
+        m = min(n, len(g))
+        for i, r in enumerate(g.head(n).itertuples(index=False)):
+            want[(k, i + 1)] = (r.id, m - i)
+    assert got == want
