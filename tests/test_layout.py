@@ -43,3 +43,17 @@ def test_team_filters_reach_the_scan(spark, layout_dir):
         .executedPlan().toString()
     assert "PartitionFilters: [isnotnull(season_id" in plan
     assert "PushedFilters:" in plan and "home_team_id" in plan and "EqualTo(status,finished)" in plan
+
+
+def test_no_cross_or_nested_loop_joins(spark, layout_dir):
+    """Over stored tables (the test-data mapping's own cross joins aside), no
+    analysis plans a Cartesian product or a nested-loop join."""
+    skip = ("m4", "m5", "m7", "m9", "m12", "m13", "m14", "m15", "t1", "t2")   # train / run streams
+    bad = []
+    for name, q in E.queries().items():
+        if name.startswith(skip):
+            continue
+        plan = q(spark, layout_dir)._jdf.queryExecution().executedPlan().toString()
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            bad.append(name)
+    assert bad == []
