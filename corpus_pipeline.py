@@ -11,6 +11,23 @@ from touchline.llm.common import read_table
 from touchline.session import scratch_dir
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language.  Rejected are ``und`` (null, or no
+    letter) and texts that a uniform choice of trigrams explains better than
+    any mixture of the learned languages."""
+    from touchline.llm.common import fresh_name
+    from touchline.llm.language_id import UNKNOWN, identifier, learn
+    found = fresh_name(docs, "_language")
+    named = docs.withColumn(found, identifier(docs, learn(docs))(docs["text"]))
+    return named.filter((named[found]["lang"] != UNKNOWN) & (named[found]["fit"] > 0)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    from touchline.llm.near_dup import keep_one
+    return keep_one(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed 5, 2, 1 (repeating) to their targets; rows repeated as often as taken."""
     from touchline.llm.mixing import mix_documents
@@ -24,7 +41,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return digests(round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
-STAGES = [("mixing", mixing), ("byte_bpe", byte_bpe)]
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("mixing", mixing), ("byte_bpe", byte_bpe)]
 
 #: Language likelihoods, signatures and merges are not SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None

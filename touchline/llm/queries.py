@@ -70,3 +70,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.byte_bpe import digests, round_trip
     return digests(round_trip(read_table(spark, sf_dir, "documents"),
                               public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+@register("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.language_id import identify_documents
+    return identify_documents(read_table(spark, sf_dir, "documents"))
+
+
+@register("op3_near_duplicates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.near_dup import near_duplicates
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("row_key")
