@@ -82,3 +82,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.near_dup import near_duplicates
     return near_duplicates(read_table(spark, sf_dir, "documents")).drop("row_key")
+
+
+@register("op9_html_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.html_extract import extract_pages
+    out = extract_pages(read_table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@register("op4_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.paragraph_sketch import compare_with_next
+    return compare_with_next(read_table(spark, sf_dir, "documents"))
