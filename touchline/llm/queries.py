@@ -112,3 +112,29 @@ FROM s QUALIFY rank <= 20
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.va_search import top_k
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP8_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(turn, 9223372036854775807) AS place, coalesce(role, 'unknown') AS role,
+                  coalesce(replace(text, '<|im_', '< |im_'), '') AS said FROM conversations),
+b AS (SELECT *, place // 64 AS part, md5(role || '|' || said) AS tie FROM t),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM b WHERE role <> 'system'),
+v AS (SELECT b.*, s.speaker, coalesce(b.role = s.speaker, false) AS own,
+             '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = s.speaker THEN 'assistant'
+                                    ELSE 'user name=' || role END || chr(10) AS head, said || '<|im_end|>' || chr(10) AS body
+      FROM b LEFT JOIN s ON b.conv_id = s.conv_id),
+p AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY place, tie
+                                                       ROWS UNBOUNDED PRECEDING) AS fin FROM v)
+SELECT conv_id, speaker, part::VARCHAR AS part, count(*) AS n_turns,
+       string_agg(head || body, '' ORDER BY place, tie) AS text,
+       coalesce(string_agg((fin - length(body))::BIGINT::VARCHAR || '-' || fin::BIGINT::VARCHAR, ',' ORDER BY place, tie)
+                FILTER (WHERE own), '') AS mask,
+       coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS n_masked
+FROM p GROUP BY conv_id, speaker, part
+"""
+
+
+@register("op8_chat_format", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.chat_format import rotate
+    return rotate(read_table(spark, sf_dir, "conversations")).withColumn("mask", F.array_join("mask", ","))
