@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -81,7 +82,7 @@ def shingles(texts: Sequence[str | None], size: int = SHINGLE_WORDS) -> tuple[np
     starts = np.cumsum(padded) - padded
     owner = np.repeat(np.arange(len(found)), padded)
     real = np.arange(len(flat)) - starts[owner] < n[owner]
-    flat[real] = np.fromiter((_hashes[w] for f in found for w in f), np.uint64, n.sum())
+    flat[real] = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(found)), np.uint64, n.sum())
     if len(flat) < size:
         return np.empty(0, int), np.empty(0, np.uint64), np.empty(0, int), keys
     m = len(flat) - size + 1

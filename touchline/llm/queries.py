@@ -138,3 +138,9 @@ FROM p GROUP BY conv_id, speaker, part
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.chat_format import rotate
     return rotate(read_table(spark, sf_dir, "conversations")).withColumn("mask", F.array_join("mask", ","))
+
+
+@register("op6_lm_scores")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.pseudo_lm import score_documents
+    return score_documents(read_table(spark, sf_dir, "documents"))
