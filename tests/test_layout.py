@@ -1,9 +1,14 @@
 """The stored layout gives the same results as the on-the-fly mapping, and
 season filters prune partitions of the denormalized fact tables."""
 
+import re
+
 import pytest
 
-import __spark_entry__ as E
+from tools.oracle_check import check, duck
+from touchline.operators import players, tactics
+from touchline.plans.catalog import ORACLES, QUERIES
+from touchline.session import ensure_checkpoint_dir
 from touchline.sources.fixture_map import sport_tables
 from touchline.sources.layout import StoredTables, materialize
 
@@ -15,15 +20,22 @@ def layout_dir(spark, tmp_path_factory):
     return materialize(sport_tables(spark, SF_SMALL), str(tmp_path_factory.mktemp("layout")))
 
 
-@pytest.mark.parametrize("name", ["a6_top_performers", "a11_player_form", "a17_shots", "m11_player_features",
-                                  "q2_orphans", "w2_team_form"])
-def test_layout_equals_mapping(spark, layout_dir, name):
-    q = E.queries()[name]
-    a = q(spark, SF_SMALL)
-    b = q(spark, layout_dir)
-    assert sorted(a.columns) == sorted(b.columns)
-    b = b.select(*a.columns)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF_SMALL)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_layout_matches_oracle(spark, con, layout_dir, name):
+    line, ok = check(spark, con, name, QUERIES[name], ORACLES[name], layout_dir)
+    assert ok, line
+
+
+def test_layout_by_url(spark, layout_dir):
+    """A path with a scheme is the same layout."""
+    for name in ("a6_top_performers", "a23_league_table"):
+        a, b = QUERIES[name](spark, layout_dir), QUERIES[name](spark, f"file://{layout_dir}")
+        assert a.count() > 0 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
 def test_season_filter_prunes_partitions(spark, layout_dir):
@@ -45,15 +57,76 @@ def test_team_filters_reach_the_scan(spark, layout_dir):
     assert "PushedFilters:" in plan and "home_team_id" in plan and "EqualTo(status,finished)" in plan
 
 
-def test_no_cross_or_nested_loop_joins(spark, layout_dir):
-    """Over stored tables (the test-data mapping's own cross joins aside), no
-    analysis plans a Cartesian product or a nested-loop join."""
-    skip = ("m4", "m5", "m7", "m9", "m12", "m13", "m14", "m15", "t1", "t2")   # train / run streams
+def _partition_filters(df):
+    """{table: partition filters} of a plan's scans over the layout."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    out = {}
+    for scan in re.findall(r"FileScan parquet .*", plan):
+        table = re.search(r"/(\w+)\], PartitionFilters", scan)
+        if table:
+            out.setdefault(table[1], []).append(re.search(r"PartitionFilters: \[(.*?)\]", scan)[1])
+    return out
+
+
+def test_operators_prune_every_fact_by_season(spark, layout_dir):
+    t = StoredTables(spark, layout_dir)
+    frames = {
+        "a17": tactics.shot_frame(t.shots, t.players, t.matches, t.teams, season_id=1997),
+        "a18": tactics.shot_totals(tactics.season_shots(t.shots, t.matches, season_id=1997)),
+        "a19": tactics.shot_zones(tactics.season_shots(t.shots, t.matches, season_id=1997)),
+        "a12": tactics.formation_effectiveness(t.match_stats, t.matches, season_id=1997),
+        "a14": tactics.possession_frame(t.match_stats, t.matches, season_id=1997),
+        "a6": players.top_performers(t.players, t.player_match_stats, t.matches, season_id=1997),
+        "a9": players.unsung_heroes(t.players, t.player_match_stats, t.matches, season_id=1997),
+        "a11": players.player_form(t.players, t.player_match_stats, t.matches, season_id=1997),
+    }
+    for name, df in frames.items():
+        found = {k: v for k, v in _partition_filters(df).items() if k in ("matches", "match_stats", "player_match_stats", "shots")}
+        assert found and all("1997" in f for fs in found.values() for f in fs), (name, found)
+
+
+def test_shot_totals_need_no_join(spark, layout_dir):
+    t = StoredTables(spark, layout_dir)
+    for df in (tactics.shot_totals(tactics.season_shots(t.shots, t.matches)), tactics.shot_zones(tactics.season_shots(t.shots, t.matches))):
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+TRAINS_OR_STREAMS = ("m4", "m5", "m7", "m9", "m12", "m13", "m14", "m15", "t1", "t2")
+
+
+@pytest.mark.parametrize("where", ["layout", "mapping"])
+def test_no_cross_or_nested_loop_joins(spark, layout_dir, where):
     bad = []
-    for name, q in E.queries().items():
-        if name.startswith(skip):
+    for name, q in QUERIES.items():
+        if name.startswith(TRAINS_OR_STREAMS):
             continue
-        plan = q(spark, layout_dir)._jdf.queryExecution().executedPlan().toString()
+        df = q(spark, layout_dir if where == "layout" else SF_SMALL)
+        plan = df._jdf.queryExecution().executedPlan().toString()
         if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
             bad.append(name)
     assert bad == []
+
+
+def test_players_grow_with_the_data(spark):
+    n = {sf: sport_tables(spark, f"/root/testdata/{sf}").players.count() for sf in ("sf0.001", "sf0.01")}
+    assert n["sf0.01"] > 5 * n["sf0.001"] > 500
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf:
+        def __init__(self, master):
+            self.at = {"spark.master": master}
+
+        def get(self, key, default=None):
+            return self.at.get(key, default)
+
+        def set(self, key, value):
+            self.at[key] = value
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf(master)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", ""):
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(Session(master))
+    assert ensure_checkpoint_dir(Session("local[4]"))

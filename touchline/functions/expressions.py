@@ -157,18 +157,32 @@ def r6(c) -> Column:
     return F.round(col(c).cast("double"), 6)
 
 
-def half_even_div(num, den) -> Column:
-    """Exact ``num / den`` rounded half-even to an integer, for integer
-    columns (``den`` > 0; NULL when ``den`` is 0).  No floating point is
-    involved, so the result cannot depend on summation order."""
-    num, den = col(num).cast("bigint"), F.nullif(col(den).cast("bigint"), F.lit(0))
+WIDE, SMALL_WIDE = "decimal(38,0)", "decimal(19,0)"
+
+
+def _half_even(num: Column, den: Column, kind: str) -> Column:
+    """``num / den`` to the nearest integer, halves to even, in integer
+    arithmetic of type ``kind`` throughout (integral division, no doubles)."""
+    num, den = num.cast(kind), F.nullif(den.cast(kind), F.lit(0).cast(kind))
     a = F.abs(num)
-    r = F.pmod(a, den)
-    q = ((a - r) / den).cast("bigint")
-    q = (F.when(r * 2 > den, q + 1)
-         .when(r * 2 == den, q + F.pmod(q, F.lit(2)))
-         .otherwise(q))
-    return F.when(num < 0, -q).otherwise(q)
+    q = F.call_function("div", a, den).cast(kind)
+    r = a - q * den
+    up = (r > den - r) | ((r == den - r) & (F.pmod(q, F.lit(2).cast(kind)) == 1))
+    q = F.when(up, q + F.lit(1).cast(kind)).otherwise(q)
+    return F.when(num < 0, -q).otherwise(q).cast("bigint")
+
+
+def half_even_div(num, den) -> Column:
+    """Exact ``num / den`` rounded half-even to an integer, for bigint columns
+    (``den`` > 0; NULL when ``den`` is 0).  No floating point is involved, so
+    the result cannot depend on summation order."""
+    return _half_even(col(num), col(den), "bigint")
+
+
+def half_even_div_wide(num, den) -> Column:
+    """The same over ``decimal(38,0)``, for products that outgrow a bigint;
+    the quotient itself must fit one."""
+    return _half_even(col(num), col(den), WIDE)
 
 
 def scaled_units(c, places: int) -> Column:
@@ -193,14 +207,22 @@ def mean_half_even(c, places: int = 6, value_places: int = 0) -> Column:
     NULLs skipped, rounded half-even to ``places`` decimals, computed from
     integer sums."""
     units = scaled_units(c, value_places)
-    q = half_even_div(F.sum(units) * F.lit(10 ** places), F.count(units) * F.lit(10 ** value_places))
+    num = F.sum(units).cast(WIDE) * F.lit(10 ** places).cast(SMALL_WIDE)
+    q = half_even_div_wide(num, F.count(units).cast(WIDE) * F.lit(10 ** value_places).cast(SMALL_WIDE))
     return q.cast("double") / F.lit(10 ** places)
 
 
 def mean_diff_half_even(a, b, places: int = 6, value_places: int = 0) -> Column:
-    """Aggregate: ``avg(a) - avg(b)`` exactly, rounded half-even."""
+    """Aggregate: ``avg(a) - avg(b)`` exactly, rounded half-even.
+
+    With equal counts (the usual case: no NULLs on one side only) the sums
+    are subtracted first, so nothing is multiplied by a count; otherwise both
+    means are brought to the common denominator in 38 digits."""
     ua, ub = scaled_units(a, value_places), scaled_units(b, value_places)
     na, nb = F.count(ua), F.count(ub)
-    num = (F.sum(ua) * nb - F.sum(ub) * na) * F.lit(10 ** places)
-    q = half_even_div(num, na * nb * F.lit(10 ** value_places))
-    return q.cast("double") / F.lit(10 ** places)
+    scale = F.lit(10 ** places).cast(SMALL_WIDE)
+    unit = F.lit(10 ** value_places).cast(SMALL_WIDE)
+    even = half_even_div_wide((F.sum(ua) - F.sum(ub)).cast(WIDE) * scale, na.cast(WIDE) * unit)
+    cross = F.sum(ua).cast(WIDE) * nb.cast(SMALL_WIDE) - F.sum(ub).cast(WIDE) * na.cast(SMALL_WIDE)
+    odd = half_even_div_wide(cross * scale, na.cast(WIDE) * nb.cast(SMALL_WIDE) * unit)
+    return F.when(na == nb, even).otherwise(odd).cast("double") / F.lit(10 ** places)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import expressions as X
-from touchline.operators.longform import team_matches
+from touchline.operators.longform import of_season, team_matches
 from touchline.operators.sequence import time_chunk, last_n, lookback_mean
 
 MATCH_FEATURES = (
@@ -160,10 +160,9 @@ def player_features(stats: DataFrame, matches: DataFrame, categories: DataFrame,
     """Per appearance (minutes > 0, finished match) the player's
     rolling means over the previous ``n`` appearances (W1), the opponent's
     strength ordinal in the same season (J4 + P12), venue and minutes."""
-    m = matches.filter(F.col("status") == "finished").select(
-        F.col("id").alias("match_id"), "season_id", "match_date", "home_team_id", "away_team_id")
-    s = stats.drop(*[c for c in ("season_id", "match_date") if c in stats.columns])
-    rows = s.filter(F.col("minutes_played") > 0).join(m, "match_id")
+    finished = matches.filter(F.col("status") == "finished")
+    rows = of_season(stats.filter(F.col("minutes_played") > 0), finished, None,
+                     ("match_date", "home_team_id", "away_team_id"))
     rows = rows.withColumns({
         "is_home": (F.col("home_team_id") == F.col("team_id")).cast("int"),
         "opponent_id": F.when(F.col("home_team_id") == F.col("team_id"), F.col("away_team_id"))

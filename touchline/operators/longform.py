@@ -32,6 +32,23 @@ def _side(team, opp, is_home: bool, gf, ga):
     )
 
 
+def of_season(facts: DataFrame, matches: DataFrame, season_id=None, columns=("match_date",)) -> DataFrame:
+    """Fact rows with their match's ``season_id`` and ``columns``.
+
+    Facts that carry ``season_id`` (the stored layout does, and is partitioned
+    by it) are filtered on it before anything is joined, so the season prunes
+    their files as well as those of ``matches``; the join is then on (season,
+    match), or left out if they carry every wanted column."""
+    has_season = "season_id" in facts.columns
+    if has_season and season_id is not None:
+        facts = facts.filter(F.col("season_id") == season_id)
+    if has_season and set(columns) <= set(facts.columns):
+        return facts
+    m = matches if season_id is None else matches.filter(F.col("season_id") == season_id)
+    m = m.select(F.col("id").alias("match_id"), "season_id", *columns)
+    return facts.drop(*columns).join(m, ["season_id", "match_id"] if has_season else ["match_id"])
+
+
 def filter_matches(matches: DataFrame, *, team_id=None, season_id=None,
                    status: str | None = "finished") -> DataFrame:
     """Status, season and participant filters, applied before any

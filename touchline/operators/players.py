@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expressions as X
+from touchline.operators.longform import of_season
 from touchline.operators.sequence import time_chunk, last_n
 
 
@@ -38,15 +39,8 @@ def player_rows(players: DataFrame, stats: DataFrame, matches: DataFrame, *, tea
     if positions:
         p = p.filter(F.col("position").isin(*positions))
     s = stats.filter(F.col("minutes_played") > 0) if played_only else stats
-    if not need_sides and {"season_id", "match_date"} <= set(stats.columns):
-        if season_id is not None:
-            s = s.filter(F.col("season_id") == season_id)
-        return s.join(p, "player_id")
-    s = s.drop(*[c for c in ("season_id", "match_date") if c in stats.columns])
-    m = matches.select(F.col("id").alias("match_id"), "season_id", "match_date", *MATCH_SIDE_COLUMNS)
-    if season_id is not None:
-        m = m.filter(F.col("season_id") == season_id)
-    return s.join(p, "player_id").join(m, "match_id")
+    wanted = ("match_date", *MATCH_SIDE_COLUMNS) if need_sides else ("match_date",)
+    return of_season(s, matches, season_id, wanted).join(p, "player_id")
 
 
 def _player_keys():

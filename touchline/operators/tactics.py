@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import expressions as X
+from touchline.operators.longform import of_season
 from touchline.operators.stats import exact_median, pearson
 
 
@@ -13,14 +14,9 @@ def team_stat_rows(match_stats: DataFrame, matches: DataFrame, *, team_id=None,
                    status: str | None = "finished") -> DataFrame:
     """match_stats joined to its match, with goals for/against and the
     Win/Draw/Loss result seen from the stats row's team."""
-    m = matches.select(F.col("id").alias("match_id"), "season_id", "match_date", "status",
-                       "home_team_id", "away_team_id", "home_score", "away_score")
-    if status is not None:
-        m = m.filter(F.col("status") == status)
-    if season_id is not None:
-        m = m.filter(F.col("season_id") == season_id)
+    m = matches if status is None else matches.filter(F.col("status") == status)
     ms = match_stats if team_id is None else match_stats.filter(F.col("team_id") == team_id)
-    j = ms.join(m, "match_id")
+    j = of_season(ms, m, season_id, ("match_date", "status", "home_team_id", "away_team_id", "home_score", "away_score"))
     home = F.col("home_team_id") == F.col("team_id")
     return j.withColumns({
         "goals_for": F.when(home, F.col("home_score")).otherwise(F.col("away_score")),
@@ -93,21 +89,25 @@ def shot_frame(shots: DataFrame, players: DataFrame, matches: DataFrame, teams:
                team_id=None, season_id=None) -> DataFrame:
     """A17 (J6): shots with player, match and both team names, plus zone."""
     s = shots if team_id is None else shots.filter(F.col("team_id") == team_id)
-    s = s.drop(*[c for c in ("season_id", "match_date") if c in shots.columns])
-    m = matches.select(F.col("id").alias("match_id"), "season_id", "match_date",
-                       "home_team_id", "away_team_id")
-    if season_id is not None:
-        m = m.filter(F.col("season_id") == season_id)
+    s = of_season(s, matches, season_id, ("match_date", "home_team_id", "away_team_id"))
     p = players.select(F.col("id").alias("player_id"), F.col("name").alias("player_name"), "position")
     ht = teams.select(F.col("id").alias("home_team_id"), F.col("short_name").alias("home_team"))
     at = teams.select(F.col("id").alias("away_team_id"), F.col("short_name").alias("away_team"))
-    j = s.join(p, "player_id").join(m, "match_id").join(ht, "home_team_id").join(at, "away_team_id")
+    j = s.join(p, "player_id").join(ht, "home_team_id").join(at, "away_team_id")
     return j.select(
         "season_id", "team_id", "match_id", "x_coordinate", "y_coordinate", "shot_type", "situation",
         "is_goal", "is_on_target", "xg_value", "player_name", "position", "match_date",
         "home_team", "away_team", X.shot_zone().alias("shot_zone"))
 
 
+def season_shots(shots: DataFrame, matches: DataFrame, *, team_id=None, season_id=None) -> DataFrame:
+    """Input of A18 / A19: shots with season and zone.  Names play no part in
+    totals, so nothing but the season is looked up, and not even that if the
+    shots carry it."""
+    s = shots if team_id is None else shots.filter(F.col("team_id") == team_id)
+    return of_season(s, matches, season_id, ()).withColumn("shot_zone", X.shot_zone())
+
+
 def shot_totals(shot_rows: DataFrame) -> DataFrame:
     """Shots, goals, accuracy %, conversion %, mean xG per (season, team)."""
     g = F.col("is_goal").cast("int")

@@ -35,8 +35,8 @@ def register(name: str, oracle: str | None = None):
 def tables(spark: SparkSession, sf_dir: str):
     """Sport tables for ``sf_dir``: a stored layout (``sources.layout``) is
     read as is; a directory of driver tables is mapped on the fly."""
-    from touchline.sources.layout import StoredTables, is_layout
-    if is_layout(sf_dir):
+    from touchline.sources.layout import StoredTables, read_marker
+    if read_marker(spark, sf_dir) is not None:
         return StoredTables(spark, sf_dir)
     return sport_tables(spark, sf_dir)
 

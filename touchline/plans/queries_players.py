@@ -19,7 +19,7 @@ def _ratio(num: str, den: str, scale: int) -> str:
 
 
 PR_SQL = """pr AS (
-  SELECT pms.*, p.name, p.position, p.squad_number, p.team_id AS player_team_id,
+  SELECT pms.* EXCLUDE (season_id, match_date), p.name, p.position, p.squad_number, p.team_id AS player_team_id,
          m.season_id, m.match_date, m.home_team_id, m.away_team_id, m.home_score, m.away_score
   FROM player_match_stats pms JOIN players p ON p.id = pms.player_id JOIN matches m ON m.id = pms.match_id
   WHERE pms.minutes_played > 0)"""
@@ -119,7 +119,7 @@ def a22_key_players(spark, sf_dir):
 
 # ------------------------------------------------------------------ tactics
 TR_SQL = """tr AS (
-  SELECT ms.*, m.season_id, m.match_date,
+  SELECT ms.* EXCLUDE (season_id, match_date), m.season_id, m.match_date,
     CASE WHEN m.home_team_id = ms.team_id THEN m.home_score ELSE m.away_score END AS goals_for,
     CASE WHEN m.home_team_id = ms.team_id THEN m.away_score ELSE m.home_score END AS goals_against
   FROM match_stats ms JOIN matches m ON m.id = ms.match_id WHERE m.status = 'finished'),
@@ -221,7 +221,8 @@ SELECT season_id, team_id, COUNT(*) AS total_shots,
   {sqlx.mean('xg_value', 6, 3)} AS avg_xg_per_shot
 FROM sr GROUP BY 1, 2""")
 def a18_shot_totals(spark, sf_dir):
-    return tc.shot_totals(_shot_rows(spark, sf_dir))
+    t = tables(spark, sf_dir)
+    return tc.shot_totals(tc.season_shots(t.shots, t.matches))
 
 
 @register("a19_shot_zones", with_views(*SHOT_VIEWS, extra=SHOT_SQL) + f"""
@@ -232,7 +233,8 @@ SELECT season_id, team_id, shot_zone, COUNT(is_goal) AS shots,
   {sqlx.mean('xg_value', 3, 3)} AS avg_xg
 FROM sr GROUP BY 1, 2, 3""")
 def a19_shot_zones(spark, sf_dir):
-    return tc.shot_zones(_shot_rows(spark, sf_dir))
+    t = tables(spark, sf_dir)
+    return tc.shot_zones(tc.season_shots(t.shots, t.matches))
 
 
 

@@ -53,51 +53,57 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
         ("orders", "customer"),
     ),
     "match_stats": (
-        """SELECT id AS match_id, home_team_id AS team_id, TRUE AS is_home,
+        """SELECT id AS match_id, season_id, match_date, home_team_id AS team_id, TRUE AS is_home,
   CASE WHEN id % 11 = 0 THEN NULL ELSE CAST(30 + id % 41 AS DOUBLE) END AS possession_percent,
   5 + (id * 7) % 16 AS shots_total, (id * 7) % 5 AS shots_on_target,
   CAST(70 + (id * 13) % 21 AS DOUBLE) AS pass_accuracy_percent,
   CASE id % 5 WHEN 0 THEN '4-2-3-1' WHEN 1 THEN '4-3-3' WHEN 2 THEN '3-5-2' WHEN 3 THEN '4-4-2' END AS formation
 FROM {matches}
 UNION ALL
-SELECT id, away_team_id, FALSE,
+SELECT id, season_id, match_date, away_team_id, FALSE,
   CASE WHEN id % 11 = 0 THEN NULL ELSE CAST(70 - id % 41 AS DOUBLE) END,
   4 + (id * 5) % 13, (id * 5) % 4, CAST(68 + (id * 17) % 23 AS DOUBLE),
   CASE (id + away_team_id) % 5 WHEN 0 THEN '4-2-3-1' WHEN 1 THEN '4-3-3' WHEN 2 THEN '3-5-2' WHEN 3 THEN '4-4-2' END
 FROM {matches}""",
         ("matches",),
     ),
+    # every (team, supplier) that occurs in a line is a player, so players
+    # grow with the data; id = supplier * 25 + team
     "players": (
-        """SELECT CAST(n_nationkey * 16 + p_partkey AS BIGINT) AS id,
-  'Player ' || CAST(n_nationkey * 16 + p_partkey AS STRING) AS name,
-  CASE p_partkey % 4 WHEN 0 THEN 'GK' WHEN 1 THEN 'DEF' WHEN 2 THEN 'MID' ELSE 'FWD' END AS position,
-  p_partkey + 1 AS squad_number, CAST(n_nationkey AS BIGINT) AS team_id, p_partkey % 7 <> 6 AS is_active
-FROM {nation} CROSS JOIN {part} WHERE p_partkey < 16""",
-        ("nation", "part"),
+        """SELECT l_suppkey * 25 + team_id AS id, 'Player ' || CAST(l_suppkey * 25 + team_id AS STRING) AS name,
+  CASE l_suppkey % 4 WHEN 0 THEN 'GK' WHEN 1 THEN 'DEF' WHEN 2 THEN 'MID' ELSE 'FWD' END AS position,
+  l_suppkey % 99 + 1 AS squad_number, team_id, l_suppkey % 7 <> 6 AS is_active
+FROM (SELECT DISTINCT l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN m.home_team_id ELSE m.away_team_id END AS team_id
+  FROM {lineitem} JOIN {matches} m ON l_orderkey = m.id) x""",
+        ("lineitem", "matches"),
     ),
+    # lines of one player in one match add up
     "player_match_stats": (
-        """SELECT match_id, player_id, team_id, MAX(minutes_played) AS minutes_played, MAX(goals) AS goals,
-  MAX(assists) AS assists, MAX(shots_total) AS shots_total, MAX(shots_on_target) AS shots_on_target,
-  MAX(key_passes) AS key_passes, MAX(passes_total) AS passes_total, MAX(passes_accurate) AS passes_accurate,
-  MAX(tackles) AS tackles, MAX(interceptions) AS interceptions, MAX(clearances) AS clearances,
-  CAST(MAX(rating10) AS DOUBLE) / 10 AS rating
-FROM (SELECT m.id AS match_id,
+        """SELECT match_id, player_id, team_id, season_id, match_date,
+  CAST(SUM(minutes_played) AS BIGINT) AS minutes_played, CAST(SUM(goals) AS BIGINT) AS goals,
+  CAST(SUM(assists) AS BIGINT) AS assists, CAST(SUM(shots_total) AS BIGINT) AS shots_total,
+  CAST(SUM(shots_on_target) AS BIGINT) AS shots_on_target, CAST(SUM(key_passes) AS BIGINT) AS key_passes,
+  CAST(SUM(passes_total) AS BIGINT) AS passes_total, CAST(SUM(passes_accurate) AS BIGINT) AS passes_accurate,
+  CAST(SUM(tackles) AS BIGINT) AS tackles, CAST(SUM(interceptions) AS BIGINT) AS interceptions,
+  CAST(SUM(clearances) AS BIGINT) AS clearances,
+  CAST(FLOOR(SUM(rating10) / COUNT(rating10)) AS DOUBLE) / 10 AS rating
+FROM (SELECT m.id AS match_id, m.season_id, m.match_date,
     CASE WHEN l_linenumber % 2 = 0 THEN m.home_team_id ELSE m.away_team_id END AS team_id,
-    CASE WHEN l_linenumber % 2 = 0 THEN m.home_team_id ELSE m.away_team_id END * 16 + l_partkey % 16 AS player_id,
-    CAST(FLOOR(l_quantity) AS BIGINT) * 2 % 91 AS minutes_played,
+    l_suppkey * 25 + CASE WHEN l_linenumber % 2 = 0 THEN m.home_team_id ELSE m.away_team_id END AS player_id,
+    CASE WHEN l_partkey % 13 = 0 THEN 0 ELSE 40 + CAST(FLOOR(l_quantity) AS BIGINT) END AS minutes_played,
     CAST(FLOOR(l_extendedprice) AS BIGINT) % 3 AS goals, l_partkey % 3 AS assists,
     3 + l_partkey % 4 AS shots_total, l_partkey % 4 AS shots_on_target, l_partkey % 5 AS key_passes,
     20 + l_partkey % 31 AS passes_total, 10 + l_partkey % 11 AS passes_accurate,
     l_suppkey % 6 AS tackles, l_suppkey % 4 AS interceptions, l_suppkey % 7 AS clearances,
     CASE WHEN l_partkey % 19 = 0 THEN NULL ELSE 50 + l_partkey % 50 END AS rating10
   FROM {lineitem} JOIN {matches} m ON l_orderkey = m.id) x
-GROUP BY match_id, player_id, team_id""",
+GROUP BY match_id, player_id, team_id, season_id, match_date""",
         ("lineitem", "matches"),
     ),
     "shots": (
-        """SELECT m.id AS match_id,
+        """SELECT m.id AS match_id, m.season_id, m.match_date,
   CASE WHEN l_linenumber % 2 = 0 THEN m.home_team_id ELSE m.away_team_id END AS team_id,
-  CASE WHEN l_linenumber % 2 = 0 THEN m.home_team_id ELSE m.away_team_id END * 16 + l_partkey % 16 AS player_id,
+  l_suppkey * 25 + CASE WHEN l_linenumber % 2 = 0 THEN m.home_team_id ELSE m.away_team_id END AS player_id,
   CAST(FLOOR(l_quantity) AS BIGINT) AS minute,
   CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE CAST(l_partkey % 101 AS DOUBLE) END AS x_coordinate,
   CAST((l_orderkey * 7 + l_partkey) % 101 AS DOUBLE) AS y_coordinate,
@@ -107,10 +113,21 @@ GROUP BY match_id, player_id, team_id""",
 FROM {lineitem} JOIN {matches} m ON l_orderkey = m.id""",
         ("lineitem", "matches"),
     ),
+    # final positions from the finished matches of a season; NULL (not yet
+    # known) for every sixth team
     "opposition_categories": (
-        """SELECT t.id AS team_id, s.id AS season_id, CAST((t.id * 7 + s.id) % 25 + 1 AS BIGINT) AS final_position
-FROM {teams} t CROSS JOIN {seasons} s WHERE t.id % 6 <> 5""",
-        ("teams", "seasons"),
+        """SELECT team_id, season_id, CASE WHEN team_id % 6 <> 5 THEN final_position END AS final_position
+FROM (SELECT team_id, season_id, CAST(ROW_NUMBER() OVER (PARTITION BY season_id
+    ORDER BY SUM(points) DESC, SUM(difference) DESC, team_id) AS BIGINT) AS final_position
+  FROM (SELECT season_id, home_team_id AS team_id, home_score - away_score AS difference,
+      CASE WHEN home_score > away_score THEN 3 WHEN home_score = away_score THEN 1 ELSE 0 END AS points
+    FROM {matches} WHERE status = 'finished'
+    UNION ALL
+    SELECT season_id, away_team_id, away_score - home_score,
+      CASE WHEN home_score < away_score THEN 3 WHEN home_score = away_score THEN 1 ELSE 0 END
+    FROM {matches} WHERE status = 'finished') x
+  GROUP BY team_id, season_id) y""",
+        ("matches",),
     ),
     "data_collection_log": (
         """SELECT event_id AS id, event_type AS source, 'user_' || CAST(user_id % 5 AS STRING) AS data_type,
@@ -132,7 +149,7 @@ FROM {region}""",
     ),
     "src_elements": (
         """SELECT s_suppkey AS id, 'Player' AS first_name,
-  CAST(s_nationkey * 16 + s_suppkey % 20 AS STRING) AS second_name,
+  CASE WHEN s_suppkey % 5 = 0 THEN 'New ' ELSE '' END || CAST(s_suppkey * 25 + s_nationkey AS STRING) AS second_name,
   CAST(s_nationkey + 100 AS BIGINT) AS team, s_suppkey % 5 AS element_type,
   CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_suppkey * 37 END AS code,
   CASE WHEN s_suppkey % 4 = 0 THEN 'u' ELSE 'a' END AS status

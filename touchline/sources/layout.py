@@ -11,22 +11,21 @@ attribute interface as ``SportTables``.
 
 from __future__ import annotations
 
-import json
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from touchline.sources.fixture_map import VIEWS, SportTables
 
-MARKER = "_touchline_layout.json"
+MARKER = "touchline_layout"        # a one-row table, written and read by Spark like the others
+
+MARKER_SCHEMA = "raw_dir string, tables array<string>"
 
 LAYOUT = {
     "matches": {"partition_by": ["season_id"], "cluster_by": ["match_date", "id"]},
-    "match_stats": {"cluster_by": ["match_id"]},
-    "player_match_stats": {"partition_by": ["season_id"], "cluster_by": ["player_id", "match_id"],
-                           "denormalize": True},
-    "shots": {"partition_by": ["season_id"], "cluster_by": ["match_id"], "denormalize": True},
+    # facts carry the season (and date) of their match from the mapping on
+    "match_stats": {"partition_by": ["season_id"], "cluster_by": ["match_id"]},
+    "player_match_stats": {"partition_by": ["season_id"], "cluster_by": ["player_id", "match_id"]},
+    "shots": {"partition_by": ["season_id"], "cluster_by": ["match_id"]},
     "data_collection_log": {"cluster_by": ["source", "collected_at"]},
 }
 SPORT_TABLES = ("teams", "seasons", "matches", "match_stats", "players", "player_match_stats", "shots",
@@ -41,12 +40,6 @@ def materialize(tables: SportTables, path: str, names=SPORT_TABLES) -> str:
     for name in names:
         df: DataFrame = getattr(tables, name)
         spec = LAYOUT.get(name, {})
-        if spec.get("denormalize"):
-            # season and date of the match copied into the fact rows once, at
-            # ingest, so season filters prune files and player analyses need
-            # no join with matches.
-            m = tables.matches.select(F.col("id").alias("match_id"), "season_id", "match_date")
-            df = df.join(m, "match_id")
         part = spec.get("partition_by", [])
         clus = spec.get("cluster_by", [])
         if clus:
@@ -57,21 +50,31 @@ def materialize(tables: SportTables, path: str, names=SPORT_TABLES) -> str:
         if part:
             w = w.partitionBy(*part)
         w.parquet(f"{path}/{name}")
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
-        with open(f"{path}/{MARKER}", "w") as f:
-            json.dump({"raw_dir": tables.sf_dir, "tables": list(names)}, f)
+    tables.spark.createDataFrame([(tables.sf_dir, list(names))], MARKER_SCHEMA).coalesce(1) \
+        .write.mode("overwrite").parquet(f"{path}/{MARKER}")
     return path
 
 
+def read_marker(spark: SparkSession, path: str):
+    """(raw_dir, tables) of a stored layout, None for any other folder.  The
+    answer depends on what is stored, not on how the path is written."""
+    try:
+        return spark.read.schema(MARKER_SCHEMA).parquet(f"{path.rstrip('/')}/{MARKER}").first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 class StoredTables:
     """Sport tables read from a materialized layout."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        with open(f"{self.path}/{MARKER}") as f:
-            meta = json.load(f)
+        meta = read_marker(spark, self.path)
+        if meta is None:
+            raise FileNotFoundError(f"no stored layout at {self.path}")
         self.sf_dir = meta["raw_dir"]
         self._stored = set(meta["tables"])
         self._cache: dict[str, DataFrame] = {}
@@ -91,7 +94,3 @@ class StoredTables:
             else:
                 self._cache[name] = getattr(SportTables(self.spark, self.sf_dir), name)
         return self._cache[name]
-
-
-def is_layout(path: str) -> bool:
-    return "://" not in path and os.path.exists(f"{path.rstrip('/')}/{MARKER}")
