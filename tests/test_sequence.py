@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators.sequence import last_n, lookback_mean, ordered_prefix
+from touchline.operators.sequence import last_n, lookback_before, lookback_mean, ordered_prefix
 
 
 @pytest.fixture(scope="module")
@@ -109,3 +109,35 @@ def test_last_n_any_chunk_unit(df, rows, unit, n):
         for i, r in enumerate(g.head(n).itertuples(index=False)):
             want[(k, i + 1)] = (r.id, m - i)
     assert got == want
+
+
+@pytest.mark.parametrize("unit,n", [("day", 1), ("day", 5), ("month", 10), ("year", 3)])
+def test_lookback_before(df, rows, unit, n):
+    out = lookback_before(df, ["k"], "ts", ["ts", "id"], chunk=F.date_trunc(unit, "ts"), values={"m": F.col("v")}, n=n)
+    got = {r["id"]: r["m"] for r in out.select("id", "m").collect()}
+    want = _brute(rows, n, strict=True)
+    assert len(got) == len(rows)
+    for i, w in want.items():
+        assert (got[i] is None and w is None) or abs(got[i] - w) < 1e-9, (i, got[i], w)
+
+
+def test_one_day_of_one_key_holds_most_rows(spark):
+    rnd = random.Random(3)
+    rows = [(0, 5, i, rnd.randint(0, 5)) for i in range(4000)]
+    rows += [(rnd.randint(0, 3), rnd.randint(0, 10), 10_000 + i, rnd.randint(0, 5)) for i in range(800)]
+    d = spark.createDataFrame(rows, "k long, day long, id long, v long").withColumn(
+        "ts", F.timestamp_seconds(F.col("day") * 86400).cast("timestamp_ntz")).repartition(6)
+    out = lookback_before(d, ["k"], "ts", ["ts", "id"], chunk=F.to_date("ts"), values={"m": F.col("v")}, n=5)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r["m"] for r in out.select("id", "m").collect()}
+    for i, w in _brute(rows, 5, strict=True).items():
+        assert (got[i] is None and w is None) or abs(got[i] - w) < 1e-9
+
+
+def test_rank_limits_reach_the_map_side(spark, small):
+    from touchline.operators import features, league, performance, players
+    for df in (performance.form_summary(small.matches, n=5), performance.recent_matches(small.matches, small.teams, n=5),
+               players.player_form(small.players, small.player_match_stats, small.matches),
+               features.fixture_features(small.matches), features.team_form(small.matches),
+               league.league_table(small.matches)):
+        assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()

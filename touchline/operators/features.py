@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import expressions as X
 from touchline.operators.longform import of_season, team_matches
-from touchline.operators.sequence import time_chunk, last_n, lookback_mean
+from touchline.operators.sequence import last_n, lookback_before, lookback_mean, time_chunk
 
 MATCH_FEATURES = (
     "home_form", "away_form", "home_avg_goals_for", "away_avg_goals_for",
@@ -57,10 +57,9 @@ def team_form(matches: DataFrame, *, n: int = 5) -> DataFrame:
     date (all seasons); NULL when there are none."""
     lf = team_matches(matches).select(
         "match_id", "season_id", "match_date", "team_id", "is_home", "goals_for", "goals_against")
-    return lookback_mean(
-        lf, ["team_id"], ["match_date", "match_id"], chunk=time_chunk(),
-        values={"form": _win(), "avg_goals_for": F.col("goals_for")},
-        n=n, strict_tie="match_date",
+    return lookback_before(
+        lf, ["team_id"], "match_date", ["match_date", "match_id"], chunk=time_chunk(),
+        values={"form": _win(), "avg_goals_for": F.col("goals_for")}, n=n,
     ).drop("goals_for", "goals_against")
 
 
@@ -71,9 +70,9 @@ def head_to_head(matches: DataFrame, *, n: int = 10) -> DataFrame:
     m = _pair_keys(matches.filter(F.col("status") == "finished")).select(
         F.col("id").alias("match_id"), "season_id", "match_date", "home_team_id", "away_team_id",
         "pair_lo", "pair_hi", "home_score", "away_score")
-    out = lookback_mean(
-        m, ["pair_lo", "pair_hi"], ["match_date", "match_id"], chunk=time_chunk(),
-        values={"h2h_home_advantage": _h2h_value()}, n=n, strict_tie="match_date",
+    out = lookback_before(
+        m, ["pair_lo", "pair_hi"], "match_date", ["match_date", "match_id"], chunk=time_chunk(),
+        values={"h2h_home_advantage": _h2h_value()}, n=n,
     )
     return out.drop("pair_lo", "pair_hi")
 

@@ -14,27 +14,22 @@ from pyspark.sql import functions as F
 
 from touchline.functions import expressions as X
 from touchline.operators.longform import team_matches
-from touchline.operators.sequence import ordered_prefix
 
 FORM_LENGTH = 5
 
 
-def _form_by_position(lf: DataFrame, positions: DataFrame, k: int = FORM_LENGTH) -> DataFrame:
-    """Form string (newest first) of the last ``k`` results up to each
-    wanted position (``positions``: season_id, team_id, at_seq) of a team's
-    season timeline.  Each result is copied to the ``k`` positions it
-    belongs to, copies for positions nobody reads are dropped by a semi-join
-    with the small ``positions`` table before the shuffle, and the rest are
-    grouped, so every group has at most ``k`` rows."""
-    p = ordered_prefix(lf.select("season_id", "team_id", "gameweek", "match_date", "match_id", "result"),
-                       ["season_id", "team_id"], ["gameweek", "match_date", "match_id"],
-                       chunk=F.col("gameweek"))
-    spread = p.select("season_id", "team_id", "seq", "result", "n_key",
-                      F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_d"))
-    spread = spread.withColumn("at_seq", F.col("seq") + F.col("_d")).filter(F.col("at_seq") <= F.col("n_key"))
-    spread = spread.join(positions, ["season_id", "team_id", "at_seq"], "left_semi")
-    return spread.groupBy("season_id", "team_id", "at_seq").agg(
-        F.expr("listagg(result, '') WITHIN GROUP (ORDER BY seq DESC)").alias("form"))
+def _weekly_form(lf: DataFrame, k: int = FORM_LENGTH) -> DataFrame:
+    """Form string (newest first) of each (season, team, gameweek with
+    matches): its last ``k`` results up to that week.  Only the newest ``k``
+    results of a team's week can matter, so weeks are cut to those first (a
+    rank limit that Spark applies in every map task); the running window then
+    holds ``k`` rows a week of one team's season."""
+    week = Window.partitionBy("season_id", "team_id", "gameweek").orderBy(F.desc("match_date"), F.desc("match_id"))
+    newest = (lf.select("season_id", "team_id", "gameweek", "match_date", "match_id", "result")
+              .withColumn("_rn", F.row_number().over(week)).filter(F.col("_rn") <= k))
+    run = Window.partitionBy("season_id", "team_id").orderBy("gameweek", "match_date", "match_id").rowsBetween(1 - k, 0)
+    return (newest.withColumn("form", F.array_join(F.reverse(F.collect_list("result").over(run)), ""))
+            .filter(F.col("_rn") == 1).select("season_id", "team_id", "gameweek", "form"))
 
 
 def league_table(matches: DataFrame, *, season_id=None) -> DataFrame:
@@ -71,9 +66,9 @@ def league_table(matches: DataFrame, *, season_id=None) -> DataFrame:
     rank_w = Window.partitionBy("season_id", "gameweek").orderBy(
         F.desc("points"), F.desc("goal_difference"), F.desc("goals_for"))
     t = t.withColumn("position", F.rank().over(rank_w).cast("bigint"))
-    wanted = t.select("season_id", "team_id", F.col("matches_played").alias("at_seq")).distinct()
-    form = _form_by_position(lf, wanted).withColumnRenamed("at_seq", "matches_played")
-    return t.join(form, ["season_id", "team_id", "matches_played"], "left")
+    weeks = Window.partitionBy("season_id", "team_id").orderBy("gameweek")
+    return (t.join(_weekly_form(lf), ["season_id", "team_id", "gameweek"], "left")
+            .withColumn("form", F.last("form", ignorenulls=True).over(weeks)))
 
 
 def opposition_categories(table: DataFrame) -> DataFrame:

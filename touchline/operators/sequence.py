@@ -192,10 +192,37 @@ def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, chunk: C
         .filter(F.col("_after") < n)
     rows = d.join(tail, pk)
     wd = Window.partitionBy(*pk).orderBy(*[F.desc(c) for c in order])
-    rows = rows.withColumn("recency", F.col("_after") + F.row_number().over(wd)) \
-        .filter(F.col("recency") <= n)
+    # the plain rank limit first: Spark then keeps n rows per chunk in every
+    # map task, before the shuffle, however many rows a chunk has
+    rows = rows.withColumn("_rn", F.row_number().over(wd)).filter(F.col("_rn") <= n)
+    rows = rows.withColumn("recency", F.col("_after") + F.col("_rn")).filter(F.col("recency") <= n)
     return rows.withColumn("form_position", F.least(F.col("_nk"), F.lit(n)) - F.col("recency") + 1) \
-        .drop("_chunk", "_after", "_nk")
+        .drop("_chunk", "_after", "_nk", "_rn")
+
+
+def lookback_before(df: DataFrame, keys: Sequence[str], tie: str, order: Sequence[str], *, chunk: Column,
+                    values: Mapping[str, Column], n: int) -> DataFrame:
+    """Mean of each value over the ``n`` rows of the key that precede this
+    row's ``tie`` value (strictly earlier rows; rows of one tie value do not
+    see one another), as columns added to ``df``.
+
+    The answer is the same for all rows of a (key, tie), and only the newest
+    ``n`` rows of an earlier (key, tie) can matter.  So each (key, tie) is
+    first cut to its newest ``n`` rows -- a rank limit that Spark applies in
+    every map task -- and the lookback runs over those; a team-day that holds
+    most rows of the table is ``n`` rows like any other.  The answers are
+    joined back on (key, tie), a join without windows that AQE can split."""
+    keys = list(keys)
+    newest = Window.partitionBy(*keys, tie).orderBy(*[F.desc(c) for c in order])
+    few = (df.select(*keys, *dict.fromkeys([tie, *order]), *[v.alias(name) for name, v in values.items()])
+           .withColumn("_newest", F.row_number().over(newest)).filter(F.col("_newest") <= n))
+    seen = lookback_mean(few, keys, order, chunk=chunk, values={name: F.col(name) for name in values}, n=n,
+                         strict_tie=tie)
+    on = [*keys, tie]
+    answers = seen.filter(F.col("_newest") == 1).select(*[F.col(c).alias(f"_at_{c}") for c in on], *values)
+    rows = df.drop(*values)
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in on]
+    return rows.join(answers, same).drop(*[f"_at_{c}" for c in on])
 
 
 CHUNK_CONF = "spark.touchline.chunkUnit"

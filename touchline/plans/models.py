@@ -31,15 +31,28 @@ MIN_MATCH_ROWS = 20
 MIN_PLAYER_ROWS = 10
 
 
+# Modulus and multiplier of the split hash (2**31 - 1 and a primitive root of it).
+HASH_MODULUS, HASH_FACTOR = 2147483647, 48271
+
+
+def id_hash(id_cols, seed: int = 42):
+    """A seeded hash of integer ids, 0 to 2**31 - 2, in integer arithmetic
+    that any SQL engine repeats."""
+    h = F.lit(seed).cast("long")
+    for c in id_cols:
+        h = F.pmod(F.pmod((h + F.pmod(F.col(c), F.lit(HASH_MODULUS))) * HASH_FACTOR, F.lit(HASH_MODULUS))
+                   * HASH_FACTOR, F.lit(HASH_MODULUS))
+    return h
+
+
 def stratified_split(df: DataFrame, label: str, id_cols, *, test_size: float = 0.2, seed: int = 42,
                      folds: int = 5) -> DataFrame:
     """M2 + M6: add ``is_test`` (exactly ``round(test_size * n_class)`` rows
-    of each class, chosen by a seeded hash) and a stratified ``fold``
+    of each class, chosen by ``id_hash``) and a stratified ``fold``
     (0..folds-1) for the training rows.  The per-class numbering uses the
     chunked sequence operator, so no class is gathered into one task."""
-    h = F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed))
-    d = df.withColumn("_h", h)
-    p = ordered_prefix(d, [label], ["_h", *id_cols], chunk=F.shiftright("_h", 52))
+    d = df.withColumn("_h", id_hash(id_cols, seed))
+    p = ordered_prefix(d, [label], ["_h", *id_cols], chunk=F.shiftright("_h", 20))
     cut = F.round(F.col("n_key") * F.lit(test_size))
     out = p.withColumn("is_test", F.col("seq") <= cut)
     out = out.withColumn("fold", F.when(~F.col("is_test"),
@@ -59,7 +72,7 @@ def deterministic_order(df: DataFrame, keys) -> DataFrame:
 def match_pipeline(features=MATCH_FEATURES, *, seed: int = 42) -> Pipeline:
     """M3 + M4: label index, assembler, scaler, random forest, label decode."""
     idx = StringIndexer(inputCol="outcome", outputCol="label", stringOrderType="alphabetAsc",
-                        handleInvalid="keep")
+                        handleInvalid="error")    # "keep" would add a class that does not exist
     vec = VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="keep")
     scale = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
     rf = RandomForestClassifier(numTrees=100, maxDepth=10, minInstancesPerNode=2, seed=seed,
@@ -126,6 +139,8 @@ def train_match_model(features: DataFrame, *, test_size: float = 0.2, seed: int
     rep = rep.select(F.col("cls").alias("outcome"), prec.alias("precision"), rec.alias("recall"),
                      F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0).alias("f1"),
                      F.col("support").cast("long").alias("support"))
+    # one row per class; read while the split is still held
+    rep = spark.createDataFrame(rep.collect(), "outcome string, precision double, recall double, f1 double, support long")
 
     # M7: importances keyed by feature name (model metadata, 8 values).
     imp = model.stages[-1].featureImportances.toArray().tolist()
@@ -162,8 +177,7 @@ def load_model(path: str) -> PipelineModel:
 # ------------------------------------------------------------- players
 def hash_split(df: DataFrame, id_cols, *, test_size: float, seed: int = 42) -> DataFrame:
     """Seeded hash split (M12's 70/30): deterministic whatever the partitioning."""
-    h = F.pmod(F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed)), F.lit(10_000))
-    return df.withColumn("is_test", h < F.lit(int(test_size * 10_000)))
+    return df.withColumn("is_test", F.pmod(id_hash(id_cols, seed), F.lit(10_000)) < F.lit(int(test_size * 10_000)))
 
 
 def player_pipeline(metric: str, *, seed: int = 42) -> Pipeline:
@@ -207,6 +221,8 @@ def train_player_model(features: DataFrame, metric: str = "rating", *, seed: int
     sample = pred.orderBy("player_id", "match_id").limit(5).select(
         F.lit(metric).alias("metric"), "player_id", "match_id", F.col(metric).alias("actual"),
         "prediction")
+    sample = spark.createDataFrame(sample.collect(),       # five rows, read while the rows are still held
+                                   "metric string, player_id long, match_id long, actual double, prediction double")
     rows.unpersist()
     return PlayerModel(metric, model, metrics, sample)
 
@@ -254,4 +270,7 @@ def train_player_models(rows: DataFrame, metrics=PLAYER_METRICS, *, seed: int =
     rows = rows.cache()
     with ThreadPoolExecutor(max_workers=len(metrics)) as pool:
         futs = {m: pool.submit(train_player_model, rows, m, seed=seed) for m in metrics}
-        return {m: f.result() for m, f in futs.items()}
+        try:
+            return {m: f.result() for m, f in futs.items()}
+        finally:
+            rows.unpersist()
