@@ -91,7 +91,7 @@ def test_shot_totals_need_no_join(spark, layout_dir):
         assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
 
 
-TRAINS_OR_STREAMS = ("m4", "m5", "m7", "m9", "m12", "m13", "m14", "m15", "t1", "t2")
+TRAINS_OR_STREAMS = ("m3", "m4", "m5", "m7", "m9", "m10", "m12", "m13", "m14", "m15", "s14", "t1", "t2")
 
 
 @pytest.mark.parametrize("where", ["layout", "mapping"])

@@ -26,6 +26,22 @@ def test_match_ingest_multi_batch(spark, small, tmp_dir):
     assert cur.count() == m.count()
     diff = cur.select("id", "status", "home_score").exceptAll(m.select("id", "status", "home_score"))
     assert diff.count() == 0
+    # compacted: the same table, from the compaction and the batches after it
+    v, c = f"{tmp_dir}/versions", f"{tmp_dir}/compacted"
+    assert md.current_matches(spark, v, c).exceptAll(cur).isEmpty()
+    for upto in (md.compact_versions(spark, v, c), md.compact_versions(spark, v, c)):
+        assert os.path.isdir(f"{c}/_upto={upto}")
+    newer = m.limit(1).select(*keep, F.lit(9).cast("long").alias("home_score"), F.lit(8).cast("long").alias("away_score"),
+                              F.lit("finished").alias("status"), F.lit("2999-01-01").cast("timestamp_ntz").alias("updated_at"))
+    changed = newer.first()["id"]
+    md._write_batch(newer, f"{tmp_dir}/later", 0)
+    later = cur.filter(F.col("id") != changed).unionByName(newer)
+    spark.read.parquet(f"{tmp_dir}/later/_batch_id=0").write.parquet(f"{v}/_batch_id={upto + 1}")
+    now = md.current_matches(spark, v, c)
+    assert now.exceptAll(later.select(*now.columns)).isEmpty() and now.count() == cur.count()
+    md.compact_versions(spark, v, c)
+    assert md.current_matches(spark, v, c).exceptAll(now).isEmpty()
+    cur = md.current_matches(spark, v)
     # a lost checkpoint replays every batch into the same versions table:
     # each batch overwrites its own partition, so the result is unchanged
     before = cur.collect()

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from touchline.functions import expressions as X
 from touchline.operators.longform import team_matches
+from touchline.operators.sequence import ordered_prefix
+from touchline.sources.schemas import conform
 
 FORM_LENGTH = 5
 
@@ -71,6 +73,16 @@ def league_table(matches: DataFrame, *, season_id=None) -> DataFrame:
             .withColumn("form", F.last("form", ignorenulls=True).over(weeks)))
 
 
+def snapshot_rows(table: DataFrame, *, snapshot_date, first_id: int = 1) -> DataFrame:
+    """The league table as rows of the declared ``league_table_snapshots``:
+    ids in the order (season, gameweek, team) from ``first_id`` on, and the
+    date of the snapshot.  The numbering runs per (season, gameweek)."""
+    chunk = F.col("season_id") * 100 + F.col("gameweek")
+    p = ordered_prefix(table, [], ["season_id", "gameweek", "team_id"], chunk=chunk)
+    rows = p.withColumns({"id": F.col("seq") + (first_id - 1), "snapshot_date": F.lit(str(snapshot_date)).cast("timestamp_ntz")})
+    return conform(rows, "league_table_snapshots")
+
+
 def opposition_categories(table: DataFrame) -> DataFrame:
     """Final position (last gameweek of the season) and its category."""
     last = table.groupBy("season_id").agg(F.max("gameweek").alias("gameweek"))

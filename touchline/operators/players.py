@@ -177,6 +177,24 @@ def rank_top_performers(performers: DataFrame, *, k: int | None = 10) -> DataFra
     return out if k is None else out.filter(F.col("performer_rank") <= k)
 
 
+# The orders in which the analyses are shown (fixed values); ties go by the last column.
+DISPLAY_ORDERS = {
+    "top_performers": (("goal_contributions", "avg_rating"), "player_id"),
+    "unsung_heroes": (("defensive_actions_per_90", "avg_rating"), "player_id"),
+    "formations": (("wins", "avg_goals_for"), "formation"),
+    "top_performers_view": (("goals", "assists"), "player_id"),
+}
+
+
+def in_display_order(df: DataFrame, kind: str) -> DataFrame:
+    """The result of an analysis in its display order, with the position
+    of each row among its season's and team's as ``display_rank``.  NULLs come
+    first in descending order, as in the reference's database."""
+    down, tie = DISPLAY_ORDERS[kind]
+    w = Window.partitionBy("season_id", "team_id").orderBy(*[F.desc_nulls_first(c) for c in down], tie)
+    return df.withColumn("display_rank", F.row_number().over(w).cast("bigint")).orderBy("season_id", "team_id", "display_rank")
+
+
 def select_existing(df: DataFrame, wanted) -> DataFrame:
     """Keep the wanted columns that exist, in the wanted order."""
     return df.select(*[c for c in wanted if c in df.columns])

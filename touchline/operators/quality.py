@@ -68,23 +68,38 @@ def _row(table: str, check: str, column: str, violations) -> list:
             F.lit(column).alias("column_name"), violations.cast("bigint").alias("violations")]
 
 
-def null_and_key_checks(tables: dict[str, DataFrame]) -> DataFrame:
-    """Q1: NULLs in NOT NULL columns (one aggregate per table) and keys that
-    occur more than once (rows beyond the first)."""
+def _column_checks(tables: dict[str, DataFrame], kinds=("not_null", "domain", "range")) -> list[DataFrame]:
+    """Checks that count rows of one table, all of a table's in one aggregate."""
+    checks = [(t, "not_null", c, F.col(c).isNull()) for t, cols in NOT_NULL.items() for c in cols]
+    checks += [(t, "domain", c, F.col(c).isNotNull() & ~F.col(c).isin(*allowed)) for t, c, allowed in DOMAINS]
+    checks += [(t, "range", c, ~F.col(c).between(lo, hi)) for t, c, lo, hi in RANGES]
+    per_table: dict[str, list] = {}
+    for t, kind, c, bad in checks:
+        if t in tables and kind in kinds:
+            per_table.setdefault(t, []).append((kind, c, bad))
+    frames = []
+    for t, mine in per_table.items():
+        agg = tables[t].agg(*[F.count_if(bad).alias(f"_{i}") for i, (_, _, bad) in enumerate(mine)])
+        frames.append(agg.select(F.inline(F.array(*[
+            F.struct(*_row(t, kind, c, F.col(f"_{i}"))) for i, (kind, c, _) in enumerate(mine)]))))
+    return frames
+
+
+def _key_checks(tables: dict[str, DataFrame]) -> list[DataFrame]:
     frames = []
-    for t, cols in NOT_NULL.items():
-        if t not in tables:
-            continue
-        agg = tables[t].agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-        frames.append(agg.select(F.inline(F.array(*[F.struct(*_row(t, "not_null", c, F.col(c)))
-                                                    for c in cols]))))
     for t, key in KEYS.items():
         if t not in tables:
             continue
         dup = tables[t].groupBy(*key).count().agg(
             F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count") - 1)), F.lit(0)).alias("v"))
         frames.append(dup.select(*_row(t, "unique_key", ",".join(key), F.col("v"))))
-    return _union(frames)
+    return frames
+
+
+def null_and_key_checks(tables: dict[str, DataFrame]) -> DataFrame:
+    """Q1: NULLs in NOT NULL columns (one aggregate per table) and keys that
+    occur more than once (rows beyond the first)."""
+    return _union([*_column_checks(tables, ("not_null",)), *_key_checks(tables)])
 
 
 def orphan_checks(tables: dict[str, DataFrame]) -> DataFrame:
@@ -124,20 +139,7 @@ def orphan_checks(tables: dict[str, DataFrame]) -> DataFrame:
 def domain_checks(tables: dict[str, DataFrame]) -> DataFrame:
     """Q3: values outside a closed set, and percentages / coordinates
     outside 0-100 (NULL is not a violation); one aggregate per table."""
-    per_table: dict[str, list] = {}
-    for t, c, allowed in DOMAINS:
-        if t in tables:
-            per_table.setdefault(t, []).append(
-                ("domain", c, F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*allowed))))
-    for t, c, lo, hi in RANGES:
-        if t in tables:
-            per_table.setdefault(t, []).append(("range", c, F.count_if(~F.col(c).between(lo, hi))))
-    frames = []
-    for t, checks in per_table.items():
-        agg = tables[t].agg(*[e.alias(f"_{i}") for i, (_, _, e) in enumerate(checks)])
-        frames.append(agg.select(F.inline(F.array(*[
-            F.struct(*_row(t, kind, c, F.col(f"_{i}"))) for i, (kind, c, _) in enumerate(checks)]))))
-    return _union(frames)
+    return _union(_column_checks(tables, ("domain", "range")))
 
 
 def _ts(as_of):
@@ -180,7 +182,7 @@ def collection_stats(log: DataFrame) -> DataFrame:
 def health_checks(tables: dict[str, DataFrame], log: DataFrame, *, as_of,
                   max_age_hours: float = 24.0 * 7, min_success_rate: float = 50.0) -> DataFrame:
     """One row per named check with its violation count and status."""
-    q13 = _union([null_and_key_checks(tables), domain_checks(tables)]).agg(
+    q13 = _union([*_column_checks(tables), *_key_checks(tables)]).agg(
         F.sum("violations").alias("v")).select(F.lit("data_quality").alias("check_name"), "v")
     q2 = orphan_checks(tables).agg(F.sum("violations").alias("v")) \
         .select(F.lit("referential_integrity").alias("check_name"), "v")

@@ -1,11 +1,13 @@
-"""Registered queries for ordering (O1/O3), parameter binding (S2) and the
-second named view (S13)."""
+"""Registered queries for ordering (O1/O3, O4), league snapshots, parameter
+binding (S2) and the second named view (S13)."""
 
 from __future__ import annotations
 
+from touchline.operators import league as lg
 from touchline.operators import players as pl
+from touchline.operators import tactics as tc
 from touchline.plans import sqlx
-from touchline.plans.catalog import FOCAL_SHORT_NAME, LF_SQL, register, tables, with_views
+from touchline.plans.catalog import AS_OF, FOCAL_SHORT_NAME, LF_SQL, ORACLES, register, tables, with_views
 from touchline.plans.queries_players import PLAYER_VIEWS, PR_SQL, _a6_sql
 
 DISPLAY_COLUMNS = ["season_id", "team_id", "player_id", "name", "position", "appearances",
@@ -27,6 +29,42 @@ def o1_top_performers_ranked(spark, sf_dir):
     return pl.select_existing(pl.rank_top_performers(top, k=10), DISPLAY_COLUMNS)
 
 
+def _ordered_sql(oracle: str, by: str) -> str:
+    return f"SELECT *, ROW_NUMBER() OVER (PARTITION BY season_id, team_id ORDER BY {by}) AS display_rank FROM ({ORACLES[oracle]}) t"
+
+
+@register("o4_top_performers_ordered", _ordered_sql("a6_top_performers", "goal_contributions DESC, avg_rating DESC NULLS FIRST, player_id"))
+def o4_top_performers_ordered(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return pl.in_display_order(pl.top_performers(t.players, t.player_match_stats, t.matches), "top_performers")
+
+
+@register("o4_unsung_heroes_ordered", _ordered_sql("a9_unsung_heroes", "defensive_actions_per_90 DESC, avg_rating DESC NULLS FIRST, player_id"))
+def o4_unsung_heroes_ordered(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return pl.in_display_order(pl.unsung_heroes(t.players, t.player_match_stats, t.matches), "unsung_heroes")
+
+
+@register("o4_formations_ordered", _ordered_sql("a12_formations", "wins DESC, avg_goals_for DESC NULLS FIRST, formation"))
+def o4_formations_ordered(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return pl.in_display_order(tc.formation_effectiveness(t.match_stats, t.matches), "formations")
+
+
+@register("o4_view_ordered", _ordered_sql("a13_top_performers_view", "goals DESC, assists DESC, player_id"))
+def o4_view_ordered(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return pl.in_display_order(pl.top_performers_view(t.players, t.player_match_stats, t.matches), "top_performers_view")
+
+
+@register("a23_league_table_snapshots", f"""
+SELECT ROW_NUMBER() OVER (ORDER BY season_id, gameweek, team_id) AS id, *, TIMESTAMP '{AS_OF}' AS snapshot_date
+FROM ({ORACLES["a23_league_table"]}) t""")
+def a23_league_table_snapshots(spark, sf_dir):
+    table = lg.league_table(tables(spark, sf_dir).matches)
+    return lg.snapshot_rows(table, snapshot_date=AS_OF)
+
+
 # A query text with named parameters, bound by Spark.
 S2_TEXT = """
 WITH sides AS (

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from touchline.operators import performance as perf
+from touchline.plans.catalog import ORACLES, register, tables, with_views
+from touchline.session import scratch_dir
 from touchline.sources import html, ingest
-from touchline.plans.catalog import register, tables, with_views
+from touchline.sources import schemas as SC
 
 
-def _s7_sql(tag: str, css_class: str | None) -> str:
-    pattern = html.element_pattern(tag, css_class).replace("'", "''")
-    return f"""SELECT page_id, url, CAST(element_index AS INTEGER) AS element_index,
-  trim(regexp_replace(body, '<[^>]*>', '', 'g')) AS text
-FROM (SELECT page_id, url, generate_subscripts(l, 1) - 1 AS element_index, unnest(l) AS body
-      FROM (SELECT page_id, url, regexp_extract_all(html, '{pattern}', 1) AS l FROM pages) a) b"""
+def _s7_sql(start: str, end: str) -> str:
+    """The given pages nest neither element, so cutting at the tags finds them."""
+    return f"""SELECT page_id, url, CAST(i - 2 AS INTEGER) AS element_index,
+  trim(regexp_replace(split_part(pieces[i], '{end}', 1), '<[^>]*>', '', 'g')) AS text
+FROM (SELECT page_id, url, string_split(html, '{start}') AS pieces FROM pages) p, range(2, 100000) r(i)
+WHERE i <= len(pieces)"""
 
 
-@register("s7_html_list_items", _s7_sql("li", None))
+@register("s7_html_list_items", _s7_sql('<li>', '</li>'))
 def s7_html_list_items(spark, sf_dir):
     return html.html_elements(tables(spark, sf_dir).raw("pages"), "li")
 
 
-@register("s7_html_div_ad", _s7_sql("div", "ad"))
+@register("s7_html_div_ad", _s7_sql('<div class="ad">', '</div>'))
 def s7_html_div_ad(spark, sf_dir):
     return html.html_elements(tables(spark, sf_dir).raw("pages"), "div", "ad")
 
@@ -73,3 +81,122 @@ FROM g WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.season_id = g.season_id
 def s11_load_fixtures(spark, sf_dir):
     t = tables(spark, sf_dir)
     return ingest.load_fixtures(t.src_fixtures, t.src_teams, t.teams, t.matches)
+
+
+# ------------------------------------------------------- landed documents
+# The given tables are landed as JSON documents of bounded size under the
+# shared folder and read back by the document readers.
+DOCUMENT_ROWS = 512
+
+
+def _land(spark, docs: DataFrame, by: list[str], name: str) -> str:
+    """One file per document: ``docs`` has the columns ``by`` and the text ``value``."""
+    path = scratch_dir(spark, f"documents/{name}-{uuid.uuid4().hex}")
+    docs.repartition(*by).write.partitionBy(*by).text(path)
+    return path
+
+
+def _bootstrap(spark, t) -> str:
+    part = F.floor(F.col("id") / DOCUMENT_ROWS).alias("part")
+    teams = t.src_teams.groupBy(part).agg(F.collect_list(F.struct("id", "name", "short_name")).alias("teams"))
+    elements = t.src_elements.groupBy(part).agg(F.collect_list(F.struct(*ingest.BOOTSTRAP_ELEMENT.names)).alias("elements"))
+    docs = teams.join(elements, "part", "full").select("part", F.to_json(F.struct("teams", "elements")).alias("value"))
+    return _land(spark, docs, ["part"], "bootstrap")
+
+
+@register("s3_bootstrap_teams", with_views("src_teams") + "SELECT id, name, short_name FROM src_teams")
+def s3_bootstrap_teams(spark, sf_dir):
+    return ingest.read_bootstrap(spark, _bootstrap(spark, tables(spark, sf_dir)))[0]
+
+
+@register("s3_bootstrap_elements", with_views("src_elements") + """
+SELECT id, first_name, second_name, team, element_type, code, status FROM src_elements""")
+def s3_bootstrap_elements(spark, sf_dir):
+    return ingest.read_bootstrap(spark, _bootstrap(spark, tables(spark, sf_dir)))[1]
+
+
+@register("s4_fixture_documents", with_views("src_fixtures") + """
+SELECT id, event, strftime(kickoff_time, '%Y-%m-%dT%H:%M:%SZ') AS kickoff_time, team_h, team_a, team_h_score,
+  team_a_score, started, finished FROM src_fixtures""")
+def s4_fixture_documents(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    f = t.src_fixtures.withColumn("kickoff_time", F.date_format("kickoff_time", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    docs = f.groupBy(F.floor(F.col("id") / DOCUMENT_ROWS).alias("part")).agg(
+        F.to_json(F.collect_list(F.struct(*ingest.FIXTURE.names))).alias("value"))
+    return ingest.read_fixtures(spark, _land(spark, docs, ["part"], "fixtures")).select(*ingest.FIXTURE.names)
+
+
+@register("s5_gameweek_documents", with_views("matches", "player_match_stats") + """
+SELECT m.gameweek, s.player_id AS id, SUM(s.minutes_played)::DOUBLE AS minutes, SUM(s.goals)::DOUBLE AS goals
+FROM player_match_stats s JOIN matches m ON m.id = s.match_id GROUP BY 1, 2""")
+def s5_gameweek_documents(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    weeks = t.matches.select(F.col("id").alias("match_id"), "gameweek")
+    live = t.player_match_stats.join(weeks, "match_id").groupBy("gameweek", F.col("player_id").alias("id")).agg(
+        F.sum("minutes_played").alias("minutes"), F.sum("goals").alias("goals"))
+    element = F.struct("id", F.create_map(F.lit("minutes"), "minutes", F.lit("goals"), "goals").alias("stats"))
+    docs = live.groupBy("gameweek", F.floor(F.col("id") / DOCUMENT_ROWS).alias("part")).agg(
+        F.to_json(F.struct(F.collect_list(element).alias("elements"))).alias("value"))
+    back = ingest.read_gameweek_live(spark, _land(spark, docs, ["gameweek", "part"], "live"))
+    return back.select("gameweek", "id", F.col("stats")["minutes"].alias("minutes"), F.col("stats")["goals"].alias("goals"))
+
+
+@register("s6_competition_documents", with_views("matches", "teams") + """
+SELECT m.id, m.match_date, m.status, m.gameweek, m.home_team_id AS home_source_id, h.name AS home_name,
+  m.away_team_id AS away_source_id, a.name AS away_name, m.home_score, m.away_score
+FROM matches m JOIN teams h ON h.id = m.home_team_id JOIN teams a ON a.id = m.away_team_id""")
+def s6_competition_documents(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    named = lambda side: t.teams.select(F.col("id").alias(f"{side}_team_id"), F.col("name").alias(f"{side}_name"))
+    m = t.matches.join(named("home"), "home_team_id").join(named("away"), "away_team_id")
+    match = F.struct(
+        "id", F.date_format("match_date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utcDate"), "status", F.col("gameweek").alias("matchday"),
+        F.struct(F.col("home_team_id").alias("id"), F.col("home_name").alias("name")).alias("homeTeam"),
+        F.struct(F.col("away_team_id").alias("id"), F.col("away_name").alias("name")).alias("awayTeam"),
+        F.struct(F.struct(F.col("home_score").alias("home"), F.col("away_score").alias("away")).alias("fullTime")).alias("score"))
+    docs = m.groupBy(F.floor(F.col("id") / DOCUMENT_ROWS).alias("part")).agg(
+        F.to_json(F.struct(F.collect_list(match).alias("matches"))).alias("value"))
+    return ingest.read_competition_matches(spark, _land(spark, docs, ["part"], "competition"))
+
+
+LOGGED = ("orders", "customer", "nation")
+
+
+@register("s8_collection_log", "\nUNION ALL\n".join(
+    f"SELECT 'tables' AS source, '{n}' AS data_type, COUNT(*) AS records_collected, COUNT(*) > 0 AS success FROM {n}" for n in LOGGED))
+def s8_collection_log(spark, sf_dir):
+    """A log row appended for every table read, with the rows observed in it."""
+    t, path = tables(spark, sf_dir), scratch_dir(spark, f"log-{uuid.uuid4().hex}")
+    for n in LOGGED:
+        df, seen = ingest.observed(t.raw(n), n)
+        df.write.format("noop").mode("overwrite").save()
+        ingest.log_collection(spark, path, "tables", n, seen.get["records"], seen.get["records"] > 0)
+    return spark.read.schema(SC.DATA_COLLECTION_LOG).parquet(path).select("source", "data_type", "records_collected", "success")
+
+
+@register("s12_conformed_players", with_views("players") + """
+SELECT id, name, position, NULL::VARCHAR AS nationality, NULL::INTEGER AS age, squad_number, team_id,
+  CASE WHEN id % 3 = 0 THEN TRUE ELSE is_active END AS is_active FROM players""")
+def s12_conformed_players(spark, sf_dir):
+    """Declared columns, absent ones as typed NULLs, defaults for NULLs (here: every third is_active)."""
+    t = tables(spark, sf_dir)
+    p = t.players.withColumn("is_active", F.when(F.col("id") % 3 != 0, F.col("is_active")))
+    return SC.apply_defaults(SC.conform(p, "players"), "players").select(
+        "id", "name", "position", "nationality", "age", "squad_number", "team_id", "is_active")
+
+
+@register("s12_seeded_teams", with_views("teams") + f"""
+SELECT id, name, short_name, NULL::INTEGER AS founded_year, NULL::VARCHAR AS stadium FROM teams
+UNION ALL SELECT {SC.SEED_TEAM[0]}, '{SC.SEED_TEAM[1]}', '{SC.SEED_TEAM[2]}', {SC.SEED_TEAM[3]}, '{SC.SEED_TEAM[4]}'""")
+def s12_seeded_teams(spark, sf_dir):
+    teams = SC.conform(tables(spark, sf_dir).teams, "teams").unionByName(SC.seed_frames(spark)["teams"])
+    return teams.select("id", "name", "short_name", "founded_year", "stadium")
+
+
+@register("s15_exported_kpis", ORACLES["a20_season_kpis"])
+def s15_exported_kpis(spark, sf_dir):
+    """An analysis exported as JSON records and read back."""
+    kpis = perf.season_kpis(tables(spark, sf_dir).matches)
+    path = scratch_dir(spark, f"export-{uuid.uuid4().hex}")
+    ingest.export_records(kpis, path)
+    return spark.read.schema(kpis.schema).json(path)

@@ -1,38 +1,55 @@
 """Element extraction from stored HTML pages.
 
-The reference finds elements by tag and class with an HTML parser and then
-returns placeholder fields.  Here the stored pages are processed where they
-live: a regular expression extracts every matching element of each page
-(whole page text), ``posexplode`` gives one row per element with its index,
-and tags are stripped from the element body.  All of it is built-in
-expressions, so it runs inside code generation on every partition.
+A page is cut into tokens (comments, scripts and styles, tags, text) by one
+regular expression; a fold over the token array keeps the stack of open
+elements of the wanted tag, so nested elements are one row each and an
+element's text includes that of the elements inside it.  Tag names and
+attribute names match in any case; the class attribute is a set of tokens, in
+either kind of quotes or none.  An element that is never closed reaches to
+the end of the page.  All of it is built-in expressions over one row's page.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+TOKENS = (r"(?is)(<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+          r"|<[a-z/!](?:\"[^\"]*\"|'[^']*'|[^'\">])*>|[^<]+|<)")
+CLASS_VALUE = r"(?is)\sclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
 
-def element_pattern(tag: str, css_class: str | None = None) -> str:
-    """Regex (Java and RE2 compatible) capturing the body of ``<tag>``
-    elements, optionally only those whose class attribute is exactly
-    ``css_class``."""
-    t = re.escape(tag)
-    if css_class is None:
-        return rf"(?s)<{t}\b[^>]*>(.*?)</{t}>"
-    return rf'(?s)<{t}\b[^>]*class="{re.escape(css_class)}"[^>]*>(.*?)</{t}>'
+
+def _has_class(tag_text: Column, css_class: str) -> Column:
+    value = F.concat(*[F.regexp_extract(tag_text, CLASS_VALUE, i) for i in (1, 2, 3)])
+    return F.array_contains(F.split(F.trim(value), r"\s+"), css_class)
 
 
 def html_elements(pages: DataFrame, tag: str, css_class: str | None = None, *,
                   html_col: str = "html", keep=("page_id", "url")) -> DataFrame:
     """One row per matching element: the kept page columns, the 0-based
-    ``element_index`` within the page and the element ``text`` (tags removed,
-    trimmed)."""
-    found = pages.select(*keep, F.posexplode(
-        F.regexp_extract_all(F.col(html_col), F.lit(element_pattern(tag, css_class)), 1)
-    ).alias("element_index", "inner"))
-    return found.select(*keep, "element_index",
-                        F.trim(F.regexp_replace("inner", r"<[^>]*>", "")).alias("text"))
+    ``element_index`` in order of the opening tags and the element ``text``
+    (tags removed, trimmed)."""
+    opens, closes = rf"(?is)^<{re.escape(tag)}(?=[\s/>])", rf"(?is)^</{re.escape(tag)}\s*>"
+
+    def step(state: Column, token: Column) -> Column:
+        items, stack = state["items"], state["stack"]
+        is_open, is_close = token.rlike(opens), token.rlike(closes)
+        wanted = _has_class(token, css_class) if css_class is not None else F.lit(True)
+        # the stack holds an element's place among the items, -1 for elements of other classes
+        place = F.when(wanted, F.size(items)).otherwise(F.lit(-1))
+        new_items = (F.when(is_open & wanted, F.concat(items, F.array(F.lit(""))))
+                     .when(token.rlike("^<[a-zA-Z/!]") | (F.size(stack) == 0), items)
+                     .otherwise(F.transform(items, lambda text, i: F.when(F.array_contains(stack, i), F.concat(text, token))
+                                            .otherwise(text))))
+        new_stack = (F.when(is_open, F.concat(stack, F.array(place)))
+                     .when(is_close & (F.size(stack) > 0), F.slice(stack, F.lit(1), F.size(stack) - 1))
+                     .otherwise(stack))
+        return F.struct(new_items.alias("items"), new_stack.alias("stack"))
+
+    start = F.struct(F.array().cast("array<string>").alias("items"), F.array().cast("array<int>").alias("stack"))
+    tokens = F.regexp_extract_all(F.col(html_col), F.lit(TOKENS), 1)
+    found = pages.select(*keep, F.posexplode(F.aggregate(tokens, start, step, lambda s: s["items"]))
+                         .alias("element_index", "inner"))
+    return found.select(*keep, "element_index", F.trim("inner").alias("text"))

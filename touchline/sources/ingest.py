@@ -75,10 +75,10 @@ def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
 
 def read_gameweek_live(spark: SparkSession, path_glob: str) -> DataFrame:
     """Gameweek live documents; the gameweek comes from the file path
-    (``.../event/<gw>/...`` or ``..._<gw>.json``)."""
+    (``.../event/<gw>/...``, ``.../gameweek=<gw>/...`` or ``..._<gw>.json``)."""
     doc = spark.read.schema(LIVE).json(path_glob, multiLine=True)
     path = F.input_file_name()
-    gw = F.coalesce(F.nullif(F.regexp_extract(path, r"event/(\d+)/", 1), F.lit("")),
+    gw = F.coalesce(F.nullif(F.regexp_extract(path, r"(?:event/|gameweek=)(\d+)/", 1), F.lit("")),
                     F.nullif(F.regexp_extract(path, r"_(\d+)\.json$", 1), F.lit("")))
     return doc.select(gw.cast("long").alias("gameweek"), F.explode("elements").alias("e")) \
         .select("gameweek", "e.id", "e.stats")

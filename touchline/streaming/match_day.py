@@ -20,6 +20,7 @@ committed batch.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,13 +72,42 @@ def start_match_ingest(spark: SparkSession, landing: str, versions_path: str, ch
     return w.start()
 
 
-def current_matches(spark: SparkSession, versions_path: str) -> DataFrame:
-    """The matches table as of the last committed batch."""
+def _compacted(spark: SparkSession, compacted_path: str | None):
+    """(last batch in the newest compaction, its rows), None before the first."""
+    if compacted_path is None:
+        return None
+    try:
+        all_ = spark.read.schema(T.StructType([*MATCH_UPDATE.fields, T.StructField("_upto", T.LongType())])).parquet(compacted_path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    upto = all_.agg(F.max("_upto")).first()[0]
+    return None if upto is None else (upto, all_.filter(F.col("_upto") == upto).drop("_upto"))
+
+
+def current_matches(spark: SparkSession, versions_path: str, compacted_path: str | None = None) -> DataFrame:
+    """The matches table as of the last committed batch: the newest
+    compaction, if there is one, and the batches after it."""
     schema = T.StructType([*MATCH_UPDATE.fields, T.StructField("_batch_id", T.LongType())])
     v = spark.read.schema(schema).parquet(versions_path)
+    base = _compacted(spark, compacted_path)
+    if base is not None:
+        v = v.filter(F.col("_batch_id") > base[0])
+        return newest_per_match(v.drop("_batch_id").unionByName(base[1]))
     return newest_per_match(v.drop("_batch_id"))
 
 
+def compact_versions(spark: SparkSession, versions_path: str, compacted_path: str) -> int:
+    """Write the current table as ``_upto=<last batch>`` under
+    ``compacted_path``, so that reads need only the batches after it.  Nothing
+    is overwritten or removed; a compaction that fails half way is written
+    again under the same name."""
+    last = spark.read.parquet(versions_path).agg(F.max("_batch_id")).first()[0]
+    current_matches(spark, versions_path, compacted_path).write.mode("overwrite").parquet(f"{compacted_path}/_upto={last}")
+    return last
+
+
 def log_health_windows(stream: DataFrame, *, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """Per (tumbling window, source) runs, successes, records and mean
     seconds, with a watermark bounding late rows and the state kept."""
