@@ -1,6 +1,7 @@
 """Model behaviour: deterministic for a fixed seed, probabilities sum to 1,
 one prediction per input row, save/load round-trip, stratified split."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from touchline.operators import features as ft
@@ -41,3 +42,25 @@ def test_player_model(spark, small):
     assert r["rmse"] >= 0 and abs(r["rmse"] ** 2 - r["mse"]) < 1e-9
     nxt = ml.predict_players(m, feats)
     assert nxt.count() == feats.select("player_id").distinct().count()
+
+
+def test_one_model_per_player(spark):
+    """Ridge fits from sums of products equal numpy's on the rows; players below ten rows have none."""
+    rnd = np.random.default_rng(2)
+    rows = []
+    for player, n in ((1, 40), (2, 10), (3, 9), (4, 500)):
+        for i in range(n):
+            x = rnd.normal(size=6)
+            rows.append((player, i, *map(float, x), float(3 + x @ np.arange(6) * player + rnd.normal() * 0.1)))
+    cols = ["player_id", "match_id", *ml.PLAYER_FEATURES, "rating"]
+    df = spark.createDataFrame(rows, cols).repartition(4)
+    models = ml.train_per_player(df, "rating", ridge=0.5)
+    got = {r.player_id: r for r in models.collect()}
+    assert sorted(got) == [1, 2, 4]
+    for p, r in got.items():
+        mine = np.array([x[2:] for x in rows if x[0] == p])
+        a, y = np.hstack([np.ones((len(mine), 1)), mine[:, :6]]), mine[:, 6]
+        w = np.linalg.solve(a.T @ a + 0.5 * np.eye(7), a.T @ y)
+        assert np.allclose(r.coefficients, w) and np.isclose(r.mse, ((a @ w - y) ** 2).mean()) and r.training_samples == len(mine)
+    pred = ml.predict_per_player(models, df).collect()
+    assert len(pred) == 550 and all(abs(r.prediction - r.rating) < 5 for r in pred if r.player_id == 4)

@@ -227,6 +227,50 @@ def train_player_model(features: DataFrame, metric: str = "rating", *, seed: int
     return PlayerModel(metric, model, metrics, sample)
 
 
+def train_per_player(features: DataFrame, metric: str = "rating", *, ridge: float = 1.0,
+                     min_rows: int = MIN_PLAYER_ROWS) -> DataFrame:
+    """M12 with one model per player (``pooled=False``): a ridge regression of
+    the metric on the player features for every player with at least
+    ``min_rows`` rows.
+
+    The sums of products of a player's rows are all that a linear fit needs;
+    they are plain aggregates (combined map-side, so a player may have any
+    number of rows), and each task then solves the small systems of its
+    players.  Columns: player_id, metric, training_samples, coefficients
+    (intercept first), mse, rmse (on the rows fitted, as with few rows there
+    is no hold-out)."""
+    import numpy as np
+    import pandas as pd
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in PLAYER_FEATURES]]
+    y, k = F.col(metric).cast("double"), len(x)
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = (features.filter(F.col(metric).isNotNull()).groupBy("player_id").agg(
+        F.count("*").alias("n"), F.sum(y * y).alias("yy"),
+        F.array(*[F.sum(x[i] * x[j]) for i, j in upper]).alias("xx"), F.array(*[F.sum(c * y) for c in x]).alias("xy"))
+        .filter(F.col("n") >= min_rows))
+
+    def solve(batches):
+        for b in batches:
+            gram = np.zeros((len(b), k, k))
+            for at, (i, j) in enumerate(upper):
+                gram[:, i, j] = gram[:, j, i] = [v[at] for v in b["xx"]]
+            xy = np.array(b["xy"].tolist()).reshape(len(b), k)
+            weight = np.linalg.solve(gram + ridge * np.eye(k), xy[:, :, None])[:, :, 0] if len(b) else xy
+            error = b["yy"] - 2 * (weight * xy).sum(1) + np.einsum("ni,nij,nj->n", weight, gram, weight)
+            yield pd.DataFrame({"player_id": b["player_id"], "metric": metric, "training_samples": b["n"],
+                                "coefficients": list(weight), "mse": np.maximum(error / b["n"], 0.0)})
+
+    fitted = sums.mapInPandas(solve, "player_id long, metric string, training_samples long, coefficients array<double>, mse double")
+    return fitted.withColumn("rmse", F.sqrt("mse"))
+
+
+def predict_per_player(models: DataFrame, rows: DataFrame) -> DataFrame:
+    """Predictions of ``train_per_player`` models for feature rows of their players."""
+    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in PLAYER_FEATURES])
+    dot = F.aggregate(F.zip_with("coefficients", x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return rows.join(models.select("player_id", "metric", "coefficients"), "player_id").withColumn("prediction", dot).drop("coefficients")
+
+
 def latest_player_state(features: DataFrame) -> DataFrame:
     """Each player's most recent feature row (by date, then match id)."""
     latest = features.groupBy("player_id").agg(

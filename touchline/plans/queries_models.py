@@ -186,6 +186,20 @@ def m13_error_checks(spark, sf_dir):
     return every.select("metric", "training_samples", F.when(wrong, 1).otherwise(0).cast("long").alias("violations"))
 
 
+@register("m12_per_player_samples", _PLAYER_ROWS + f"""
+SELECT player_id, 'rating' AS metric, COUNT(*) AS training_samples, TRUE AS within_spread
+FROM pf WHERE rating IS NOT NULL GROUP BY player_id HAVING COUNT(*) >= {ml.MIN_PLAYER_ROWS}""")
+def m12_per_player_samples(spark, sf_dir):
+    """M12, one model per player: who is fitted, on how many rows, and that
+    no fit is worse than predicting zero."""
+    t = tables(spark, sf_dir)
+    rows = ft.player_features(t.player_match_stats, t.matches, t.opposition_categories, n=10)
+    models = ml.train_per_player(rows, "rating")
+    none = rows.groupBy("player_id").agg(F.avg(F.col("rating") * F.col("rating")).alias("square"))
+    return models.join(none, "player_id").select("player_id", "metric", "training_samples",
+                                                 (F.col("mse") <= F.col("square") + 1e-9).alias("within_spread"))
+
+
 @register("o5_latest_player_rows", f"""SELECT player_id, match_id, match_date, recent_avg_goals, recent_avg_rating
 FROM ({ORACLES["m11_player_features"]}) f
 QUALIFY ROW_NUMBER() OVER (PARTITION BY player_id ORDER BY match_date DESC, match_id DESC) = 1""")
