@@ -11,11 +11,15 @@ a link if the exact Jaccard similarity of its shingle sets is at least the
 threshold; classes are the connected components of the links.
 
 No group is ever paired with itself.  First every text is compared with one
-text only, the smallest of all its bands; this joins most copies.  Later
-rounds look only at bands that still hold texts of two classes: the smallest
-16 (then 64, 256, ...) members are compared with the band's members of other
-classes, and leave the band, until no band is mixed.  So every two texts that
-share a band end in one class or have been compared, whatever a band's size.
+text only, the one of all its bands whose bands are fullest (of near copies
+that is the original, or close to it); this joins most copies.  Later rounds
+look only at bands that still hold texts of two classes: members outside the
+band's largest class, 64 of them (then 256, 1024, ...), are compared with the
+members of other classes and leave the band, until no band is mixed.  So
+every two texts that share a band end in one class or have been compared,
+whatever a band's size.  A pair is left out of a comparison only if its sizes
+or its parity bitmaps (512 bits; they differ in no more bits than the sets in
+shingles) rule the threshold out.
 
 Defined results: equal shingle texts are one node of the graph, so thousands
 of copies cost one comparison; a text with fewer than five words is one
@@ -30,12 +34,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import fresh_name, text_runs, written
@@ -45,6 +50,8 @@ THRESHOLD = 0.8
 BANDS, BAND_SLOTS = 25, 5      # a pair at 0.8 shares no band with probability 5e-5
 KNOWN_WORDS = 400_000
 RUN_CHARS = 2_000_000
+BITMAP = 8                     # 64-bit words of a parity bitmap
+FIRST_CENTRES = 64
 
 _WORD = re.compile(r"\w+").findall
 _FILL = np.uint64(0x5851F42D4C957F2D)
@@ -129,6 +136,14 @@ def band_hashes(signature: np.ndarray, bands: int) -> np.ndarray:
     return value.view(np.int64)
 
 
+def parity_bitmaps(owner: np.ndarray, element: np.ndarray, n_texts: int) -> np.ndarray:
+    """Of each set, which of the bitmap's bits an odd number of elements falls on."""
+    bits = 64 * BITMAP
+    at = owner * bits + (_mix(element + np.uint64(1)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(at, minlength=n_texts * bits).reshape(n_texts, bits) % 2
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
 def _row_key(id_col: str, text_col: str):
     """What tells one row of the input from another: 16 bytes of id and text."""
     parts = [F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(c).cast("string")))
@@ -137,7 +152,7 @@ def _row_key(id_col: str, text_col: str):
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, row_key, node, n (shingles), bands of every row."""
+    """doc_id, row_key, node, n (shingles), bands and parity bitmap (b0, b1, ...) of every row."""
     slim = docs.select(F.col(id_col).alias("doc_id"), _row_key(id_col, text_col).alias("row_key"),
                        F.col(text_col).alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
@@ -152,9 +167,13 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
                     node=keys, n=np.bincount(owner, minlength=len(keys)).astype(np.int32))
                 hashes = band_hashes(signature, bands)
                 out["bands"] = [h if k else None for h, k in zip(hashes, keys)]
+                bitmap = parity_bitmaps(owner, value, len(keys))
+                for i in range(BITMAP):
+                    out[f"b{i}"] = bitmap[:, i]
                 yield out
 
-    return slim.mapInPandas(run, f"doc_id {id_type}, row_key binary, node binary, n int, bands array<long>")
+    bitmap_type = "".join(f", b{i} long" for i in range(BITMAP))
+    return slim.mapInPandas(run, f"doc_id {id_type}, row_key binary, node binary, n int, bands array<long>{bitmap_type}")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -207,41 +226,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _classes(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
     """(node, label) of the nodes that have links."""
-    in_bands = prints.filter("node is not null").select("node", "n", F.explode("bands").alias("band"))
+    in_bands = prints.filter("node is not null").select("node", F.explode("bands").alias("band"))
     shared = (in_bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-              .filter("low <> high").select("band", "low"))
-    members = written(in_bands.join(shared, "band").groupBy("band", "node").agg(
-        F.first("n").alias("n"), F.first("low").alias("low")), "near-members")
-    rows = prints.join(members.select("node").distinct(), "node", "left_semi")
-    sets = written(_shingle_sets(docs, rows.groupBy("node").agg(F.min("row_key").alias("row_key")),
-                                 id_col, text_col, size), "near-sets")
-
-    def alike(n, m):           # sets of very unequal size cannot be that similar
-        return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - F.lit(1e-9)
-
-    sizes = members.groupBy("node").agg(F.first("n").alias("n"))
-    stars = (members.filter("low < node").groupBy("node").agg(F.min("low").alias("a"), F.first("n").alias("n"))
-             .select("a", F.col("node").alias("b"), "n")
-             .join(sizes.toDF("a", "m"), "a").filter(alike(F.col("n"), F.col("m"))).select("a", "b"))
+              .filter("low <> high").select("band"))
+    members = written(in_bands.join(shared, "band", "left_semi").distinct(), "near-members")
+    bitmap = [f"b{i}" for i in range(BITMAP)]
+    nodes = written(prints.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+        F.min("row_key").alias("row_key"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in bitmap]), "near-nodes")
+    sets = written(_shingle_sets(docs, nodes, id_col, text_col, size), "near-sets")
+    traits = nodes.drop("row_key")
+
+    def possible() -> Column:
+        """What a pair (x_a, x_b) must fulfil to reach the threshold."""
+        total = F.col("n_a") + F.col("n_b")
+        least = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - F.lit(1e-9)
+        apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in bitmap])
+        return least & (apart <= F.lit((1 - threshold) / (1 + threshold)) * total + F.lit(1e-9))
+
+    def named_as(df: DataFrame, side: str) -> DataFrame:
+        return df.toDF(*[f"{c}_{side}" for c in df.columns])
+
+    # round one: the member of one's bands that stands in the fullest bands
+    filled = members.groupBy("band").agg(F.count("*").alias("size"))
+    scores = members.join(filled, "band").groupBy("node").agg(F.sum("size").alias("score"))
+    heads = (members.join(scores, "node").groupBy("band").agg(F.max(F.struct("score", "node")).alias("head")))
+    stars = (members.join(heads, "band").groupBy("node").agg(F.max("head").alias("head"))
+             .select(F.col("head.node").alias("centre"), "node").filter("centre <> node"))
+    stars = (stars.join(named_as(traits, "a"), F.col("centre") == F.col("node_a"))
+             .join(named_as(traits, "b"), F.col("node") == F.col("node_b")).filter(possible())
+             .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
     links = written(_verified(stars, sets, threshold), "near-links")
-    open_, centres = members.drop("low"), 16
+    open_, centres = members, FIRST_CENTRES
     while True:
         labels = components(links)
         named = open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = (named.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"))
-                 .filter("l <> h").select("band"))
-        named = written(named.join(mixed, "band", "left_semi"), "near-open")
+        classes = named.groupBy("band", "label").agg(F.count("*").alias("size"))
+        largest = (classes.groupBy("band").agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("classes"))
+                   .filter("classes > 1").select("band", F.col("most.label").alias("main")))
+        named = written(named.join(largest, "band").join(traits, "node"), "near-open")
         if named.isEmpty():
             return labels
         rank = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-        chosen = written(named.withColumn("rank", rank).filter(F.col("rank") <= centres).drop("rank"), "near-centres")
-        a = chosen.toDF(*[f"{c}_a" for c in chosen.columns])
-        b = named.toDF(*[f"{c}_b" for c in named.columns])
-        pairs = (a.join(b, a["band_a"] == b["band_b"])
-                 .filter((F.col("label_a") != F.col("label_b")) & alike(F.col("n_a"), F.col("n_b")))
+        chosen = written(named.filter("label <> main").withColumn("rank", rank).filter(F.col("rank") <= centres)
+                         .drop("rank"), "near-centres")
+        pairs = (named_as(chosen, "a").join(named_as(named, "b"), F.col("band_a") == F.col("band_b"))
+                 .filter((F.col("label_a") != F.col("label_b")) & possible())
                  .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
         links = links.union(written(_verified(pairs, sets, threshold), "near-links"))
-        open_ = named.drop("label").join(chosen.select("band", "node"), ["band", "node"], "left_anti")
+        open_ = named.select("band", "node").join(chosen.select("band", "node"), ["band", "node"], "left_anti")
         centres *= 4
 
 
