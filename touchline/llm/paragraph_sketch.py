@@ -220,7 +220,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     handed = spark.createDataFrame([(firsts[i - 1][0], *first) for i, (_, first) in enumerate(firsts)],
                                    "to int, none int, place long, tie long")
-    heads = (rows.join(handed, ["none", "place", "tie"])
+    # MAX_RANGES + 2 rows of four numbers at most, so the texts stay where they are
+    heads = (rows.join(F.broadcast(handed), ["none", "place", "tie"])
              .select(F.col("to").alias("range"), F.lit(1).alias("head"), "none", "place", "tie", "doc_id", "text")
              .dropDuplicates(["range"]))
     columns = ["range", "head", "none", "place", "tie", "doc_id", "text"]
