@@ -52,6 +52,7 @@ KNOWN_WORDS = 400_000
 RUN_CHARS = 2_000_000
 BITMAP = 8                     # 64-bit words of a parity bitmap
 FIRST_CENTRES = 64
+BROADCAST_KEYS = 500_000       # row keys, about 30 MB in memory
 
 _WORD = re.compile(r"\w+").findall
 _FILL = np.uint64(0x5851F42D4C957F2D)
@@ -178,8 +179,12 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """node, shingles of one row per wanted node; ``wanted``: (row_key)."""
+    # keys of 16 bytes: sent to every task if they are counted and few, so that
+    # the texts of all other documents stay where they are; else both are dealt by key
+    keys = wanted.select("row_key")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     slim = (docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-            .join(wanted.select("row_key"), "row_key", "left_semi"))
+            .join(keys, "row_key", "left_semi"))
     once = Window.partitionBy("row_key").orderBy("row_key")
     slim = slim.withColumn("nth", F.row_number().over(once)).filter("nth = 1").select("text")
 
