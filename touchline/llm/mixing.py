@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import cut_lineage, fresh_name
 
+BROADCAST_SOURCES = 20_000     # rows of about 150 bytes
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,7 +58,7 @@ def cyclic_weights(sources: DataFrame, cycle: Sequence[float] = (5, 2, 1)) -> Da
 def fill_targets(sources: DataFrame, share: float = 1.0, max_epochs: int = 3) -> DataFrame:
     """(source, source_size, weight) -> plus ``target`` (double).
 
-    ``share`` of all words is divided by weight; no target exceeds
+    ``share`` of the words of these sources is divided by weight; no target exceeds
     ``max_epochs`` times its source, and the excess is divided among the
     others by weight until none does.  In the order of cap / weight the
     capped sources come first; the level (words per unit of weight) that is
@@ -139,6 +141,18 @@ def source_cuts(sized: DataFrame, cycle: Sequence[float] = (5, 2, 1), share: flo
             .select("_none", "_src", "source", "source_size", "target", "epochs", "cut_key", "cut_words"))
 
 
+def _with_cuts(rows: DataFrame, cuts: DataFrame, on: list[str], key_col: str) -> DataFrame:
+    """``rows`` (inner) joined with their source's cut.  The cuts go to every
+    task if they are counted and few; more of them are dealt by source and
+    the key's first digit, so that a hot source is sixteen tasks, not one."""
+    cuts = cut_lineage(cuts)
+    if cuts.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(cuts), on)
+    digit = fresh_name(rows, "_digit")
+    spread = cuts.withColumn(digit, F.explode(F.array(*[F.lit(x) for x in "0123456789abcdef"])))
+    return rows.withColumn(digit, F.substring(key_col, 1, 1)).join(spread, [*on, digit]).drop(digit)
+
+
 def _taken(size: Column) -> Column:
     part = (F.when(F.col("key") < F.col("cut_key"), size)
             .when(F.col("key") == F.col("cut_key"), F.col("cut_words")).otherwise(F.lit(0)))
@@ -151,9 +165,13 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     (see the module text for the rules).  ``options``: as ``source_cuts``."""
     sized = cut_lineage(_sized(docs, id_col, text_col, source_col))
     cuts = source_cuts(sized, **options).drop("source")
+    if options.get("weights") is not None:                 # sources without a weight stay in the plan, untaken
+        weighed = cuts
+        every = sized.select(F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_src"))
+        cuts = every.distinct().join(weighed, ["_none", "_src"], "left")
     keyed = sized.withColumn("_none", F.col("source").isNull()).withColumn("_src", F.coalesce("source", F.lit("")))
     taken = F.coalesce(_taken(F.col("size")), F.lit(0).cast("long"))
-    return (keyed.join(cuts, ["_none", "_src"], "left")
+    return (_with_cuts(keyed, cuts, ["_none", "_src"], "key")
             .select("doc_id", "source", "size", "source_size", "target", taken.alias("taken")))
 
 
@@ -175,11 +193,11 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     right = cuts.select(F.col("_none").alias(inner["none"]), F.col("_src").alias(src),
                         *[F.col(c).alias(inner[c]) for c in ("epochs", "cut_key", "cut_words")])
     size, key, part = F.col(inner["size"]), F.col(inner["key"]), F.col(inner["cut_words"])
-    out = (docs.withColumn(src, F.coalesce(F.col(source_col), F.lit("")))
+    keyed = (docs.withColumn(src, F.coalesce(F.col(source_col), F.lit("")))
            .withColumn(inner["none"], F.col(source_col).isNull())
            .withColumn(inner["size"], word_count(F.col(text_col)))
-           .withColumn(inner["key"], hash_key(F.col(id_col), F.col(text_col), F.col(inner["size"])))
-           .join(right, [inner["none"], src]))
+           .withColumn(inner["key"], hash_key(F.col(id_col), F.col(text_col), F.col(inner["size"]))))
+    out = _with_cuts(keyed, right, [inner["none"], src], inner["key"])
     more = (F.when(size == 0, F.lit(0)).when(key < F.col(inner["cut_key"]), F.lit(1))
             .when((key == F.col(inner["cut_key"])) & (part > 0), F.lit(1)).otherwise(F.lit(0)))
     copies = F.col(inner["epochs"]) + more
