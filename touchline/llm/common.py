@@ -50,3 +50,20 @@ def text_runs(texts: Sequence[str], max_chars: int = 1_000_000) -> Iterator[slic
         held += n
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+def arrow_text_runs(batches, column: str = "text", max_bytes: int = 1_000_000):
+    """(record batch, its texts) in runs of about ``max_bytes`` of UTF-8, cut
+    from the Arrow batches before any text becomes a Python string, so that a
+    worker holds one run of strings and not a batch of them."""
+    import numpy as np
+    import pyarrow.compute as pc
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = size[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(size, before + max_bytes, side="right")))
+            run = batch.slice(start, stop - start)
+            yield run, run.column(column).to_pylist()
+            start = stop

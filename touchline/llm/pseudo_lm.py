@@ -33,11 +33,11 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import text_runs, written
+from touchline.llm.common import arrow_text_runs, written
 
 OWN_CLASSES, SUFFIX_CLASSES = 40, 24
 CLASSES = OWN_CLASSES + SUFFIX_CLASSES
@@ -46,7 +46,8 @@ SIDE = 2                       # words seen on either side
 EMBED, HIDDEN = 8, 32
 BATCH, RATE = 2048, 0.5
 ROUNDS = (8, 1)                # a round trains on one in so many documents
-RUN_CHARS = 2_000_000
+RUN_BYTES = 1_000_000          # of text worked on at a time
+COUNTED_WORDS = 100_000        # distinct words a task counts before it sends them on
 SHAPES = ((CLASSES + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 
 
@@ -80,18 +81,22 @@ class _Numbers(dict):
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, n) over all documents; each task sends its counts once."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"]:
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
+
+        for _, texts in arrow_text_runs(batches, max_bytes=RUN_BYTES):
+            for text in texts:
                 total.update(words_of(text))
-            if len(total) > 300_000:                       # bounded: Spark adds up the rest
-                yield pd.DataFrame({"word": list(total), "n": list(total.values())})
-                total.clear()
+            if len(total) > COUNTED_WORDS:                 # bounded: Spark adds up the rest
+                yield rows()
+                total = Counter()
         if total:
-            yield pd.DataFrame({"word": list(total), "n": list(total.values())})
+            yield rows()
 
-    return (docs.select(F.col(text_col).alias("text")).mapInPandas(count, "word string, n long")
+    return (docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
@@ -177,27 +182,26 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds: Se
     for one_in in rounds:
         shared = docs.sparkSession.sparkContext.broadcast((vocab, weights))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             vocab_, start = shared.value
             numbers, mine, seen = vocab_.numbering(), [w.copy() for w in start], 0
-            for batch in batches:
-                texts = batch["text"].tolist()
-                for part in text_runs(texts, RUN_CHARS):
-                    owner, number = numbered(texts[part], numbers)
-                    cls = vocab_.word_class[number]
-                    window = windows(owner, cls, part.stop - part.start)
-                    # words of all texts of the run mixed, so that a batch is not one text
-                    order = np.random.default_rng(len(cls)).permutation(len(cls))
-                    for i in range(0, len(cls), BATCH):
-                        at = order[i:i + BATCH]
-                        train_batch(mine, window[at], cls[at], rate * len(at) / BATCH)
-                    seen += len(cls)
+            for _, texts in arrow_text_runs(batches, max_bytes=RUN_BYTES):
+                owner, number = numbered(texts, numbers)
+                cls = vocab_.word_class[number]
+                window = windows(owner, cls, len(texts))
+                # words of all texts of the run mixed, so that a batch is not one text
+                order = np.random.default_rng(len(cls)).permutation(len(cls))
+                for i in range(0, len(cls), BATCH):
+                    at = order[i:i + BATCH]
+                    train_batch(mine, window[at], cls[at], rate * len(at) / BATCH)
+                seen += len(cls)
             if seen:
                 flat = np.concatenate([w.ravel() for w in mine]).astype(np.float64)
-                yield pd.DataFrame({"at": np.arange(len(flat)), "w": flat * seen, "n": float(seen)})
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen),
+                                                  pa.array(np.full(len(flat), float(seen)))], ["at", "w", "n"])
 
         rows = slim.filter(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0) if one_in > 1 else slim
-        mean = (rows.mapInPandas(run, "at int, w double, n double").groupBy("at")
+        mean = (rows.mapInArrow(run, "at int, w double, n double").groupBy("at")
                 .agg((F.sum("w") / F.sum("n")).alias("w")).orderBy("at").toPandas()["w"].to_numpy())
         if len(mean):
             cuts = np.cumsum([int(np.prod(s)) for s in SHAPES])[:-1]
@@ -228,14 +232,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab_, weights_ = shared.value
         numbers = vocab_.numbering()
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for part in text_runs(texts, RUN_CHARS):
-                n, total = score_texts(vocab_, weights_, numbers, texts[part])
-                yield batch[["doc_id"]].iloc[part].assign(n_words=n.astype(np.int64), log_likelihood=total)
+        for batch, texts in arrow_text_runs(batches, max_bytes=RUN_BYTES):
+            n, total = score_texts(vocab_, weights_, numbers, texts)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total.astype(np.float64))],
+                                             ["doc_id", "n_words", "log_likelihood"])
 
-    scored = slim.mapInPandas(run, f"doc_id {id_type}, n_words long, log_likelihood double")
+    scored = slim.mapInArrow(run, f"doc_id {id_type}, n_words long, log_likelihood double")
     return scored.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
