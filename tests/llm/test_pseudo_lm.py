@@ -51,6 +51,17 @@ def test_vocabulary_and_scores(spark):
         assert abs(total - by[i].log_likelihood) < 1e-2 * max(1, len(number))
 
 
+def test_vocabulary_is_the_most_frequent_words(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 30 + 1))) for i in range(300)]
+    count = {}
+    for _, t in rows:
+        for w in t.split():
+            count[w] = count.get(w, 0) + 1
+    for size in (1, 7, 30, 500):
+        want = sorted(count, key=lambda w: (-count[w], w))[:size]
+        assert lm.learn_vocabulary(documents(spark, rows), vocabulary=size).words == want
+
+
 def test_learns_from_both_sides(spark):
     rng = np.random.default_rng(1)
     words = [f"w{i}x" for i in range(6)]

@@ -102,7 +102,15 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 def learn_vocabulary(docs: DataFrame, text_col: str = "text", vocabulary: int = 50_000) -> Vocabulary:
     counts = written(word_counts(docs, text_col), "lm-words")
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toPandas()
+    # words by powers of two of their count (64 rows at most): those below the power in which the
+    # vocabulary ends need not be ranked, so that partitions do not each send a vocabulary to the driver
+    power = F.length(F.bin("n")) - 1
+    at_least, words_above = 0, 0
+    for r in sorted(counts.groupBy(power.alias("p")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        at_least, words_above = 2 ** r["p"], words_above + r["words"]
+        if words_above >= vocabulary:
+            break
+    top = counts.filter(F.col("n") >= at_least).orderBy(F.desc("n"), "word").limit(vocabulary).toPandas()
     suffix = (F.crc32(F.right(F.col("word"), F.lit(2)).cast("binary")) % SUFFIX_CLASSES + OWN_CLASSES).cast("int")
     totals = {r["c"]: (r["n"], r["words"]) for r in counts.groupBy(suffix.alias("c")).agg(
         F.sum("n").alias("n"), F.count("*").alias("words")).collect()}       # SUFFIX_CLASSES rows
