@@ -75,6 +75,44 @@ def test_learns_from_both_sides(spark):
     assert known[1].sum() / known[0].sum() > mixed[1].sum() / mixed[0].sum() + 0.2
 
 
+def test_scores_do_not_depend_on_the_vocabulary(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 211}" for j in range(i % 40 + 1))) for i in range(200)] + [(7, "w1 w1"), (None, "w210 once")]
+    few, all_ = (sorted((r.doc_id or -1, r.n_words, round(r.log_likelihood, 2)) for r in lm.score_documents(
+        documents(spark, rows).coalesce(1), vocabulary=v, rounds=(1,)).collect()) for v in (41, 1000))
+    assert len(few) == len(rows) and few == all_
+
+
+def test_classes_grow_and_probabilities_of_all_words_sum_to_one(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 100, i * 100 + 150))) for i in range(60)]
+    docs = documents(spark, rows)
+    vocab = lm.learn_vocabulary(docs, vocabulary=100_000)
+    assert vocab.groups == 16 and len(set(vocab.word_class[:160])) == 160
+    weights = lm.start_weights(groups=16, class_count=vocab.class_count)
+    window = np.array([[3, 200, lm.EDGE, lm.EDGE], [1, 2, 3, 4]])
+    z = lm.forward(weights, window)[2]
+    n = len(vocab.words)
+    total = np.exp(z[0][vocab.word_class[:n]] + vocab.log_in_class[:n]).sum()
+    unseen = np.exp(z[0] + vocab.log_in_class[n:])[160:].sum()
+    assert abs(total + unseen - 1) < 1e-3
+    target = np.array([250, 17])
+    assert np.allclose(lm.class_log_p(weights, window, target), z[[0, 1], target], atol=1e-4)
+
+
+def test_gradient_with_many_groups_and_edges():
+    rng = np.random.default_rng(0)
+    weights = [w.astype(np.float64) for w in lm.start_weights(groups=16)]
+    window, target = rng.integers(-1, 256, (50, 4)), rng.integers(0, 256, 50)
+    window[0, 0] = lm.EDGE
+    loss = lambda w: -lm.class_log_p(w, window, target).mean()
+    stepped = [w.copy() for w in weights]
+    lm.train_batch(stepped, window, target, 1.0)
+    for k, at in ((0, (256, 1)), (1, (3, 4)), (3, (6, int(target[0]))), (4, (int(target[1]),)), (5, (6, 7)), (6, (8,))):
+        up, down = [w.copy() for w in weights], [w.copy() for w in weights]
+        up[k][at] += 1e-5
+        down[k][at] -= 1e-5
+        assert abs((loss(up) - loss(down)) / 2e-5 - (weights[k][at] - stepped[k][at])) < 1e-6
+
+
 def test_empty(spark):
     assert lm.score_documents(spark.createDataFrame([], DOCS)).count() == 0
     assert [r.log_likelihood for r in lm.score_documents(documents(spark, [(1, None), (2, "")])).collect()] == [0.0, 0.0]

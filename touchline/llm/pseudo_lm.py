@@ -1,18 +1,30 @@
 """Operator 6: masked pseudo-likelihood scores.
 
-Words fall into 64 classes: the most frequent 40 words are classes of their
-own, the others go by their last two letters.  A small network (two words to
-either side -> embeddings -> tanh layer -> softmax) predicts the class of
-every word with that word masked; given its class, a word has its corpus
-frequency (smoothed; words outside the vocabulary share what their class has
-left).  A document's score is the sum of the conditional log-probabilities of
-all its words, each predicted from both sides.
-
-Word counts come from all documents (one Spark aggregation).  Training is
-data parallel in numpy: every task runs its documents through the network
-from common weights, Spark averages the weights by words seen; the first
-round passes over an eighth of the documents (by hash of the text), so that
-the second, over all of them, starts every task in the same basin.
+Words fall into classes, and classes into groups of as many classes as there
+are groups: G groups of G classes, G the fourth root of the number of distinct
+words of the corpus, rounded up to a multiple of 8 (so the classes grow with
+the square root of the words).  Five eighths of the groups hold the most
+frequent words in order of count, each a class of its own; of all other words
+the last two letters give the group and the last four the class.  A small
+network (two words to either side -> embeddings of their classes -> tanh layer
+-> softmax over groups, softmax over the classes of the word's group) predicts
+every word with that word masked:
+
+    P(word | context) = P(group | context) P(class | group, context) P(word | class)
+
+and P(word | class) is the word's count over that of its class (plus one, for
+a word never seen); it is 1 for words with a class of their own.  A document's
+score is the sum of the log-probabilities of all its words, each predicted
+from both sides.
+
+Word counts come from all documents and stay a Spark table of all words.  The
+tasks hold the ``vocabulary`` most frequent; the other words of a document are
+joined with the table, so a score does not depend on ``vocabulary``.  Training
+is data parallel in numpy: every task runs its documents through the network
+from common weights (whose biases are the classes' frequencies), Spark
+averages the weights by words seen; the first round passes over an eighth of
+the documents (by hash of the text), so that the second, over all of them,
+starts every task in the same basin.
 
 Defined results: a null, empty or blank text has 0 words, sum 0 and no mean;
 texts are scored whole and on their own, so repeated rows and ties cannot
@@ -20,8 +32,9 @@ matter (ties in the vocabulary go to the smaller word); without any word in
 the corpus nothing is trained and every score is 0; other columns are
 ignored; an empty table gives an empty one.
 
-Bounds: the model is 64 classes and ``vocabulary`` words, whatever the
-corpus; weights are averaged in Spark, and only the averages reach the driver.
+Bounds: tasks and driver hold ``vocabulary`` words and weights that grow with
+the square root of the number of distinct words; weights are averaged in
+Spark, and only the averages reach the driver.
 """
 
 from __future__ import annotations
@@ -34,49 +47,77 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.common import arrow_text_runs, written
 
-OWN_CLASSES, SUFFIX_CLASSES = 40, 24
-CLASSES = OWN_CLASSES + SUFFIX_CLASSES
-EDGE = CLASSES                 # what stands beyond either end of a text
+LEAST_GROUPS = 8               # a multiple of 8, like every number of groups
+CLASSES = LEAST_GROUPS**2      # of a small corpus
+EDGE = -1                      # what stands beyond either end of a text; the last embedding
 SIDE = 2                       # words seen on either side
 EMBED, HIDDEN = 8, 32
 BATCH, RATE = 2048, 0.5
 ROUNDS = (8, 1)                # a round trains on one in so many documents
 RUN_BYTES = 1_000_000          # of text worked on at a time
 COUNTED_WORDS = 100_000        # distinct words a task counts before it sends them on
-SHAPES = ((CLASSES + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+
+
+def groups_for(distinct_words: int) -> int:
+    """Groups of classes, and classes of a group, for so many distinct words."""
+    return max(LEAST_GROUPS, 8 * int(np.ceil(distinct_words**0.25 / 8)))
+
+
+def own_classes(groups: int) -> int:
+    return groups // 8 * 5 * groups
+
+
+def shapes(groups: int) -> tuple[tuple[int, ...], ...]:
+    """Of embeddings, hidden layer, classes by group, groups; with biases."""
+    return ((groups**2 + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, groups**2), (groups**2,),
+            (HIDDEN, groups), (groups,))
 
 
 def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def suffix_class(word: str) -> int:
-    return OWN_CLASSES + zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % SUFFIX_CLASSES
+def _crc(word: str, letters: int) -> int:
+    return zlib.crc32(word[-letters:].encode("utf-8", "surrogatepass"))
+
+
+def suffix_class(word: str, groups: int = LEAST_GROUPS) -> int:
+    return own_classes(groups) + _crc(word, 2) % (groups // 8 * 3) * groups + _crc(word, 4) % groups
+
+
+def _suffix_class(word: Column, groups: int) -> Column:
+    """The same in Spark."""
+    crc = lambda letters: F.crc32(F.right(word, F.lit(letters)).cast("binary"))
+    return (own_classes(groups) + crc(2) % (groups // 8 * 3) * groups + crc(4) % groups).cast("int")
 
 
 @dataclass
 class Vocabulary:
-    """Words by number; numbers from len(words) on are the other words of a suffix class."""
+    """Words by number; numbers from len(words) on are the other words of a class."""
     words: list[str]
     word_class: np.ndarray     # of words, then of the classes' other words
-    log_in_class: np.ndarray   # log P(word | class)
+    log_in_class: np.ndarray   # log P(word | class); of other words that of one occurrence
+    groups: int
+    class_count: np.ndarray    # occurrences of each class's words
+    least: int                 # count of the last of words
 
     def numbering(self) -> _Numbers:
-        return _Numbers({w: i for i, w in enumerate(self.words)}, len(self.words))
+        return _Numbers({w: i for i, w in enumerate(self.words)}, len(self.words), self.groups)
 
 
 class _Numbers(dict):
-    def __init__(self, known: dict[str, int], first_other: int):
+    def __init__(self, known: dict[str, int], first_other: int, groups: int):
         super().__init__(known)
-        self.first_other = first_other
+        self.first_other, self.groups = first_other, groups
 
     def __missing__(self, word: str) -> int:
-        return self.first_other + suffix_class(word)
+        return self.first_other + suffix_class(word, self.groups)
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -101,7 +142,11 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def learn_vocabulary(docs: DataFrame, text_col: str = "text", vocabulary: int = 50_000) -> Vocabulary:
-    counts = written(word_counts(docs, text_col), "lm-words")
+    return _vocabulary(written(word_counts(docs, text_col), "lm-words"), vocabulary)
+
+
+def _vocabulary(counts: DataFrame, vocabulary: int) -> Vocabulary:
+    groups = groups_for(counts.count())
     # words by powers of two of their count (64 rows at most): those below the power in which the
     # vocabulary ends need not be ranked, so that partitions do not each send a vocabulary to the driver
     power = F.length(F.bin("n")) - 1
@@ -111,35 +156,38 @@ def learn_vocabulary(docs: DataFrame, text_col: str = "text", vocabulary: int =
         if words_above >= vocabulary:
             break
     top = counts.filter(F.col("n") >= at_least).orderBy(F.desc("n"), "word").limit(vocabulary).toPandas()
-    suffix = (F.crc32(F.right(F.col("word"), F.lit(2)).cast("binary")) % SUFFIX_CLASSES + OWN_CLASSES).cast("int")
-    totals = {r["c"]: (r["n"], r["words"]) for r in counts.groupBy(suffix.alias("c")).agg(
-        F.sum("n").alias("n"), F.count("*").alias("words")).collect()}       # SUFFIX_CLASSES rows
-    words, n = top["word"].tolist(), top["n"].to_numpy(np.float64)
-    by_suffix = np.array([suffix_class(w) for w in words], int)
-    cls = by_suffix.copy()
-    own = np.arange(min(OWN_CLASSES, len(words)))
+    totals = counts.groupBy(_suffix_class(F.col("word"), groups).alias("c")).agg(F.sum("n").alias("n")).collect()
+    words, n = top["word"].tolist(), top["n"].to_numpy(np.float64)       # totals: a row a class at most
+    cls = np.array([suffix_class(w, groups) for w in words], int)
+    count = np.zeros(groups**2)
+    for r in totals:
+        count[r["c"]] = r["n"]
+    own = np.arange(min(own_classes(groups), len(words)))
+    np.subtract.at(count, cls[own], n[own])
     cls[own] = own
-    log_p = np.zeros(len(words) + CLASSES)
-    for c in range(OWN_CLASSES, CLASSES):
-        all_n, all_words = totals.get(c, (0, 0))
-        mine, named = cls == c, by_suffix == c
-        rest_n = all_n - n[named].sum()                    # occurrences of words outside the vocabulary
-        rest_words = all_words - named.sum() + 1           # and one that was never seen
-        whole = n[mine].sum() + rest_n + 1.0
-        log_p[:len(words)][mine] = np.log(n[mine] / whole)
-        log_p[len(words) + c] = np.log((rest_n + 1.0) / whole / rest_words)
-    return Vocabulary(words, np.concatenate([cls, np.arange(CLASSES)]), log_p)
-
-
-def start_weights(seed: int = 7) -> list[np.ndarray]:
+    count[own] = n[own]
+    log_whole = np.log(np.maximum(count + (np.arange(groups**2) >= own_classes(groups)), 1))
+    log_p = np.concatenate([np.log(n) - log_whole[cls], -log_whole])
+    return Vocabulary(words, np.concatenate([cls, np.arange(groups**2)]), log_p, groups, count,
+                      int(n[-1]) if len(n) else 0)
+
+
+def start_weights(seed: int = 7, groups: int = LEAST_GROUPS, class_count: np.ndarray | None = None) -> list[np.ndarray]:
     rng = np.random.default_rng(seed)
-    return [(rng.standard_normal(s) / np.sqrt(s[0] if len(s) > 1 and s[0] != CLASSES + 1 else 4)
-             if len(s) > 1 else np.zeros(s)).astype(np.float32) for s in SHAPES]
+    weights = [(rng.standard_normal(s) / np.sqrt(s[0] if len(s) > 1 and s[0] != groups**2 + 1 else 4)
+                if len(s) > 1 else np.zeros(s)).astype(np.float32) for s in shapes(groups)]
+    if class_count is not None:
+        weights[4][:] = np.log(class_count + 1.0)
+        weights[6][:] = np.log(class_count.reshape(groups, groups).sum(1) + 1.0)
+    return weights
 
 
 def numbered(texts: Sequence[str | None], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray]:
     """(text number, word number) of all words."""
-    found = [words_of(t) for t in texts]
+    return _numbered([words_of(t) for t in texts], numbers)
+
+
+def _numbered(found: list[list[str]], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(f) for f in found], np.int64)
     flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(found)), np.int64, n.sum())
     return np.repeat(np.arange(len(found)), n), flat
@@ -153,39 +201,91 @@ def windows(owner: np.ndarray, cls: np.ndarray, n_texts: int) -> np.ndarray:
     return np.stack([line[at + o] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
+def _hidden(weights: list[np.ndarray], window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and hidden layer."""
+    embed, w1, b1 = weights[:3]
+    x = embed[window].reshape(len(window), -1)
+    return x, np.tanh(x @ w1 + b1)
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(-1, keepdims=True)
+    z -= np.log(np.exp(z).sum(-1, keepdims=True))
+    return z
+
+
+def _by_group(target: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+    """An order of the targets by group, and of every group that occurs its rows in that order and its classes."""
+    group = target // groups
+    ends = np.cumsum(np.bincount(group, minlength=groups))
+    return np.argsort(group, kind="stable"), [(slice(ends[g - 1] if g else 0, ends[g]), slice(g * groups, (g + 1) * groups))
+                                              for g in np.unique(group)]
+
+
+def _levels(weights: list[np.ndarray], h: np.ndarray, target: np.ndarray, parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of all groups, and of the classes of the target's group; targets stand in order of groups."""
+    w2, b2, w3, b3 = weights[3:]
+    groups = len(b3)
+    inner = b2.reshape(groups, groups)[target // groups]
+    for rows, classes in parts:
+        inner[rows] += h[rows] @ w2[:, classes]
+    return _log_softmax(h @ w3 + b3), _log_softmax(inner)
+
+
 def forward(weights: list[np.ndarray], window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, hidden layer and log-probabilities of all classes."""
-    embed, w1, b1, w2, b2 = weights
-    x = embed[window].reshape(len(window), -1)
-    h = np.tanh(x @ w1 + b1)
-    z = h @ w2 + b2
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return x, h, z
+    w2, b2, w3, b3 = weights[3:]
+    x, h = _hidden(weights, window)
+    inner = _log_softmax((h @ w2 + b2).reshape(len(h), len(b3), -1))
+    return x, h, (inner + _log_softmax(h @ w3 + b3)[:, :, None]).reshape(len(h), -1)
+
+
+def class_log_p(weights: list[np.ndarray], window: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """forward()'s log-probability of the target class alone."""
+    groups = len(weights[6])
+    order, parts = _by_group(target, groups)
+    target = target[order]
+    at = np.arange(len(target))
+    outer, inner = _levels(weights, _hidden(weights, window[order])[1], target, parts)
+    out = np.empty(len(target), outer.dtype)
+    out[order] = outer[at, target // groups] + inner[at, target % groups]
+    return out
 
 
 def train_batch(weights: list[np.ndarray], window: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on the mean conditional log-likelihood, in place."""
-    embed, w1, b1, w2, b2 = weights
-    x, h, z = forward(weights, window)
-    g = np.exp(z)
-    g[np.arange(len(g)), target] -= 1.0
-    g *= rate / len(g)
-    gh = (g @ w2.T) * (1.0 - h * h)
+    embed, w1, b1, w2, b2, w3, b3 = weights
+    groups = len(b3)
+    order, parts = _by_group(target, groups)
+    window, target = window[order], target[order]
+    at = np.arange(len(target))
+    x, h = _hidden(weights, window)
+    outer, inner = _levels(weights, h, target, parts)
+    go, gi = np.exp(outer), np.exp(inner)
+    go[at, target // groups] -= 1.0
+    gi[at, target % groups] -= 1.0
+    go *= rate / len(at)
+    gi *= rate / len(at)
+    gh = go @ w3.T
+    for rows, classes in parts:
+        gh[rows] += gi[rows] @ w2[:, classes].T
+        w2[:, classes] -= h[rows].T @ gi[rows]
+        b2[classes] -= gi[rows].sum(0)
+    gh *= 1.0 - h * h
     gx = (gh @ w1.T).reshape(-1, EMBED)
-    w2 -= h.T @ g
-    b2 -= g.sum(0)
+    w3 -= h.T @ go
+    b3 -= go.sum(0)
     w1 -= x.T @ gh
     b1 -= gh.sum(0)
-    flat = window.reshape(-1)
+    flat = window.reshape(-1) % len(embed)                 # EDGE is the last
     for d in range(EMBED):
-        embed[:, d] -= np.bincount(flat, gx[:, d], CLASSES + 1).astype(np.float32)
+        embed[:, d] -= np.bincount(flat, gx[:, d], len(embed)).astype(np.float32)
 
 
 def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds: Sequence[int] = ROUNDS,
           rate: float = RATE) -> list[np.ndarray]:
     """Weights after the given rounds of data-parallel training."""
-    weights = start_weights()
+    weights = start_weights(groups=vocab.groups, class_count=vocab.class_count)
     slim = docs.select(F.col(text_col).alias("text"))
     for one_in in rounds:
         shared = docs.sparkSession.sparkContext.broadcast((vocab, weights))
@@ -212,29 +312,34 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds: Se
         mean = (rows.mapInArrow(run, "at int, w double, n double").groupBy("at")
                 .agg((F.sum("w") / F.sum("n")).alias("w")).orderBy("at").toPandas()["w"].to_numpy())
         if len(mean):
-            cuts = np.cumsum([int(np.prod(s)) for s in SHAPES])[:-1]
-            weights = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(mean, cuts), SHAPES)]
+            cuts = np.cumsum([int(np.prod(s)) for s in shapes(vocab.groups)])[:-1]
+            weights = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(mean, cuts), shapes(vocab.groups))]
     return weights
 
 
 def score_texts(vocab: Vocabulary, weights: list[np.ndarray], numbers: _Numbers,
                 texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(words, summed log-probability) of each text."""
-    owner, number = numbered(texts, numbers)
+    """(words, summed log-probability) of each text; words outside the vocabulary count as seen once."""
+    return _score(vocab, weights, numbers, [words_of(t) for t in texts])
+
+
+def _score(vocab: Vocabulary, weights: list[np.ndarray], numbers: _Numbers,
+           found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    owner, number = _numbered(found, numbers)
     cls = vocab.word_class[number]
-    window = windows(owner, cls, len(texts))
+    window = windows(owner, cls, len(found))
     log_p = vocab.log_in_class[number]
     for i in range(0, len(cls), 4 * BATCH):
         part = slice(i, i + 4 * BATCH)
-        z = forward(weights, window[part])[2]
-        log_p[part] += z[np.arange(len(z)), cls[part]]
-    return np.bincount(owner, minlength=len(texts)), np.bincount(owner, log_p, len(texts))
+        log_p[part] += class_log_p(weights, window[part], cls[part])
+    return np.bincount(owner, minlength=len(found)), np.bincount(owner, log_p, len(found))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 50_000,
                     rounds: Sequence[int] = ROUNDS) -> DataFrame:
     """doc_id, n_words, log_likelihood (sum), mean_log_likelihood of every document."""
-    vocab = learn_vocabulary(docs, text_col, vocabulary)
+    counts = written(word_counts(docs, text_col), "lm-words")
+    vocab = _vocabulary(counts, max(vocabulary, own_classes(groups_for(counts.count()))))
     weights = train(docs, vocab, text_col, rounds)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, weights))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -243,10 +348,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab_, weights_ = shared.value
         numbers = vocab_.numbering()
+        row = TaskContext.get().partitionId() << 40        # ids can repeat or be null
         for batch, texts in arrow_text_runs(batches, max_bytes=RUN_BYTES):
-            n, total = score_texts(vocab_, weights_, numbers, texts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total.astype(np.float64))],
-                                             ["doc_id", "n_words", "log_likelihood"])
-
-    scored = slim.mapInArrow(run, f"doc_id {id_type}, n_words long, log_likelihood double")
+            found = [words_of(t) for t in texts]
+            n, total = _score(vocab_, weights_, numbers, found)
+            others = [[w for w in words if w not in numbers] for words in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(texts))), batch.column("doc_id"), pa.array(n.astype(np.int64)),
+                                              pa.array(total.astype(np.float64)), pa.array(others, pa.list_(pa.string()))],
+                                             ["row", "doc_id", "n_words", "log_likelihood", "others"])
+            row += len(texts)
+
+    scored = written(slim.mapInArrow(run, f"row long, doc_id {id_type}, n_words long, log_likelihood double, others array<string>"), "lm-scored")
+    # words outside the vocabulary were taken as seen once; each occurs in at most one in
+    # ``vocabulary`` of all places, so that no word fills a task
+    more = (scored.select("row", F.explode("others").alias("word"))
+            .join(counts.filter(F.col("n") <= vocab.least), "word")
+            .groupBy("row").agg(F.sum(F.ln("n")).alias("more")))
+    scored = (scored.drop("others").join(more, "row", "left")
+              .withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))).drop("row", "more"))
     return scored.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
