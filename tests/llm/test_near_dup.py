@@ -77,6 +77,16 @@ def test_one_of_each_class_stays(spark):
     assert sorted(ids) == sorted({c for _, c in brute(rows)})
 
 
+def test_unequally_repeated_lines_do_not_hide_links(spark):
+    # Jaccard 200 / 244 of the sets; the 40 other shingles occur 20 times each
+    rows = []
+    for i in range(40):
+        base, line = ([f"{kind}{i}x{j}" for j in range(n)] for kind, n in (("w", 204), ("r", 40)))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + line * 20))]
+    got = {r.doc_id: r.class_id for r in near_duplicates(documents(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(80)} == dict(brute(rows))
+
+
 def test_signature_agreement_is_probability_jaccard():
     rnd = np.random.default_rng(1)
     element = rnd.integers(1, 2**62, 60).astype(np.uint64)

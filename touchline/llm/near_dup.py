@@ -1,11 +1,12 @@
 """Operator 3: near-duplicates by ProbMinHash, banding and exact verification.
 
-A text is the weighted set of its five-word shingles (lower case, word
-characters; weight 1 + ln(count)).  Each shingle is a Poisson process of that
-rate, seeded by the shingle alone: its arrivals fall on random signature
+A text is the set of its five-word shingles (lower case, word characters; how
+often one occurs does not count).  Each shingle is a Poisson process of rate 1,
+seeded by the shingle alone: its arrivals fall on random signature
 slots, a slot keeps its earliest arrival, and a shingle ends as soon as its
 next arrival is later than every slot of the document.  Two signatures then
-agree in a slot with the probability Jaccard similarity of the two sets.
+agree in a slot with the Jaccard similarity of the two sets (ProbMinHash's
+probability Jaccard of equal weights), the similarity that is verified.
 Slots are banded; texts that share a band are candidates; a candidate pair is
 a link if the exact Jaccard similarity of its shingle sets is at least the
 threshold; classes are the connected components of the links.
@@ -162,8 +163,9 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
         for batch in batches:
             texts = batch["text"].tolist()
             for part in text_runs(texts, RUN_CHARS):
-                owner, value, count, keys = shingles(texts[part], size)
-                signature = signatures(owner, value, 1.0 + np.log(count), len(keys), bands * rows)
+                owner, value, _, keys = shingles(texts[part], size)
+                # equal weights: the links are verified on sets, so weights would lose texts that repeat unequally
+                signature = signatures(owner, value, np.ones(len(owner)), len(keys), bands * rows)
                 out = batch[["doc_id", "row_key"]].iloc[part].assign(
                     node=keys, n=np.bincount(owner, minlength=len(keys)).astype(np.int32))
                 hashes = band_hashes(signature, bands)
