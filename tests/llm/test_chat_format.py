@@ -60,5 +60,14 @@ def test_equals_brute_force(spark):
     assert joined(rotate(table)) == brute(rows)
 
 
+def test_copies_of_one_turn_are_cut(spark):
+    rows = [(1, 2, "ann", "again")] * 5000 + [(1, 2, "bob", f"crowd {t}") for t in range(700)] + [(1, 2, "bob", "too")] * 300
+    rows += [(1, 70, "ann", "later"), (2, 0, "ann", "other"), (2, 0, "ann", "other")]
+    table = spark.createDataFrame(rows, SCHEMA)
+    got = rotate(table)
+    assert joined(got) == brute(rows)
+    assert got.agg(F.max("n_turns"), F.sum("n_turns")).first() == (256, 2 * 6001 + 2)
+
+
 def test_empty(spark):
     assert rotate(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -6,7 +6,8 @@ what the speaker said (text and end mark).  System turns are system turns in
 every view.
 
 A conversation is cut into parts of 64 turn numbers (more finely where a part
-would hold more than 256 rows), so that a conversation that fills a third of
+would hold more than 256 rows: by turn number, by the hash of role and text
+and by position in that order; copies of a turn are counted first), so that a conversation that fills a third of
 the table is many rows of bounded size; the parts in order are the whole
 dialogue, and spans count from the start of their part.
 
@@ -21,7 +22,7 @@ gives an empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_TURNS, PART_ROWS = 64, 256
@@ -72,15 +73,26 @@ def rotate(table: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
              .select("conv_id", "speaker", F.lit("0").alias("part"),
                      F.array(F.struct("place", "tie", "role", "said")).alias("turns")))
     rows = rows.filter(F.col("conv_id").isNotNull())
-    # rows of a part; larger parts are cut by turn and by ranges of the tie order
+    # rows of a part; larger parts are cut by turn, by ranges of the tie order and, as copies
+    # have one place in that order, by position, copies being one row until then
     crowded = (rows.groupBy("conv_id", "block").agg(F.count("*").alias("n")).filter(F.col("n") > PART_ROWS)
                .select("conv_id", "block", F.ceil(F.col("n") / PART_ROWS).alias("cuts")))
+    rows_cut = rows.join(crowded, ["conv_id", "block"], "left")
+    turn = ["place", "tie", "role", "said"]
+    whole = rows_cut.filter("cuts is null").select("conv_id", F.col("block").cast("string").alias("part"), *turn, F.lit(1).alias("copies"))
     cut = F.floor(F.conv(F.substring("tie", 1, 4), 16, 10).cast("long") * F.col("cuts") / 65536)
-    part = (F.when(F.col("cuts").isNull(), F.col("block").cast("string"))
-            .otherwise(F.concat_ws("/", F.col("block"), F.col("place"), cut)))
-    parts = (rows.join(crowded, ["conv_id", "block"], "left").withColumn("part", part)
-             .groupBy("conv_id", "part")
-             .agg(F.array_sort(F.collect_list(F.struct("place", "tie", "role", "said"))).alias("turns")))
+    order = Window.partitionBy("conv_id", "block", "place", "cut").orderBy("tie", "role", "said")
+    begin, end = F.greatest("begin", F.col("chunk") * PART_ROWS), F.least("end", (F.col("chunk") + 1) * PART_ROWS)
+    chunks = F.sequence(F.floor(F.col("begin") / PART_ROWS), F.floor((F.col("end") - 1) / PART_ROWS))
+    cut_up = (rows_cut.filter("cuts is not null").withColumn("cut", cut)
+              .groupBy("conv_id", "block", "cut", *turn).agg(F.count("*").alias("n"))
+              .withColumn("end", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("begin", F.col("end") - F.col("n")).withColumn("chunk", F.explode(chunks))
+              .select("conv_id", F.concat_ws("/", "block", "place", "cut", "chunk").alias("part"), *turn,
+                      (end - begin).cast("int").alias("copies")))
+    said = F.array_sort(F.collect_list(F.struct(*turn, "copies")))
+    parts = (whole.union(cut_up).groupBy("conv_id", "part").agg(said.alias("turns"))
+             .withColumn("turns", F.flatten(F.transform("turns", lambda t: F.array_repeat(F.struct(*[t[c] for c in turn]), t["copies"])))))
     speakers = rows.filter(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("speaker")).distinct()
     views = parts.join(speakers, "conv_id", "left").select("conv_id", "speaker", "part", "turns").union(alone)
     return (views.withColumn("view", _render(F.col("speaker"), F.col("turns")))
