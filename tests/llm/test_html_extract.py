@@ -52,6 +52,27 @@ def test_short_articles_stay_and_odd_input():
     assert len(extract("<article><p>" + "the word of and " * 100_000)[0]) == 1_599_999
 
 
+def test_marks_are_evidence_and_text_decides():
+    good = re.sub(r"\s+", " ", GOOD).strip()
+    pills = "buy cheap pills now " * 12
+    assert extract(f"<main><p>{GOOD}</p><p>{pills}</p><p>Yes.</p></main>") == [good, "Yes."]
+    cards = "".join(f"<article><a href=x>Teaser {i} of the day</a></article>" for i in range(4))
+    assert extract(f"<body>{cards}<div><p>{GOOD}</p></div></body>") == [good]
+    for name in ("has-sidebar", "comments-open", "search-page"):
+        page = f"<body><div class='{name}'><div><p>{GOOD}</p><p>{GOOD}</p></div><div class=sidebar>{GOOD}</div></div></body>"
+        assert extract(page) == [good, good]
+    assert extract(f"<div id=related><main><p>Hi</p></main></div><p>{GOOD}</p>") == ["Hi", good]
+    assert extract(f"<div role=search><p>{GOOD}</p></div>") == []
+
+
+def test_stop_words_of_other_languages(spark):
+    story = lambda i: " ".join(f"ka w{i}x{j} lo mi v{i}y{j}" for j in range(20))
+    rows = [(i, "u", f"<html lang='xx-A'><body><div>{story(i)}</div><p>{' '.join(f'q{i}z{j}' for j in range(60))}</p></body></html>", "")
+            for i in range(30)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: story(i) for i in range(30)}
+
+
 def test_table(spark):
     rows = [(1, "u", f"<article><p>{GOOD}", "mine"), (1, "u", f"<article><p>{GOOD}", "mine"), (None, None, None, None), (3, None, "", "x")]
     got = extract_pages(spark.createDataFrame(rows, SCHEMA).withColumn("n_chars", F.lit("x"))).collect()

@@ -1,25 +1,35 @@
 """Operator 9: main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags.  The first pass decides each
-block on its own by length, stop-word density and link density; blocks in
-regions that mark themselves as something other than the article (navigation,
-forms, adverts, comments, ... by tag, role, class or id) are out.  The second
-pass gives the blocks that stayed open, mostly short ones, the label of the
-nearest decided block of the same article (or page, if it marks no article).
-If a page marks its article (``article``, ``main``), blocks outside are out.
+block by length, stop-word density and link density, wherever it stands; out
+are also regions whose tag or role says that they are not the article
+(navigation, forms, ...) and those whose class or id does (adverts, comments,
+...).  A class or id does not count on an element that holds ``main`` or more
+than half of the page's prose (long blocks of many stop words and few links):
+that is a wrapper ('has-sidebar').  In
+a marked article few stop words alone decide only long blocks, at half the
+density, if the rest is prose by more than half.  The second pass gives the
+blocks that stayed open, mostly short ones, the label of the nearest decided block of the
+same article; if there is none, those of a marked article (``article``,
+``main``) stay and others go.  On pages that mark an article, open blocks
+outside go.
+
+Stop words are fixed ones of four languages and, by the language a page
+declares, the words that stand in a quarter of all pages' prose-length blocks.
 
 White space in a block becomes one blank, character references are decoded,
 kept blocks are joined in page order by a line feed.
 
 Defined results: null or empty html, and a page without kept blocks, give an
 empty text; unclosed and misnested tags are read as far as they go; pages are
-read whole and on their own, so repeated rows and ties cannot matter; other
+read whole, and alone but for the stop words; ties cannot matter; other
 columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -28,9 +38,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import written
+
 SHORT, LONG = 60, 160                    # characters
 LINKED = 0.5                             # share of a block's characters inside links
 STOP_LOW, STOP_HIGH = 0.1, 0.2           # share of a block's words that are stop words
+COMMON, LEAST_BLOCKS = 0.25, 20          # a stop word stands in this share of a language's long blocks, if it has so many
+COUNTED_WORDS = 100_000                  # distinct words a task counts before it sends them on
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset("""
@@ -74,47 +88,66 @@ _SPACE = re.compile(r"\s+")
 class Block:
     article: int                          # which marked article it stands in, 0 outside any
     dropped: bool
+    named: int                            # the innermost element around it whose class or id names a region, -1 if none
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
     label: bool | None = None             # True: main text, False: not, None: open
 
 
+def _drops(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(name == "hidden" or (name == "aria-hidden" and value == "true")
+               or (name == "role" and value and not DROP_WORDS.isdisjoint(value.lower().split())) for name, value in attrs)
+
+
 def _names_drop(attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
     for name, value in attrs:
-        if name in ("class", "id", "role") and value:
+        if name in ("class", "id") and value:
             words = {w.lower() for w in _PARTS(value)}
             if words & DROP_WORDS or ("header" in words and not in_article):
                 return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
     return False
 
 
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []     # tag, dropped, article
+        self.open: list[tuple[str, bool, int, int]] = []     # tag, dropped, article, named
+        self.around: list[int] = []                          # of each named element, the named one around it
+        self.wraps: list[bool] = []                          # and whether it holds main
+        self.language = ""
         self.articles = 0
         self.links = 0
         self.blocks: list[Block] = []
         self.fresh()
 
+    def top(self) -> tuple[str, bool, int, int]:
+        return self.open[-1] if self.open else ("", False, 0, -1)
+
+    def name(self, around: int) -> int:
+        self.around.append(around)
+        self.wraps.append(False)
+        return len(self.around) - 1
+
     def fresh(self) -> None:
-        _, dropped, article = self.open[-1] if self.open else ("", False, 0)
-        self.block = Block(article, dropped)
+        _, dropped, article, named = self.top()
+        self.block = Block(article, dropped, named)
         self.blocks.append(self.block)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "html" and not self.language:
+            self.language = (dict(attrs).get("lang") or "").lower().replace("_", "-").split("-")[0][:3]
         if tag in KEPT_OPEN:
-            _, dropped, article = self.open[-1] if self.open else ("", False, 0)
+            _, dropped, article, named = self.top()
+            if tag == "main" and named >= 0:
+                self.wraps[named] = True
             if tag in ARTICLE_TAGS and not article and not dropped:
                 self.articles += 1
                 article = self.articles
-            drop = tag in DROP_TAGS or (tag == "header" and not article)
-            if not drop and tag not in ("html", "body"):
-                drop = _names_drop(attrs, bool(article))
-            self.open.append((tag, dropped or drop, article))
+            drop = tag in DROP_TAGS or (tag == "header" and not article) or _drops(attrs)
+            if tag not in ("html", "body") and _names_drop(attrs, bool(article)):
+                named = self.name(named)
+            self.open.append((tag, dropped or drop, article, named))
         elif tag == "a":
             self.links = 1
         elif tag == "br":
@@ -122,8 +155,10 @@ class _Page(HTMLParser):
         if tag in BLOCK_TAGS or tag in DROP_TAGS:
             self.links = 0
             self.fresh()
-            if tag == "p" and _names_drop(attrs, bool(self.block.article)):
-                self.block.dropped = True
+            if tag == "p":
+                self.block.dropped |= _drops(attrs)
+                if _names_drop(attrs, bool(self.block.article)):
+                    self.block.named = self.name(self.block.named)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID_TAGS or tag not in KEPT_OPEN:
@@ -146,19 +181,54 @@ class _Page(HTMLParser):
             self.block.linked += len(data)
 
 
-def _decide(block: Block) -> bool | None:
+def _density(block: Block, stop_words: frozenset[str]) -> float:
+    words = _WORDS(block.text.lower())
+    return sum(w in stop_words for w in words) / max(1, len(words))
+
+
+def _decide(block: Block, stop_words: frozenset[str]) -> bool | None:
     """First pass: the block by itself."""
     if block.dropped or block.linked > LINKED * len(block.text):
         return False
     if len(block.text) < SHORT:
         return None
-    words = _WORDS(block.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    density = _density(block, stop_words)
     if density >= STOP_HIGH:
         return True if len(block.text) >= LONG or block.article else None
-    if density >= STOP_LOW or block.article:
-        return None
-    return False
+    return None if density >= STOP_LOW or block.article else False
+
+
+def _drop_unlike(blocks: list[Block], stop_words: frozenset[str]) -> None:
+    """In an article that is prose by more than half, long blocks of hardly any stop words are out."""
+    size, prose = Counter(), Counter()
+    for b in blocks:
+        if b.article and not b.dropped:
+            size[b.article] += len(b.text)
+            prose[b.article] += len(b.text) if b.label else 0
+    for b in blocks:
+        if b.article and b.label is None and len(b.text) >= LONG and 2 * prose[b.article] > size[b.article]:
+            b.label = False if _density(b, stop_words) < STOP_LOW / 2 else None
+
+
+def _drop_named(page: _Page, blocks: list[Block]) -> None:
+    """Blocks of named regions are out, but for those of named elements that are wrappers."""
+    prose = [0] * len(page.around)
+    total = 0
+    for b in blocks:
+        if b.label and len(b.text) >= LONG:
+            total += len(b.text)
+            if b.named >= 0:
+                prose[b.named] += len(b.text)
+    out = page.wraps[:]
+    for i in range(len(prose) - 1, -1, -1):                # an element's number is above that of those around it
+        if page.around[i] >= 0:
+            prose[page.around[i]] += prose[i]
+            out[page.around[i]] |= out[i]
+    for i, held in enumerate(prose):
+        out[i] = (2 * held <= total and not out[i]) or (page.around[i] >= 0 and out[page.around[i]])
+    for b in blocks:
+        if b.named >= 0 and out[b.named]:
+            b.dropped, b.label = True, False
 
 
 def _inherit(blocks: list[Block]) -> None:
@@ -185,10 +255,8 @@ def _inherit(blocks: list[Block]) -> None:
                 b.label = near[1] if near else bool(article)
 
 
-def extract(html: str | None) -> list[str]:
-    """The kept blocks of one page."""
-    if not html:
-        return []
+def _read(html: str) -> tuple[_Page, list[Block]]:
+    """The page and its blocks that have text."""
     page = _Page()
     page.feed(html)
     page.close()
@@ -197,19 +265,66 @@ def extract(html: str | None) -> list[str]:
         b.text = _SPACE.sub(" ", "".join(b.parts)).strip()
         if b.text:
             blocks.append(b)
+    return page, blocks
+
+
+def extract(html: str | None, more_stop_words: dict[str, frozenset[str]] | None = None) -> list[str]:
+    """The kept blocks of one page; ``more_stop_words`` by language."""
+    if not html:
+        return []
+    page, blocks = _read(html)
+    stop_words = STOP_WORDS | (more_stop_words or {}).get(page.language, frozenset())
     for b in blocks:
-        b.label = _decide(b) if b.article or not page.articles else False
+        b.label = _decide(b, stop_words)
+    _drop_named(page, blocks)
+    _drop_unlike(blocks, stop_words)
+    if any(b.article and not b.dropped for b in blocks):
+        for b in blocks:
+            if b.label is None and not b.article:
+                b.label = False
     _inherit(blocks)
     return [b.text for b in blocks if b.label]
 
 
+def common_words(pages: DataFrame, html_col: str = "html") -> dict[str, frozenset[str]]:
+    """Of every declared language, the words that stand in a quarter of its
+    long blocks with few links; a block repeated on many pages counts each time."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter = Counter()
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame([(*k, n) for k, n in found.items()], columns=["language", "word", "n"])
+
+        for batch in batches:
+            for html in batch["html"]:
+                page, blocks = _read(html or "")
+                for b in blocks:
+                    if not b.dropped and len(b.text) >= LONG and b.linked <= LINKED * len(b.text):
+                        found.update((page.language, w) for w in {"", *_WORDS(b.text.lower())})     # "" counts blocks
+                if len(found) > COUNTED_WORDS:             # bounded: Spark adds up the rest
+                    yield rows()
+                    found.clear()
+        if found:
+            yield rows()
+
+    counts = written(pages.select(F.col(html_col).alias("html")).mapInPandas(count, "language string, word string, n long")
+                     .groupBy("language", "word").agg(F.sum("n").alias("n")), "html-words")
+    blocks = counts.filter("word = ''").select("language", F.col("n").alias("blocks")).filter(F.col("blocks") >= LEAST_BLOCKS)
+    out: dict[str, set[str]] = {}
+    for r in counts.filter("word <> ''").join(blocks, "language").filter(F.col("n") >= COMMON * F.col("blocks")).collect():
+        out.setdefault(r["language"], set()).add(r["word"])
+    return {k: frozenset(v) for k, v in out.items()}
+
+
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text of every page."""
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
 
+    stop_words = common_words(pages, html_col)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["page_id", "url"]].assign(text=["\n".join(extract(h)) for h in batch["html"]])
+            yield batch[["page_id", "url"]].assign(text=["\n".join(extract(h, stop_words)) for h in batch["html"]])
 
     return slim.mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
