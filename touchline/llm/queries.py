@@ -144,3 +144,91 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.pseudo_lm import score_documents
     return score_documents(read_table(spark, sf_dir, "documents"))
+
+
+def _op11_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """Every round as one assignment and one table of centroids."""
+    out = [f"""WITH x AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, [floor(256 * c::DOUBLE)::BIGINT FOR c IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS cluster, v
+  FROM (SELECT sha256('2:' || vec_id::VARCHAR) AS h, v FROM x WHERE vec_id IS NOT NULL) QUALIFY cluster < {clusters})"""]
+    for n in range(rounds + 1):
+        out.append(f"""a{n} AS MATERIALIZED (SELECT row, vec_id, x.v, cluster,
+    list_sum([(x.v[i] - c.v[i]) * (x.v[i] - c.v[i]) FOR i IN range(1, 65)])::BIGINT AS distance
+  FROM x, c{n} c QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1)""")
+        if n < rounds:
+            out.append(f"""m{n} AS MATERIALIZED (SELECT cluster, i, floor(sum(v[i]) / count(*))::BIGINT AS x
+  FROM a{n}, (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster, i),
+c{n + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.v, c.v) AS v FROM c{n} c
+  LEFT JOIN (SELECT cluster, list(x ORDER BY i) AS v FROM m{n} GROUP BY cluster) n USING (cluster))""")
+    return ",\n".join(out) + f"""
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (cluster)"""
+
+
+@register("op11_centroids", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.centroids import cluster_vectors
+    return cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    from touchline.llm.quality_rules import RULES, STOP_WORDS
+    stops = sorted({f for group in STOP_WORDS.values() for w in group for f in (w.lower(), w.upper(), w.capitalize())})
+    broken = []
+    for r in RULES:
+        tests = [f"1000 * {r.part} < {r.least} * {r.whole}"] * (r.least is not None)
+        tests += [f"1000 * {r.part} > {r.most} * {r.whole}"] * (r.most is not None)
+        broken.append(f"CASE WHEN {' OR '.join(tests)} THEN '{r.name}' END")
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM documents),
+w AS (SELECT row, i, array_to_string(words[i:i + 7], ' ') AS said FROM (SELECT row, words, unnest(range(1, len(words) - 6)) AS i FROM d)),
+r AS (SELECT row, i FROM w QUALIFY count(*) OVER (PARTITION BY row, said) > 1),
+g AS (SELECT row, least(8, coalesce(lead(i) OVER (PARTITION BY row ORDER BY i) - i, 8)) AS n FROM r),
+p AS (SELECT row, sum(n)::BIGINT AS n FROM g GROUP BY row),
+m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words,
+        len(lines)::BIGINT AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
+        len([x FOR x IN words IF x IN {tuple(stops)}])::BIGINT AS n_stop_words,
+        len([x FOR x IN lines IF regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{{2022}}\x{{25CF}}]')])::BIGINT AS n_bullet_lines,
+        len([x FOR x IN lines IF regexp_matches(x, '(?:\.\.\.|\x{{2026}})[\x20\x09-\x0D]*$')])::BIGINT AS n_ellipsis_lines
+      FROM d LEFT JOIN p USING (row))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       concat_ws(',', {', '.join(broken)}) AS broken_rules, NOT base_failed AND broken_rules = '' AS kept FROM m"""
+
+
+@register("op12_quality_rules", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.quality_rules import apply_rules
+    return apply_rules(read_table(spark, sf_dir, "documents"))
+
+
+_TERMS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+OP13_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT count(*) FILTER (WHERE len(terms) > 0)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
+t AS MATERIALIZED (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY row, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM t, s GROUP BY term, n_docs),
+i AS (SELECT row_number() OVER () AS item, item_id, terms
+      FROM (SELECT DISTINCT item_id, text, {_TERMS} AS terms FROM benchmark)),
+q AS (SELECT item, item_id, term, count(*)::BIGINT AS times FROM (SELECT item, item_id, unnest(terms) AS term FROM i) GROUP BY ALL),
+r AS (SELECT item, item_id, row, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN t USING (term)
+      JOIN (SELECT row, (75 + (25 * len(terms)::HUGEINT * n_docs) // n_terms)::BIGINT AS m FROM d, s) USING (row)
+      GROUP BY item, item_id, row)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM r JOIN d USING (row) WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+@register("op13_lexical_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.lexical_search import search
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
