@@ -169,7 +169,9 @@ def best_of_block(asked: pd.DataFrame, found: pd.DataFrame, k: int) -> pd.DataFr
         hit = hit[np.lexsort((lowest[hit], -score[hit]))][:k]
         rows = sorted(((-int(score[h]), x is None, x) for h in hit for x in members[h]), key=lambda r: r[:2] if r[1] else r)
         out += [(item, x, -low) for low, _, x in rows[:k]]
-    return pd.DataFrame(out, columns=["item", "doc_id", "score"]).astype({"doc_id": object})
+    item, doc_id, score = zip(*out) if out else ((), (), ())
+    return pd.DataFrame({"item": pd.Series(item, dtype=object), "doc_id": pd.Series(doc_id, dtype=object),
+                         "score": pd.Series(score, dtype=np.int64)})
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text",
@@ -197,7 +199,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id
 
     def block(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"item": [], "doc_id": [], "score": []})
+            return pd.DataFrame({"item": [], "doc_id": [], "score": []}, dtype=object)
         return best_of_block(q, c, k)
 
     on = ["ib", "cb"]

@@ -77,7 +77,11 @@ def _count(text: Column, chars: str) -> Column:
 
 
 def _repeated(df: DataFrame) -> DataFrame:
-    """``words`` -> ``n_repeat_words``: words in windows that occur twice or more."""
+    """``words`` -> ``n_repeat_words``: words in windows that occur twice or more.
+
+    The result leaves through a generator of one row: a caller's filter on a
+    verdict would else be pushed below these projections and repeat each of
+    them as often as the next one names it."""
     paired = lambda c, step: F.zip_with(c, F.slice(c, step + 1, F.greatest(F.size(c) - step, F.lit(0))),
                                         lambda x, y: F.xxhash64(x, y))
     hashes = df.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
@@ -95,7 +99,7 @@ def _repeated(df: DataFrame) -> DataFrame:
         F.transform("_r", lambda p, n: F.coalesce(F.least(F.get("_r", n + 1) - p, F.lit(WINDOW)), F.lit(WINDOW))),
         F.lit(0).cast("long"), lambda total, x: total + x)
     return (hashes.withColumn("_w", windows).withColumn("_s", ranked).withColumn("_r", starts)
-            .withColumn("n_repeat_words", covered).drop("_h", "_w", "_s", "_r"))
+            .withColumn("n_repeat_words", F.explode(F.array(covered))).drop("_h", "_w", "_s", "_r"))
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
