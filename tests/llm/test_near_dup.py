@@ -1,24 +1,36 @@
 """Near-duplicates: exact brute force, hot groups, ProbMinHash's estimate."""
 
 import itertools
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from llm_tables import DOCS, documents
+from touchline.llm import common, near_dup
 from touchline.llm.near_dup import components, keep_one, near_duplicates, shingles, signatures
 
 
 def sets_of(rows):
+    """Weighted shingles of every text: 1 + ln count."""
     out = []
     for _, t in rows:
         w = re.findall(r"\w+", (t or "").lower()) or (t or "").split()
-        out.append(frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else None)
+        counts = Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
+        out.append({k: 1 + math.log(c) for k, c in counts.items()})
     return out
 
 
+def alike(a, b):
+    """Probability Jaccard, by its definition."""
+    every = list(a.keys() | b.keys())
+    x, y = (np.array([s.get(k, 0.0) for k in every]) for s in (a, b))
+    return sum(1 / np.maximum(x / p, y / q).sum() for p, q in zip(x, y) if p and q)
+
+
 def brute(rows, threshold=0.8):
     sets, up = sets_of(rows), list(range(len(rows)))
 
@@ -26,9 +38,14 @@ def brute(rows, threshold=0.8):
         while up[x] != x:
             x = up[x]
         return x
+    seen = {}
     for i, j in itertools.combinations(range(len(rows)), 2):
-        if sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
-            up[find(i)] = find(j)
+        if sets[i] and sets[j] and find(i) != find(j) and sets[i].keys() & sets[j].keys():
+            key = (rows[i][1], rows[j][1])
+            if key not in seen:
+                seen[key] = alike(sets[i], sets[j]) >= threshold - 1e-9
+            if seen[key]:
+                up[find(i)] = find(j)
     low = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
@@ -77,14 +94,41 @@ def test_one_of_each_class_stays(spark):
     assert sorted(ids) == sorted({c for _, c in brute(rows)})
 
 
-def test_unequally_repeated_lines_do_not_hide_links(spark):
-    # Jaccard 200 / 244 of the sets; the 40 other shingles occur 20 times each
+def test_links_follow_the_weighted_similarity(spark):
+    # lines that repeat weigh more: equally repeated ones keep a copy near, unequally repeated ones part it
     rows = []
-    for i in range(40):
-        base, line = ([f"{kind}{i}x{j}" for j in range(n)] for kind, n in (("w", 204), ("r", 40)))
-        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + line * 20))]
+    for i in range(20):
+        base, line, own = ([f"{kind}{i}x{j}" for j in range(n)] for kind, n in (("w", 204), ("r", 40), ("o", 20)))
+        rows += [(4 * i, " ".join(base + line * 5)), (4 * i + 1, " ".join(base + line * 5 + own)),
+                 (4 * i + 2, " ".join(base + line * 60)), (4 * i + 3, " ".join(base + own))]
     got = {r.doc_id: r.class_id for r in near_duplicates(documents(spark, rows)).collect()}
-    assert got == {i: i // 2 * 2 for i in range(80)} == dict(brute(rows))
+    assert got == dict(brute(rows)) and len(set(got.values())) < 80
+
+
+def test_rows_of_one_id_or_none(spark):
+    rnd = random.Random(3)
+    one, two, three = (" ".join(rnd.choice("abcdefghijklmnop") * 3 + str(rnd.randrange(50)) for _ in range(60)) for _ in range(3))
+    rows = [(7, one), (7, two), (None, three), (None, three + " end"), (None, three), (None, None), (9, None), (9, ""), (None, "")]
+    kept = [(r.doc_id, r.text) for r in keep_one(documents(spark, rows)).collect()]
+    assert (7, one) in kept and (7, two) in kept
+    assert sum(t is not None and t.startswith(three) for _, t in kept) == 1
+    assert {(None, None), (9, None), (9, ""), (None, "")} <= set(kept) and len(kept) == 7
+
+
+def test_a_centre_in_parts_and_a_small_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HUB_PAIRS", 3)
+    monkeypatch.setattr(near_dup, "WANTED_BITS", 7)
+    monkeypatch.setattr(common, "ROWS_PER_FILE", 50)
+    rows = corpus(8)
+    assert sorted(map(tuple, near_duplicates(documents(spark, rows)).select("doc_id", "class_id").collect()), key=str) == brute(rows)
+
+
+def test_probability_jaccard_equals_its_definition():
+    rnd = random.Random(2)
+    for _ in range(50):
+        a, b = ({k: 1 + math.log(rnd.randrange(1, 6)) for k in rnd.sample(range(30), rnd.randrange(1, 30))} for _ in range(2))
+        got = near_dup.probability_jaccard(*(np.array(z) for s in (a, b) for z in (list(s), list(s.values()))))
+        assert abs(got - alike(a, b)) < 1e-12
 
 
 def test_signature_agreement_is_probability_jaccard():

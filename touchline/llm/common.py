@@ -21,9 +21,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+ROWS_PER_FILE = 50_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` as a Parquet table under the shared folder (columns can then be
-    pruned and filters pushed down, unlike in a checkpoint)."""
+    pruned and filters pushed down, unlike in a checkpoint).  With ``rows``, a
+    bound of its rows, a small table is a few files however many partitions
+    the session shuffles into."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     path = scratch_dir(df.sparkSession, f"llm/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,15 +1,16 @@
 """Operator 3: near-duplicates by ProbMinHash, banding and exact verification.
 
-A text is the set of its five-word shingles (lower case, word characters; how
-often one occurs does not count).  Each shingle is a Poisson process of rate 1,
-seeded by the shingle alone: its arrivals fall on random signature
-slots, a slot keeps its earliest arrival, and a shingle ends as soon as its
-next arrival is later than every slot of the document.  Two signatures then
-agree in a slot with the Jaccard similarity of the two sets (ProbMinHash's
-probability Jaccard of equal weights), the similarity that is verified.
-Slots are banded; texts that share a band are candidates; a candidate pair is
-a link if the exact Jaccard similarity of its shingle sets is at least the
-threshold; classes are the connected components of the links.
+A text is the weighted set of its five-word shingles (lower case, word
+characters); a shingle that occurs c times weighs 1 + ln c.  Each shingle is
+a Poisson process whose rate is its weight, seeded by the shingle alone: its
+arrivals fall on random signature slots, a slot keeps its earliest arrival,
+and a shingle ends as soon as its next arrival is later than every slot of
+the document.  Two signatures then agree in a slot with the probability
+Jaccard similarity of the two weighted sets.  Slots are banded; texts that
+share a band are candidates; a candidate pair is a link if the exact
+probability Jaccard similarity of its weighted sets is at least the threshold;
+classes are the connected components of the links.  (Equal weights give the
+plain Jaccard similarity.)
 
 No group is ever paired with itself.  First every text is compared with one
 text only, the one of all its bands whose bands are fullest (of near copies
@@ -20,7 +21,14 @@ members of other classes and leave the band, until no band is mixed.  So
 every two texts that share a band end in one class or have been compared,
 whatever a band's size.  A pair is left out of a comparison only if its sizes
 or its parity bitmaps (512 bits; they differ in no more bits than the sets in
-shingles) rule the threshold out.
+shingles) rule the threshold out: the weight that one text has alone is at
+most 1 - threshold of its total, and a shingle weighs at least 1.  A centre of
+many pairs is dealt in parts of 1,000 pairs.
+
+The texts of candidates are found again by a bitmap of fixed size over the
+hashes of their row keys, sent to every task: rows it rules out are passed
+over, the rest become shingle sets, and a join by node keeps the right ones.
+That is one way at every size; a fuller bitmap only lets more sets through.
 
 Defined results: equal shingle texts are one node of the graph, so thousands
 of copies cost one comparison; a text with fewer than five words is one
@@ -53,7 +61,8 @@ KNOWN_WORDS = 400_000
 RUN_CHARS = 2_000_000
 BITMAP = 8                     # 64-bit words of a parity bitmap
 FIRST_CENTRES = 64
-BROADCAST_KEYS = 500_000       # row keys, about 30 MB in memory
+WANTED_BITS = 25               # bitmap of 2**25 bits (4 MB) over hashes of wanted row keys
+HUB_PAIRS = 1000               # pairs of a centre that are verified in one place
 
 _WORD = re.compile(r"\w+").findall
 _FILL = np.uint64(0x5851F42D4C957F2D)
@@ -109,6 +118,24 @@ def shingles(texts: Sequence[str | None], size: int = SHINGLE_WORDS) -> tuple[np
     return owner[at], value[at], np.diff(np.append(at, len(owner))), keys
 
 
+def weights(count: np.ndarray) -> np.ndarray:
+    return 1.0 + np.log(count)
+
+
+def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """Of the weighted sets (elements a, weights x) and (b, y): the sum over
+    common d of 1 / sum over e of max(x_e / x_d, y_e / y_d).  Sorted by y / x,
+    the first part of the sum's maxima come from x and the rest from y."""
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    order = np.argsort(y[j] / x[i], kind="stable")
+    u, v = x[i][order], y[j][order]
+    from_x = x.sum() - u.sum() + np.cumsum(u)
+    from_y = y.sum() - np.cumsum(v)
+    return float((1.0 / (from_x / u + from_y / v)).sum())
+
+
 def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n_texts: int, slots: int) -> np.ndarray:
     """ProbMinHash: the element of the earliest arrival in every slot, texts x slots."""
     first = np.full(n_texts * slots, np.inf)
@@ -154,7 +181,7 @@ def _row_key(id_col: str, text_col: str):
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, row_key, node, n (shingles), bands and parity bitmap (b0, b1, ...) of every row."""
+    """doc_id, row_key, node, n (shingles), w (their weight), bands and parity bitmap (b0, b1, ...) of every row."""
     slim = docs.select(F.col(id_col).alias("doc_id"), _row_key(id_col, text_col).alias("row_key"),
                        F.col(text_col).alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
@@ -163,11 +190,12 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
         for batch in batches:
             texts = batch["text"].tolist()
             for part in text_runs(texts, RUN_CHARS):
-                owner, value, _, keys = shingles(texts[part], size)
-                # equal weights: the links are verified on sets, so weights would lose texts that repeat unequally
-                signature = signatures(owner, value, np.ones(len(owner)), len(keys), bands * rows)
+                owner, value, count, keys = shingles(texts[part], size)
+                weight = weights(count)
+                signature = signatures(owner, value, weight, len(keys), bands * rows)
                 out = batch[["doc_id", "row_key"]].iloc[part].assign(
-                    node=keys, n=np.bincount(owner, minlength=len(keys)).astype(np.int32))
+                    node=keys, n=np.bincount(owner, minlength=len(keys)).astype(np.int32),
+                    w=np.bincount(owner, weight, minlength=len(keys)))
                 hashes = band_hashes(signature, bands)
                 out["bands"] = [h if k else None for h, k in zip(hashes, keys)]
                 bitmap = parity_bitmaps(owner, value, len(keys))
@@ -176,38 +204,50 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
                 yield out
 
     bitmap_type = "".join(f", b{i} long" for i in range(BITMAP))
-    return slim.mapInPandas(run, f"doc_id {id_type}, row_key binary, node binary, n int, bands array<long>{bitmap_type}")
+    return slim.mapInPandas(run, f"doc_id {id_type}, row_key binary, node binary, n int, w double, bands array<long>{bitmap_type}")
+
 
+def _wanted_bits(wanted: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of the wanted row keys: 2**bits bits, whatever their number."""
+    at = F.shiftrightunsigned(F.xxhash64("row_key"), 64 - bits)
+    words = (wanted.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas())          # 2**(bits - 6) rows at most
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64)
+    return out.view(np.uint8)
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """node, shingles of one row per wanted node; ``wanted``: (row_key)."""
-    # keys of 16 bytes: sent to every task if they are counted and few, so that
-    # the texts of all other documents stay where they are; else both are dealt by key
-    keys = wanted.select("row_key")
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """node, shingles, counts of every node; ``nodes``: (node, row_key)."""
+    bits = WANTED_BITS
+    shared = docs.sparkSession.sparkContext.broadcast(_wanted_bits(nodes, bits))
     slim = (docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-            .join(keys, "row_key", "left_semi"))
-    once = Window.partitionBy("row_key").orderBy("row_key")
-    slim = slim.withColumn("nth", F.row_number().over(once)).filter("nth = 1").select("text")
+            .select(F.shiftrightunsigned(F.xxhash64("row_key"), 64 - bits).alias("at"), "text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bitmap = shared.value
         for batch in batches:
-            texts = batch["text"].tolist()
+            at = batch["at"].to_numpy(np.int64)
+            texts = batch["text"][(bitmap[at >> 3] >> (at & 7)) & 1 == 1].tolist()
             for part in text_runs(texts, RUN_CHARS):
-                owner, value, _, keys = shingles(texts[part], size)
+                owner, value, count, keys = shingles(texts[part], size)
                 ends = np.cumsum(np.bincount(owner, minlength=len(keys)))
-                yield pd.DataFrame({"node": keys, "shingles": np.split(value.view(np.int64), ends[:-1])})
+                yield pd.DataFrame({"node": keys, "shingles": np.split(value.view(np.int64), ends[:-1]),
+                                    "counts": np.split(count.astype(np.int32), ends[:-1])})
 
-    return slim.mapInPandas(run, "node binary, shingles array<long>")
+    found = slim.mapInPandas(run, "node binary, shingles array<long>, counts array<int>")
+    once = Window.partitionBy("node").orderBy("node")
+    return (found.join(nodes.select("node"), "node", "left_semi")
+            .withColumn("nth", F.row_number().over(once)).filter("nth = 1").drop("nth"))
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, name: str = "components", rows: int | None = None) -> DataFrame:
     """(node, label): the smallest node of each connected component of
-    ``links`` (a, b).  Every round takes the least label among a node, its
+    ``links`` (a, b), ``rows`` a bound of their number.  Every round takes the least label among a node, its
     neighbours and its label's label, so labels halve their distance."""
     spark = links.sparkSession
-    both = written(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other"), f"{name}-edges")
-    labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), f"{name}-0")
+    both = written(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other"), f"{name}-edges", rows and 2 * rows)
+    labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), f"{name}-0", rows)
     round_ = 0
     while True:
         round_ += 1
@@ -215,20 +255,36 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         jumped = labels.toDF("label", "up")
         step = (labels.join(near, "node").join(jumped, "label", "left")
                 .select("node", F.least("label", "seen", "up").alias("label"), F.col("label").alias("was")))
-        step = written(step, f"{name}-{round_}")
+        step = written(step, f"{name}-{round_}", rows)
         labels = step.select("node", "label")
         if step.filter("label <> was").isEmpty():
             return labels
 
 
+def _beside(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """``pairs`` with the set of one side.  A node of many pairs is dealt in
+    parts, each with a copy of its set."""
+    other = "b" if side == "a" else "a"
+    hubs = (pairs.groupBy(side).agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts")).filter("parts > 1")
+            .withColumnRenamed(side, "node"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = (pairs.withColumnRenamed(side, "node").join(hubs, "node", "left")
+             .withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts"))
+    held = (sets.join(hubs, "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+            .withColumnsRenamed({"shingles": f"s{side}", "counts": f"c{side}"}))
+    return dealt.join(held, ["node", "part"]).drop("part").withColumnRenamed("node", side)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least the threshold's Jaccard similarity."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.join(left, "a").join(right, "b")
-            .withColumn("both", both).withColumn("either", F.size("sa") + F.size("sb") - F.col("both"))
-            .filter(F.col("both") >= F.lit(threshold) * F.col("either") - F.lit(1e-9)).select("a", "b"))
+    """The pairs (a, b) whose weighted sets have at least the threshold's probability Jaccard similarity."""
+    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            near = [probability_jaccard(sa, weights(ca), sb, weights(cb)) >= threshold - 1e-9
+                    for sa, ca, sb, cb in zip(batch["sa"], batch["ca"], batch["sb"], batch["cb"])]
+            yield batch.loc[np.array(near, bool), ["a", "b"]]
+
+    return _beside(_beside(pairs, sets, "a"), sets, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInPandas(
+        similar, "a binary, b binary")
 
 
 def _classes(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
@@ -237,18 +293,20 @@ def _classes(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, siz
     shared = (in_bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"))
               .filter("low <> high").select("band"))
     members = written(in_bands.join(shared, "band", "left_semi").distinct(), "near-members")
+    n_members = members.count()
     bitmap = [f"b{i}" for i in range(BITMAP)]
     nodes = written(prints.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
-        F.min("row_key").alias("row_key"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in bitmap]), "near-nodes")
+        F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("w").alias("w"), *[F.first(b).alias(b) for b in bitmap]), "near-nodes", n_members)
     sets = written(_shingle_sets(docs, nodes, id_col, text_col, size), "near-sets")
+    n_nodes = sets.count()
     traits = nodes.drop("row_key")
 
     def possible() -> Column:
         """What a pair (x_a, x_b) must fulfil to reach the threshold."""
-        total = F.col("n_a") + F.col("n_b")
-        least = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - F.lit(1e-9)
+        spare = F.lit(1 - threshold + 1e-9)                   # of a text's weight that the other may lack
+        sizes = (F.col("n_a") - F.col("n_b") <= spare * F.col("w_a")) & (F.col("n_b") - F.col("n_a") <= spare * F.col("w_b"))
         apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in bitmap])
-        return least & (apart <= F.lit((1 - threshold) / (1 + threshold)) * total + F.lit(1e-9))
+        return sizes & (apart <= spare * (F.col("w_a") + F.col("w_b")))
 
     def named_as(df: DataFrame, side: str) -> DataFrame:
         return df.toDF(*[f"{c}_{side}" for c in df.columns])
@@ -262,20 +320,20 @@ def _classes(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, siz
     stars = (stars.join(named_as(traits, "a"), F.col("centre") == F.col("node_a"))
              .join(named_as(traits, "b"), F.col("node") == F.col("node_b")).filter(possible())
              .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
-    links = written(_verified(stars, sets, threshold), "near-links")
+    links = written(_verified(stars, sets, threshold), "near-links", n_nodes)
     open_, centres = members, FIRST_CENTRES
     while True:
-        labels = components(links)
+        labels = components(links, rows=links.count())
         named = open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         classes = named.groupBy("band", "label").agg(F.count("*").alias("size"))
         largest = (classes.groupBy("band").agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("classes"))
                    .filter("classes > 1").select("band", F.col("most.label").alias("main")))
-        named = written(named.join(largest, "band").join(traits, "node"), "near-open")
+        named = written(named.join(largest, "band").join(traits, "node"), "near-open", n_members)
         if named.isEmpty():
             return labels
         rank = F.row_number().over(Window.partitionBy("band").orderBy("node"))
         chosen = written(named.filter("label <> main").withColumn("rank", rank).filter(F.col("rank") <= centres)
-                         .drop("rank"), "near-centres")
+                         .drop("rank"), "near-centres", n_members)
         pairs = (named_as(chosen, "a").join(named_as(named, "b"), F.col("band_a") == F.col("band_b"))
                  .filter((F.col("label_a") != F.col("label_b")) & possible())
                  .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
@@ -286,7 +344,8 @@ def _classes(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, siz
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS,
                     threshold: float = THRESHOLD, bands: int = BANDS, band_slots: int = BAND_SLOTS) -> DataFrame:
-    """doc_id, row_key, class_id of every row (row_key: hash of id and text)."""
+    """doc_id, row_key, class_id, group of every row (row_key: hash of id and
+    text; group: what the rows of a class have in common, whatever their ids)."""
     prints = written(_prints(docs, id_col, text_col, size, bands, band_slots), "near-prints")
     labels = _classes(docs, prints, id_col, text_col, size, threshold)
     nodes = prints.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
@@ -294,18 +353,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                .withColumn("label", F.coalesce("label", "node")))
     grouped = written(grouped, "near-grouped")
     heads = grouped.groupBy("label").agg(F.min("low").alias("class_id"))
-    of_node = grouped.join(heads, "label").select("node", "class_id")
+    of_node = grouped.join(heads, "label").select("node", "class_id", "label")
     return (prints.select("doc_id", "row_key", "node").join(of_node, "node", "left")
-            .select("doc_id", "row_key", F.coalesce("class_id", "doc_id").alias("class_id")))
+            .select("doc_id", "row_key", F.coalesce("class_id", "doc_id").alias("class_id"),
+                    F.coalesce("label", "node", "row_key").alias("group")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of every class: the one of the smallest id (of
-    rows with the same id, one); columns stay as they are."""
+    """``docs`` with one row of every class: the one of the smallest id, rows
+    without an id last (of rows with the same id, one); columns stay as they
+    are.  Texts that are not near-duplicates both stay, also under one id."""
     plan = near_duplicates(docs, id_col, text_col, **options)
-    heads = (plan.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-             .withColumn("class_id", F.coalesce(F.col("class_id").cast("string"), F.hex("row_key")))
-             .groupBy("class_id").agg(F.min("row_key").alias("row_key")).select("row_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key"))
+    heads = plan.groupBy("group").agg(first.alias("first")).select(F.col("first.row_key").alias("row_key"))
     key, nth = fresh_name(docs, "_near_key"), fresh_name(docs, "_near_nth")
     once = Window.partitionBy(key).orderBy(key)
     return (docs.withColumn(key, _row_key(id_col, text_col))

@@ -81,7 +81,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_near_duplicates")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.near_dup import near_duplicates
-    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("row_key")
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("row_key", "group")
 
 
 @register("op9_html_text")
