@@ -63,3 +63,30 @@ def test_elements(spark, tag, css_class):
         got[r.page_id].append(r.text)
     want = {i: t for i, h in enumerate(PAGES) if (t := brute(h, tag, css_class))}
     assert got == want
+
+
+HOSTILE = {
+    "stray": "<li>one</li> <b" + "x" * 20_000 + " it's <li>two</li>",
+    "many": "<b <i <u <" * 20_000 + "<li>ok</li>",
+    "big tag": "<div title=\"" + "y" * 1_000_000 + "\"><li>in</li></div>",
+    "quotes": "<a '" * 20_000 + "><li>q</li>",
+    "nested": "<li>t" * 2000 + "</li>" * 2000,
+    "comment": "<li>a</li><!-- never closed <li>no</li>" + "-" * 50_000,
+    "closes": "</li>" * 5000 + "<li>z",
+}
+
+
+@pytest.mark.parametrize("name", list(HOSTILE))
+def test_hostile_pages(spark, name):
+    """No page ends the session, and time follows what is returned."""
+    df = spark.createDataFrame([(1, HOSTILE[name]), (2, "<li>fine</li>")], "page_id long, html string")
+    got = sorted((r.page_id, r.element_index, r.text) for r in html_elements(df, "li", keep=("page_id",)).collect())
+    want = {"stray": ["one", "two"], "many": ["ok"], "big tag": ["in"], "quotes": ["q"], "comment": ["a"], "closes": ["z"],
+            "nested": ["t" * (2000 - i) for i in range(2000)]}[name]
+    assert got == [(1, i, t) for i, t in enumerate(want)] + [(2, 0, "fine")]
+
+
+def test_repeated_pages_keep_their_elements(spark):
+    df = spark.createDataFrame([(1, "<li>a<li>b</li></li>")] * 3 + [(None, "<li>c")], "page_id long, html string")
+    got = sorted((str(r.page_id), r.element_index, r.text) for r in html_elements(df, "li", keep=("page_id",)).collect())
+    assert got == sorted([("1", 0, "ab"), ("1", 1, "b")] * 3 + [("None", 0, "c")])
