@@ -2,12 +2,13 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.va_search import best_of_block, top_k
+from touchline.llm.va_search import CELLS, best_of_block, score_key, top_k
 
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
                        T.StructField("score", T.StringType())])
@@ -51,9 +52,9 @@ def test_fewer_candidates_than_k(spark):
 def test_few_exact_vectors_are_read():
     rng = np.random.default_rng(0)
     v = np.floor(64 * rng.normal(0, 0.125, (4000, 64))).astype(int)
-    low = v.min(0).astype(float)
-    width = np.maximum(1, -(-(v.max(0) - v.min(0) + 1) // 16)).astype(float)
-    codes = np.floor((v - low) / width)
+    low = v.min(0) / 64
+    width = (v.max(0) - v.min(0)) / 64 / CELLS
+    codes = np.minimum(np.floor((v / 64 - low) / width), CELLS - 1)
     ids = np.arange(4000)
     best, read = best_of_block(v[:20], ids[:20], codes, v, ids, low, width, 10)
     assert read < 20 * 400
@@ -61,3 +62,32 @@ def test_few_exact_vectors_are_read():
         score = v @ v[q]
         want = sorted((-score[i], i) for i in ids if i != q)[:10]
         assert [(-s, i) for s, i in zip(best[best.query_id == q].score, best[best.query_id == q].vec_id)] == want
+
+
+def test_a_repeated_id_does_not_push_out_equal_vectors(spark):
+    rows = [(20, [1.0, 1.0], "s")] * 21 + [(i, [1.0, 1.0], "s") for i in range(21, 51)] + [(100 + i, [0.1 * (i % 7), 0.2], "s") for i in range(60)]
+    rows += [(40, [0.5, -1.0], "s")] * 3                     # a second vector of an id asks for itself
+    got = [tuple(r) for r in top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, k=20).collect()]
+    assert set(got) == brute(rows, 20)
+    assert [(i, s) for q, n, i, s in sorted(got) if q == 20][:3] == [(21, 8192), (22, 8192), (23, 8192)]
+
+
+def test_components_of_any_size(spark):
+    schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    rnd = random.Random(9)
+    rows = [(i, [rnd.choice([1e9, -1e9, 3e5, 0.3, 2.0**46 + 0.5, -1e-20]), rnd.uniform(-1, 1)]) for i in range(120)]
+    rows += [(200, [1e308, 1.0]), (201, [-1e308, 2.0]), (220, [2.8e306 * 3, -5.0])]
+    vec = [(i, [math.floor(64 * Fraction(x)) for x in v]) for i, v in rows]
+    want = set()
+    for q, a in vec:
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, v)), i) for i, v in vec if i != q)[:9]
+            want |= {(q, n + 1, i, -s if -2**63 <= -s < 2**63 else None) for n, (s, i) in enumerate(best)}
+    for blocks in ({}, {"query_block": 3, "vector_block": 20}):
+        got = top_k(spark.createDataFrame(rows, schema), F.col("vec_id") % 20 == 0, k=9, **blocks).collect()
+        assert {tuple(r) for r in got} == want
+
+
+def test_keys_sort_like_scores():
+    scores = [0, 1, 9, 10, 99, 10**30, 7 * 2**2000, -1, -9, -10, -11, -10**30, -(2**2000)]
+    assert sorted(scores) == sorted(scores, key=score_key)

@@ -46,25 +46,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import written
+from touchline.llm.common import SAFE, integers, written
 from touchline.session import scratch_dir
 
 DIM, SCALE = 64, 256
 CLUSTERS, ROUNDS, SEED = 40, 5, 2
 BLOCK = 4096                   # vectors
-SAFE = 1 << 22                 # components below it have exact squares and sums in float64
 LIMB = 1 << 32                 # sums travel in digits of this base
 
 
-def integers(x: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """floor(scale * x), as int64 where small, else as Python integers."""
-    scaled = np.floor(x * scale)
-    if not scaled.size or np.abs(scaled).max() < SAFE:
-        return scaled.astype(np.int64)
-    exact = [math.floor(v * scale) if math.isfinite(v * scale) else int(v) * scale for v in x.ravel().tolist()]
-    return np.array(exact, dtype=object).reshape(x.shape)
-
-
 def squared(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Exact squared distances, vectors x centroids."""
     if v.dtype == object or centroids.dtype == object:

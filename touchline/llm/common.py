@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.session import ensure_checkpoint_dir, scratch_dir
@@ -63,7 +65,6 @@ def arrow_text_runs(batches, column: str = "text", max_bytes: int = 1_000_000):
     """(record batch, its texts) in runs of about ``max_bytes`` of UTF-8, cut
     from the Arrow batches before any text becomes a Python string, so that a
     worker holds one run of strings and not a batch of them."""
-    import numpy as np
     import pyarrow.compute as pc
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
@@ -74,3 +75,15 @@ def arrow_text_runs(batches, column: str = "text", max_bytes: int = 1_000_000):
             run = batch.slice(start, stop - start)
             yield run, run.column(column).to_pylist()
             start = stop
+
+
+SAFE = 1 << 22                 # components below it have exact squares and sums in float64
+
+
+def integers(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x), as int64 where small, else as Python integers."""
+    scaled = np.floor(x * scale)
+    if not scaled.size or np.abs(scaled).max() < SAFE:
+        return scaled.astype(np.int64)
+    exact = [math.floor(v * scale) if math.isfinite(v * scale) else int(v) * scale for v in x.ravel().tolist()]
+    return np.array(exact, dtype=object).reshape(x.shape)

@@ -98,12 +98,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH x AS (SELECT vec_id, [floor(64 * c::DOUBLE) FOR c IN embedding] AS v FROM embeddings
+WITH x AS (SELECT vec_id, embedding, [floor(64 * c::DOUBLE) FOR c IN embedding] AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
              AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-      FROM x q JOIN x c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+s AS (SELECT q.vec_id AS query_id, q.embedding, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM (SELECT DISTINCT * FROM x WHERE vec_id % 20 = 0) q JOIN x c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+SELECT query_id, row_number() OVER (PARTITION BY query_id, embedding ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 20
 """
 
