@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from touchline.operators import features as ft
 from touchline.operators import players as pl
 from touchline.operators.longform import current_season_id, focal_team_id
+from touchline.plans import boosting
 from touchline.plans import models as ml
 from touchline.plans.catalog import FOCAL_SHORT_NAME, ORACLES, register, tables, with_views
 from touchline.plans.queries_features import M11_SQL
@@ -224,3 +225,53 @@ def s14_saved_model(spark, sf_dir):
     b = ml.predict_matches(ml.load_model(path), fx).select("match_id", F.col("predicted_outcome").alias("o"), F.col("confidence").alias("c"))
     same = F.col("predicted_outcome").eqNullSafe(F.col("o")) & F.col("confidence").eqNullSafe(F.col("c"))
     return a.join(b, "match_id", "full").agg(F.count("*").alias("predictions"), F.count_if(~same).alias("changed"))
+
+
+# One round of boosting, depth 2, in SQL: bins of the same 64 equal widths,
+# residuals in 1e-6 units, the best cut by gain, first feature, lowest bin.
+_HALF_UP = "((2 * {a} + {b}) - ((((2 * {a} + {b}) % (2 * {b})) + 2 * {b}) % (2 * {b}))) // (2 * {b})"
+
+
+def _boosted_sql(depth: int = 2, min_split: int = 6, min_leaf: int = 2) -> str:
+    cols = [("recent_avg_goals", "COALESCE(g, 0)"), ("recent_avg_assists", "COALESCE(a, 0)"), ("recent_avg_rating", "COALESCE(r, 0)"),
+            ("opposition_strength", "opposition_strength"), ("is_home", "is_home"), ("minutes_played", "minutes_played")]
+    values = ", ".join(f"COALESCE(CAST({c if i > 2 else f'ROUND({c}, 6)'} AS DOUBLE), 0.0)" for i, (_, c) in enumerate(cols))
+    out = [_PLAYER_ROWS.rstrip() + f""",
+bx AS (SELECT row_number() OVER () AS row, player_id, CAST(ROUND(CAST(rating AS DOUBLE) * 1000000) AS BIGINT) AS y, [{values}] AS x
+       FROM pf WHERE rating IS NOT NULL AND player_id IS NOT NULL),
+be AS (SELECT i AS feature, min(x[i + 1]) AS low, max(x[i + 1]) - min(x[i + 1]) AS spread FROM bx, range(6) t(i) GROUP BY i),
+bb AS MATERIALIZED (SELECT player_id, count(*) AS n, CAST({_HALF_UP.format(a='sum(y)', b='count(*)')} AS BIGINT) AS base
+       FROM bx GROUP BY player_id HAVING count(*) >= 10),
+bf AS (SELECT row, player_id, y - base AS r, feature, CASE WHEN spread > 0
+         THEN CAST(least(greatest(floor((x[feature + 1] - low) * 64 / spread), 0), 63) AS INTEGER) ELSE 0 END AS bin
+       FROM bx JOIN bb USING (player_id), be),
+n0 AS MATERIALIZED (SELECT DISTINCT row, player_id, r, 1 AS node FROM bf)"""]
+    for d in range(depth):
+        out.append(f"""h{d} AS (SELECT player_id, node, feature, bin, count(*) AS n, sum(f.r) AS s
+  FROM bf f JOIN n{d} p USING (row, player_id) WHERE node >= {1 << d} GROUP BY ALL),
+g{d} AS (SELECT *, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER v AS nt, sum(s) OVER v AS st FROM h{d}
+  WINDOW v AS (PARTITION BY player_id, node, feature), w AS (PARTITION BY player_id, node, feature ORDER BY bin)),
+c{d} AS MATERIALIZED (SELECT player_id, node, feature, bin FROM (SELECT *, CAST(sl AS DOUBLE) * CAST(sl AS DOUBLE) / CAST(nl AS DOUBLE)
+    + CAST(st - sl AS DOUBLE) * CAST(st - sl AS DOUBLE) / CAST(nt - nl AS DOUBLE)
+    - CAST(st AS DOUBLE) * CAST(st AS DOUBLE) / CAST(nt AS DOUBLE) AS gain
+    FROM g{d} WHERE nt >= {min_split} AND nl >= {min_leaf} AND nt - nl >= {min_leaf}) WHERE gain > 0
+  QUALIFY row_number() OVER (PARTITION BY player_id, node ORDER BY gain DESC, feature, bin) = 1),
+n{d + 1} AS MATERIALIZED (SELECT p.row, p.player_id, p.r, CASE WHEN c.feature IS NULL THEN p.node ELSE 2 * p.node + CAST(f.bin > c.bin AS INTEGER) END AS node
+  FROM n{d} p LEFT JOIN c{d} c ON c.player_id = p.player_id AND c.node = p.node
+  LEFT JOIN bf f ON f.row = p.row AND f.feature = c.feature)""")
+    cuts = " UNION ALL ".join(f"SELECT player_id, node, feature, bin, NULL::BIGINT AS value FROM c{d}" for d in range(depth))
+    value = _HALF_UP.format(a="(sum(r) * 100)", b="(count(*) * 1000)")
+    return ",\n".join(out) + f"""
+SELECT * FROM ({cuts} UNION ALL
+  SELECT player_id, node, NULL AS feature, NULL AS bin, CAST({value} AS BIGINT) AS value FROM n{depth} GROUP BY player_id, node)"""
+
+
+@register("m12_boosted_first_trees", _boosted_sql())
+def m12_boosted_first_trees(spark, sf_dir):
+    """The first round of boosted trees of every player's rating, two
+    levels deep, at least 6 rows to split and 2 a leaf."""
+    t = tables(spark, sf_dir)
+    rows = ft.player_features(t.player_match_stats, t.matches, t.opposition_categories, n=10)
+    rows = rows.withColumns({c: F.round(c, 6) for c in ("recent_avg_goals", "recent_avg_assists", "recent_avg_rating")})
+    models = boosting.train_boosted_per_player(rows, "rating", rounds=1, depth=2, min_split=6, min_leaf=2)
+    return models.trees.select("player_id", "node", "feature", "bin", "value")

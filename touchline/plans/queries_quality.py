@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from touchline.operators import quality as qc
+from touchline.operators.stats import exact_quantile
 from touchline.plans import sqlx
 from touchline.plans.catalog import register, tables, with_views
 
@@ -118,3 +121,14 @@ def q6_health_rollup(spark, sf_dir):
     t = tables(spark, sf_dir)
     checks = qc.health_checks(_tables(spark, sf_dir), t.data_collection_log, as_of=LOG_AS_OF)
     return qc.health_rollup(checks)
+
+
+@register("a16_collection_time_quantiles", with_views("data_collection_log") + "\nUNION ALL\n".join(
+    f"SELECT source, CAST({q} AS DOUBLE) AS quantile, QUANTILE_CONT(execution_time_seconds, {q}) AS seconds "
+    "FROM data_collection_log WHERE execution_time_seconds IS NOT NULL GROUP BY source" for q in (0.1, 0.5, 0.95)))
+def a16_collection_time_quantiles(spark, sf_dir):
+    """A16 over an unbounded domain: exact quantiles of collection times per source."""
+    log = tables(spark, sf_dir).data_collection_log
+    parts = [exact_quantile(log, ["source"], "execution_time_seconds", q, "seconds", range_rows=2000)
+             .select("source", F.lit(q).alias("quantile"), "seconds") for q in (0.1, 0.5, 0.95)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
