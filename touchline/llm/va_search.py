@@ -98,26 +98,49 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, codes: np.ndarray,
         half = SCALE * width * (0.5 + 1e-9) + 1.0 + 1e-9 * np.abs(SCALE * low)
         slack = np.abs(q) @ half                           # how far the score can be from the centre's
         upper = q @ middle.T + (slack + 1e-6 * (1 + slack))[:, None]
-    rows, read = [], 0
-    for i, (own, bound) in enumerate(zip(query_ids, upper)):
-        bound = np.where(ids == own, -np.inf, bound)
-        n = int((ids != own).sum())
-        got_id, got = np.empty(0, np.int64), np.empty(0, exact.dtype)
-        by_bound = np.argsort(-bound, kind="stable")[:n]   # own rows have the last bounds
-        size, done = max(READ_STEP, 2 * k), 0
-        while done < n:
-            order = by_bound[done:done + size]
-            got = np.concatenate([got, exact[order] @ asked[i]])
-            got_id = np.concatenate([got_id, ids[order]])
-            best = sorted(range(len(got)), key=lambda r: (-got[r], got_id[r]))[:k] if got.dtype == object else np.lexsort((got_id, -got))[:k]
-            got, got_id = got[best], got_id[best]
-            read += len(order)
-            last, done, size = bound[order[-1]], done + len(order), size * 2
-            if exact.dtype != object and len(got) == k and last < got[-1]:
-                break
-        rows.append(pd.DataFrame({"query_id": own, "nth": i, "vec_id": got_id, "key": [score_key(int(s)) for s in got],
-                                  "score": pd.array([int(s) if -2**63 <= s < 2**63 else None for s in got], "Int64")}))
-    return pd.concat(rows, ignore_index=True), read
+    size = max(READ_STEP, 2 * k)
+    upper = np.where(ids[None, :] == query_ids[:, None], -np.inf, upper)
+    found, read = [None] * len(asked), 0
+    if exact.dtype != object and len(ids) > size:          # the first reads of all queries at once
+        first = np.argpartition(-upper, size - 1, axis=1)[:, :size]
+        got = np.einsum("qmd,qd->qm", exact[first], asked)
+        got = np.where(np.take_along_axis(upper, first, 1) > -np.inf, got, np.iinfo(np.int64).min)
+        rest = upper.copy()
+        np.put_along_axis(rest, first, -np.inf, axis=1)
+        enough = np.sort(got, axis=1)[:, -k]               # the k-th best so far
+        certain = rest.max(1) < enough
+        read += int(certain.sum()) * size
+        for i in np.flatnonzero(certain):
+            best = np.lexsort((ids[first[i]], -got[i]))[:k]
+            found[i] = ids[first[i][best]], got[i][best]
+    for i, bound in enumerate(upper):
+        if found[i] is None:
+            *found[i], n = _read_in_order(asked[i], bound, exact, ids, k, size)
+            read += n
+    count = [len(x[0]) for x in found]
+    score = [int(s) for x in found for s in x[1]]
+    return pd.DataFrame({"query_id": np.repeat(query_ids, count), "nth": np.repeat(np.arange(len(asked)), count),
+                         "vec_id": np.concatenate([x[0] for x in found] or [np.empty(0, np.int64)]),
+                         "key": pd.Series([score_key(s) for s in score], dtype=object),
+                         "score": pd.array([s if -2**63 <= s < 2**63 else None for s in score], "Int64")}), read
+
+
+def _read_in_order(asked: np.ndarray, bound: np.ndarray, exact: np.ndarray, ids: np.ndarray, k: int, size: int):
+    """(ids, scores) of a query's k best and the number of vectors read, in
+    order of the bound until the k-th is certain."""
+    n, read = int((bound > -np.inf).sum()), 0
+    got_id, got = np.empty(0, np.int64), np.empty(0, exact.dtype)
+    by_bound = np.argsort(-bound, kind="stable")[:n]       # own rows have the last bounds
+    while read < n:
+        order = by_bound[read:read + size]
+        got = np.concatenate([got, exact[order] @ asked])
+        got_id = np.concatenate([got_id, ids[order]])
+        best = sorted(range(len(got)), key=lambda r: (-got[r], got_id[r]))[:k] if got.dtype == object else np.lexsort((got_id, -got))[:k]
+        got, got_id = got[best], got_id[best]
+        read, size = read + len(order), size * 2
+        if exact.dtype != object and len(got) == k and bound[order[-1]] < got[-1]:
+            break
+    return got_id, got, read
 
 
 def top_k(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -152,7 +175,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id
         low, width = (np.array(x, np.float64) for x in cells[int(key[0])])
         best, _ = best_of_block(exact(q["x"]), q["query_id"].to_numpy(), np.stack(c["codes"]).astype(np.float64),
                                 exact(c["x"]), c["vec_id"].to_numpy(), low, width, k)
-        return best.assign(ask=q["ask"].to_numpy()[best["nth"].to_numpy(int)]).astype({"key": object})[list(columns)]
+        return best.assign(ask=q["ask"].to_numpy()[best["nth"].to_numpy(int)])[list(columns)]
 
     on = ["dim", "qb", "vb"]
     merged = (left.groupBy(*on).cogroup(right.groupBy(*on))
