@@ -21,8 +21,9 @@ members of other classes and leave the band, until no band is mixed.  So
 every two texts that share a band end in one class or have been compared,
 whatever a band's size.  A pair is left out of a comparison only if its sizes
 or its parity bitmaps (512 bits; they differ in no more bits than the sets in
-shingles) rule the threshold out: the weight that one text has alone is at
-most 1 - threshold of its total, and a shingle weighs at least 1.  A centre of
+shingles) rule the threshold t out: a text has at most 1 - t of its weight
+alone, both shares together are at most 2 (1 - t) / (1 + t), and a shingle
+weighs at least 1.  A centre of
 many pairs is dealt in parts of 1,000 pairs.
 
 The texts of candidates are found again by a bitmap of fixed size over the
@@ -233,7 +234,8 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
                 owner, value, count, keys = shingles(texts[part], size)
                 ends = np.cumsum(np.bincount(owner, minlength=len(keys)))
                 yield pd.DataFrame({"node": keys, "shingles": np.split(value.view(np.int64), ends[:-1]),
-                                    "counts": np.split(count.astype(np.int32), ends[:-1])})
+                                    "counts": [c if (c > 1).any() else c[:0]              # all once: left out
+                                               for c in np.split(count.astype(np.int32), ends[:-1])]})
 
     found = slim.mapInPandas(run, "node binary, shingles array<long>, counts array<int>")
     once = Window.partitionBy("node").orderBy("node")
@@ -277,9 +279,12 @@ def _beside(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted sets have at least the threshold's probability Jaccard similarity."""
+    def weight(shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return weights(count) if len(count) else np.ones(len(shingle))
+
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            near = [probability_jaccard(sa, weights(ca), sb, weights(cb)) >= threshold - 1e-9
+            near = [probability_jaccard(sa, weight(sa, ca), sb, weight(sb, cb)) >= threshold - 1e-9
                     for sa, ca, sb, cb in zip(batch["sa"], batch["ca"], batch["sb"], batch["cb"])]
             yield batch.loc[np.array(near, bool), ["a", "b"]]
 
@@ -306,7 +311,8 @@ def _classes(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, siz
         spare = F.lit(1 - threshold + 1e-9)                   # of a text's weight that the other may lack
         sizes = (F.col("n_a") - F.col("n_b") <= spare * F.col("w_a")) & (F.col("n_b") - F.col("n_a") <= spare * F.col("w_b"))
         apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in bitmap])
-        return sizes & (apart <= spare * (F.col("w_a") + F.col("w_b")))
+        # the shares a, b of weight that each has alone: similarity <= 2 (2 - a a - b b) / (2 + a + b)**2, so a + b is bounded
+        return sizes & (apart <= F.lit(2 * (1 - threshold) / (1 + threshold) + 1e-9) * F.greatest("w_a", "w_b"))
 
     def named_as(df: DataFrame, side: str) -> DataFrame:
         return df.toDF(*[f"{c}_{side}" for c in df.columns])
