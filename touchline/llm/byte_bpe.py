@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from touchline.llm.common import text_runs
 
 NO_PAIR = np.int64(2**62)
-KNOWN_PIECES = 400_000        # distinct pieces a worker remembers before it starts afresh
+KNOWN_PIECES = 150_000        # distinct pieces a worker remembers before it starts afresh
 POSITION_BITS = 32
 
 

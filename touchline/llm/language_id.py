@@ -33,7 +33,7 @@ BUCKETS = 1 << 16
 UNKNOWN = "und"
 EM_STEPS = 12
 PRIOR = 0.5                    # pseudo-trigrams a language holds in every document
-RUN_CHARS = 2_000_000
+RUN_CHARS = 300_000
 
 
 @dataclass

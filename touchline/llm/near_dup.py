@@ -58,8 +58,8 @@ from touchline.llm.common import fresh_name, text_runs, written
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, BAND_SLOTS = 25, 5      # a pair at 0.8 shares no band with probability 5e-5
-KNOWN_WORDS = 400_000
-RUN_CHARS = 2_000_000
+KNOWN_WORDS = 100_000
+RUN_CHARS = 500_000
 BITMAP = 8                     # 64-bit words of a parity bitmap
 FIRST_CENTRES = 64
 WANTED_BITS = 25               # bitmap of 2**25 bits (4 MB) over hashes of wanted row keys
