@@ -110,3 +110,20 @@ def test_export_records(spark, small, tmp_dir):
     ingest.export_records(df, f"{tmp_dir}/export", partition_by=["season_id"])
     back = spark.read.json(f"{tmp_dir}/export")
     assert back.count() == df.count()
+
+
+def test_broken_documents_are_quarantined(spark, tmp_dir):
+    import os
+    docs = {"good": '[{"id": 1, "event": 2}, {"id": 3, "event": 4}]', "cut": '[{"id": 5, "event": 6}, {"id": 7, "ev', "odd": '[{"id": "x1", "event": 2}]'}
+    os.makedirs(f"{tmp_dir}/fx")
+    for name, text in docs.items():
+        with open(f"{tmp_dir}/fx/{name}.json", "w") as f:
+            f.write(text)
+    good, bad = ingest.split_documents(spark, ingest.FIXTURE, f"{tmp_dir}/fx")
+    account = {r.file.rsplit("/", 1)[1]: (r.good, r.quarantined)
+               for r in ingest.quarantine(spark, ingest.FIXTURE, f"{tmp_dir}/fx", f"{tmp_dir}/bad").collect()}
+    assert account["good.json"] == (2, 0) and set(account) == {"good.json", "cut.json", "odd.json"}
+    assert account["cut.json"][1] >= 1 and account["odd.json"] == (0, 1)
+    assert good.count() == sum(g for g, _ in account.values())
+    held = spark.read.parquet(f"{tmp_dir}/bad")
+    assert held.count() == bad.count() == sum(b for _, b in account.values())

@@ -10,6 +10,7 @@ return the rows to append, numbered after the current maximum id.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from touchline.functions import expressions as X
 from touchline.operators.sequence import ordered_prefix
+from touchline.session import scratch_dir
 from touchline.sources import schemas as SC
 
 # ----------------------------------------------------------------- schemas
@@ -62,6 +64,34 @@ COMPETITION = T.StructType([
 
 
 # --------------------------------------------------------------- readers
+BROKEN = "_broken"
+
+
+def split_documents(spark: SparkSession, schema: T.StructType, path: str) -> tuple[DataFrame, DataFrame]:
+    """Landed JSON documents as (good rows with their ``file``,
+    quarantined rows: file, record).  A document that does not parse, or does
+    not fit the schema, is one quarantined row with its whole text, so no
+    document vanishes."""
+    wide = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
+    docs = (spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
+            .json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path")))
+    parsed = scratch_dir(spark, f"landed/{uuid.uuid4().hex}")           # parsed once, read by both sides
+    docs.write.parquet(parsed)
+    docs = spark.read.parquet(parsed)
+    return (docs.filter(F.col(BROKEN).isNull()).drop(BROKEN),
+            docs.filter(F.col(BROKEN).isNotNull()).select("file", F.col(BROKEN).alias("record")))
+
+
+def quarantine(spark: SparkSession, schema: T.StructType, path: str, into: str) -> DataFrame:
+    """Write the quarantined rows of ``path`` under ``into`` and return the
+    account: file, good (rows), quarantined (rows), of every landed file that
+    holds any."""
+    good, bad = split_documents(spark, schema, path)
+    bad.withColumn("quarantined_at", F.current_timestamp()).write.mode("append").parquet(into)
+    rows = good.select("file", F.lit(1).alias("g")).unionByName(bad.select("file", F.lit(0).alias("g")))
+    return rows.groupBy("file").agg(F.sum("g").cast("long").alias("good"), F.sum(1 - F.col("g")).cast("long").alias("quarantined"))
+
+
 def read_bootstrap(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """S3: bootstrap documents -> (teams, elements) frames."""
     doc = spark.read.schema(BOOTSTRAP).json(path, multiLine=True)

@@ -49,10 +49,12 @@ def _write_batch(df: DataFrame, out_path: str, batch_id: int) -> None:
 
 
 def newest_per_match(updates: DataFrame) -> DataFrame:
-    """Newest version (by ``updated_at``, then status text) of each match."""
+    """Newest version (by ``updated_at``, then status text, then the other
+    columns, so that a replay picks the same row) of each match."""
     cols = [c for c in updates.columns if c not in ("id",)]
+    rest = [c for c in cols if c not in ("updated_at", "status")]
     best = updates.groupBy("id").agg(
-        F.max_by(F.struct(*cols), F.struct("updated_at", "status")).alias("v"))
+        F.max_by(F.struct(*cols), F.struct("updated_at", "status", *rest)).alias("v"))
     return best.select("id", "v.*")
 
 
