@@ -17,6 +17,8 @@ from touchline.plans import sqlx
 from touchline.plans.catalog import AS_OF, FOCAL_SHORT_NAME, LF_SQL, register, tables, with_views
 from touchline.plans.report import weekly_report
 from touchline.session import scratch_dir
+from touchline.sources import schemas as SC
+from touchline.streaming import commits
 from touchline.streaming import match_day as md
 
 
@@ -24,17 +26,18 @@ def _run_dir(spark, name: str) -> str:
     return scratch_dir(spark, f"streams/{name}/{uuid.uuid4().hex}")
 
 
-@register("t1_incremental_match_ingest", with_views("matches") + """
+_T1_SQL = """
 SELECT id, season_id, gameweek, match_date, home_team_id, away_team_id,
   CASE WHEN status = 'scheduled' THEN NULL ELSE home_score END AS home_score,
   CASE WHEN status = 'scheduled' THEN NULL ELSE away_score END AS away_score, status,
   CASE WHEN status = 'scheduled' THEN match_date - INTERVAL 1 DAY ELSE match_date + INTERVAL 2 HOUR END
     AS updated_at
-FROM matches""")
-def t1_incremental_match_ingest(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    base = _run_dir(spark, "t1")
-    m = t.matches
+FROM matches"""
+
+
+def _match_landings(spark, sf_dir):
+    """(documents before the match, documents with results)."""
+    m = tables(spark, sf_dir).matches
     keep = ["id", "season_id", "gameweek", "match_date", "home_team_id", "away_team_id"]
     pre = m.select(*keep, F.lit(None).cast("long").alias("home_score"),
                    F.lit(None).cast("long").alias("away_score"), F.lit("scheduled").alias("status"),
@@ -42,23 +45,62 @@ def t1_incremental_match_ingest(spark, sf_dir):
     final = m.filter(F.col("status") != "scheduled").select(
         *keep, "home_score", "away_score", "status",
         (F.col("match_date") + F.expr("INTERVAL 2 HOURS")).alias("updated_at"))
+    return pre, final
+
+
+@register("t1_incremental_match_ingest", with_views("matches") + _T1_SQL)
+def t1_incremental_match_ingest(spark, sf_dir):
+    base = _run_dir(spark, "t1")
+    pre, final = _match_landings(spark, sf_dir)
     # Two landings: pre-match documents first, then results.
     pre.write.parquet(f"{base}/landing/h01")
     final.write.parquet(f"{base}/landing/h02")
-    q = md.start_match_ingest(spark, f"{base}/landing/*", f"{base}/versions", f"{base}/checkpoint",
+    q = md.start_match_ingest(spark, f"{base}/landing/*", f"{base}/matches", f"{base}/checkpoint",
                               files_per_trigger=4)
     q.awaitTermination()
-    return md.current_matches(spark, f"{base}/versions")
+    return md.current_matches(spark, f"{base}/matches")
 
 
-@register("t2_log_health_windows", with_views("data_collection_log") + f"""
+@register("t1_compacted_matches", with_views("matches") + _T1_SQL)
+def t1_compacted_matches(spark, sf_dir):
+    """Results land first and are compacted; a compaction that never commits
+    and the documents before the match follow."""
+    base = _run_dir(spark, "t1c")
+    table = f"{base}/matches"
+    pre, final = _match_landings(spark, sf_dir)
+    final.write.parquet(f"{base}/landing/h01")
+    md.start_match_ingest(spark, f"{base}/landing/*", table, f"{base}/checkpoint", files_per_trigger=1).awaitTermination()
+    md.compact_matches(spark, table)
+    commits.write_data(final.withColumn("home_score", F.lit(-1).cast("long")), table)
+    pre.write.parquet(f"{base}/landing/h02")
+    md.start_match_ingest(spark, f"{base}/landing/*", table, f"{base}/checkpoint").awaitTermination()
+    return md.current_matches(spark, table)
+
+
+@register("s8_stream_collection_log", with_views("matches") + """
+SELECT 'match_day' AS source, 'matches' AS data_type, n AS records_collected, TRUE AS success
+FROM (SELECT COUNT(*) AS n FROM matches UNION ALL SELECT COUNT(*) FROM matches WHERE status <> 'scheduled') a""")
+def s8_stream_collection_log(spark, sf_dir):
+    base = _run_dir(spark, "s8")
+    for i, docs in enumerate(_match_landings(spark, sf_dir)):
+        docs.write.parquet(f"{base}/landing/h{i:02d}")
+        md.start_match_ingest(spark, f"{base}/landing/*", f"{base}/matches", f"{base}/checkpoint",
+                              log_path=f"{base}/log").awaitTermination()
+    return spark.read.schema(SC.DATA_COLLECTION_LOG).parquet(f"{base}/log").select(
+        "source", "data_type", "records_collected", "success")
+
+
+_T2_SQL = with_views("data_collection_log") + f"""
 SELECT window_start, source, runs, successes, records_collected,
   {sqlx.ratio('successes', 'runs', 100)} AS success_rate, ROUND(total_seconds / runs, 6) AS mean_seconds
 FROM (SELECT date_trunc('day', collected_at) AS window_start, source, COUNT(*) AS runs,
         COUNT(*) FILTER (WHERE success) AS successes,
         CAST(SUM(CASE WHEN success THEN records_collected END) AS BIGINT) AS records_collected,
         SUM(execution_time_seconds) AS total_seconds
-      FROM data_collection_log GROUP BY 1, 2) a""")
+      FROM data_collection_log GROUP BY 1, 2) a"""
+
+
+@register("t2_log_health_windows", _T2_SQL)
 def t2_log_health_windows(spark, sf_dir):
     t = tables(spark, sf_dir)
     base = _run_dir(spark, "t2")
@@ -69,6 +111,19 @@ def t2_log_health_windows(spark, sf_dir):
     return md.final_windows(spark, f"{base}/out")
 
 
+@register("t2_late_rows_reconciled", _T2_SQL)
+def t2_late_rows_reconciled(spark, sf_dir):
+    """Every third hour lands at a time, each landing a run of its own: the rows
+    of the second and third lie behind the watermark, but for the last hours."""
+    log = tables(spark, sf_dir).data_collection_log
+    base = _run_dir(spark, "t2late")
+    part = F.pmod(F.coalesce(F.hour("collected_at"), F.lit(0)), F.lit(3))
+    for i in range(3):
+        log.filter(part == i).write.parquet(f"{base}/landing/h{i:02d}")
+        md.run_log_health(spark, f"{base}/landing/*", base)
+    return md.reconciled_windows(spark, base)
+
+
 _FOCAL = f"(SELECT COALESCE(MIN(id), 1) FROM teams WHERE short_name = '{FOCAL_SHORT_NAME}')"
 _SEASON = "(SELECT COALESCE(MIN(id), 1) FROM seasons WHERE is_current)"
 
