@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from touchline.operators import performance as perf
 from touchline.plans.catalog import ORACLES, register, tables, with_views
 from touchline.session import scratch_dir
-from touchline.sources import html, ingest
+from touchline.sources import html, ingest, names
 from touchline.sources import schemas as SC
 
 
@@ -147,8 +147,12 @@ SELECT m.id, m.match_date, m.status, m.gameweek, m.home_team_id AS home_source_i
 FROM matches m JOIN teams h ON h.id = m.home_team_id JOIN teams a ON a.id = m.away_team_id""")
 def s6_competition_documents(spark, sf_dir):
     t = tables(spark, sf_dir)
-    named = lambda side: t.teams.select(F.col("id").alias(f"{side}_team_id"), F.col("name").alias(f"{side}_name"))
-    m = t.matches.join(named("home"), "home_team_id").join(named("away"), "away_team_id")
+    return _competition(spark, t.matches, t.teams)
+
+
+def _competition(spark, matches: DataFrame, teams: DataFrame) -> DataFrame:
+    named = lambda side: teams.select(F.col("id").alias(f"{side}_team_id"), F.col("name").alias(f"{side}_name"))
+    m = matches.join(named("home"), "home_team_id").join(named("away"), "away_team_id")
     match = F.struct(
         "id", F.date_format("match_date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utcDate"), "status", F.col("gameweek").alias("matchday"),
         F.struct(F.col("home_team_id").alias("id"), F.col("home_name").alias("name")).alias("homeTeam"),
@@ -159,6 +163,23 @@ def s6_competition_documents(spark, sf_dir):
     return ingest.read_competition_matches(spark, _land(spark, docs, ["part"], "competition"))
 
 
+@register("s6_loaded_competition_matches", with_views("matches", "teams") + """
+SELECT season_id, gameweek, match_date, home_team_id, away_team_id,
+  arg_min(home_score, id) AS home_score, arg_min(away_score, id) AS away_score, arg_min(status, id) AS status
+FROM matches GROUP BY 1, 2, 3, 4, 5""")
+def s6_loaded_competition_matches(spark, sf_dir):
+    """Documents that misspell every team (two letters in the middle change
+    places, or the last is doubled) end up in the match table under the team meant."""
+    t = tables(spark, sf_dir)
+    n, mid = F.col("name"), F.floor(F.length("name") / 2).cast("int")
+    swapped = F.concat(n.substr(F.lit(1), mid - 1), n.substr(mid + 1, F.lit(1)), n.substr(mid, F.lit(1)),
+                       n.substr(mid + 2, F.length(n)))
+    wrong = t.teams.withColumn("name", F.when(F.length(n) >= 8, swapped).otherwise(F.concat(n, F.substring(n, -1, 1))))
+    docs = _competition(spark, t.matches, wrong)
+    rows, _ = names.load_competition_matches(docs, t.teams, t.matches.limit(0), F.year("match_date"))
+    return rows.drop("id")
+
+
 LOGGED = ("orders", "customer", "nation")
 
 

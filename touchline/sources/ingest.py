@@ -142,7 +142,7 @@ def observed(df: DataFrame, name: str = "records"):
 
 
 # --------------------------------------------------------------- loaders
-def _number_after(existing: DataFrame, new: DataFrame, order: list[str], chunk) -> DataFrame:
+def number_after(existing: DataFrame, new: DataFrame, order: list[str], chunk) -> DataFrame:
     """Give new rows ids ``max(existing id) + position`` in ``order``; the
     numbering runs per chunk with offsets, not as one global window."""
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
@@ -155,7 +155,7 @@ def load_teams(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     as rows to append (ids after the current maximum)."""
     inc = incoming.groupBy("name").agg(F.min_by("short_name", "id").alias("short_name"))
     new = inc.join(existing.select("name"), "name", "left_anti")
-    rows = _number_after(existing, new, ["name"], F.substring("name", 1, 2))
+    rows = number_after(existing, new, ["name"], F.substring("name", 1, 2))
     return rows.select("id", "name", "short_name", F.lit(None).cast("int").alias("founded_year"),
                        F.lit(None).cast("string").alias("stadium"))
 
@@ -180,7 +180,8 @@ def load_players(elements: DataFrame, source_teams: DataFrame, teams: DataFrame,
         F.min_by(F.struct("position", "squad_number", "is_active"), "source_id").alias("v"))
     new = first.select("name", "team_id", "v.*").join(
         existing.select("name", "team_id"), ["name", "team_id"], "left_anti")
-    rows = _number_after(existing, new, ["team_id", "name"], F.col("team_id"))
+    rows = number_after(existing, new, ["team_id", "name"],
+                        F.struct("team_id", F.coalesce(F.substring("name", 1, 3), F.lit("")).alias("start")))
     return rows.select("id", "name", "position", "squad_number", "team_id", "is_active")
 
 
@@ -205,7 +206,7 @@ def load_fixtures(fixtures: DataFrame, source_teams: DataFrame, teams: DataFrame
     f = f.groupBy(*nk).agg(F.min_by(F.struct("gameweek", "home_score", "away_score", "status"),
                                     "source_id").alias("v")).select(*nk, "v.*")
     new = f.join(existing.select(*nk), nk, "left_anti")
-    rows = _number_after(existing, new, ["match_date", "home_team_id", "away_team_id"],
+    rows = number_after(existing, new, ["match_date", "home_team_id", "away_team_id"],
                          F.to_date("match_date"))
     return rows.select("id", "season_id", "gameweek", "match_date", "home_team_id", "away_team_id",
                        "home_score", "away_score", "status")
