@@ -48,18 +48,18 @@ from functools import reduce
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import fresh_name, text_runs, written
+from touchline.llm.common import arrow_text_runs, fresh_name, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, BAND_SLOTS = 25, 5      # a pair at 0.8 shares no band with probability 5e-5
 KNOWN_WORDS = 100_000
-RUN_CHARS = 500_000
+RUN_BYTES = 500_000
 BITMAP = 8                     # 64-bit words of a parity bitmap
 FIRST_CENTRES = 64
 WANTED_BITS = 25               # bitmap of 2**25 bits (4 MB) over hashes of wanted row keys
@@ -187,25 +187,21 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
                        F.col(text_col).alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for part in text_runs(texts, RUN_CHARS):
-                owner, value, count, keys = shingles(texts[part], size)
-                weight = weights(count)
-                signature = signatures(owner, value, weight, len(keys), bands * rows)
-                out = batch[["doc_id", "row_key"]].iloc[part].assign(
-                    node=keys, n=np.bincount(owner, minlength=len(keys)).astype(np.int32),
-                    w=np.bincount(owner, weight, minlength=len(keys)))
-                hashes = band_hashes(signature, bands)
-                out["bands"] = [h if k else None for h, k in zip(hashes, keys)]
-                bitmap = parity_bitmaps(owner, value, len(keys))
-                for i in range(BITMAP):
-                    out[f"b{i}"] = bitmap[:, i]
-                yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in arrow_text_runs(batches, max_bytes=RUN_BYTES):
+            owner, value, count, keys = shingles(texts)
+            weight = weights(count)
+            hashes = band_hashes(signatures(owner, value, weight, len(keys), bands * rows), bands)
+            bitmap = parity_bitmaps(owner, value, len(keys))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": part.column("doc_id"), "row_key": part.column("row_key"), "node": pa.array(keys, pa.binary()),
+                "n": pa.array(np.bincount(owner, minlength=len(keys)).astype(np.int32)),
+                "w": pa.array(np.bincount(owner, weight, minlength=len(keys)).astype(np.float64)),
+                "bands": pa.array([h if k else None for h, k in zip(hashes, keys)], pa.list_(pa.int64())),
+                **{f"b{i}": pa.array(bitmap[:, i]) for i in range(BITMAP)}})
 
     bitmap_type = "".join(f", b{i} long" for i in range(BITMAP))
-    return slim.mapInPandas(run, f"doc_id {id_type}, row_key binary, node binary, n int, w double, bands array<long>{bitmap_type}")
+    return slim.mapInArrow(run, f"doc_id {id_type}, row_key binary, node binary, n int, w double, bands array<long>{bitmap_type}")
 
 
 def _wanted_bits(wanted: DataFrame, bits: int) -> np.ndarray:
@@ -225,19 +221,23 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
     slim = (docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
             .select(F.shiftrightunsigned(F.xxhash64("row_key"), 64 - bits).alias("at"), "text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
-        for batch in batches:
-            at = batch["at"].to_numpy(np.int64)
-            texts = batch["text"][(bitmap[at >> 3] >> (at & 7)) & 1 == 1].tolist()
-            for part in text_runs(texts, RUN_CHARS):
-                owner, value, count, keys = shingles(texts[part], size)
-                ends = np.cumsum(np.bincount(owner, minlength=len(keys)))
-                yield pd.DataFrame({"node": keys, "shingles": np.split(value.view(np.int64), ends[:-1]),
-                                    "counts": [c if (c > 1).any() else c[:0]              # all once: left out
-                                               for c in np.split(count.astype(np.int32), ends[:-1])]})
-
-    found = slim.mapInPandas(run, "node binary, shingles array<long>, counts array<int>")
+
+        def wanted(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at = batch.column("at").to_numpy()
+            return batch.filter(pa.array((bitmap[at >> 3] >> (at & 7)) & 1 == 1))
+
+        for _, texts in arrow_text_runs(map(wanted, batches), max_bytes=RUN_BYTES):
+            owner, value, count, keys = shingles(texts)
+            ends = np.cumsum(np.bincount(owner, minlength=len(keys)))
+            counts = [c if (c > 1).any() else None for c in np.split(count.astype(np.int32), ends[:-1])]
+            yield pa.RecordBatch.from_pydict({
+                "node": pa.array(keys, pa.binary()),
+                "shingles": pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), value.view(np.int64)),
+                "counts": pa.array(counts, pa.list_(pa.int32()))})      # null: all occur once
+
+    found = slim.mapInArrow(run, "node binary, shingles array<long>, counts array<int>")
     once = Window.partitionBy("node").orderBy("node")
     return (found.join(nodes.select("node"), "node", "left_semi")
             .withColumn("nth", F.row_number().over(once)).filter("nth = 1").drop("nth"))
@@ -279,16 +279,20 @@ def _beside(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted sets have at least the threshold's probability Jaccard similarity."""
-    def weight(shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return weights(count) if len(count) else np.ones(len(shingle))
-
-    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [probability_jaccard(sa, weight(sa, ca), sb, weight(sb, cb)) >= threshold - 1e-9
-                    for sa, ca, sb, cb in zip(batch["sa"], batch["ca"], batch["sb"], batch["cb"])]
-            yield batch.loc[np.array(near, bool), ["a", "b"]]
+            flat = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("sa", "ca", "sb", "cb")}
+
+            def weighted(row: int, side: str) -> tuple[np.ndarray, np.ndarray]:
+                (at, shingle), (count_at, count) = flat[f"s{side}"], flat[f"c{side}"]
+                element, times = shingle[at[row]:at[row + 1]], count[count_at[row]:count_at[row + 1]]
+                return element, weights(times) if len(times) else np.ones(len(element))
+
+            near = [probability_jaccard(*weighted(i, "a"), *weighted(i, "b")) >= threshold - 1e-9
+                    for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return _beside(_beside(pairs, sets, "a"), sets, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInPandas(
+    return _beside(_beside(pairs, sets, "a"), sets, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(
         similar, "a binary, b binary")
 
 
