@@ -18,7 +18,10 @@ from touchline.plans.catalog import AS_OF, FOCAL_SHORT_NAME, LF_SQL, register, t
 from touchline.plans.report import weekly_report
 from touchline.session import scratch_dir
 from touchline.sources import schemas as SC
+from touchline.operators.league import opposition_categories
+from touchline.plans.queries_features import LEAGUE_SQL
 from touchline.streaming import commits
+from touchline.streaming import league_state as ls
 from touchline.streaming import match_day as md
 
 
@@ -90,6 +93,38 @@ def s8_stream_collection_log(spark, sf_dir):
         "source", "data_type", "records_collected", "success")
 
 
+def _late_results(spark, sf_dir, table, refresh):
+    """Commit results in three batches and refresh after each: first without
+    every seventh match and with wrong scores for every fifth, then all of them,
+    as documents before and after the match that arrive in either order."""
+    pre, final = _match_landings(spark, sf_dir)
+    early = final.filter(F.col("id") % 7 != 0).withColumns({
+        "home_score": F.when(F.col("id") % 5 == 0, F.col("away_score") + 1).otherwise(F.col("home_score")),
+        "updated_at": F.col("updated_at") - F.expr("INTERVAL 1 HOUR")})
+    for updates in (early, pre, final):
+        md.commit_matches(spark, updates, table)
+        refresh()
+
+
+@register("a23_refreshed_league_table", with_views("matches", extra=LEAGUE_SQL) + """
+SELECT lt.*, frm.form FROM lt LEFT JOIN frm ON frm.season_id = lt.season_id AND frm.team_id = lt.team_id
+  AND frm.seq = lt.matches_played""")
+def a23_refreshed_league_table(spark, sf_dir):
+    base = _run_dir(spark, "a23")
+    _late_results(spark, sf_dir, f"{base}/matches",
+                  lambda: ls.refresh_league_table(spark, f"{base}/matches", f"{base}/league"))
+    return ls.stored_league_table(spark, f"{base}/league")
+
+
+@register("a24_refreshed_opposition_category", with_views("matches", extra=LEAGUE_SQL) + """
+SELECT team_id, season_id, position AS final_position,
+  CASE WHEN position <= 6 THEN 'top_6' WHEN position <= 14 THEN 'mid_table' ELSE 'relegation_battle' END
+    AS category
+FROM lt WHERE (season_id, gameweek) IN (SELECT season_id, MAX(gameweek) FROM lt GROUP BY season_id)""")
+def a24_refreshed_opposition_category(spark, sf_dir):
+    return opposition_categories(a23_refreshed_league_table(spark, sf_dir))
+
+
 _T2_SQL = with_views("data_collection_log") + f"""
 SELECT window_start, source, runs, successes, records_collected,
   {sqlx.ratio('successes', 'runs', 100)} AS success_rate, ROUND(total_seconds / runs, 6) AS mean_seconds
