@@ -128,6 +128,12 @@ def fixture_features(matches: DataFrame, fixtures: DataFrame | None = None, *, f
         F.avg(_h2h_value()).alias("h2h"))
     if fixtures is None:
         fixtures = matches.filter(F.col("status") == "scheduled")
+    return fixture_rows(fixtures, team_now, pair_now, focal_team_id=focal_team_id)
+
+
+def fixture_rows(fixtures: DataFrame, team_now: DataFrame, pair_now: DataFrame, *, focal_team_id=None) -> DataFrame:
+    """M8 from the teams' (team_id, form, avg_goals_for) and the pairs'
+    (pair_lo, pair_hi, h2h) newest means."""
     fx = _pair_keys(fixtures.select(F.col("id").alias("match_id"), "season_id", "match_date",
                                     "home_team_id", "away_team_id"))
     home = team_now.select(F.col("team_id").alias("home_team_id"), F.col("form").alias("_hf"),

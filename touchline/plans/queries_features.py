@@ -108,7 +108,8 @@ fx AS (SELECT f.id AS match_id, f.season_id, f.match_date, f.home_team_id, f.awa
        WHERE f.status = 'scheduled')"""
 
 
-@register("m8_fixture_features", with_views("teams", "matches", extra=M8_SQL) + f"""
+def m8_sql() -> str:
+    return with_views("teams", "matches", extra=M8_SQL) + f"""
 SELECT match_id, season_id, match_date, home_team_id, away_team_id,
   {_r6('home_form')} AS home_form, {_r6('away_form')} AS away_form,
   {_r6('home_avg_goals_for')} AS home_avg_goals_for, {_r6('away_avg_goals_for')} AS away_avg_goals_for,
@@ -116,7 +117,10 @@ SELECT match_id, season_id, match_date, home_team_id, away_team_id,
   {_r6('home_avg_goals_for - away_avg_goals_for')} AS goal_difference_tendency,
   {_r6('home_form - away_form')} AS form_difference,
   CAST(home_team_id = {_FOCAL_SQL} OR away_team_id = {_FOCAL_SQL} AS INTEGER) AS is_focal_team
-FROM fx""")
+FROM fx"""
+
+
+@register("m8_fixture_features", m8_sql())
 def m8_fixture_features(spark, sf_dir):
     t = tables(spark, sf_dir)
     team = focal_team_id(t.teams, FOCAL_SHORT_NAME).scalar()

@@ -19,8 +19,10 @@ from touchline.plans.report import weekly_report
 from touchline.session import scratch_dir
 from touchline.sources import schemas as SC
 from touchline.operators.league import opposition_categories
-from touchline.plans.queries_features import LEAGUE_SQL
+from touchline.operators import features as ft
+from touchline.plans.queries_features import LEAGUE_SQL, m8_sql
 from touchline.streaming import commits
+from touchline.streaming import form_state as fs
 from touchline.streaming import league_state as ls
 from touchline.streaming import match_day as md
 
@@ -125,6 +127,16 @@ def a24_refreshed_opposition_category(spark, sf_dir):
     return opposition_categories(a23_refreshed_league_table(spark, sf_dir))
 
 
+@register("m8_refreshed_fixture_features", m8_sql())
+def m8_refreshed_fixture_features(spark, sf_dir):
+    base = _run_dir(spark, "m8")
+    _late_results(spark, sf_dir, f"{base}/matches", lambda: fs.refresh_form(spark, f"{base}/matches", f"{base}/form"))
+    team = focal_team_id(tables(spark, sf_dir).teams, FOCAL_SHORT_NAME).scalar()
+    fixtures = md.current_matches(spark, f"{base}/matches").filter(F.col("status") == "scheduled")
+    f = fs.fixture_features(spark, f"{base}/form", fixtures, focal_team_id=team)
+    return f.withColumns({c: F.round(c, 6) for c in ft.MATCH_FEATURES if c != "is_focal_team"})
+
+
 _T2_SQL = with_views("data_collection_log") + f"""
 SELECT window_start, source, runs, successes, records_collected,
   {sqlx.ratio('successes', 'runs', 100)} AS success_rate, ROUND(total_seconds / runs, 6) AS mean_seconds
