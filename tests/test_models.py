@@ -35,6 +35,27 @@ def test_match_model(spark, tmp_dir):
     assert p2.exceptAll(pred).count() == 0
 
 
+def test_fits_do_not_depend_on_the_session(spark, monkeypatch):
+    """A fit has as many tasks as its rows ask for, not one for each shuffle partition."""
+    rnd = np.random.default_rng(5)
+    rows = [(i, ("Home Win", "Draw", "Away Win")[i % 3], *map(float, rnd.normal(size=8) + i % 3)) for i in range(240)]
+    feats = spark.createDataFrame(rows, ["match_id", "outcome", *ml.MATCH_FEATURES])
+    monkeypatch.setattr(ml, "FOREST_ROWS", 20)
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("3", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            m = ml.train_match_model(feats, folds=2)
+            got.append((m.metrics.collect(), m.class_report.orderBy("outcome").collect(), m.importances.collect()))
+        split = ml.player_split(spark.range(300).selectExpr("id % 7 AS player_id", "id AS match_id"))
+        assert split.rdd.getNumPartitions() == ml.LEAST_TASKS and split.count() == 300
+        split.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] and got[0][0][0].training_samples == 192
+    assert sum(r.support for r in got[0][1]) == 48
+
+
 def test_player_model(spark, small):
     feats = ft.player_features(small.player_match_stats, small.matches, small.opposition_categories)
     m = ml.train_player_model(feats, "goals")
