@@ -65,6 +65,17 @@ def test_player_model(spark, small):
     assert nxt.count() == feats.select("player_id").distinct().count()
 
 
+def test_models_share_the_latest_state(spark, small):
+    """Predictions of several models are those of each one; the players' latest rows are found once."""
+    feats = ft.player_features(small.player_match_stats, small.matches, small.opposition_categories)
+    models = ml.train_player_models(feats, ("goals", "assists"))
+    every = ml.predict_player_models(models.values(), feats)
+    each = ml.predict_players(models["goals"], feats).unionByName(ml.predict_players(models["assists"], feats))
+    assert every.columns == each.columns and every.exceptAll(each).count() == 0 and each.exceptAll(every).count() == 0
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()      # noqa: E731
+    assert plan(every).count("max_by") == plan(ml.predict_players(models["goals"], feats)).count("max_by")
+
+
 def test_one_model_per_player(spark):
     """Ridge fits from sums of products equal numpy's on the rows; players below ten rows have none."""
     rnd = np.random.default_rng(2)

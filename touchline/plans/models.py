@@ -309,18 +309,27 @@ def predict_players(model: PlayerModel, features: DataFrame, scenario: DataFrame
                     *, opposition_strength: int = 1, is_home: int = 1, minutes: int = 90) -> DataFrame:
     """Next-match prediction from each player's latest rolling means and
     a scenario (opposition ordinal, venue, 90 minutes)."""
+    return predict_player_models([model], features, scenario, opposition_strength=opposition_strength,
+                                 is_home=is_home, minutes=minutes)
+
+
+def predict_player_models(models, features: DataFrame, scenario: DataFrame | None = None,
+                          *, opposition_strength: int = 1, is_home: int = 1, minutes: int = 90) -> DataFrame:
+    """``predict_players`` of several models: each player's latest state is
+    found once, whatever the number of models."""
     latest = latest_player_state(features)
     if scenario is not None:
         latest = latest.drop("opposition_strength", "is_home", "minutes_played").join(scenario, "player_id")
     else:
         latest = latest.withColumns({"opposition_strength": F.lit(opposition_strength),
                                      "is_home": F.lit(is_home), "minutes_played": F.lit(minutes).cast("long")})
-    recent = {"rating": "recent_avg_rating", "goals": "recent_avg_goals", "assists": "recent_avg_assists"}
-    out = model.model.transform(latest.withColumn(model.metric, F.lit(None).cast("double")))
-    return out.select("player_id", F.lit(model.metric).alias("metric"),
-                      F.col("prediction").alias("predicted_value"),
-                      F.col(recent[model.metric]).alias("recent_average"),
-                      "opposition_strength", "is_home")
+    out, models = latest, list(models)
+    for i, m in enumerate(models):
+        out = m.model.transform(out).withColumnRenamed("prediction", f"_prediction_{i}").drop("raw_features", "features")
+    return out.select("player_id", "opposition_strength", "is_home", F.inline(F.array(*[
+        F.struct(F.lit(m.metric).alias("metric"), F.col(f"_prediction_{i}").alias("predicted_value"),
+                 F.col(f"recent_avg_{m.metric}").alias("recent_average")) for i, m in enumerate(models)]))) \
+        .select("player_id", "metric", "predicted_value", "recent_average", "opposition_strength", "is_home")
 
 
 def train_all(match_features: DataFrame, player_features: DataFrame, key_players: DataFrame,

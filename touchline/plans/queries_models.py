@@ -88,9 +88,8 @@ def m13_player_prediction_sample(spark, sf_dir):
 @register("m14_player_next_match")
 def m14_player_next_match(spark, sf_dir):
     rows, models = _player_models(spark, sf_dir)
-    preds = [ml.predict_players(m, rows, opposition_strength=1, is_home=1) for m in models.values()]
-    return reduce(lambda a, b: a.unionByName(b), preds).withColumn(
-        "predicted_value", F.round("predicted_value", 6))
+    preds = ml.predict_player_models(models.values(), rows, opposition_strength=1, is_home=1)
+    return preds.withColumn("predicted_value", F.round("predicted_value", 6))
 
 
 @register("m15_train_all_summary")
