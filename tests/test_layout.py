@@ -130,3 +130,16 @@ def test_a_cluster_must_name_its_shared_folder():
         with pytest.raises(RuntimeError):
             ensure_checkpoint_dir(Session(master))
     assert ensure_checkpoint_dir(Session("local[4]"))
+
+
+def test_lines_dealt_by_match(spark, monkeypatch):
+    """With more lines than the session's tasks should hold, a task gets so many; the mapped rows stay the same."""
+    from touchline.sources import fixture_map
+    plain = fixture_map.sport_tables(spark, SF_SMALL)
+    rows = plain.raw("lineitem").count()
+    monkeypatch.setattr(fixture_map, "LINES_PER_TASK", rows // 40)
+    dealt = fixture_map.sport_tables(spark, SF_SMALL)
+    assert dealt.raw("lineitem").rdd.getNumPartitions() >= 40
+    for name in ("player_match_stats", "players", "shots"):
+        a, b = getattr(plain, name), getattr(dealt, name)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -194,6 +194,23 @@ def oracle_prefix(*names: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+# Lines of one task.  The mapped facts of a match are grouped and sorted where
+# its lines are; a plain scan or a shuffle merged by bytes deals them by size on
+# disk, which says little of what a task holds.
+LINES_PER_TASK = 400_000
+
+
+def dealt_lines(lines: DataFrame) -> DataFrame:
+    """``lineitem`` dealt by match, ``LINES_PER_TASK`` to a task, once the
+    session's shuffle partitions are too few for that."""
+    rows = lines.count()                                   # from the footers
+    session = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_default = min(session, lines.sparkSession.sparkContext.defaultParallelism)
+    if rows <= LINES_PER_TASK * by_default:
+        return lines
+    return lines.repartition(max(session, -(-rows // LINES_PER_TASK)), "l_orderkey")
+
+
 class SportTables:
     """Lazily mapped sport tables over one driver directory.
 
@@ -209,7 +226,8 @@ class SportTables:
     def raw(self, name: str) -> DataFrame:
         key = "raw:" + name
         if key not in self._cache:
-            self._cache[key] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._cache[key] = dealt_lines(df) if name == "lineitem" else df
         return self._cache[key]
 
     def __getattr__(self, name: str) -> DataFrame:
