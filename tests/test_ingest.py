@@ -127,3 +127,18 @@ def test_broken_documents_are_quarantined(spark, tmp_dir):
     assert good.count() == sum(g for g, _ in account.values())
     held = spark.read.parquet(f"{tmp_dir}/bad")
     assert held.count() == bad.count() == sum(b for _, b in account.values())
+
+
+def test_documents_share_files(spark, tmp_path):
+    """Landed documents come back row for row, in far fewer files than documents."""
+    from touchline.plans import queries_sources as qs
+    from touchline.sources import ingest
+    live = spark.range(3 * 200).selectExpr("id % 3 + 1 AS gameweek", "id DIV 3 AS part",
+                                           "concat('{\"elements\":[{\"id\":', id, ',\"stats\":{\"minutes\":90}}]}') AS value")
+    path = qs._land(spark, live, ["gameweek", "part"], "test-live")
+    back = ingest.read_gameweek_live(spark, path).selectExpr("gameweek", "id", "stats['minutes'] AS minutes").collect()
+    assert sorted(back) == sorted((i % 3 + 1, i, 90.0) for i in range(600))
+    assert spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).count() <= 3 * 4
+    fixtures = spark.range(300).selectExpr("id AS part", "concat('[{\"id\":', id, ',\"event\":7}]') AS value")
+    path = qs._land(spark, fixtures, ["part"], "test-fixtures", arrays=True)
+    assert sorted(r.id for r in ingest.read_fixtures(spark, path).filter("event = 7").collect()) == list(range(300))

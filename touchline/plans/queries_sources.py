@@ -87,12 +87,21 @@ def s11_load_fixtures(spark, sf_dir):
 # The given tables are landed as JSON documents of bounded size under the
 # shared folder and read back by the document readers.
 DOCUMENT_ROWS = 512
+# A file and its folder are committed one by one by the driver, and listed again by the
+# reader: documents of one kind share a file, as a JSON array of them.
+FILE_DOCUMENTS = 64
 
 
-def _land(spark, docs: DataFrame, by: list[str], name: str) -> str:
-    """One file per document: ``docs`` has the columns ``by`` and the text ``value``."""
+def _land(spark, docs: DataFrame, by: list[str], name: str, *, arrays: bool = False) -> str:
+    """``FILE_DOCUMENTS`` documents a file: ``docs`` has the columns ``by`` (the last
+    one numbers the documents) and the text ``value``, an object, or with
+    ``arrays`` an array whose elements are taken."""
     path = scratch_dir(spark, f"documents/{name}-{uuid.uuid4().hex}")
-    docs.repartition(*by).write.partitionBy(*by).text(path)
+    by = [*by[:-1], F.floor(F.col(by[-1]) / FILE_DOCUMENTS).alias("file")]
+    text = F.col("value").substr(F.lit(2), F.length("value") - 2) if arrays else F.col("value")
+    files = docs.groupBy(*by).agg(F.concat(F.lit("["), F.array_join(F.collect_list(text), ","), F.lit("]")).alias("value"))
+    folders = files.columns[:-1]
+    files.repartition(*folders).write.partitionBy(*folders).text(path)
     return path
 
 
@@ -123,7 +132,7 @@ def s4_fixture_documents(spark, sf_dir):
     f = t.src_fixtures.withColumn("kickoff_time", F.date_format("kickoff_time", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     docs = f.groupBy(F.floor(F.col("id") / DOCUMENT_ROWS).alias("part")).agg(
         F.to_json(F.collect_list(F.struct(*ingest.FIXTURE.names))).alias("value"))
-    return ingest.read_fixtures(spark, _land(spark, docs, ["part"], "fixtures")).select(*ingest.FIXTURE.names)
+    return ingest.read_fixtures(spark, _land(spark, docs, ["part"], "fixtures", arrays=True)).select(*ingest.FIXTURE.names)
 
 
 @register("s5_gameweek_documents", with_views("matches", "player_match_stats") + """
