@@ -91,3 +91,20 @@ def test_rounds_lower_the_error_and_null_rows_are_left_out(spark):
         errors.append({r.player_id: r.mse for r in boosted_errors(models, df).collect()})
     assert all(errors[1][p] <= errors[0][p] for p in errors[0]) and errors[1][1] < 0.5 * errors[0][1]
     assert {r.player_id: r.samples for r in models.base.collect()} == {1: 90, 2: 30, 3: 12, 5: 20}
+
+
+def test_rows_are_worked_out_once(spark):
+    """The rows of a fit are computed once, however costly the plan behind them."""
+    import random
+    from touchline.plans import boosting
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    rnd = random.Random(3)
+    rows = [(i % 5, *[rnd.random() for _ in boosting.PLAYER_FEATURES], float(rnd.randint(1, 9))) for i in range(200)]
+    df = spark.createDataFrame(rows, ["player_id", *boosting.PLAYER_FEATURES, "rating"])
+    boosting.train_boosted_per_player(df.mapInPandas(count, df.schema), "rating", rounds=1, depth=1).trees.count()
+    assert seen.value == 200

@@ -106,6 +106,8 @@ def train_boosted_per_player(rows: DataFrame, metric: str = "rating", *, rounds:
 
     known = rows.filter(F.col(metric).isNotNull() & F.col("player_id").isNotNull())
     known = known if split_col is None else known.filter(~F.col(split_col))
+    # the rows are worked out once: edges, bases and residuals read what is kept
+    known = kept(known.select("player_id", *dict.fromkeys([metric, *features])), "known")
     edges = feature_edges(known, features)
     slim = known.select("player_id", _binned(features, edges, bins).alias("bins"),
                         F.round(F.col(metric).cast("double") * UNITS).cast("long").alias("y"))
