@@ -56,6 +56,26 @@ def test_fits_do_not_depend_on_the_session(spark, monkeypatch):
     assert sum(r.support for r in got[0][1]) == 48
 
 
+def test_few_rows_are_one_task_of_a_forest(spark, monkeypatch):
+    """A small forest is fitted in one task, so nothing is merged in order of arrival and a seed gives one model."""
+    rnd = np.random.default_rng(6)
+    rows = [(i, ("Home Win", "Draw", "Away Win")[i % 3], *map(float, rnd.normal(size=8) / 3)) for i in range(120)]
+    feats = spark.createDataFrame(rows, ["match_id", "outcome", *ml.MATCH_FEATURES]).repartition(5)
+    dealt, kept = ml.deterministic_order, []
+    monkeypatch.setattr(ml, "deterministic_order", lambda *a, **b: kept.append(dealt(*a, **b)) or kept[-1])
+    a, b = ml.train_match_model(feats, folds=2), ml.train_match_model(feats, folds=2)
+    assert [k.rdd.getNumPartitions() for k in kept] == [1, 1]
+    assert a.metrics.collect() == b.metrics.collect() and a.importances.collect() == b.importances.collect()
+    assert a.class_report.dtypes == [("outcome", "string"), ("precision", "double"), ("recall", "double"), ("f1", "double"), ("support", "bigint")]
+
+
+def test_class_report_of_confusion_counts():
+    """A class never predicted, one never met, one predicted only wrongly."""
+    counts = {("A", "A"): 3, ("A", "B"): 1, ("B", "A"): 2, ("C", "A"): 1}
+    assert ml._class_report(["A", "B", "C", "D"], counts) == [
+        ("A", 0.5, 0.75, 0.6, 4), ("B", 0.0, 0.0, 0.0, 2), ("C", 0.0, 0.0, 0.0, 1), ("D", 0.0, 0.0, 0.0, 0)]
+
+
 def test_player_model(spark, small):
     feats = ft.player_features(small.player_match_stats, small.matches, small.opposition_categories)
     m = ml.train_player_model(feats, "goals")
