@@ -143,3 +143,38 @@ def test_lines_dealt_by_match(spark, monkeypatch):
     for name in ("player_match_stats", "players", "shots"):
         a, b = getattr(plain, name), getattr(dealt, name)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_player_joins_and_orphans_take_tasks(spark, monkeypatch):
+    """Dealt joins have their own number of tasks, whatever the session's shuffle partitions; results stay the same."""
+    from touchline.operators import quality
+    from touchline.sources import fixture_map
+    plain = fixture_map.sport_tables(spark, SF_SMALL)
+    assert plain.tasks() is None
+    monkeypatch.setattr(fixture_map, "LINES_PER_TASK", plain.raw("lineitem").count() // 40)
+    t = fixture_map.sport_tables(spark, SF_SMALL)
+    assert t.tasks() >= 40
+    for name in ("unsung_heroes", "top_performers", "top_performers_view", "player_form"):
+        f = getattr(players, name)
+        a, b = f(plain.players, plain.player_match_stats, plain.matches), f(t.players, t.player_match_stats, t.matches, tasks=t.tasks())
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+        plan = b._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"hashpartitioning\(player_id#\d+L?, {t.tasks()}\), REPARTITION_BY_NUM", plan)
+    names = ("teams", "seasons", "matches", "match_stats", "players", "player_match_stats", "shots", "opposition_categories")
+    got = quality.orphan_checks({n: getattr(t, n) for n in names}, tasks=t.tasks())
+    assert sorted(got.collect()) == sorted(quality.orphan_checks({n: getattr(plain, n) for n in names}).collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert f", {t.tasks()}), REPARTITION_BY_NUM" in plan and not re.search(r"hashpartitioning\([^)]*(table|column)_name#", plan)
+
+
+def test_orphans_of_every_kind(spark):
+    """Missing, null and repeated keys; a key missing in one parent and present in another; a child without rows."""
+    from touchline.operators import quality
+    teams = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "id long, name string")
+    seasons = spark.createDataFrame([(7, "s")], "id long, season_name string")
+    found = spark.createDataFrame([(1, 7), (7, 7), (7, 1), (None, None), (2, 7)], "team_id long, season_id long")
+    squad = spark.createDataFrame([], "id long, team_id long")
+    for tasks in (None, 5):
+        got = quality.orphan_checks({"teams": teams, "seasons": seasons, "opposition_categories": found, "players": squad}, tasks=tasks)
+        assert sorted(map(tuple, got.collect())) == [("opposition_categories", "fk_seasons", "season_id", 1), ("opposition_categories", "fk_teams", "team_id", 3),
+                                                     ("players", "fk_teams", "team_id", 0)]

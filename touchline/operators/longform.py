@@ -32,13 +32,22 @@ def _side(team, opp, is_home: bool, gf, ga):
     )
 
 
-def of_season(facts: DataFrame, matches: DataFrame, season_id=None, columns=("match_date",)) -> DataFrame:
+def dealt(df: DataFrame, tasks: int | None, *keys) -> DataFrame:
+    """``df`` dealt by ``keys`` over so many tasks, for the join on them that
+    follows (None: left to Spark).  The session's shuffle partitions may be
+    few, and what a task of a join holds grows with its rows."""
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
+def of_season(facts: DataFrame, matches: DataFrame, season_id=None, columns=("match_date",), *,
+              tasks: int | None = None) -> DataFrame:
     """Fact rows with their match's ``season_id`` and ``columns``.
 
     Facts that carry ``season_id`` (the stored layout does, and is partitioned
     by it) are filtered on it before anything is joined, so the season prunes
     their files as well as those of ``matches``; the join is then on (season,
-    match), or left out if they carry every wanted column."""
+    match), or left out if they carry every wanted column.  ``tasks``: see
+    ``dealt``."""
     has_season = "season_id" in facts.columns
     if has_season and season_id is not None:
         facts = facts.filter(F.col("season_id") == season_id)
@@ -46,7 +55,8 @@ def of_season(facts: DataFrame, matches: DataFrame, season_id=None, columns=("ma
         return facts
     m = matches if season_id is None else matches.filter(F.col("season_id") == season_id)
     m = m.select(F.col("id").alias("match_id"), "season_id", *columns)
-    return facts.drop(*columns).join(m, ["season_id", "match_id"] if has_season else ["match_id"])
+    on = ["season_id", "match_id"] if has_season else ["match_id"]
+    return dealt(facts.drop(*columns), tasks, *on).join(m, on)
 
 
 def filter_matches(matches: DataFrame, *, team_id=None, season_id=None,

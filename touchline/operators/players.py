@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expressions as X
-from touchline.operators.longform import of_season
+from touchline.operators.longform import dealt, of_season
 from touchline.operators.sequence import time_chunk, last_n
 
 
@@ -23,7 +23,7 @@ MATCH_SIDE_COLUMNS = ("home_team_id", "away_team_id", "home_score", "away_score"
 
 def player_rows(players: DataFrame, stats: DataFrame, matches: DataFrame, *, team_id=None,
                 season_id=None, positions=None, played_only: bool = True,
-                need_sides: bool = False) -> DataFrame:
+                need_sides: bool = False, tasks: int | None = None) -> DataFrame:
     """Players -> player_match_stats -> matches with the common filters
     (P18-P20).  Columns: all stats plus player name/position/squad number,
     the player's team, season and match date (and both sides of the match
@@ -31,7 +31,8 @@ def player_rows(players: DataFrame, stats: DataFrame, matches: DataFrame, *, tea
 
     When the stats carry ``season_id`` and ``match_date`` (the stored layout
     denormalizes them at ingest) and the sides are not needed, the join with
-    ``matches`` -- the largest join of the player analyses -- is skipped."""
+    ``matches`` -- the largest join of the player analyses -- is skipped.
+    ``tasks``: tasks of the joins of all rows (``longform.dealt``)."""
     p = players.select(F.col("id").alias("player_id"), "name", "position", "squad_number",
                        F.col("team_id").alias("player_team_id"), "is_active")
     if team_id is not None:
@@ -40,7 +41,7 @@ def player_rows(players: DataFrame, stats: DataFrame, matches: DataFrame, *, tea
         p = p.filter(F.col("position").isin(*positions))
     s = stats.filter(F.col("minutes_played") > 0) if played_only else stats
     wanted = ("match_date", *MATCH_SIDE_COLUMNS) if need_sides else ("match_date",)
-    return of_season(s, matches, season_id, wanted).join(p, "player_id")
+    return dealt(of_season(s, matches, season_id, wanted, tasks=tasks), tasks, "player_id").join(p, "player_id")
 
 
 def _player_keys():
@@ -48,11 +49,11 @@ def _player_keys():
 
 
 def top_performers(players: DataFrame, stats: DataFrame, matches: DataFrame, *, position=None,
-                   min_minutes: int = 180, team_id=None, season_id=None) -> DataFrame:
+                   min_minutes: int = 180, team_id=None, season_id=None, tasks: int | None = None) -> DataFrame:
     """Totals, guarded accuracy ratios and per-90 rates per player,
     keeping players with at least ``min_minutes``; optional position filter."""
     rows = player_rows(players, stats, matches, team_id=team_id, season_id=season_id,
-                       positions=[position] if position else None)
+                       positions=[position] if position else None, tasks=tasks)
     mins = F.sum("minutes_played")
     agg = rows.groupBy(*_player_keys(), "squad_number").agg(
         F.count("match_id").alias("appearances"),
@@ -81,11 +82,11 @@ def top_performers(players: DataFrame, stats: DataFrame, matches: DataFrame, *,
 
 
 def unsung_heroes(players: DataFrame, stats: DataFrame, matches: DataFrame, *,
-                  min_minutes: int = 450, team_id=None, season_id=None) -> DataFrame:
+                  min_minutes: int = 450, team_id=None, season_id=None, tasks: int | None = None) -> DataFrame:
     """A9 + A10: defensive output of DEF/MID/GK players with at least
     ``min_minutes``; clean-sheet share of appearances for DEF and GK."""
     rows = player_rows(players, stats, matches, team_id=team_id, season_id=season_id,
-                       positions=["DEF", "MID", "GK"], need_sides=True)
+                       positions=["DEF", "MID", "GK"], need_sides=True, tasks=tasks)
     team = F.col("player_team_id")
     clean = ((F.col("home_team_id") == team) & (F.col("away_score") == 0)) | (
         (F.col("away_team_id") == team) & (F.col("home_score") == 0))
@@ -107,11 +108,11 @@ def unsung_heroes(players: DataFrame, stats: DataFrame, matches: DataFrame, *,
 
 
 def player_form(players: DataFrame, stats: DataFrame, matches: DataFrame, *, n: int = 5,
-                player_id=None, team_id=None, season_id=None) -> DataFrame:
+                player_id=None, team_id=None, season_id=None, tasks: int | None = None) -> DataFrame:
     """Over each player's newest ``n`` appearances in a season: mean
     rating, goals, assists, mean passes and pooled pass accuracy.  Grouped by
     player id (names are not unique)."""
-    rows = player_rows(players, stats, matches, team_id=team_id, season_id=season_id)
+    rows = player_rows(players, stats, matches, team_id=team_id, season_id=season_id, tasks=tasks)
     if player_id is not None:
         rows = rows.filter(F.col("player_id") == player_id)
     kept = last_n(rows, ["season_id", "player_id"], ["match_date", "match_id"],
@@ -131,9 +132,9 @@ def player_form(players: DataFrame, stats: DataFrame, matches: DataFrame, *, n:
 
 
 def top_performers_view(players: DataFrame, stats: DataFrame, matches: DataFrame, *,
-                        team_id=None, season_id=None) -> DataFrame:
+                        team_id=None, season_id=None, tasks: int | None = None) -> DataFrame:
     """A13 (view ``united_top_performers``)."""
-    rows = player_rows(players, stats, matches, team_id=team_id, season_id=season_id)
+    rows = player_rows(players, stats, matches, team_id=team_id, season_id=season_id, tasks=tasks)
     agg = rows.groupBy(*_player_keys()).agg(
         F.count("match_id").alias("matches_played"),
         F.sum("minutes_played").alias("total_minutes"),

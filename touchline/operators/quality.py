@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import expressions as X
+from touchline.operators.longform import dealt
 
 # Fixed schema facts (declared keys, NOT NULL columns, foreign keys, domains).
 KEYS = {
@@ -102,36 +103,33 @@ def null_and_key_checks(tables: dict[str, DataFrame]) -> DataFrame:
     return _union([*_column_checks(tables, ("not_null",)), *_key_checks(tables)])
 
 
-def orphan_checks(tables: dict[str, DataFrame]) -> DataFrame:
+def orphan_checks(tables: dict[str, DataFrame], *, tasks: int | None = None) -> DataFrame:
     """Q2: rows whose (non-NULL) foreign key has no parent row.
 
     One scan per child table: all its foreign keys are exploded into
-    (column, parent, key) rows and counted per distinct key (combined
-    map-side); one anti-join against the tagged parent keys then answers
-    every foreign key at once."""
-    by_child: dict[str, list] = {}
-    for t, c, ref in FOREIGN_KEYS:
-        if t in tables and ref in tables:
-            by_child.setdefault(t, []).append((c, ref))
-    if not by_child:
+    (number of the foreign key, key) rows and counted per distinct key
+    (combined map-side); one anti-join against the parent keys, tagged with
+    the number of their table, then answers every foreign key at once.  Names
+    stand in the result alone, as a task holds many keys.  ``tasks``: tasks of
+    the anti-join (``longform.dealt``)."""
+    fks = [(t, c, ref) for t, c, ref in FOREIGN_KEYS if t in tables and ref in tables]
+    if not fks:
         raise ValueError("no foreign keys to check")
-    child_keys = []
-    for t, fks in by_child.items():
-        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(ref).alias("ref"),
-                                   F.col(c).cast("bigint").alias("_k")) for c, ref in fks])
-        child_keys.append(tables[t].select(F.lit(t).alias("table_name"), F.inline(pairs)))
+    refs = sorted({ref for _, _, ref in fks})
+    by_child: dict[str, list] = {}
+    for i, (t, c, ref) in enumerate(fks):
+        by_child.setdefault(t, []).append(F.struct(F.lit(i).alias("_fk"), F.col(c).cast("bigint").alias("_k")))
+    child_keys = [tables[t].select(F.inline(F.array(*keys))) for t, keys in by_child.items()]
     counts = _union(child_keys).filter(F.col("_k").isNotNull()) \
-        .groupBy("table_name", "column_name", "ref", "_k").agg(F.count(F.lit(1)).alias("_n"))
-    refs = sorted({ref for fks in by_child.values() for _, ref in fks})
-    parents = _union([tables[r].select(F.lit(r).alias("ref"), F.col("id").cast("bigint").alias("_k"))
-                      for r in refs])
-    missing = counts.join(parents, ["ref", "_k"], "left_anti") \
-        .groupBy("table_name", "column_name", "ref").agg(F.sum("_n").alias("_v"))
+        .groupBy("_fk", "_k").agg(F.count(F.lit(1)).alias("_n")) \
+        .withColumn("_ref", F.get(F.array(*[F.lit(refs.index(ref)) for _, _, ref in fks]), F.col("_fk")))
+    parents = _union([tables[r].select(F.lit(i).alias("_ref"), F.col("id").cast("bigint").alias("_k"))
+                      for i, r in enumerate(refs)])
+    missing = counts.join(dealt(parents, tasks, "_ref", "_k"), ["_ref", "_k"], "left_anti").groupBy("_fk").agg(F.sum("_n").alias("_v"))
     # Every declared key gets a row, zero when nothing is missing.
-    declared = tables[next(iter(by_child))].sparkSession.createDataFrame(
-        [(t, c, ref) for t, fks in by_child.items() for c, ref in fks],
-        "table_name string, column_name string, ref string")
-    out = declared.join(missing, ["table_name", "column_name", "ref"], "left")
+    declared = next(iter(tables.values())).sparkSession.createDataFrame(
+        [(i, *fk) for i, fk in enumerate(fks)], "_fk int, table_name string, column_name string, ref string")
+    out = declared.join(missing, "_fk", "left")
     return out.select("table_name", F.concat(F.lit("fk_"), F.col("ref")).alias("check_name"),
                       "column_name", F.coalesce(F.col("_v"), F.lit(0)).cast("bigint").alias("violations"))
 
@@ -180,11 +178,12 @@ def collection_stats(log: DataFrame) -> DataFrame:
 
 
 def health_checks(tables: dict[str, DataFrame], log: DataFrame, *, as_of,
-                  max_age_hours: float = 24.0 * 7, min_success_rate: float = 50.0) -> DataFrame:
+                  max_age_hours: float = 24.0 * 7, min_success_rate: float = 50.0,
+                  tasks: int | None = None) -> DataFrame:
     """One row per named check with its violation count and status."""
     q13 = _union([*_column_checks(tables), *_key_checks(tables)]).agg(
         F.sum("violations").alias("v")).select(F.lit("data_quality").alias("check_name"), "v")
-    q2 = orphan_checks(tables).agg(F.sum("violations").alias("v")) \
+    q2 = orphan_checks(tables, tasks=tasks).agg(F.sum("violations").alias("v")) \
         .select(F.lit("referential_integrity").alias("check_name"), "v")
     q4 = freshness(log, as_of=as_of, max_age_hours=max_age_hours).agg(
         F.count_if(F.col("is_stale")).alias("v")).select(F.lit("data_freshness").alias("check_name"), "v")

@@ -25,7 +25,7 @@ SELECT season_id, team_id, player_id, name, position, appearances, total_minutes
 FROM ranked WHERE performer_rank <= 10""")
 def o1_top_performers_ranked(spark, sf_dir):
     t = tables(spark, sf_dir)
-    top = pl.top_performers(t.players, t.player_match_stats, t.matches, min_minutes=180)
+    top = pl.top_performers(t.players, t.player_match_stats, t.matches, min_minutes=180, tasks=t.tasks())
     return pl.select_existing(pl.rank_top_performers(top, k=10), DISPLAY_COLUMNS)
 
 
@@ -36,13 +36,13 @@ def _ordered_sql(oracle: str, by: str) -> str:
 @register("o4_top_performers_ordered", _ordered_sql("a6_top_performers", "goal_contributions DESC, avg_rating DESC NULLS FIRST, player_id"))
 def o4_top_performers_ordered(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return pl.in_display_order(pl.top_performers(t.players, t.player_match_stats, t.matches), "top_performers")
+    return pl.in_display_order(pl.top_performers(t.players, t.player_match_stats, t.matches, tasks=t.tasks()), "top_performers")
 
 
 @register("o4_unsung_heroes_ordered", _ordered_sql("a9_unsung_heroes", "defensive_actions_per_90 DESC, avg_rating DESC NULLS FIRST, player_id"))
 def o4_unsung_heroes_ordered(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return pl.in_display_order(pl.unsung_heroes(t.players, t.player_match_stats, t.matches), "unsung_heroes")
+    return pl.in_display_order(pl.unsung_heroes(t.players, t.player_match_stats, t.matches, tasks=t.tasks()), "unsung_heroes")
 
 
 @register("o4_formations_ordered", _ordered_sql("a12_formations", "wins DESC, avg_goals_for DESC NULLS FIRST, formation"))
@@ -54,7 +54,7 @@ def o4_formations_ordered(spark, sf_dir):
 @register("o4_view_ordered", _ordered_sql("a13_top_performers_view", "goals DESC, assists DESC, player_id"))
 def o4_view_ordered(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return pl.in_display_order(pl.top_performers_view(t.players, t.player_match_stats, t.matches), "top_performers_view")
+    return pl.in_display_order(pl.top_performers_view(t.players, t.player_match_stats, t.matches, tasks=t.tasks()), "top_performers_view")
 
 
 @register("a23_league_table_snapshots", f"""

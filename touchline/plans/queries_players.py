@@ -53,14 +53,14 @@ FROM (SELECT season_id, player_team_id AS team_id, player_id, name, position, sq
 @register("a6_top_performers", _a6_sql(None))
 def a6_top_performers(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return pl.top_performers(t.players, t.player_match_stats, t.matches, min_minutes=180)
+    return pl.top_performers(t.players, t.player_match_stats, t.matches, min_minutes=180, tasks=t.tasks())
 
 
 @register("p18_top_performers_fwd", _a6_sql("FWD"))
 def p18_top_performers_fwd(spark, sf_dir):
     t = tables(spark, sf_dir)
     return pl.top_performers(t.players, t.player_match_stats, t.matches, position="FWD",
-                             min_minutes=180)
+                             min_minutes=180, tasks=t.tasks())
 
 
 @register("a9_unsung_heroes", with_views(*PLAYER_VIEWS, extra=PR_SQL) + f"""
@@ -77,7 +77,7 @@ FROM (SELECT season_id, player_team_id AS team_id, player_id, name, position,
       GROUP BY 1, 2, 3, 4, 5 HAVING SUM(minutes_played) >= 450) a""")
 def a9_unsung_heroes(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return pl.unsung_heroes(t.players, t.player_match_stats, t.matches, min_minutes=450)
+    return pl.unsung_heroes(t.players, t.player_match_stats, t.matches, min_minutes=450, tasks=t.tasks())
 
 
 @register("a11_player_form", with_views(*PLAYER_VIEWS, extra=PR_SQL + """,
@@ -90,7 +90,7 @@ SELECT season_id, player_team_id AS team_id, player_id, name, position, COUNT(*)
 FROM r WHERE rn <= 5 GROUP BY 1, 2, 3, 4, 5""")
 def a11_player_form(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return pl.player_form(t.players, t.player_match_stats, t.matches, n=5)
+    return pl.player_form(t.players, t.player_match_stats, t.matches, n=5, tasks=t.tasks())
 
 
 @register("a13_top_performers_view", with_views(*PLAYER_VIEWS, extra=PR_SQL) + f"""
@@ -101,7 +101,7 @@ SELECT season_id, player_team_id AS team_id, player_id, name, position,
 FROM pr GROUP BY 1, 2, 3, 4, 5""")
 def a13_top_performers_view(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return pl.top_performers_view(t.players, t.player_match_stats, t.matches)
+    return pl.top_performers_view(t.players, t.player_match_stats, t.matches, tasks=t.tasks())
 
 
 @register("a22_key_players", with_views(*PLAYER_VIEWS) + f"""

@@ -77,7 +77,7 @@ def q1_nulls_and_keys(spark, sf_dir):
 
 @register("q2_orphans", with_views(*TABLES) + _q2_sql())
 def q2_orphans(spark, sf_dir):
-    return qc.orphan_checks(_tables(spark, sf_dir))
+    return qc.orphan_checks(_tables(spark, sf_dir), tasks=tables(spark, sf_dir).tasks())
 
 
 @register("q3_domains", with_views(*TABLES) + _q3_sql())
@@ -119,7 +119,7 @@ FROM (SELECT CAST(COUNT(*) AS BIGINT) AS checks_run,
       FROM checks) r""")
 def q6_health_rollup(spark, sf_dir):
     t = tables(spark, sf_dir)
-    checks = qc.health_checks(_tables(spark, sf_dir), t.data_collection_log, as_of=LOG_AS_OF)
+    checks = qc.health_checks(_tables(spark, sf_dir), t.data_collection_log, as_of=LOG_AS_OF, tasks=t.tasks())
     return qc.health_rollup(checks)
 
 

@@ -200,15 +200,20 @@ def oracle_prefix(*names: str) -> str:
 LINES_PER_TASK = 400_000
 
 
-def dealt_lines(lines: DataFrame) -> DataFrame:
-    """``lineitem`` dealt by match, ``LINES_PER_TASK`` to a task, once the
-    session's shuffle partitions are too few for that."""
+def line_tasks(lines: DataFrame) -> int | None:
+    """Tasks over which ``lineitem`` and what is made of its rows are dealt,
+    ``LINES_PER_TASK`` to each; None while the session's shuffle partitions
+    are enough for that."""
     rows = lines.count()                                   # from the footers
     session = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_default = min(session, lines.sparkSession.sparkContext.defaultParallelism)
-    if rows <= LINES_PER_TASK * by_default:
-        return lines
-    return lines.repartition(max(session, -(-rows // LINES_PER_TASK)), "l_orderkey")
+    return None if rows <= LINES_PER_TASK * by_default else max(session, -(-rows // LINES_PER_TASK))
+
+
+def dealt_lines(lines: DataFrame) -> DataFrame:
+    """``lineitem`` dealt by match over its ``line_tasks``."""
+    tasks = line_tasks(lines)
+    return lines if tasks is None else lines.repartition(tasks, "l_orderkey")
 
 
 class SportTables:
@@ -230,6 +235,10 @@ class SportTables:
             self._cache[key] = dealt_lines(df) if name == "lineitem" else df
         return self._cache[key]
 
+    def tasks(self) -> int | None:
+        """``line_tasks`` of this directory: what the player analyses deal their rows over."""
+        return line_tasks(self.spark.read.parquet(f"{self.sf_dir}/lineitem.parquet"))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in VIEWS:
             raise AttributeError(name)

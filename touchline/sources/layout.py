@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.sources.fixture_map import VIEWS, SportTables
+from touchline.sources.fixture_map import VIEWS, SportTables, line_tasks
 
 MARKER = "touchline_layout"        # a one-row table, written and read by Spark like the others
 
@@ -85,6 +85,10 @@ class StoredTables:
             self._cache[key] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._cache[key]
 
+    def tasks(self) -> int | None:
+        """As ``SportTables.tasks``, of the stored rows."""
+        return line_tasks(self.player_match_stats if "player_match_stats" in self._stored else self.raw("lineitem"))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in VIEWS:
             raise AttributeError(name)
