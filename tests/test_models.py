@@ -56,17 +56,15 @@ def test_fits_do_not_depend_on_the_session(spark, monkeypatch):
     assert sum(r.support for r in got[0][1]) == 48
 
 
-def test_few_rows_are_one_task_of_a_forest(spark, monkeypatch):
-    """A small forest is fitted in one task, so nothing is merged in order of arrival and a seed gives one model."""
+def test_small_results_of_the_match_model_are_in_the_plan(spark):
+    """No Python worker starts for the metrics, the report and the importances; the report is that of the counts."""
     rnd = np.random.default_rng(6)
     rows = [(i, ("Home Win", "Draw", "Away Win")[i % 3], *map(float, rnd.normal(size=8) / 3)) for i in range(120)]
-    feats = spark.createDataFrame(rows, ["match_id", "outcome", *ml.MATCH_FEATURES]).repartition(5)
-    dealt, kept = ml.deterministic_order, []
-    monkeypatch.setattr(ml, "deterministic_order", lambda *a, **b: kept.append(dealt(*a, **b)) or kept[-1])
-    a, b = ml.train_match_model(feats, folds=2), ml.train_match_model(feats, folds=2)
-    assert [k.rdd.getNumPartitions() for k in kept] == [1, 1]
-    assert a.metrics.collect() == b.metrics.collect() and a.importances.collect() == b.importances.collect()
-    assert a.class_report.dtypes == [("outcome", "string"), ("precision", "double"), ("recall", "double"), ("f1", "double"), ("support", "bigint")]
+    model = ml.train_match_model(spark.createDataFrame(rows, ["match_id", "outcome", *ml.MATCH_FEATURES]), folds=2)
+    for df in (model.metrics, model.class_report, model.importances):
+        assert "LocalTableScan" in df._jdf.queryExecution().executedPlan().toString()
+    assert model.class_report.dtypes == [("outcome", "string"), ("precision", "double"), ("recall", "double"), ("f1", "double"), ("support", "bigint")]
+    assert [r.outcome for r in model.class_report.collect()] == model.labels and model.metrics.first().test_samples == 24
 
 
 def test_class_report_of_confusion_counts():
