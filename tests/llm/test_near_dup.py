@@ -156,3 +156,23 @@ def test_components_of_long_chains(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], DOCS)
     assert near_duplicates(empty).count() == 0 and keep_one(empty).count() == 0
+
+
+def test_a_comparison_takes_only_its_own_sets(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HUB_PAIRS", 3)          # node 0 is dealt in parts
+    name = lambda i: i.to_bytes(16, "big")
+    sets = spark.createDataFrame([(name(i), [i // 2, 100_000], None) for i in range(3000)], "node binary, shingles array<long>, counts array<int>")
+    pairs = spark.createDataFrame([(name(0), name(1)), (name(8), name(9)), (name(8), name(11)), *[(name(0), name(i)) for i in range(20, 30)]], "a binary, b binary")
+    kept = {bytes(r.node) for r in near_dup._sets_of(sets, pairs.select(F.col("a").alias("node"))).collect()}
+    assert {name(0), name(8)} <= kept and len(kept) < 30   # not all 3000 of them are shuffled
+    links = near_dup._verified(pairs, sets, 0.8).collect()
+    assert sorted((bytes(r.a), bytes(r.b)) for r in links) == [(name(0), name(1)), (name(8), name(9))]
+
+
+def test_bands_are_shuffled_once(spark):
+    prints = spark.createDataFrame([(b"a", [1, 2]), (b"b", [1, 3]), (b"a", [1, 2]), (b"c", [4, 2]), (None, None), (b"d", [5, 6]), (b"d", [5, 6])],
+                                   "node binary, bands array<long>")
+    members = near_dup._members(prints)
+    assert sorted((bytes(r.node), r.band) for r in members.collect()) == [(b"a", 1), (b"a", 2), (b"b", 1), (b"c", 2)]
+    plan = members._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Join" not in plan

@@ -63,6 +63,7 @@ RUN_BYTES = 500_000
 BITMAP = 8                     # 64-bit words of a parity bitmap
 FIRST_CENTRES = 64
 WANTED_BITS = 25               # bitmap of 2**25 bits (4 MB) over hashes of wanted row keys
+SET_BITS = 24                  # bitmap of 2**24 bits over hashes of the nodes whose sets a comparison needs
 HUB_PAIRS = 1000               # pairs of a centre that are verified in one place
 
 _WORD = re.compile(r"\w+").findall
@@ -204,10 +205,15 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
     return slim.mapInArrow(run, f"doc_id {id_type}, row_key binary, node binary, n int, w double, bands array<long>{bitmap_type}")
 
 
+def _set_bits(hash_: Column, bits: int) -> tuple[Column, Column]:
+    """The 64-bit word of a bitmap of 2**bits bits that a hash falls on, and its bit there."""
+    at = F.shiftrightunsigned(hash_, 64 - bits)
+    return F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit")
+
+
 def _wanted_bits(wanted: DataFrame, bits: int) -> np.ndarray:
     """The bitmap of the wanted row keys: 2**bits bits, whatever their number."""
-    at = F.shiftrightunsigned(F.xxhash64("row_key"), 64 - bits)
-    words = (wanted.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit"))
+    words = (wanted.select(*_set_bits(F.xxhash64("row_key"), bits))
              .groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas())          # 2**(bits - 6) rows at most
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64)
@@ -263,22 +269,35 @@ def components(links: DataFrame, name: str = "components", rows: int | None = No
             return labels
 
 
-def _beside(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """``pairs`` with the set of one side.  A node of many pairs is dealt in
-    parts, each with a copy of its set."""
+def _sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``sets`` without most of those that ``nodes`` do not name: a bitmap of
+    fixed size over the wanted nodes goes to every task, so that the sets of a
+    few pairs are not shuffled with all others."""
+    word, bit = _set_bits(F.xxhash64("node"), SET_BITS)
+    words = nodes.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))      # 2**(SET_BITS - 6) rows at most
+    return (sets.select("*", word, bit).join(F.broadcast(words), "word")
+            .filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).select(*sets.columns))
+
+
+def _beside(dealt: DataFrame, pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """``dealt`` (the ``pairs``, perhaps with more columns) with the set of one
+    side.  A node of many pairs is dealt in parts, each with a copy of its set."""
     other = "b" if side == "a" else "a"
-    hubs = (pairs.groupBy(side).agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts")).filter("parts > 1")
-            .withColumnRenamed(side, "node"))
+    hubs = (pairs.groupBy(F.col(side).alias("node")).agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts"))
+            .filter("parts > 1"))                          # one in HUB_PAIRS of the pairs at most
     parts = F.coalesce("parts", F.lit(1))
-    dealt = (pairs.withColumnRenamed(side, "node").join(hubs, "node", "left")
+    dealt = (dealt.withColumnRenamed(side, "node").join(F.broadcast(hubs), "node", "left")
              .withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts"))
-    held = (sets.join(hubs, "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    held = (_sets_of(sets, pairs.select(F.col(side).alias("node"))).join(F.broadcast(hubs), "node", "left")
+            .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
             .withColumnsRenamed({"shingles": f"s{side}", "counts": f"c{side}"}))
     return dealt.join(held, ["node", "part"]).drop("part").withColumnRenamed("node", side)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted sets have at least the threshold's probability Jaccard similarity."""
+    pairs = written(pairs, "near-pairs")
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("sa", "ca", "sb", "cb")}
@@ -292,16 +311,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                     for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return _beside(_beside(pairs, sets, "a"), sets, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(
+    return _beside(_beside(pairs, pairs, sets, "a"), pairs, sets, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(
         similar, "a binary, b binary")
 
 
+def _members(prints: DataFrame) -> DataFrame:
+    """(node, band) of the bands that stand in several nodes; all bands are shuffled once."""
+    in_band = Window.partitionBy("band")
+    return (prints.filter("node is not null").select("node", F.explode("bands").alias("band"))
+            .withColumns({"low": F.min("node").over(in_band), "high": F.max("node").over(in_band)})
+            .filter("low <> high").select("node", "band").distinct())
+
+
 def _classes(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
     """(node, label) of the nodes that have links."""
-    in_bands = prints.filter("node is not null").select("node", F.explode("bands").alias("band"))
-    shared = (in_bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-              .filter("low <> high").select("band"))
-    members = written(in_bands.join(shared, "band", "left_semi").distinct(), "near-members")
+    members = written(_members(prints), "near-members")
     n_members = members.count()
     bitmap = [f"b{i}" for i in range(BITMAP)]
     nodes = written(prints.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
