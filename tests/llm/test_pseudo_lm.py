@@ -116,3 +116,23 @@ def test_gradient_with_many_groups_and_edges():
 def test_empty(spark):
     assert lm.score_documents(spark.createDataFrame([], DOCS)).count() == 0
     assert [r.log_likelihood for r in lm.score_documents(documents(spark, [(1, None), (2, "")])).collect()] == [0.0, 0.0]
+
+
+def test_other_words_are_numbered_by_their_endings(monkeypatch):
+    monkeypatch.setattr(lm, "KNOWN_ENDINGS", 3)            # fewer than there are
+    numbers = lm._Numbers({"the": 0, "cat": 1}, 2, lm.LEAST_GROUPS)
+    texts = ["the Walking cat", None, "", "x é talking\u2003the", " ".join(f"w{i} the" for i in range(50))]
+    owner, number, others = lm._numbered(texts, numbers)
+    words = [w for t in texts for w in lm.words_of(t)]
+    assert number.tolist() == [numbers[w] for w in words]
+    assert number.tolist() == [{"the": 0, "cat": 1}.get(w, 2 + lm.suffix_class(w, lm.LEAST_GROUPS)) for w in words]
+    assert others == [w for w in words if w not in ("the", "cat")] and len(numbers.endings) <= 3
+    assert owner.tolist() == [i for i, t in enumerate(texts) for _ in lm.words_of(t)]
+
+
+def test_log_softmax_of_short_rows():
+    z = np.random.default_rng(1).normal(0, 30, (500, 24)).astype(np.float32)
+    wanted = z - z.max(-1, keepdims=True)
+    wanted -= np.log(np.exp(wanted).sum(-1, keepdims=True))
+    assert (lm._log_softmax(z.copy()) == wanted).all()
+    assert (lm._log_softmax(z.reshape(500, 3, 8).copy()).reshape(500, 24)[:, :8] == lm._log_softmax(z[:, :8].copy())).all()

@@ -43,7 +43,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,7 @@ BATCH, RATE = 2048, 0.5
 ROUNDS = (8, 1)                # a round trains on one in so many documents
 RUN_BYTES = 1_000_000          # of text worked on at a time
 COUNTED_WORDS = 100_000        # distinct words a task counts before it sends them on
+KNOWN_ENDINGS = 100_000        # of words outside the vocabulary whose class a task remembers
 
 
 def groups_for(distinct_words: int) -> int:
@@ -111,13 +112,34 @@ class Vocabulary:
         return _Numbers({w: i for i, w in enumerate(self.words)}, len(self.words), self.groups)
 
 
+class _Endings(dict):
+    """Numbers of the other words by their last four letters, on which alone a suffix class depends."""
+    def __init__(self, first_other: int, groups: int):
+        super().__init__()
+        self.first_other, self.groups = first_other, groups
+
+    def __missing__(self, ending: str) -> int:
+        if len(self) >= KNOWN_ENDINGS:
+            self.clear()
+        number = self[ending] = self.first_other + suffix_class(ending, self.groups)
+        return number
+
+
 class _Numbers(dict):
     def __init__(self, known: dict[str, int], first_other: int, groups: int):
         super().__init__(known)
-        self.first_other, self.groups = first_other, groups
+        self.first_other, self.endings = first_other, _Endings(first_other, groups)
 
     def __missing__(self, word: str) -> int:
-        return self.first_other + suffix_class(word, self.groups)
+        return self.endings[word[-4:]]
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The numbers of many words, and those of the words that are outside the vocabulary."""
+        number = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(number < 0)
+        others = [words[i] for i in at.tolist()]
+        number[at] = np.fromiter(map(self.endings.__getitem__, [w[-4:] for w in others]), np.int64, len(others))
+        return number, others
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -184,13 +206,14 @@ def start_weights(seed: int = 7, groups: int = LEAST_GROUPS, class_count: np.nda
 
 def numbered(texts: Sequence[str | None], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray]:
     """(text number, word number) of all words."""
-    return _numbered([words_of(t) for t in texts], numbers)
+    return _numbered(texts, numbers)[:2]
 
 
-def _numbered(found: list[list[str]], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray]:
-    n = np.array([len(f) for f in found], np.int64)
-    flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(found)), np.int64, n.sum())
-    return np.repeat(np.arange(len(found)), n), flat
+def _numbered(texts: Sequence[str | None], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """numbered() and the words outside the vocabulary, in their order; each text while its words are at hand."""
+    number, others = zip(*[numbers.of(words_of(t)) for t in texts]) if len(texts) else ((), ())
+    owner = np.repeat(np.arange(len(texts)), np.array([len(n) for n in number], np.int64))
+    return owner, np.concatenate([np.empty(0, np.int64), *number]), list(chain.from_iterable(others))
 
 
 def windows(owner: np.ndarray, cls: np.ndarray, n_texts: int) -> np.ndarray:
@@ -204,12 +227,14 @@ def windows(owner: np.ndarray, cls: np.ndarray, n_texts: int) -> np.ndarray:
 def _hidden(weights: list[np.ndarray], window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inputs and hidden layer."""
     embed, w1, b1 = weights[:3]
-    x = embed[window].reshape(len(window), -1)
-    return x, np.tanh(x @ w1 + b1)
+    x = embed.take(window, axis=0, mode="wrap").reshape(len(window), -1)      # EDGE is the last
+    z = x @ w1
+    z += b1
+    return x, np.tanh(z, out=z)
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(-1, keepdims=True)
+    z -= np.moveaxis(z, -1, 0).copy().max(0)[..., None]    # a maximum over whole rows, as numpy is slow over short ones
     z -= np.log(np.exp(z).sum(-1, keepdims=True))
     return z
 
@@ -217,9 +242,11 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 def _by_group(target: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
     """An order of the targets by group, and of every group that occurs its rows in that order and its classes."""
     group = target // groups
-    ends = np.cumsum(np.bincount(group, minlength=groups))
-    return np.argsort(group, kind="stable"), [(slice(ends[g - 1] if g else 0, ends[g]), slice(g * groups, (g + 1) * groups))
-                                              for g in np.unique(group)]
+    rows = np.bincount(group, minlength=groups)
+    ends = np.cumsum(rows).tolist()
+    narrow = group.astype(np.int16) if groups <= 1 << 15 else group           # 16 bits are sorted by digits
+    return np.argsort(narrow, kind="stable"), [(slice(ends[g - 1] if g else 0, ends[g]), slice(g * groups, (g + 1) * groups))
+                                               for g in np.flatnonzero(rows).tolist()]
 
 
 def _levels(weights: list[np.ndarray], h: np.ndarray, target: np.ndarray, parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +273,7 @@ def class_log_p(weights: list[np.ndarray], window: np.ndarray, target: np.ndarra
     order, parts = _by_group(target, groups)
     target = target[order]
     at = np.arange(len(target))
-    outer, inner = _levels(weights, _hidden(weights, window[order])[1], target, parts)
+    outer, inner = _levels(weights, _hidden(weights, window.take(order, axis=0))[1], target, parts)
     out = np.empty(len(target), outer.dtype)
     out[order] = outer[at, target // groups] + inner[at, target % groups]
     return out
@@ -257,11 +284,11 @@ def train_batch(weights: list[np.ndarray], window: np.ndarray, target: np.ndarra
     embed, w1, b1, w2, b2, w3, b3 = weights
     groups = len(b3)
     order, parts = _by_group(target, groups)
-    window, target = window[order], target[order]
+    window, target = window.take(order, axis=0), target[order]
     at = np.arange(len(target))
     x, h = _hidden(weights, window)
     outer, inner = _levels(weights, h, target, parts)
-    go, gi = np.exp(outer), np.exp(inner)
+    go, gi = np.exp(outer, out=outer), np.exp(inner, out=inner)
     go[at, target // groups] -= 1.0
     gi[at, target % groups] -= 1.0
     go *= rate / len(at)
@@ -278,8 +305,8 @@ def train_batch(weights: list[np.ndarray], window: np.ndarray, target: np.ndarra
     w1 -= x.T @ gh
     b1 -= gh.sum(0)
     flat = window.reshape(-1) % len(embed)                 # EDGE is the last
-    for d in range(EMBED):
-        embed[:, d] -= np.bincount(flat, gx[:, d], len(embed)).astype(np.float32)
+    for d, of_dimension in enumerate(gx.T.astype(np.float64, order="C")):
+        embed[:, d] -= np.bincount(flat, of_dimension, len(embed)).astype(np.float32)
 
 
 def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds: Sequence[int] = ROUNDS,
@@ -301,7 +328,7 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds: Se
                 order = np.random.default_rng(len(cls)).permutation(len(cls))
                 for i in range(0, len(cls), BATCH):
                     at = order[i:i + BATCH]
-                    train_batch(mine, window[at], cls[at], rate * len(at) / BATCH)
+                    train_batch(mine, window.take(at, axis=0), cls[at], rate * len(at) / BATCH)
                 seen += len(cls)
             if seen:
                 flat = np.concatenate([w.ravel() for w in mine]).astype(np.float64)
@@ -320,19 +347,22 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds: Se
 def score_texts(vocab: Vocabulary, weights: list[np.ndarray], numbers: _Numbers,
                 texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(words, summed log-probability) of each text; words outside the vocabulary count as seen once."""
-    return _score(vocab, weights, numbers, [words_of(t) for t in texts])
+    return _score(vocab, weights, numbers, texts)[:2]
 
 
 def _score(vocab: Vocabulary, weights: list[np.ndarray], numbers: _Numbers,
-           found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    owner, number = _numbered(found, numbers)
+           texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """score_texts() and the words of each text outside the vocabulary."""
+    owner, number, others = _numbered(texts, numbers)
     cls = vocab.word_class[number]
-    window = windows(owner, cls, len(found))
+    window = windows(owner, cls, len(texts))
     log_p = vocab.log_in_class[number]
     for i in range(0, len(cls), 4 * BATCH):
         part = slice(i, i + 4 * BATCH)
         log_p[part] += class_log_p(weights, window[part], cls[part])
-    return np.bincount(owner, minlength=len(found)), np.bincount(owner, log_p, len(found))
+    ends = np.cumsum(np.bincount(owner[number >= numbers.first_other], minlength=len(texts)))
+    return (np.bincount(owner, minlength=len(texts)), np.bincount(owner, log_p, len(texts)),
+            pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pa.array(others, pa.string())))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 50_000,
@@ -350,19 +380,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         numbers = vocab_.numbering()
         row = TaskContext.get().partitionId() << 40        # ids can repeat or be null
         for batch, texts in arrow_text_runs(batches, max_bytes=RUN_BYTES):
-            found = [words_of(t) for t in texts]
-            n, total = _score(vocab_, weights_, numbers, found)
-            others = [[w for w in words if w not in numbers] for words in found]
+            n, total, others = _score(vocab_, weights_, numbers, texts)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(texts))), batch.column("doc_id"), pa.array(n.astype(np.int64)),
-                                              pa.array(total.astype(np.float64)), pa.array(others, pa.list_(pa.string()))],
+                                              pa.array(total.astype(np.float64)), others],
                                              ["row", "doc_id", "n_words", "log_likelihood", "others"])
             row += len(texts)
 
     scored = written(slim.mapInArrow(run, f"row long, doc_id {id_type}, n_words long, log_likelihood double, others array<string>"), "lm-scored")
-    # words outside the vocabulary were taken as seen once; each occurs in at most one in
+    # words outside the vocabulary were taken as seen once, and those seen more often add to that; each occurs in at most one in
     # ``vocabulary`` of all places, so that no word fills a task
     more = (scored.select("row", F.explode("others").alias("word"))
-            .join(counts.filter(F.col("n") <= vocab.least), "word")
+            .join(counts.filter((F.col("n") <= vocab.least) & (F.col("n") > 1)), "word")
             .groupBy("row").agg(F.sum(F.ln("n")).alias("more")))
     scored = (scored.drop("others").join(more, "row", "left")
               .withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))).drop("row", "more"))
