@@ -136,3 +136,18 @@ def test_log_softmax_of_short_rows():
     wanted -= np.log(np.exp(wanted).sum(-1, keepdims=True))
     assert (lm._log_softmax(z.copy()) == wanted).all()
     assert (lm._log_softmax(z.reshape(500, 3, 8).copy()).reshape(500, 24)[:, :8] == lm._log_softmax(z[:, :8].copy())).all()
+
+
+def test_words_of_runs_are_those_of_str_split():
+    texts = [f"{chr(c)}A{chr(c)}{chr(c)}b{chr(c)}" for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts += [None, "", " \n", "The END\x1cof\u2003\u0130x \u0391\u03a3"]
+    n, words = lm._words(texts)
+    want = [lm.words_of(t) for t in texts]
+    assert n.tolist() == [len(w) for w in want] and words.to_pylist() == [w for ws in want for w in ws]
+
+
+def test_word_counts_sent_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COUNTED_BYTES", 50)           # less than a text holds
+    docs = documents(spark, [(i, f"a b{i % 7} " * 20) for i in range(40)] + [(90, None), (91, "")])
+    got = {r.word: r.n for r in lm.word_counts(docs, "text").collect()}
+    assert got == {"a": 800, **{f"b{k}": 20 * len(range(k, 40, 7)) for k in range(7)}}

@@ -40,13 +40,12 @@ Spark, and only the averages reach the driver.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,8 +60,9 @@ EMBED, HIDDEN = 8, 32
 BATCH, RATE = 2048, 0.5
 ROUNDS = (8, 1)                # a round trains on one in so many documents
 RUN_BYTES = 1_000_000          # of text worked on at a time
-COUNTED_WORDS = 100_000        # distinct words a task counts before it sends them on
+COUNTED_BYTES = 16_000_000     # of words a task counts before it sends the counts on
 KNOWN_ENDINGS = 100_000        # of words outside the vocabulary whose class a task remembers
+KEPT_BYTES = 30_000_000        # freed by a batch, which a task keeps for the next one
 
 
 def groups_for(distinct_words: int) -> int:
@@ -84,6 +84,12 @@ def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
+def _words(texts: Sequence[str | None]) -> tuple[np.ndarray, pa.Array]:
+    """Number of words of each text, and the words_of() all, without a Python string for each."""
+    words = pc.utf8_split_whitespace(pa.array([t.lower().strip() or None if t else None for t in texts], pa.string()))
+    return words.value_lengths().fill_null(0).to_numpy().astype(np.int64), words.flatten()
+
+
 def _crc(word: str, letters: int) -> int:
     return zlib.crc32(word[-letters:].encode("utf-8", "surrogatepass"))
 
@@ -129,34 +135,37 @@ class _Numbers(dict):
     def __init__(self, known: dict[str, int], first_other: int, groups: int):
         super().__init__(known)
         self.first_other, self.endings = first_other, _Endings(first_other, groups)
+        self.known, self.number = pa.array(known, pa.string()), np.array([*known.values()], np.int64)
 
     def __missing__(self, word: str) -> int:
         return self.endings[word[-4:]]
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+    def of(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """The numbers of many words, and those of the words that are outside the vocabulary."""
-        number = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
-        at = np.flatnonzero(number < 0)
-        others = [words[i] for i in at.tolist()]
-        number[at] = np.fromiter(map(self.endings.__getitem__, [w[-4:] for w in others]), np.int64, len(others))
+        at = pc.index_in(words, value_set=self.known)
+        number = self.number[at.fill_null(0).to_numpy()] if len(self.known) else np.empty(len(words), np.int64)
+        others = words.filter(at.is_null())
+        endings = pc.utf8_slice_codeunits(others, start=-4).dictionary_encode()
+        of_ending = [self.endings[e] for e in endings.dictionary.to_pylist()]
+        number[at.is_null().to_numpy(zero_copy_only=False)] = np.array(of_ending, np.int64)[endings.indices.to_numpy()]
         return number, others
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, n) over all documents; each task sends its counts once."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        held, size = [], 0
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_struct_array(pc.value_counts(pa.chunked_array(held, pa.string()))).rename_columns(["word", "n"])
 
         for _, texts in arrow_text_runs(batches, max_bytes=RUN_BYTES):
-            for text in texts:
-                total.update(words_of(text))
-            if len(total) > COUNTED_WORDS:                 # bounded: Spark adds up the rest
+            held.append(_words(texts)[1])
+            size += held[-1].nbytes
+            if size > COUNTED_BYTES:                       # bounded: Spark adds up the rest
                 yield rows()
-                total = Counter()
-        if total:
+                held, size = [], 0
+        if held:
             yield rows()
 
     return (docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long")
@@ -206,14 +215,18 @@ def start_weights(seed: int = 7, groups: int = LEAST_GROUPS, class_count: np.nda
 
 def numbered(texts: Sequence[str | None], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray]:
     """(text number, word number) of all words."""
-    return _numbered(texts, numbers)[:2]
+    return _run_numbers(texts, numbers)[:2]
 
 
 def _numbered(texts: Sequence[str | None], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """numbered() and the words outside the vocabulary, in their order; each text while its words are at hand."""
-    number, others = zip(*[numbers.of(words_of(t)) for t in texts]) if len(texts) else ((), ())
-    owner = np.repeat(np.arange(len(texts)), np.array([len(n) for n in number], np.int64))
-    return owner, np.concatenate([np.empty(0, np.int64), *number]), list(chain.from_iterable(others))
+    """numbered() and the words outside the vocabulary, in their order."""
+    owner, number, others = _run_numbers(texts, numbers)
+    return owner, number, others.to_pylist()
+
+
+def _run_numbers(texts: Sequence[str | None], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    n, words = _words(texts)
+    return np.repeat(np.arange(len(texts)), n), *numbers.of(words)
 
 
 def windows(owner: np.ndarray, cls: np.ndarray, n_texts: int) -> np.ndarray:
@@ -239,6 +252,12 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _keep_freed() -> None:
+    """Let the process keep the memory of a batch's arrays, or every batch has them mapped and zeroed anew: malloc keeps
+    blocks up to the size of the largest one freed.  Nothing is held by it, as the block is never touched."""
+    np.empty(KEPT_BYTES, np.uint8)
+
+
 def _by_group(target: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
     """An order of the targets by group, and of every group that occurs its rows in that order and its classes."""
     group = target // groups
@@ -255,7 +274,8 @@ def _levels(weights: list[np.ndarray], h: np.ndarray, target: np.ndarray, parts:
     groups = len(b3)
     inner = b2.reshape(groups, groups)[target // groups]
     for rows, classes in parts:
-        inner[rows] += h[rows] @ w2[:, classes]
+        part = inner[rows]
+        part += h[rows] @ w2[:, classes]
     return _log_softmax(h @ w3 + b3), _log_softmax(inner)
 
 
@@ -295,16 +315,19 @@ def train_batch(weights: list[np.ndarray], window: np.ndarray, target: np.ndarra
     gi *= rate / len(at)
     gh = go @ w3.T
     for rows, classes in parts:
-        gh[rows] += gi[rows] @ w2[:, classes].T
-        w2[:, classes] -= h[rows].T @ gi[rows]
-        b2[classes] -= gi[rows].sum(0)
+        # views, as an assignment to a slice copies it once more
+        g, gh_, w2_, b2_ = gi[rows], gh[rows], w2[:, classes], b2[classes]
+        gh_ += g @ w2_.T
+        w2_ -= h[rows].T @ g
+        b2_ -= np.add.reduce(g)
     gh *= 1.0 - h * h
     gx = (gh @ w1.T).reshape(-1, EMBED)
     w3 -= h.T @ go
     b3 -= go.sum(0)
     w1 -= x.T @ gh
     b1 -= gh.sum(0)
-    flat = window.reshape(-1) % len(embed)                 # EDGE is the last
+    flat = window.reshape(-1)
+    flat[flat < 0] += len(embed)                           # EDGE is the last
     for d, of_dimension in enumerate(gx.T.astype(np.float64, order="C")):
         embed[:, d] -= np.bincount(flat, of_dimension, len(embed)).astype(np.float32)
 
@@ -318,6 +341,7 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds: Se
         shared = docs.sparkSession.sparkContext.broadcast((vocab, weights))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            _keep_freed()
             vocab_, start = shared.value
             numbers, mine, seen = vocab_.numbering(), [w.copy() for w in start], 0
             for _, texts in arrow_text_runs(batches, max_bytes=RUN_BYTES):
@@ -353,7 +377,7 @@ def score_texts(vocab: Vocabulary, weights: list[np.ndarray], numbers: _Numbers,
 def _score(vocab: Vocabulary, weights: list[np.ndarray], numbers: _Numbers,
            texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
     """score_texts() and the words of each text outside the vocabulary."""
-    owner, number, others = _numbered(texts, numbers)
+    owner, number, others = _run_numbers(texts, numbers)
     cls = vocab.word_class[number]
     window = windows(owner, cls, len(texts))
     log_p = vocab.log_in_class[number]
@@ -362,7 +386,7 @@ def _score(vocab: Vocabulary, weights: list[np.ndarray], numbers: _Numbers,
         log_p[part] += class_log_p(weights, window[part], cls[part])
     ends = np.cumsum(np.bincount(owner[number >= numbers.first_other], minlength=len(texts)))
     return (np.bincount(owner, minlength=len(texts)), np.bincount(owner, log_p, len(texts)),
-            pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pa.array(others, pa.string())))
+            pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), others))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 50_000,
@@ -376,6 +400,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_freed()
         vocab_, weights_ = shared.value
         numbers = vocab_.numbering()
         row = TaskContext.get().partitionId() << 40        # ids can repeat or be null
