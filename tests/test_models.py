@@ -67,6 +67,33 @@ def test_small_results_of_the_match_model_are_in_the_plan(spark):
     assert [r.outcome for r in model.class_report.collect()] == model.labels and model.metrics.first().test_samples == 24
 
 
+def test_match_model_is_fitted_over_short_plans(spark, monkeypatch):
+    """The fits read a written split and not a plan with all that led to it, no tree becomes a Python object unless
+    asked for, labels that are known are those an index would find, and accuracies are the evaluator's."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    rnd, fitted, fit = np.random.default_rng(7), [], ml.Pipeline.fit
+
+    def seen(pipe, rows):
+        model = fit(pipe, rows)
+        fitted.append((rows, model))
+        return model
+
+    monkeypatch.setattr(ml.Pipeline, "fit", seen)
+    rows = [(i, ("Home Win", "Draw", "Away Win")[i % 3], *map(float, rnd.normal(size=8) + i % 3 / 2)) for i in range(150)]
+    m = ml.train_match_model(spark.createDataFrame(rows, ["match_id", "outcome", *ml.MATCH_FEATURES]), folds=2)
+    assert len(fitted) == 3
+    for rows, model in fitted:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Existing RDD" in plan or "ExistingRDD" in plan
+        assert "InMemoryRelation" not in plan and "Window" not in plan
+        assert "trees" not in vars(model.stages[-1])
+        assert list(model.stages[0].labels) == list(ml.match_pipeline().getStages()[0].fit(rows).labels) == ["Away Win", "Draw", "Home Win"]
+        counts = ml._confusion(model, rows)
+        of = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="accuracy")
+        assert sum(counts.values()) == rows.count() and ml._accuracy(counts) == of.evaluate(model.transform(rows))
+    assert len(m.model.stages[-1].trees) == 100
+
+
 def test_class_report_of_confusion_counts():
     """A class never predicted, one never met, one predicted only wrongly."""
     counts = {("A", "A"): 3, ("A", "B"): 1, ("B", "A"): 2, ("C", "A"): 1}
