@@ -2,6 +2,7 @@
 one prediction per input row, save/load round-trip, stratified split."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import features as ft
@@ -141,3 +142,76 @@ def test_one_model_per_player(spark):
         assert np.allclose(r.coefficients, w) and np.isclose(r.mse, ((a @ w - y) ** 2).mean()) and r.training_samples == len(mine)
     pred = ml.predict_per_player(models, df).collect()
     assert len(pred) == 550 and all(abs(r.prediction - r.rating) < 5 for r in pred if r.player_id == 4)
+
+
+def _appearances(spark, n, rating="round(5 + (id * 7919 % 1009) / 300.0 + is_home - opposition_strength / 3.0, 6)"):
+    """Feature rows of few different values, some of them rare."""
+    return spark.range(n).selectExpr("id", "id * 7 % 3001 AS k").selectExpr(
+        "id", "id % 97 AS player_id", "id AS match_id", "(k * 31 % 47) * (k % 3) / 10.0D AS recent_avg_goals", "(k * 17 % 11) / 11.0D AS recent_avg_assists",
+        "7 + (k * 13 % 83) / 40.0D AS recent_avg_rating", "CAST(1 + k % 4 AS INT) AS opposition_strength", "CAST(k % 7 < 3 AS INT) AS is_home",
+        "40 + k * 53 % 51 AS minutes_played").selectExpr("*", f"{rating} AS rating")
+
+
+def test_counted_rows_give_the_model_of_all_rows(spark, monkeypatch):
+    """Boosted trees over the counts of rows of the same bins are those over the rows: MLlib's cuts (of a sample, as there
+    are more than ten thousand rows) and, but for cuts of equal gain, its predictions."""
+    n = 12_000
+    rows = ml.deterministic_order(_appearances(spark, n), ["player_id", "match_id"], rows=n, rows_per_task=1_000).cache()
+    plain = ml.fit_boosted(rows, n, "rating")
+    monkeypatch.setattr(ml, "COUNTED_ROWS", 1_000)
+    fitted, fit = [], ml.GBTRegressor.fit
+    monkeypatch.setattr(ml.GBTRegressor, "fit", lambda self, df, *a: (fitted.append(df.count()), fit(self, df, *a))[1])
+    counted = ml.fit_boosted(rows, n, "rating")
+    assert [type(s).__name__ for s in plain.stages] == ["VectorAssembler", "StandardScalerModel", "GBTRegressionModel"]
+    scaler, bins = counted.stages[1:3]
+    assert fitted == [bins.transform(rows).select(*bins.getOutputCols()).distinct().count()] and fitted[0] < n
+    assert scaler.mean == plain.stages[1].mean and scaler.std == plain.stages[1].std
+
+    used, todo = set(), [t._java_obj.rootNode() for t in plain.stages[-1].trees]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "InternalNode":
+            used.add((node.split().featureIndex(), node.split().threshold()))
+            todo += [node.leftChild(), node.rightChild()]
+    assert len(used) > 60
+    for i, cut in used:
+        inner = np.array(bins.getSplitsArray()[i][1:-1])
+        scaled = lambda x: (x - scaler.mean[i]) * (1.0 / scaler.std[i])                # noqa: E731
+        assert ((scaled(np.nextafter(inner, -np.inf)) <= cut) & (cut < scaled(inner))).sum() == 1
+
+    both = plain.transform(rows).select("id", F.col("prediction").alias("a")).join(
+        counted.transform(rows).select("id", F.col("prediction").alias("b")), "id")
+    assert both.count() == n and both.filter(F.abs(F.col("a") - F.col("b")) > 1e-9).count() <= n // 100
+    rows.unpersist()
+
+
+def test_counts_of_bins_hold_every_row(spark):
+    """Each row is in one count; means are exact, whatever the order of the rows."""
+    n, bins = 3_000, None
+    for parts in (1, 7):
+        rows = _appearances(spark, n).repartition(parts)
+        bins = bins or ml.Bucketizer(inputCols=list(ml.PLAYER_FEATURES), outputCols=[f"{c}_bin" for c in ml.PLAYER_FEATURES],
+                                     splitsArray=[[-float("inf"), 1.0, 7.5, float("inf")]] * 6, handleInvalid="keep")
+        got = {tuple(int(r[c]) for c in bins.getOutputCols()): (r["samples"], r["rating"]) for r in ml.binned_counts(rows, "rating", bins).collect()}
+        want = {}
+        for r in rows.collect():
+            want.setdefault(tuple(int(r[c] >= 1) + int(r[c] >= 7.5) for c in ml.PLAYER_FEATURES), []).append(round(float(r["rating"]) * 1e6))
+        assert got == {k: (len(v), sum(v) / 1e6 / len(v)) for k, v in want.items()} and sum(v[0] for v in got.values()) == n
+
+
+def test_cuts_are_between_sampled_values():
+    """Few values: a cut between any two; many: equal shares; zeros are what the sample lacks."""
+    values = np.array([1.0, 1.0, 2.0, 4.0])
+    assert ml._scaled_cuts(values, 4.0, 31) == [(1.5, 1.0, 2.0), (3.0, 2.0, 4.0)]
+    assert ml._scaled_cuts(values, 6.0, 31) == [(0.5, 0.0, 1.0), (1.5, 1.0, 2.0), (3.0, 2.0, 4.0)]
+    assert ml._scaled_cuts(np.zeros(5), 5.0, 31) == [] and ml._scaled_cuts(np.full(5, 2.0), 5.0, 31) == []
+    assert [c for c, *_ in ml._scaled_cuts(np.arange(1.0, 101.0), 100.0, 3)] == [25.5, 50.5, 75.5]
+
+
+def test_counted_fit_refuses_what_the_plain_fit_does(spark, monkeypatch):
+    """A feature that is null is an error, as for the trees over the rows; one that never varies is none."""
+    rows = _appearances(spark, 400).withColumn("minutes_played", F.lit(90))
+    monkeypatch.setattr(ml, "COUNTED_ROWS", 0)
+    assert ml.fit_boosted(rows, 400, "rating").transform(rows).filter("prediction BETWEEN 0 AND 12").count() == 400
+    with pytest.raises(ValueError, match="null"):
+        ml.fit_boosted(rows.withColumn("minutes_played", F.when(F.col("id") != 7, 90)), 400, "rating")

@@ -11,6 +11,8 @@ per-player fits).
 
 from __future__ import annotations
 
+import math
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -20,7 +22,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Bucketizer, IndexToString, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from touchline.operators.features import MATCH_FEATURES, PLAYER_FEATURES
 from touchline.operators.sequence import ordered_prefix
-from touchline.session import ensure_checkpoint_dir
+from touchline.plans.boosting import UNITS
+from touchline.session import ensure_checkpoint_dir, scratch_dir
 
 PLAYER_METRICS = ("rating", "goals", "assists")
 MIN_MATCH_ROWS = 20
@@ -37,6 +40,9 @@ MIN_PLAYER_ROWS = 10
 # Rows of one task of a fit.  A forest has hundreds of trees to try on each of its rows.
 LEAST_TASKS, FOREST_ROWS, BOOSTING_ROWS = 8, 20_000, 100_000
 
+# A boosted fit of more rows than its least tasks hold reads their counts (``fit_boosted``).
+COUNTED_ROWS = LEAST_TASKS * BOOSTING_ROWS
+
 
 # Modulus and multiplier of the split hash (2**31 - 1 and a primitive root of it).
 HASH_MODULUS, HASH_FACTOR = 2147483647, 48271
@@ -247,6 +253,13 @@ class PlayerModel:
     sample: DataFrame
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table of the shared folder, for what reads them more than once."""
+    path = scratch_dir(rows.sparkSession, f"{name}/{uuid.uuid4().hex}")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def player_split(features: DataFrame, *, seed: int = 42, test_size: float = 0.3) -> DataFrame:
     """Feature rows with M12's ``is_test`` in the fixed order of the fits,
     cached: the rows of every metric are a filter of these."""
@@ -257,6 +270,106 @@ def player_split(features: DataFrame, *, seed: int = 42, test_size: float = 0.3)
     return rows
 
 
+def _sampled(rows: DataFrame, fraction: float, seed: int) -> DataFrame:
+    """The rows in which an MLlib tree learner of this seed looks for its cuts (all, or some ten thousand)."""
+    if fraction >= 1:
+        return rows
+    spark = rows.sparkSession
+    draw = spark._jvm.org.apache.spark.util.random.XORShiftRandom(seed).nextInt()
+    taken = rows._jdf.toJavaRDD().sample(False, fraction, draw)
+    return DataFrame(spark._jsparkSession.createDataFrame(taken, rows._jdf.schema()), spark)
+
+
+def _scaled_cuts(values: np.ndarray, expected: float, most: int) -> list[tuple[float, float, float]]:
+    """MLlib's candidate cuts of one feature from its sampled values: (cut, value below, value above).  Zeros are what
+    the sample lacks of the rows ``expected`` in it."""
+    found, counts = np.unique(values[values != 0], return_counts=True)
+    weight = dict(zip(found.tolist(), counts.astype(float).tolist()))
+    n = float(counts.sum())
+    if weight and expected - n > np.finfo(float).eps * n * 100:
+        weight[0.0] = expected - n
+    at = sorted(weight)
+    between = [((a + b) / 2.0, a, b) for a, b in zip(at, at[1:])]
+    if len(between) <= most:
+        return between
+    stride, seen, cuts = expected / (most + 1), weight[at[0]], []
+    target = stride
+    for cut in between:
+        before, seen = seen, seen + weight[cut[2]]
+        if abs(before - target) < abs(seen - target):
+            cuts.append(cut)
+            target += stride
+    return cuts
+
+
+def _least_above(cut: float, low: float, high: float, scaled) -> float:
+    """The least value between ``low`` and ``high`` that is scaled to more than ``cut``."""
+    while low < (mid := low + (high - low) / 2) < high:
+        low, high = (mid, high) if scaled(mid) <= cut else (low, mid)
+    return high
+
+
+def feature_bins(train: DataFrame, n: int, scaler, gbt: GBTRegressor) -> Bucketizer:
+    """The bins of ``gbt``'s candidate cuts, on the features before they are scaled (``n``: rows of ``train``).  MLlib
+    bins every feature of the scaled rows by at most 31 cuts before the first tree and looks for no others."""
+    mean = scaler.mean.toArray()
+    scale = np.array([1.0 / v if v != 0 else 0.0 for v in scaler.std.toArray().tolist()])
+    if not (np.isfinite(mean).all() and np.isfinite(scale).all()):
+        raise ValueError("a feature of the training rows is null, NaN or infinite")
+    fraction = min(1.0, max(gbt.getMaxBins() ** 2, 10_000) / n)
+    sample = _sampled(train.select(*[F.col(c).cast("double").alias(c) for c in PLAYER_FEATURES]), fraction, gbt.getSeed())
+    raw = np.array([tuple(r) for r in sample.collect()]).reshape(-1, len(PLAYER_FEATURES))
+    splits = []
+    for i in range(len(PLAYER_FEATURES)):
+        def scaled(x, i=i):
+            return (x - mean[i]) * scale[i]
+
+        # of values that are scaled alike the greatest below a cut and the least above it are as good as any
+        of = dict(zip(scaled(raw[:, i]).tolist(), raw[:, i].tolist())) | {0.0: float(mean[i])}
+        cuts = _scaled_cuts(scaled(raw[:, i]), fraction * n, min(gbt.getMaxBins(), n) - 1)
+        above = [_least_above(t, of[a], of[b], scaled) for t, a, b in cuts] or [np.finfo(float).max]
+        splits.append([-math.inf, *above, math.inf])
+    return Bucketizer(inputCols=list(PLAYER_FEATURES), outputCols=[f"{c}_bin" for c in PLAYER_FEATURES], splitsArray=splits,
+                      handleInvalid="keep")
+
+
+# More than the bins of any feature, so that the bins of a row are the digits of one integer.
+BIN_BASE = 64
+
+
+def binned_counts(train: DataFrame, metric: str, bins: Bucketizer) -> DataFrame:
+    """The different rows of bins, with their number of ``train``'s rows (``samples``) and the mean of their metric.
+    Metrics are summed as integers of 1e-6 of their unit, exactly and in any order."""
+    cols = bins.getOutputCols()
+    place = [BIN_BASE ** i for i in range(len(cols))]
+    code = sum((F.col(c).cast("long") * p for c, p in zip(cols, place)), F.lit(0).cast("long"))
+    of_code = bins.transform(train).groupBy(code.alias("code")).agg(
+        F.count("*").alias("samples"), F.sum(F.round(F.col(metric) * UNITS).cast("long")).alias("units"))
+    return of_code.select(
+        "code", F.col("samples").cast("double").alias("samples"), (F.col("units") / UNITS / F.col("samples")).alias(metric),
+        *[F.pmod(F.floor(F.col("code") / F.lit(p)), F.lit(BIN_BASE)).cast("double").alias(c) for c, p in zip(cols, place)])
+
+
+def fit_boosted(train: DataFrame, n: int, metric: str, *, seed: int = 42) -> PipelineModel:
+    """``player_pipeline`` fitted to ``n`` rows, many of them over their counts.  The trees see of a row nothing but its
+    bins, so rows of the same bins share every prediction, and the sums behind a cut and a leaf are those of the rows'
+    number and mean.  The fit, some hundred passes, then reads each row of bins once with its number as weight.  Cuts
+    of equal gain are told apart by the last bits of sums, here as there."""
+    if n <= COUNTED_ROWS:
+        return player_pipeline(metric, seed=seed).fit(train)
+    vec, scale, gbt = player_pipeline(metric, seed=seed).getStages()
+    scaler = scale.fit(vec.transform(train))
+    bins = feature_bins(train, n, scaler, gbt)
+    ensure_checkpoint_dir(train.sparkSession)
+    counted = binned_counts(train, metric, bins).checkpoint()
+    k = counted.count()
+    row = VectorAssembler(inputCols=bins.getOutputCols(), outputCol="bins", handleInvalid="keep")
+    # with so many bins allowed, MLlib reads all different rows of bins and no sample of them for its cuts: one between any two bins
+    trees = gbt.copy({gbt.featuresCol: "bins", gbt.weightCol: "samples", gbt.maxBins: max(BIN_BASE, math.isqrt(k) + 1)})
+    fitted = trees.fit(row.transform(deterministic_order(counted, ["code"], rows=k, rows_per_task=BOOSTING_ROWS)))
+    return PipelineModel([vec, scaler, bins, row, fitted])
+
+
 def train_player_model(features: DataFrame, metric: str = "rating", *, seed: int = 42,
                        test_size: float = 0.3) -> PlayerModel:
     """M12 + M13: one pooled gradient-boosted model per metric over all
@@ -274,13 +387,13 @@ def _fit_player_model(split: DataFrame, metric: str, seed: int) -> PlayerModel:
     if n < MIN_PLAYER_ROWS:
         raise ValueError(f"insufficient data for player model: {n} rows")
     train, test = rows.filter(~F.col("is_test")), rows.filter(F.col("is_test"))
-    model = player_pipeline(metric, seed=seed).fit(train)
+    model = fit_boosted(train, n_train, metric, seed=seed)
     pred = model.transform(test)
     ev = RegressionEvaluator(labelCol=metric, predictionCol="prediction")
     mse = ev.evaluate(pred, {ev.metricName: "mse"})
     metrics = spark.createDataFrame([(metric, float(mse), float(mse) ** 0.5, int(n_train))],
                                     "metric string, mse double, rmse double, training_samples long")
-    sample = pred.orderBy("player_id", "match_id").limit(5).select(
+    sample = model.transform(test.orderBy("player_id", "match_id").limit(5)).select(
         F.lit(metric).alias("metric"), "player_id", "match_id", F.col(metric).alias("actual"),
         "prediction")
     sample = spark.createDataFrame(sample.collect(),       # five rows, read while the rows are still held
@@ -359,7 +472,7 @@ def predict_player_models(models, features: DataFrame, scenario: DataFrame | Non
                                      "is_home": F.lit(is_home), "minutes_played": F.lit(minutes).cast("long")})
     out, models = latest, list(models)
     for i, m in enumerate(models):
-        out = m.model.transform(out).withColumnRenamed("prediction", f"_prediction_{i}").drop("raw_features", "features")
+        out = m.model.transform(out).select(*out.columns, F.col("prediction").alias(f"_prediction_{i}"))
     return out.select("player_id", "opposition_strength", "is_home", F.inline(F.array(*[
         F.struct(F.lit(m.metric).alias("metric"), F.col(f"_prediction_{i}").alias("predicted_value"),
                  F.col(f"recent_avg_{m.metric}").alias("recent_average")) for i, m in enumerate(models)]))) \
@@ -380,6 +493,7 @@ def train_player_models(rows: DataFrame, metrics=PLAYER_METRICS, *, seed: int =
     """One pooled model per metric; the fits are independent Spark jobs over
     the same rows and are submitted together so small fits overlap on the
     cluster."""
+    rows = rows.select("player_id", "match_id", *dict.fromkeys([*PLAYER_FEATURES, *metrics]))
     split = player_split(rows, seed=seed, test_size=test_size)
     try:
         return dict(zip(metrics, at_once(split.sparkSession, [lambda m=m: _fit_player_model(split, m, seed) for m in metrics])))
