@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline.operators import features as ft
 from touchline.plans import models as ml
 
-from conftest import SF_MID
+from conftest import SF_MID, SF_SMALL
 
 
 def test_match_model(spark, tmp_dir):
@@ -215,3 +215,16 @@ def test_counted_fit_refuses_what_the_plain_fit_does(spark, monkeypatch):
     assert ml.fit_boosted(rows, 400, "rating").transform(rows).filter("prediction BETWEEN 0 AND 12").count() == 400
     with pytest.raises(ValueError, match="null"):
         ml.fit_boosted(rows.withColumn("minutes_played", F.when(F.col("id") != 7, 90)), 400, "rating")
+
+
+def test_player_features_are_made_once(spark):
+    """The fits and the next-match predictions read one table; the rows are those of the features' plan."""
+    from touchline.plans import queries_models as qm
+    from touchline.plans.catalog import tables
+    rows, models = qm._player_models(spark, SF_SMALL)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "parquet" in plan
+    t = tables(spark, SF_SMALL)
+    feats = ft.player_features(t.player_match_stats, t.matches, t.opposition_categories, n=10)
+    assert rows.columns == feats.columns and rows.exceptAll(feats).count() == 0 and feats.exceptAll(rows).count() == 0
+    assert sorted(models) == ["assists", "goals", "rating"]

@@ -161,10 +161,13 @@ def fixture_rows(fixtures: DataFrame, team_now: DataFrame, pair_now: DataFrame,
 
 
 def player_features(stats: DataFrame, matches: DataFrame, categories: DataFrame, *,
-                    n: int = 10, fill: float = 0.0) -> DataFrame:
+                    n: int = 10, fill: float = 0.0, kept=None) -> DataFrame:
     """Per appearance (minutes > 0, finished match) the player's
     rolling means over the previous ``n`` appearances (W1), the opponent's
-    strength ordinal in the same season (J4 + P12), venue and minutes."""
+    strength ordinal in the same season (J4 + P12), venue and minutes.
+
+    The lookback reads its rows three times.  ``kept``, if given, is handed
+    these rows and returns them in a form that is cheap to read again."""
     finished = matches.filter(F.col("status") == "finished")
     rows = of_season(stats.filter(F.col("minutes_played") > 0), finished, None,
                      ("match_date", "home_team_id", "away_team_id"))
@@ -178,6 +181,8 @@ def player_features(stats: DataFrame, matches: DataFrame, categories: DataFrame,
         .withColumn("opposition_strength", X.strength_ordinal("final_position"))
     rows = rows.select("player_id", "match_id", "season_id", "match_date", "team_id", "opponent_id",
                        "goals", "assists", "rating", "opposition_strength", "is_home", "minutes_played")
+    if kept is not None:
+        rows = kept(rows)
     # Ratings carry one decimal: summed as integer tenths, so prefix-sum
     # differences stay exact however long a player's history is.
     out = lookback_mean(
