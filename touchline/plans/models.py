@@ -393,10 +393,12 @@ def _fit_player_model(split: DataFrame, metric: str, seed: int) -> PlayerModel:
     mse = ev.evaluate(pred, {ev.metricName: "mse"})
     metrics = spark.createDataFrame([(metric, float(mse), float(mse) ** 0.5, int(n_train))],
                                     "metric string, mse double, rmse double, training_samples long")
-    sample = model.transform(test.orderBy("player_id", "match_id").limit(5)).select(
-        F.lit(metric).alias("metric"), "player_id", "match_id", F.col(metric).alias("actual"),
-        "prediction")
-    sample = spark.createDataFrame(sample.collect(),       # five rows, read while the rows are still held
+    first = test.select("player_id", "match_id", *dict.fromkeys([*PLAYER_FEATURES, metric])) \
+        .orderBy("player_id", "match_id").limit(5)
+    first = spark.createDataFrame(first.collect(), first.schema)       # five rows, read while the rows are still held
+    sample = model.transform(first).select(F.lit(metric).alias("metric"), "player_id", "match_id",
+                                           F.col(metric).alias("actual"), "prediction")
+    sample = spark.createDataFrame(sample.collect(),
                                    "metric string, player_id long, match_id long, actual double, prediction double")
     return PlayerModel(metric, model, metrics, sample)
 

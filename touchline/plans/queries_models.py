@@ -38,8 +38,8 @@ def _match_model(spark, sf_dir):
 
 
 def _player_models(spark, sf_dir, key_players_only=False):
-    """(feature rows, models by metric); the models are kept, the rows are a table in the shared folder: made once, for
-    the fits and the predictions."""
+    """(feature rows, models by metric); only the models are kept, the rows are a plan over the appearances, which are
+    joined once and written to the shared folder."""
     key = ("players", key_players_only, _app(spark), sf_dir)
     if key not in _TRAINED:
         t = tables(spark, sf_dir)
@@ -48,7 +48,6 @@ def _player_models(spark, sf_dir, key_players_only=False):
         if key_players_only:                               # M15 trains on the key players (A22)
             keyp = pl.key_players(t.players, t.player_match_stats)
             rows = rows.join(keyp.select("player_id"), "player_id", "left_semi")
-        rows = ml.written(rows, "player_features")
         _TRAINED[key] = (rows, ml.train_player_models(rows))
     return _TRAINED[key]
 
